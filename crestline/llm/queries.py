@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import unigram
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .sharding import shard_by_bytes
 from .staging import table
 from .token_counts import token_counts
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
