@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .sharding import shard_by_bytes
 from .staging import table
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 
@@ -34,6 +35,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model())
 
@@ -46,6 +52,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op9_sharding": op9_sharding,

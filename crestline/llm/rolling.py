@@ -14,26 +14,27 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 4 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_POW = np.ones(1, U)
-_INV = np.ones(1, U)
+_TABLES: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i for i < n, kept between calls."""
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, SLICE + 1, 2 * len(_POW))
-        _POW, _INV = np.full(size, BASE, U), np.full(size, INVERSE, U)
-        _POW[0] = _INV[0] = 1
-        np.cumprod(_POW, out=_POW)
-        np.cumprod(_INV, out=_INV)
-    return _POW[:n], _INV[:n]
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """B^i and B^-i for i < n, kept between calls; ``second`` has another base."""
+    if second not in _TABLES or len(_TABLES[second][0]) < n:
+        size = max(n, SLICE + 1)
+        base = pow(BASE, 5, 1 << 64) if second else BASE
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            t = np.full(size, b, U)
+            t[0] = 1
+            both.append(np.cumprod(t, out=t))
+        _TABLES[second] = (both[0], both[1])
+    up, down = _TABLES[second]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,16 +47,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefixes(data: np.ndarray) -> np.ndarray:
+def prefixes(data: np.ndarray, second: bool = False) -> np.ndarray:
     """P with hash(s, e) = (P[e] - P[s]) * B^-s; one longer than the data."""
-    pow_, _ = powers(len(data) + 1)
+    pow_, _ = powers(len(data) + 1, second)
     out = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * pow_[:-1], out=out[1:])
     return out
 
 
-def stretches(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, inv = powers(len(pre))
+def stretches(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    _, inv = powers(len(pre), second)
     return (pre[ends] - pre[starts]) * inv[starts]
 
 
