@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .components import components
+from .screen import bits_for, hits, key_bitmap
 from .skew import join_groups
 from .staging import stage
 
@@ -140,9 +141,7 @@ def _set_batches(words: int, bitmap, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(2).to_numpy(zero_copy_only=False)
-            hit = (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            b = b.filter(pa.array(hit.astype(bool)))
+            b = b.filter(pa.array(hits(bitmap.value, bits, b.column(2).to_numpy(zero_copy_only=False))))
             for _, _, data, offs in R.slices(b.column(1)):
                 sets = distinct(*shingle_hashes(data, offs, words))
                 yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
@@ -163,25 +162,6 @@ def _confirmed(percent: int):
     return run
 
 
-def _bit_table(ids: DataFrame, bits: int) -> np.ndarray:
-    """Positions set in a bitmap of fixed size, built by grouped aggregation."""
-    rows = (
-        ids.select((_position(F.col("id"), bits) + 1).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-        .collect()
-    )
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    return out
-
-
-def _position(col: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(bits))
-
-
 def _slim(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
@@ -216,12 +196,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 def _linked(spark, docs, nodes, members, words, percent, id_col, text_col) -> DataFrame:
     """(node, comp) of the nodes that have links."""
     count, = nodes.agg(F.count(F.lit(1))).first()
-    # the filter's size is bounded; beyond it more rows pass, and the joins below still decide
-    bits = 1 << min(28, max(18, (16 * count).bit_length()))
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select("id")
-    bitmap = spark.sparkContext.broadcast(_bit_table(wanted, bits))
+    bits = bits_for(count)
+    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select(F.xxhash64("id").alias("key"))
+    bitmap = spark.sparkContext.broadcast(key_bitmap(wanted, "key", bits))
     sets = stage(
-        _slim(docs, id_col, text_col, _position(F.col(id_col).cast("bigint"), bits).alias("p"))
+        _slim(docs, id_col, text_col, F.xxhash64(F.col(id_col).cast("bigint")).alias("p"))
         .mapInArrow(_set_batches(words, bitmap, bits), "node binary, items binary")
         .groupBy("node").agg(F.first("items").alias("items")),
         "near-sets",

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import unigram
+from .decontaminate import leaks
 from .exact_dedup import exact_dedup
+from .line_templates import drop_recurring_lines
 from .near_dedup import near_dedup
 from .sharding import shard_by_bytes
 from .staging import table
@@ -31,6 +33,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines went, and the text that is left."""
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), piece_model())
 
@@ -53,8 +64,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_near_dedup": op5_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
+from .screen import bits_for, hits, key_bitmap
 from .skew import join_groups
 from .staging import stage
 
@@ -91,18 +92,13 @@ def _anchor_batches(width: int):
     return run
 
 
-def _hit(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
-    p = (key >> U(64 - bits)).astype(np.int64)
-    return ((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _piece_batches(width: int, bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, mixed = shared.value
         for b in batches:
             for lo, _, data, offs in R.slices(b.column(2)):
                 first, count, at, key, pre = anchor_runs(data, offs, width)
-                sel = _hit(again, bits, key)
+                sel = hits(again, bits, key)
                 if not sel.any():
                     continue
                 first, count, at, key = first[sel], count[sel], at[sel], key[sel]
@@ -123,7 +119,7 @@ def _piece_batches(width: int, bits: int, shared):
                 u2 = R.mix(R.stretches(other, p0, end, second=True) + tag)
                 doc = np.searchsorted(offs, p0, "right") - 1
                 raw = data.tobytes()
-                body = [raw[i:j] if m else None for i, j, m in zip(p0.tolist(), end.tolist(), _hit(mixed, bits, key)[run_].tolist())]
+                body = [raw[i:j] if m else None for i, j, m in zip(p0.tolist(), end.tolist(), hits(mixed, bits, key)[run_].tolist())]
                 row = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(row), b.column(1).take(row), pa.array((p0 - offs[doc]).astype(np.int64)), pa.array(off.astype(np.int32)), pa.array(cnt.astype(np.int32)),
@@ -310,19 +306,6 @@ def _cover_batches(width: int):
     return run
 
 
-def _key_table(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of the keys' leading bits, by grouped aggregation; fixed size."""
-    rows = (
-        keys.select((F.shiftrightunsigned("key", 64 - bits) + 1).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    )
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    return out
-
-
 def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (start, end), kept (binary).
 
@@ -340,8 +323,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
         "repeat-anchors",
     )
     count, = again.agg(F.count(F.lit(1))).first()
-    bits = min(28, max(18, (16 * count).bit_length()))  # larger corpora pass more runs on; grouping still decides
-    shared = spark.sparkContext.broadcast((_key_table(again, bits), _key_table(again.filter("mixed"), bits)))
+    bits = bits_for(count)
+    shared = spark.sparkContext.broadcast((key_bitmap(again, "key", bits), key_bitmap(again.filter("mixed"), "key", bits)))
     kind = slim.schema["id"].dataType.simpleString()
     pieces = stage(
         long_.mapInArrow(_piece_batches(width, bits, shared), f"id {kind}, rk bigint, p0 bigint, off int, cnt int, core bigint, u1 bigint, u2 bigint, body binary"), "repeat-pieces"
