@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import unigram
+from . import language_id, unigram
 from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .line_templates import drop_recurring_lines
@@ -38,6 +38,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source as host) and pages (markup, address and host); the other id is null."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_sample(docs)
+    none = F.lit(None).cast("bigint")
+    a = language_id.from_documents(docs).select(F.col("id").alias("doc_id"), none.alias("page_id"), "declared", "host", "text")
+    b = language_id.from_pages(table(spark, sf_dir, "pages")).select(none.alias("doc_id"), F.col("id").alias("page_id"), "declared", "host", "text")
+    return language_id.identify(a.unionByName(b), model, ["doc_id", "page_id"])
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
