@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .line_templates import drop_recurring_lines
 from .near_dedup import near_dedup
+from .pii import personal_data
 from .sharding import shard_by_bytes
 from .staging import table
 from .suffix_dedup import remove_repeats
@@ -38,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (their source as host) and pages (markup, address and host); the other id is null."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
