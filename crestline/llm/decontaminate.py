@@ -154,55 +154,85 @@ def aligned(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | No
     return cost, end - back, end
 
 
+def _passages(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) in bytes of the original text, overlapping ones merged."""
+    norm, at, where = normalised(data, offs)
+    best: dict[tuple[int, int, int], tuple[int, int]] = {}
+    for t, i, diag in index.bands(norm, at):
+        k, m = int(index.edits[i]), len(index.items[i])
+        text0 = int(at[t])
+        first = text0 + max(0, diag - k)
+        last = text0 + min(int(at[t + 1]) - text0, diag + 2 * (k + 1) + m + k)
+        if got := aligned(index.items[i], norm[first:last].tobytes(), k):
+            cost, s, e = got
+            key = (t, i, int(where[first + s] - offs[t]))
+            end = int(where[first + e - 1] + 1 - offs[t])
+            if key not in best or (cost, -end) < (best[key][1], -best[key][0]):
+                best[key] = (end, cost)
+    rows: list[tuple[int, int, int, int, int]] = []
+    for (t, i, s), (e, c) in sorted(best.items(), key=lambda x: (x[0][:2], x[1][1], x[0][2])):
+        if not any(r[:2] == (t, i) and s < r[3] and r[2] < e for r in rows[-8:]):
+            rows.append((t, i, s, e, c))  # the cheapest of overlapping ones
+    return rows
+
+
 def _match_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for b in batches:
             for lo, _, data, offs in R.slices(b.column(1)):
-                norm, at, where = normalised(data, offs)
-                best: dict[tuple[int, int, int], tuple[int, int]] = {}
-                for t, i, diag in index.bands(norm, at):
-                    k, m = int(index.edits[i]), len(index.items[i])
-                    first = max(0, diag - k)
-                    last = min(int(at[t + 1] - at[t]), diag + 2 * (k + 1) + m + k)
-                    text0 = int(at[t])
-                    got = aligned(index.items[i], norm[text0 + first : text0 + last].tobytes(), k)
-                    if got:
-                        cost, s, e = got
-                        span = (t, i, int(where[text0 + first + s] - offs[t]))
-                        end = int(where[text0 + first + e - 1] + 1 - offs[t])
-                        if span not in best or (cost, -end) < (best[span][1], -best[span][0]):
-                            best[span] = (end, cost)
-                rows: list[tuple[int, int, int, int, int]] = []
-                for (t, i, s), (e, c) in sorted(best.items(), key=lambda x: (x[0][:2], x[1][1], x[0][2])):
-                    if not any(r[:2] == (t, i) and s < r[3] and r[2] < e for r in rows[-8:]):
-                        rows.append((t, i, s, e, c))  # the cheapest of overlapping ones
-                cols = list(zip(*rows)) if rows else [[]] * 5
+                cols = list(zip(*_passages(index, data, offs))) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([lo + t for t in cols[0]], pa.int64())), pa.array([int(index.ids[i]) for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
+                    [
+                        b.column(0).take(pa.array([lo + t for t in cols[0]], pa.int64())),
+                        pa.array([int(index.ids[i]) for i in cols[1]], pa.int64()),
+                        *(pa.array(c, pa.int64()) for c in cols[2:4]),
+                        pa.array(cols[4], pa.int32()),
+                    ],
                     names=["id", "item_id", "start", "end", "edits"],
-                )
+                )
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
-    """One row per passage: id, item_id, start, end (bytes of the text), edits."""
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    blocks: list[DataFrame] = []
+def _clean_batches(shared):
+    """Rows whose text (last column) holds no passage."""
 
-    def search(rows: list[tuple[int, str]]) -> None:
-        shared = docs.sparkSession.sparkContext.broadcast(Index.build(rows))
-        blocks.append(slim.mapInArrow(_match_batches(shared), f"id {kind}, {SCHEMA}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for lo, _, data, offs in R.slices(b.column(b.num_columns - 1)):
+                keep[[lo + r[0] for r in _passages(shared.value, data, offs)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
 
-    held, size = [], 0
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator:
+    """Broadcast indexes of the items, each over at most ``block_bytes`` of them and one item."""
+    sc = benchmark.sparkSession.sparkContext
+    held, size, any_ = [], 0, False
     for r in benchmark.select(F.col(item_col).cast("bigint"), item_text).orderBy(item_col, item_text).toLocalIterator():
         held.append((r[0] if r[0] is not None else -1, r[1]))
         size += len(r[1] or "")
         if size >= block_bytes:
-            search(held)
-            held, size = [], 0
-    if held or not blocks:
-        search(held)
+            yield sc.broadcast(Index.build(held))
+            held, size, any_ = [], 0, True
+    if held or not any_:
+        yield sc.broadcast(Index.build(held))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """One row per passage: id, item_id, start, end (bytes of the text), edits."""
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+    blocks = [slim.mapInArrow(_match_batches(x), f"id {kind}, {SCHEMA}") for x in _indexes(benchmark, item_col, item_text, block_bytes)]
     return reduce(DataFrame.unionByName, blocks).withColumnRenamed("id", id_col)
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` without a passage of any item, all columns as they are."""
+    wide = docs.withColumn("_compared", F.coalesce(F.col(text_col), F.lit("")))
+    for shared in _indexes(benchmark, item_col, item_text, block_bytes):
+        wide = wide.mapInArrow(_clean_batches(shared), wide.schema)
+    return wide.drop("_compared")
