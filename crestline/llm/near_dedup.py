@@ -9,9 +9,12 @@
    with one hub, not with every other; pairs whose XOR popcount is beyond what a
    linked pair reaches (risk 1e-9) are dropped, the rest are confirmed on
    full sets, fetched once for candidate classes only.
-3. Links give components; buckets that still span several components get further
-   hubs, and once what is left is small its pairs are checked outright, so no
-   partner is skipped and no group is expanded into all its pairs.
+3. Links give components.  A bucket may still span several; then its members outside
+   its largest component are compared with the members of other components.  Those
+   pairs are screened inside the join by a second parity bitmap, of the whole
+   set: its XOR popcount never exceeds the symmetric difference, so the screen
+   loses nothing and only pairs that nearly link become rows.  No partner is
+   skipped, and no group is expanded into all its pairs.
 
 A pair at the threshold misses all bands with probability 8e-7 (24 bands of 5 at
 0.85), and a component needs only one path.
@@ -39,12 +42,11 @@ from .skew import join_groups
 from .staging import stage
 
 U = R.U
-BANDS, PER_BAND, BITS = 24, 5, 256
+BANDS, PER_BAND, BITS, SET_BITS = 24, 5, 256, 1024
 SAMPLES = BANDS * PER_BAND
 _MUL = R.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 _ADD = R.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x2545F4914F6CDD1D))
-STAR_ROUNDS = 6
-SKETCH = "id bigint, n bigint, node binary, odd array<bigint>, bands array<bigint>"
+SKETCH = "id bigint, n bigint, node binary, odd array<bigint>, bands array<bigint>, par array<bigint>"
 
 
 @lru_cache
@@ -115,6 +117,14 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), odd
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmap of each whole set, (n, SET_BITS / 64) as int64."""
+    out = np.zeros((len(sets), SET_BITS // 8), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.packbits(np.bincount((R.mix(s + U(3)) % U(SET_BITS)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1)
+    return out.view(np.int64)
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     n, k = x.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(x).ravel()))
@@ -129,8 +139,8 @@ def _sketch_batches(words: int):
                 bands, odd = np.zeros((hi - lo, BANDS), np.int64), np.zeros((hi - lo, BITS // 64), np.int64)
                 bands[full], odd[full] = sketches([sets[i] for i in full])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_node(s) for s in sets], pa.binary()), _lists(odd), _lists(bands)],
-                    names=["id", "n", "node", "odd", "bands"],
+                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_node(s) for s in sets], pa.binary()), _lists(odd), _lists(bands), _lists(parities(sets))],
+                    names=["id", "n", "node", "odd", "bands", "par"],
                 )
 
     return run
@@ -176,8 +186,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     rows = stage(_slim(docs, id_col, text_col).mapInArrow(_sketch_batches(words), SKETCH), "near-sketch")
     filled = rows.filter("n > 0")
     nodes = stage(
-        filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "odd", "bands")).alias("r"), F.count(F.lit(1)).alias("rows"))
-        .select("node", F.col("r.id").alias("id"), F.col("r.odd").alias("odd"), F.col("r.bands").alias("bands"), "rows"),
+        filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "odd", "bands", "par")).alias("r"), F.count(F.lit(1)).alias("rows"))
+        .select("node", F.col("r.id").alias("id"), F.col("r.n").alias("n"), F.col("r.odd").alias("odd"), F.col("r.bands").alias("bands"), F.col("r.par").alias("par"), "rows"),
         "near-nodes",
     )
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -205,45 +215,38 @@ def _linked(spark, docs, nodes, members, words, percent, id_col, text_col) -> Da
         .groupBy("node").agg(F.first("items").alias("items")),
         "near-sets",
     )
-    odd = nodes.select("node", "odd")
     limit = odd_limit(percent)
+    print_ = nodes.select("node", "n", "odd", "par")
+
+    def of(x: str) -> DataFrame:
+        return print_.select(*[F.col(c).alias(f"{c}_{x}") for c in print_.columns]).withColumnRenamed(f"node_{x}", x)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = (odd.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-        differ = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(BITS // 64)), F.lit(0))
-        close = pairs.join(a, "a").join(b, "b").filter(differ < limit).select("a", "b")
+    def near(x: str, y: str) -> Column:
+        """Neither parity bitmap rules the pair out."""
+        differ = lambda c, words_: sum((F.bit_count(F.col(f"{c}_{x}")[k].bitwiseXOR(F.col(f"{c}_{y}")[k])) for k in range(words_)), F.lit(0))
+        size = F.col(f"n_{x}") + F.col(f"n_{y}")
+        return (differ("odd", BITS // 64) < limit) & (differ("par", SET_BITS // 64) * (100 + percent) <= size * (100 - percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-        full = close.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
+        full = pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
         return full.mapInArrow(_confirmed(percent), "a binary, b binary")
 
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    tried = stage(members.filter("hub <> node").select(*ordered("hub", "node")).distinct(), "near-pairs")
-    links = stage(confirm(tried), "near-links")
+    pairs = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(confirmed(pairs.join(of("a"), "a").join(of("b"), "b").filter(near("a", "b")).select("a", "b")), "near-links")
     comp = components(links)
-    most = max(200_000, 2 * count)
-    for turn in range(STAR_ROUNDS + 1):
-        open_ = members.filter("size > 2").select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-        split = parts.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
-        split = stage(split, "near-split")
-        left, = split.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()
-        if not left:
-            break
-        open_ = open_.join(split.select("bucket"), "bucket")
-        last = left <= most or turn == STAR_ROUNDS
-        if last:
-            x, y = (open_.select("bucket", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "xy")
-        else:
-            x = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("x"), F.col("comp").alias("comp_x"))).alias("h"))
-            x = x.select("bucket", "h.x", "h.comp_x")
-            y = open_.select("bucket", F.col("node").alias("y"), F.col("comp").alias("comp_y"))
-        pairs = x.join(y, "bucket").filter("comp_x <> comp_y" + (" and x < y" if last else "")).select(*ordered("x", "y")).distinct()
-        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        more = stage(confirm(pairs), "near-links")
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        comp = components(links)
-        if last:
-            break
-    return comp
+
+    open_ = members.filter("size > 2").select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    split = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    open_ = stage(open_.join(split.select("bucket", F.col("top.comp").alias("top")), "bucket"), "near-open")
+    if not open_.head(1):
+        return comp
+    x = open_.filter("comp <> top").select("bucket", F.col("node").alias("x"), F.col("comp").alias("comp_x")).join(of("x"), "x")
+    y = open_.select("bucket", F.col("node").alias("y"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("top")).alias("main")).join(of("y"), "y")
+    apart = (x["bucket"] == y["bucket"]) & (F.col("comp_x") != F.col("comp_y")) & (F.col("main") | (F.col("x") < F.col("y")))
+    more = x.join(y, apart & near("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    more = stage(confirmed(more), "near-links")
+    if not more.head(1):
+        return comp
+    return components(links.unionByName(more))
