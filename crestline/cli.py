@@ -68,7 +68,7 @@ def parser() -> Parser:
     p.add_argument("outfile")
 
     p = sub.add_parser("classstat", help="class counts; later files against the first")
-    p.add_argument("-s", "--summary", dest="dump", action="store_false")
+    p.add_argument("-s", "--summary", dest="dump", action="store_false", default=False)
     p.add_argument("-d", "--dump", dest="dump", action="store_true", default=False)
     p.add_argument("files", nargs="+")
 
