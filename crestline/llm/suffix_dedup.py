@@ -74,7 +74,8 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
     keep = ~bad[first]
     first, count = first[keep], count[keep]
     at = place[first]
-    return first, count, at, gram[at], pre
+    # least hashes crowd near 0; mixed again they spread over the screen's bits
+    return first, count, at, R.mix(gram[at] + _C[1]), pre
 
 
 def _run_print(pre, first, count, at, width):
