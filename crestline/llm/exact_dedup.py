@@ -4,7 +4,8 @@ Plan: one scan hashes the normalised text (128-bit MD5 as group key, SHA-256 as
 published digest).  Grouping by (hash, digest, normalised bytes) compares the
 bytes themselves; its map-side half emits a text once per task, so a group that
 holds a third of all rows costs each task one row.  Each document then gets its
-group by an equi-join of slim rows on (hash, digest).
+group by an equi-join of slim rows on (hash, digest), where groups of over a
+thousandth of all rows (at most 1000 of them) are broadcast.
 
 Cases: null text counts as empty, and empty texts form a group.  A null id sorts
 after every other id.  Rows that repeat an id with the same text share one
@@ -19,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_groups
+from .staging import stage
+
 BLANKS = r"[\x20\x09-\x0D]"
 _STEP = "18446744073709551616"  # 2^64: one code point outweighs any id
 _NO_ID = 9223372036854775807
@@ -60,9 +64,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("_n"),
         )
     )
-    rows = keyed.select("_id", F.col("_h"), F.col("_sha"))
+    groups = stage(groups, "exact-groups")
+    total, = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()
     keep = F.nullif(F.col("_keep"), F.lit(_NO_ID))
-    return rows.join(groups, ["_h", "_sha"]).select(
+    return join_groups(keyed.select("_id", "_h", "_sha"), groups, ["_h", "_sha"], "_n", total).select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.col("_n").cast("bigint").alias("group_size"),
