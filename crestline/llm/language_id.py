@@ -11,8 +11,9 @@ posterior(l)  ~  exp(text log likelihood)  *  P(declared | l)  *  prior(l | host
   by the address suffix, that by all rows.  A row's own text is taken out of each
   level first.  Counts are sums of integers, so they do not depend on the order.
 
-A row is rejected (lang "und") without letters, if its text fits no language as
-well as the worst of the sample, with a margin, or below ``LEAST`` confidence.
+A row is rejected (lang "und") without letters, if its text (of ``JUDGED`` trigrams or
+more) fits no language as well as the worst of the sample, with a margin, or below
+``LEAST`` confidence.
 
 Cases: null or letterless text is rejected; null host, suffix or declaration is no
 evidence; repeated rows count each; extra columns are ignored; an empty table
@@ -40,6 +41,7 @@ from .staging import stage
 FIT_ROWS = 2000
 BUCKETS = 16
 EVIDENCE, LEAST, MARGIN = 200.0, 0.5, 1.5
+JUDGED = 50  # trigrams from which on the fit of a text is judged
 STRENGTH = 4.0  # rows that each level's parent counts as
 _UNIT = 1_000_000
 _SLICE = 1 << 20
@@ -47,14 +49,21 @@ _DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
-def buckets(data: np.ndarray) -> np.ndarray:
-    """Hashed trigram beginning at each byte but the last two (those get bucket 0)."""
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[0x20, 0x27, *range(65, 91), *range(97, 123), *range(0x80, 256)]] = True
+
+
+def trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed trigram beginning at each byte, and whether it counts: letters, blanks and
+    apostrophes only, so that numbers, addresses and markup say nothing about a language."""
     low = R.LOWER[data].astype(np.uint32)
-    out = np.zeros(len(data), np.int64)
+    out, counts = np.zeros(len(data), np.int64), np.zeros(len(data), bool)
     if len(data) > 2:
         code = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
         out[:-2] = (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS)
-    return out
+        ok = _LETTERS[data]
+        counts[:-2] = ok[:-2] & ok[1:-1] & ok[2:]
+    return out, counts
 
 
 @dataclass(frozen=True)
@@ -67,7 +76,8 @@ class TextModel:
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
         langs = sorted({lang for lang, _ in rows})
         count = np.zeros((1 << BUCKETS, len(langs)))
-        texts = [(langs.index(lang), buckets(np.frombuffer(t.encode(), np.uint8))[:-2]) for lang, t in rows if len(t.encode()) > 2]
+        coded = [(langs.index(lang), *trigrams(np.frombuffer(t.encode(), np.uint8))) for lang, t in rows]
+        texts = [(k, b[c]) for k, b, c in coded]
         for k, b in texts:
             count[:, k] += np.bincount(b, minlength=1 << BUCKETS)
         # smoothed by the trigram's share over all languages
@@ -75,7 +85,7 @@ class TextModel:
         p = (count + 20 * len(langs) * base[:, None]) / (count.sum(0) + 20 * len(langs))
         p = 0.98 * p + 0.02 / len(count)
         table = np.log(p)
-        means = [float(table[b, k].mean()) for k, b in texts if len(b) >= 200]
+        means = [float(table[b, k].mean()) for k, b in texts if len(b) >= JUDGED]
         return cls(langs, table.astype(np.float32), min(means, default=-math.inf) - MARGIN)
 
 
@@ -88,22 +98,22 @@ def _likelihood_batches(shared):
         for b in batches:
             k = b.num_columns - 1
             for lo, hi, data, offs in R.slices(b.column(k), _SLICE):
-                n = np.diff(offs)
-                val = model.table[buckets(data)]
+                gram, counts = trigrams(data)
                 tail = np.concatenate([offs[1:] - 1, offs[1:] - 2])
-                val[tail[tail >= 0]] = 0
+                counts[tail[tail >= 0]] = False
+                at = np.flatnonzero(counts)
+                first = np.searchsorted(at, offs)
+                grams = np.diff(first)
                 sums = np.zeros((hi - lo, width))
-                full = np.flatnonzero(n > 2)
-                if len(full):
-                    sums[full] = np.add.reduceat(val.astype(np.float64), offs[:-1][full], axis=0) if len(full) == len(n) else np.stack([val[offs[i] : offs[i + 1]].sum(0, dtype=np.float64) for i in full])
-                grams = np.maximum(n - 2, 1)
-                mean = sums / grams[:, None]
+                full = np.flatnonzero(grams)  # their stretches follow one another without gaps
+                if len(full) and width:
+                    sums[full] = np.add.reduceat(model.table[gram[at]].astype(np.float64), first[:-1][full], axis=0)
+                mean = sums / np.maximum(grams, 1)[:, None]
                 ll = mean * np.minimum(grams, EVIDENCE)[:, None]
-                ll[n <= 2] = 0
                 solid = ((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 0x80)
                 letters = np.concatenate([[0], np.cumsum(solid)])
                 letters = letters[offs[1:]] - letters[offs[:-1]]
-                fits = (mean.max(1) >= model.floor) | (n <= 2) if width else np.ones(hi - lo, bool)
+                fits = (mean.max(1) >= model.floor) | (grams < JUDGED) if width else np.ones(hi - lo, bool)
                 flat = pa.array(np.round(ll, 6).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(lo, hi - lo) for c in b.columns[:k]), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * width), flat), pa.array(letters > 0), pa.array(fits)],
