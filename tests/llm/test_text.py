@@ -1,0 +1,257 @@
+"""Tokens, pieces, decontamination, personal data, language and the pipeline."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from crestline.llm import decontaminate as D
+from crestline.llm import language_id, pii, unigram
+from crestline.llm import pieces as P
+from crestline.llm import queries as Q
+from crestline.llm.token_counts import PairMerger, token_counts
+
+spm = pytest.importorskip("sentencepiece")
+FOLDER = "/root/testdata/sf0.001"
+ALPHABET = "ab  \n\t.,<>s/_0x1Aé日ﬁ▁ -'\"()=;{}́😀\r\x0bunkEn"
+
+
+def strings(n, seed=2, alphabet=ALPHABET, most=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(alphabet, k=rng.randrange(most))) for _ in range(n)] + ["<s></s><unk><0x0A>", "   ", "▁", "▁▁ ▁a", ""]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_counts_match_the_library(duck):
+    sp = spm.SentencePieceProcessor(model_file=Q.piece_model())
+    count = PairMerger(P.load(Q.piece_model())).count
+    texts = strings(3000) + [r[0] for r in duck(FOLDER).execute("SELECT text FROM documents").fetchall()]
+    assert [count(t) for t in texts] == [len(x) for x in sp.encode(texts)]
+
+
+def test_token_query(spark):
+    long_ = "word " * 5000
+    got = {(r.doc_id, r.n_bytes, r.n_tokens > 0, r.over_limit) for r in token_counts(docs(spark, [(1, None), (2, ""), (None, "é"), (3, long_)]), Q.piece_model()).collect()}
+    assert got == {(1, 0, False, False), (2, 0, False, False), (None, 2, True, False), (3, 25000, True, True)}
+    assert token_counts(docs(spark, []), Q.piece_model()).count() == 0
+
+
+@pytest.fixture(scope="module")
+def unigram_library():
+    """The library with the same pieces and scores, as a unigram model."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = unigram.load(Q.piece_model())
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(Q.piece_model(), "rb").read())
+    proto.trainer_spec.model_type = 1
+    for piece, score in zip(proto.pieces, model.scores):
+        if piece.type == 1:
+            piece.score = score
+    return model, spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+def test_viterbi_matches_the_library(unigram_library, duck):
+    model, sp = unigram_library
+    seg = unigram.Segmenter(model)
+    texts = strings(2000) + [r[0] for r in duck(FOLDER).execute("SELECT text FROM documents").fetchall()]
+    total = lambda ids: sum(model.scores[i] for i in ids)
+    differ = 0
+    for t, want in zip(texts, sp.encode(texts)):
+        got = seg.encode(t).tolist()
+        differ += got != want
+        assert total(got) == pytest.approx(total(want), rel=1e-6)  # ties may fall apart in 32-bit sums
+        assert seg.decode(seg.encode(t)).decode("utf-8", "replace") == sp.decode(want)
+    assert differ < 0.05 * len(texts)
+
+
+def test_encoding_round_trip(spark):
+    rows = [(1, "Hello  world\n日本 😀"), (2, None), (None, " lead"), (3, "a▁b")]
+    got = {r.doc_id: (r.decoded, r.exact, len(r.ids)) for r in unigram.encode(docs(spark, rows), Q.piece_model()).collect()}
+    assert got[1][:2] == ("Hello  world\n日本 😀", True) and got[2] == ("", True, 0) and got[None][:2] == (" lead", True) and got[3][:2] == ("a b", False)
+    assert unigram.encode(docs(spark, []), Q.piece_model()).count() == 0
+
+
+# decontamination
+
+
+def distance(a, b):
+    """Least edits between a and any stretch of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_alignment():
+    rng = random.Random(1)
+    for _ in range(300):
+        a = bytes(rng.choices(b"abc", k=rng.randint(12, 30)))
+        x = list(a)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randrange(len(x))
+            x[p : p + rng.randrange(2)] = [ord("z")] * rng.randrange(2)
+        b = bytes(rng.choices(b"xyz", k=rng.randrange(5))) + bytes(x) + bytes(rng.choices(b"xyz", k=rng.randrange(5)))
+        want, got = distance(a, b), D.aligned(a, b, 4)
+        assert (got[0] if got else None) == (want if want <= 4 else None)
+        assert not got or distance(a, b[got[1] : got[2]]) == want
+
+
+def plain(t):
+    return re.sub(r"[\x20\x09-\x0d]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")).strip().encode()
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choices("abcdefgh ", k=rng.choice([15, 40, 90, 200])))) for i in range(10)]
+    rows = []
+    for k in range(50):
+        z = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8, 14])):
+            p = rng.randrange(len(z)) if z else 0
+            z[p : p + rng.randrange(2)] = rng.choices("mnop", k=rng.randrange(2))
+        side = lambda: "".join(rng.choices("ijklmnop ", k=rng.randrange(60)))
+        rows.append((k, side() + ("".join(z).upper() if k % 3 else "  ".join("".join(z).split(" "))) + side()))
+    rows += [(None, items[3][1]), (70, None), (71, ""), (72, items[3][1] * 3)]
+    bench = spark.createDataFrame(items + [(99, None), (98, "tiny")], "item_id bigint, text string")
+    want = {}
+    for d, t in rows:
+        for i, y in items:
+            a = plain(y)
+            if len(a) >= D.GRAM and (n := distance(a, plain(t))) <= D.budget(len(a))[0]:
+                want[d, i] = n
+    for block in (500, 1 << 20):
+        got: dict = {}
+        for r in D.leaks(docs(spark, rows), bench, block_bytes=block).collect():
+            got[r.doc_id, r.item_id] = min(r.edits, got.get((r.doc_id, r.item_id), 99))
+        assert got == want
+    kept = {r.doc_id for r in D.drop_leaking(docs(spark, rows), bench, block_bytes=500).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    assert D.leaks(docs(spark, []), bench).count() == 0 and D.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+# personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def by_pattern(t):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in pattern.finditer(t):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_match_the_patterns(duck):
+    for t in strings(20000, 4, "ab@.-+ 0123456789()%_é\n19", 45) + [r[0] for r in duck(FOLDER).execute("SELECT text FROM documents").fetchall()]:
+        assert pii.base_spans(t) == by_pattern(t)
+
+
+def test_segments_hold_all_words_near_a_cue():
+    for t in strings(4000, 5, "ab@ =1 c\n_d  ", 60):
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        cue = [i for i, (a, b) in enumerate(words) if re.search("[0-9@_=]", t[a:b])]
+        assert [w for s in pii.segments(t) for w in s] == [w for i, w in enumerate(words) if any(abs(i - j) <= 2 for j in cue)]
+
+
+def test_crf_finds_held_out_secrets():
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):
+        key = "".join(rng.choices("0123456789abcdef", k=40))
+        texts.append(f'some plain words here, token = "{key}" and more of them.' if k % 2 else "in 2019 there were 12 of 34 left, page 7")
+    found = pii.added_spans(texts, pii.trained(), [[] for _ in texts])
+    assert [bool(x) for x in found] == [bool(k % 2) for k in range(60)]
+    assert all(len(texts[i][a:b]) == 40 for i, x in enumerate(found) for _, a, b in x)
+
+
+def test_personal_data(spark):
+    rows = [(1, "mail a.b@c.org or 10.0.0.1"), (2, None), (None, ""), (3, "+1 (980) 555-6268 and 4111 1111 1111 1111")]
+    got = {r.doc_id: r for r in pii.personal_data(docs(spark, rows)).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].spans) == (1, 1, "email:5:14,ip:18:26")
+    assert (got[3].n_card, got[3].n_phone) == (1, 1) and got[2].spans == got[None].spans == ""
+    assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[1].base_sha256 == hashlib.sha256(b"email:5:14,ip:18:26").hexdigest()
+    assert pii.personal_data(docs(spark, [])).count() == 0
+
+
+def test_long_inputs_are_linear():
+    pii.base_spans("1" * 200_000 + " " + "a" * 200_000 + "@ " + ".".join(["1"] * 50_000))
+
+
+# language
+
+
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return language_id.fit_sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), rows=300)
+
+
+def test_language_of_held_out_rows(spark, language_model):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = dict(d.select("doc_id", "lang").collect())
+    out = language_id.identify(language_id.from_documents(d), language_model, ["id"]).collect()
+    assert sum(truth[r.id] == r.lang for r in out) > 0.99 * len(out)
+
+
+def test_language_rejects_and_cases(spark, language_model):
+    rows = [(1, None, "h.example.fr", None), (2, "fr", None, "1234 5678"), (3, None, None, "zqxv jkwq xzzq vvqx kqzj " * 30), (4, "fr", "a.example.fr", "")]
+    df = spark.createDataFrame(rows, "id bigint, declared string, host string, text string")
+    got = {r.id: (r.lang, r.accepted) for r in language_id.identify(df, language_model, ["id"]).collect()}
+    assert got == {k: ("und", False) for k in (1, 2, 3, 4)}
+    assert language_id.identify(df.limit(0), language_model, ["id"]).count() == 0
+    empty = language_id.TextModel([], language_model.table[:, :0], 0.0)
+    assert {r.accepted for r in language_id.identify(df, empty, ["id"]).collect()} == {True}
+
+
+def test_host_and_markup_decide_short_texts(spark, language_model):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    french = d.filter("lang = 'fr'").limit(40).select(F.col("doc_id").alias("id"), F.lit("fr").alias("declared"), F.lit("x.exemple.fr").alias("host"), "text")
+    short = spark.createDataFrame([(-1, "fr", "x.exemple.fr", "en")], french.schema)
+    got = {r.id: r.lang for r in language_id.identify(french.unionByName(short), language_model, ["id"]).collect()}
+    assert got[-1] == "fr"
+
+
+def test_pages(spark):
+    html = "<html lang='DE'><head><script>var x=1;</script></head><body>&auml;pfel <b>und</b></body></html>"
+    df = spark.createDataFrame([(1, "https://u@Www.Beispiel.de:80/x?y", html), (2, None, None)], "page_id bigint, url string, html string")
+    got = {r.id: r for r in language_id.from_pages(df).collect()}
+    assert (got[1].declared, got[1].host) == ("de", "www.beispiel.de") and "äpfel" in got[1].text and "var" not in got[1].text
+    assert (got[2].declared, got[2].host, got[2].text.strip()) == (None, None, "")
+
+
+# pipeline
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert [n for n, _ in pipeline.STAGES][0] == "language ID" and len(pipeline.STAGES) == 5
+    d = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen = d
+    for _, step in pipeline.STAGES[:-1]:
+        seen = step(spark, seen, FOLDER)
+        assert seen.columns == d.columns
+    out = pipeline.run(spark, FOLDER).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in seen.collect()} and 100 < len(out) < d.count()
+    leaked = {r.doc_id for r in D.leaks(d, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
+    assert leaked and not leaked & {r.doc_id for r in out}
+
+
+def test_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 11))
