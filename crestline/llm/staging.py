@@ -24,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return it read back."""
+    """Write ``df`` once to the shared folder and return it read back.
+
+    The write's own shuffles are then unreachable; asking the driver's JVM to
+    collect lets Spark delete their files at once instead of at some later time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

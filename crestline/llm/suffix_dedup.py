@@ -6,9 +6,10 @@ if they agree on their anchor, the 64-byte gram in them with the smallest hash
 suffixes in the same cell (anchor, offset):
 
 1. A scan cuts each text into runs of windows with one anchor occurrence and
-   counts runs per anchor hash (map-side combined).  Anchors seen once are done.
+   counts runs per anchor hash (map-side combined).  Anchors seen once are done;
+   runs with an anchor always seen in the same surroundings repeat as a whole.
 2. A second scan, screened by a bitmap of fixed size, cuts the remaining runs into
-   pieces of up to 32 windows at fixed offsets.  Pieces equal as a whole are one
+   pieces of up to 60 windows at fixed offsets.  Pieces equal as a whole are one
    class (128-bit fingerprints), and a class of two or more is repeated throughout.
 3. Classes that share an anchor and the bytes common to a piece's windows but
    differ around them are sorted: a mergesort of suffixes per cell, where two
@@ -41,10 +42,11 @@ from .skew import join_groups
 from .staging import stage
 
 U = R.U
-GRAM, BLOCK, SORTED_CLASSES = 64, 32, 5000
+GRAM, BLOCK, SORTED_CLASSES = 64, 60, 5000
 _PLACE = U((1 << 28) - 1)
 _C = [U(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
-CHUNK = 4 << 20  # bytes of class bodies sorted at once
+WHOLE = -1  # mask of a run or piece that repeats throughout
+CHUNK = 2 << 20  # bytes of class bodies sorted at once
 
 
 def anchor_runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -63,7 +65,6 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
         low = np.minimum(low[: n], low[most - span : most - span + n])
     place = (low & _PLACE).astype(np.int64)
     edge = np.zeros(n + 1, np.int32)  # windows that would leave their text
-    inside = np.diff(offs)
     np.add.at(edge, np.minimum(np.maximum(offs[1:] - width + 1, offs[:-1]), n), 1)
     np.add.at(edge, np.minimum(offs[1:], n), -1)
     bad = np.cumsum(edge[:-1]) > 0
@@ -93,40 +94,68 @@ def _anchor_batches(width: int):
     return run
 
 
-def _piece_batches(width: int, bits: int, shared):
+def _pieces(data, first, count, at, key, pre, width):
+    """Runs cut at multiples of BLOCK from the anchor: (p0, end, offset, windows, run, core, u1, u2)."""
+    high = at - first  # offset of the anchor in the first window
+    low = high - count + 1
+    n = high // BLOCK - low // BLOCK + 1
+    run_ = np.repeat(np.arange(len(n)), n)
+    blk = high[run_] // BLOCK - (np.arange(len(run_)) - np.repeat(np.cumsum(n) - n, n))
+    q = at[run_]
+    off = np.minimum(high[run_], blk * BLOCK + BLOCK - 1)
+    p0 = q - off
+    cnt = off - np.maximum(low[run_], blk * BLOCK) + 1
+    core = R.mix(R.stretches(pre, q - blk * BLOCK, q - blk * BLOCK - BLOCK + 1 + width) + blk.astype(U) * _C[2] + key[run_])
+    end = p0 + cnt - 1 + width
+    tag = off.astype(U) * _C[0] + cnt.astype(U) * _C[1]
+    u1 = R.mix(R.stretches(pre, p0, end) + tag)
+    other = R.prefixes(data ^ np.uint8(0x5A), second=True)
+    u2 = R.mix(R.stretches(other, p0, end, second=True) + tag)
+    return p0, end, off, cnt, run_, core, u1, u2
+
+
+def _class_batches(width: int, bits: int, shared):
+    """Pieces of the runs whose anchor is seen in different surroundings, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, mixed = shared.value
+        for b in batches:
+            for _, _, data, offs in R.slices(b.column(0)):
+                *runs, pre = anchor_runs(data, offs, width)
+                sel = hits(mixed, bits, runs[3])
+                p0, end, off, cnt, _, core, u1, u2 = _pieces(data, *(x[sel] for x in runs), pre, width)
+                raw = data.tobytes()
+                body = [raw[i:j] for i, j in zip(p0.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.view(np.int64)) for x in (core, u1, u2)), pa.array(off.astype(np.int32)), pa.array(cnt.astype(np.int32)), pa.array(body, pa.binary())],
+                    names=["core", "u1", "u2", "off", "cnt", "body"],
+                )
+
+    return run
+
+
+def _place_batches(width: int, bits: int, shared, mask_bits: int, found):
+    """Places that may repeat: whole runs by anchor, and pieces by fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, mixed = shared.value
         for b in batches:
             for lo, _, data, offs in R.slices(b.column(2)):
-                first, count, at, key, pre = anchor_runs(data, offs, width)
-                sel = hits(again, bits, key)
-                if not sel.any():
-                    continue
-                first, count, at, key = first[sel], count[sel], at[sel], key[sel]
-                high = at - first  # offset of the anchor in the first window
-                low = high - count + 1
-                n = high // BLOCK - low // BLOCK + 1
-                run_ = np.repeat(np.arange(len(n)), n)
-                blk = high[run_] // BLOCK - (np.arange(len(run_)) - np.repeat(np.cumsum(n) - n, n))
-                q = at[run_]
-                off = np.minimum(high[run_], blk * BLOCK + BLOCK - 1)
-                p0 = q - off
-                cnt = off - np.maximum(low[run_], blk * BLOCK) + 1
-                core = R.mix(R.stretches(pre, q - blk * BLOCK, q - blk * BLOCK - BLOCK + 1 + width) + blk.astype(U) * _C[2] + key[run_])
-                end = p0 + cnt - 1 + width
-                tag = off.astype(U) * _C[0] + cnt.astype(U) * _C[1]
-                u1 = R.mix(R.stretches(pre, p0, end) + tag)
-                other = R.prefixes(data ^ np.uint8(0x5A), second=True)
-                u2 = R.mix(R.stretches(other, p0, end, second=True) + tag)
-                doc = np.searchsorted(offs, p0, "right") - 1
-                raw = data.tobytes()
-                body = [raw[i:j] if m else None for i, j, m in zip(p0.tolist(), end.tolist(), hits(mixed, bits, key)[run_].tolist())]
+                *runs, pre = anchor_runs(data, offs, width)
+                cut = hits(mixed, bits, runs[3])
+                p0, _, _, cnt, _, _, u1, u2 = _pieces(data, *(x[cut] for x in runs), pre, width)
+                sel = hits(found.value, mask_bits, u1)
+                whole = hits(again, bits, runs[3])
+                k1 = np.concatenate([runs[3][whole], u1[sel]]).view(np.int64)
+                k2 = np.concatenate([np.zeros(whole.sum(), U), u2[sel]]).view(np.int64)
+                at = np.concatenate([runs[0][whole], p0[sel]])
+                n = np.concatenate([runs[1][whole], cnt[sel]])
+                doc = np.searchsorted(offs, at, "right") - 1
                 row = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(row), b.column(1).take(row), pa.array((p0 - offs[doc]).astype(np.int64)), pa.array(off.astype(np.int32)), pa.array(cnt.astype(np.int32)),
-                     *(pa.array(x.view(np.int64)) for x in (core, u1, u2)), pa.array(body, pa.binary())],
-                    names=["id", "rk", "p0", "off", "cnt", "core", "u1", "u2", "body"],
-                )
+                    [b.column(0).take(row), b.column(1).take(row), pa.array((at - offs[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2)],
+                    names=["id", "rk", "p0", "cnt", "k1", "k2"],
+                )
 
     return run
 
@@ -231,10 +260,16 @@ def _sort_batches(width: int):
     """Whole groups (rows sorted by core) in chunks of bounded size."""
 
     def solve(part: pa.Table) -> pa.RecordBatch:
+        core = part["core"].to_numpy()
+        alone = np.ones(len(core), bool)  # a class without company repeats nothing
+        alone[1:] &= core[1:] != core[:-1]
+        alone[:-1] &= core[1:] != core[:-1]
+        part = part.filter(pa.array(~alone))
         core = part["core"].to_numpy()
         off, cnt = (part[c].to_numpy().astype(np.int64) for c in ("off", "cnt"))
         mask = repeated_windows(part["body"].to_pylist(), core, off, cnt, width)
-        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in ("core", "u1", "u2")), pa.array(mask)], names=["core", "u1", "u2", "mask"])
+        some = pa.array(mask != 0)
+        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks().filter(some) for c in ("u1", "u2", "n")), pa.array(mask).filter(some)], names=["u1", "u2", "n", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -263,14 +298,13 @@ def _single_batches(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cnt = b.column(3).to_numpy().astype(np.int64)
-            off = b.column(4).to_numpy().astype(np.int64)
+            cnt, off = (b.column(k).to_numpy().astype(np.int64) for k in (4, 5))
             cls = np.repeat(np.arange(len(cnt)), cnt)
             i = np.arange(len(cls)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            bodies = b.column(5).to_pylist()
+            bodies = b.column(6).to_pylist()
+            windows = [bodies[c][k : k + width] for c, k in zip(cls.tolist(), i.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(pa.array(cls)) for k in range(3)), pa.array(i), pa.array(off[cls] - i), pa.array([bodies[c][k : k + width] for c, k in zip(cls.tolist(), i.tolist())], pa.binary())],
-                names=["core", "u1", "u2", "i", "a", "body"],
+                [*(b.column(k).take(pa.array(cls)) for k in range(4)), pa.array(i), pa.array(off[cls] - i), pa.array(windows, pa.binary())], names=["core", "u1", "u2", "n", "i", "a", "body"]
             )
 
     return run
@@ -280,7 +314,7 @@ def _cover_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n, gone, spans = [], [], [], []
-            for text, ps, ms in zip(b.column(1), b.column(2), b.column(3)):
+            for text, ps, ns, ms in zip(*(b.column(k) for k in range(1, 5))):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 n.append(len(raw))
                 if not ps.is_valid:
@@ -288,12 +322,15 @@ def _cover_batches(width: int):
                     gone.append(0)
                     spans.append([])
                     continue
-                p, m = np.array(ps.as_py(), np.int64), np.array(ms.as_py(), np.int64)
-                which, bit = np.nonzero((m[:, None] >> np.arange(BLOCK)) & 1)
-                at = p[which] + bit
+                p, c, m = (np.array(x.as_py(), np.int64) for x in (ps, ns, ms))
                 edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + width, -1)
+                full = m == WHOLE
+                np.add.at(edge, p[full], 1)
+                np.add.at(edge, p[full] + c[full] - 1 + width, -1)
+                p, m = p[~full], m[~full]
+                which, bit = np.nonzero((m[:, None] >> np.arange(BLOCK)) & 1)
+                np.add.at(edge, p[which] + bit, 1)
+                np.add.at(edge, p[which] + bit + width, -1)
                 cover = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]])))
                 kept.append(np.frombuffer(raw, np.uint8)[~cover].tobytes())
@@ -310,9 +347,9 @@ def _cover_batches(width: int):
 def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (start, end), kept (binary).
 
-    ``width`` is at least 160.
+    ``width`` is at least 128, so that an anchor and a piece's common bytes fit.
     """
-    if width < GRAM + 3 * BLOCK:
+    if width < 2 * GRAM:
         raise ValueError("width is too small for the anchors")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -320,36 +357,43 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     long_ = slim.filter(F.octet_length("text") >= width)
     anchors = long_.select("text").mapInArrow(_anchor_batches(width), "key bigint, whole bigint")
     again = stage(
-        anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")),
+        anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1").select("key", "n", (F.col("lo") != F.col("hi")).alias("mixed")),
         "repeat-anchors",
     )
     count, = again.agg(F.count(F.lit(1))).first()
     bits = bits_for(count)
-    shared = spark.sparkContext.broadcast((key_bitmap(again, "key", bits), key_bitmap(again.filter("mixed"), "key", bits)))
+    shared = spark.sparkContext.broadcast((key_bitmap(again.filter("not mixed"), "key", bits), key_bitmap(again.filter("mixed"), "key", bits)))
     kind = slim.schema["id"].dataType.simpleString()
-    pieces = stage(
-        long_.mapInArrow(_piece_batches(width, bits, shared), f"id {kind}, rk bigint, p0 bigint, off int, cnt int, core bigint, u1 bigint, u2 bigint, body binary"), "repeat-pieces"
-    )
+
     mine = ["core", "u1", "u2"]
+    pieces = long_.select("text").mapInArrow(_class_batches(width, bits, shared), "core bigint, u1 bigint, u2 bigint, off int, cnt int, body binary")
     classes = stage(pieces.groupBy(*mine).agg(F.count(F.lit(1)).alias("n"), F.first("cnt").alias("cnt"), F.first("off").alias("off"), F.first("body").alias("body")), "repeat-classes")
-    groups = stage(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "repeat-groups")
-    full = classes.filter("n > 1").select(*mine, F.expr("shiftleft(1L, cnt) - 1").alias("mask"))
-    n_classes, = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
-    mixed = join_groups(classes.select(*mine, "cnt", "off", "body"), groups.select("core", "size"), ["core"], "size", n_classes).filter("size is not null")
-    sort_in = mixed.filter(F.col("size") <= SORTED_CLASSES).select(*mine, "cnt", "off", "body").repartition("core").sortWithinPartitions("core")
-    sorted_ = sort_in.mapInArrow(_sort_batches(width), "core bigint, u1 bigint, u2 bigint, mask bigint")
-    singles = mixed.filter(F.col("size") > SORTED_CLASSES).select(*mine, "cnt", "off", "body").mapInArrow(
-        _single_batches(width), "core bigint, u1 bigint, u2 bigint, i bigint, a bigint, body binary"
+    crowded = stage(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SORTED_CLASSES).select("core"), "repeat-crowded")
+    wide = classes.select(*mine, "n", "cnt", "off", "body")
+    sort_in = wide.join(crowded, "core", "left_anti").repartition("core").sortWithinPartitions("core")
+    sorted_ = sort_in.mapInArrow(_sort_batches(width), "u1 bigint, u2 bigint, n bigint, mask bigint")
+    singles = wide.join(crowded, "core", "left_semi").mapInArrow(_single_batches(width), "core bigint, u1 bigint, u2 bigint, n bigint, i bigint, a bigint, body binary")
+    singles = singles.select("u1", "u2", "n", "i", F.xxhash64("core", "body", "a").alias("w1"), F.xxhash64("a", "body", "core", F.lit(1)).alias("w2"))
+    equal = singles.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    n_singles = singles.count() if crowded.head(1) else 0
+    recut = join_groups(singles, equal, ["w1", "w2"], "c", n_singles).filter("c is not null").select("u1", "u2", "n", F.expr("shiftleft(1L, cast(i as int))").alias("mask"))
+    whole = classes.filter("n > 1").select("u1", "u2", "n", F.lit(WHOLE).cast("bigint").alias("mask"))
+    parts = whole.unionByName(sorted_)
+    if n_singles:
+        parts = parts.unionByName(recut)
+    masks = stage(parts.groupBy("u1", "u2").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "repeat-masks")
+    n_masks, = masks.agg(F.count(F.lit(1))).first()
+    mask_bits = bits_for(n_masks)
+    found = spark.sparkContext.broadcast(key_bitmap(masks, "u1", mask_bits))
+
+    verdicts = masks.select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), "mask", "n").unionByName(
+        again.filter("not mixed").select(F.col("key").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(WHOLE).cast("bigint").alias("mask"), "n")
     )
-    print_ = [F.xxhash64("body", "a").alias("w1"), F.xxhash64("a", "body", F.lit(1)).alias("w2")]
-    singles = singles.select(*mine, "i", *print_)
-    equal = singles.groupBy("core", "w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    recut = singles.join(equal, ["core", "w1", "w2"]).select(*mine, F.expr("shiftleft(1L, cast(i as int))").alias("mask"))
-    masks = full.unionByName(sorted_).unionByName(recut).groupBy(*mine).agg(F.bit_or("mask").alias("mask")).filter("mask <> 0")
-    masks = stage(masks.join(classes.select(*mine, "n"), mine), "repeat-masks")
-    total, = masks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = join_groups(pieces.select("id", "rk", "p0", *mine), masks, mine, "n", total).filter("mask is not null")
-    spans = found.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r")).agg(F.collect_list("p0").alias("ps"), F.collect_list("mask").alias("ms"))
-    whole = slim.join(spans, F.col("id").eqNullSafe(F.col("_i")) & (F.col("rk") == F.col("_r")), "left").select("id", F.col("text").cast("binary"), "ps", "ms")
-    out = whole.mapInArrow(_cover_batches(width), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    total, = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
+    places = long_.select("id", "rk", "text").mapInArrow(_place_batches(width, bits, shared, mask_bits, found), f"id {kind}, rk bigint, p0 int, cnt int, k1 bigint, k2 bigint")
+    placed = join_groups(places, verdicts, ["k1", "k2"], "n", total).filter("mask is not null")
+    spans = placed.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r")).agg(F.collect_list("p0").alias("ps"), F.collect_list("cnt").alias("ns"), F.collect_list("mask").alias("ms"))
+    spans = stage(spans, "repeat-spans")
+    ready = slim.join(spans, F.col("id").eqNullSafe(F.col("_i")) & (F.col("rk") == F.col("_r")), "left").select("id", F.col("text").cast("binary"), "ps", "ns", "ms")
+    out = ready.mapInArrow(_cover_batches(width), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
