@@ -1,7 +1,7 @@
 """Numpy kernels over the raw UTF-8 of an Arrow batch: prefix polynomial hashes.
 
 hash(s, e) = sum of (byte + 1) * B^(i - s), modulo 2^64, for any stretch in O(1)
-from prefix sums.  Work goes in slices of a few MB, so memory is bounded by the
+from prefix sums.  Work goes in slices of 1 MB, so memory is bounded by the
 slice or by the longest single text.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE = 4 << 20
+SLICE = 1 << 20
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
