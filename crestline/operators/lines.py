@@ -3,7 +3,7 @@
 Each two-sided cell gives two arcs, one per direction (enter by one side, leave by
 the other).  An arc's successor is the arc that enters the neighbour by the shared
 edge.  Doubling joins every arc with its successor's successor, so a path of n cells
-is ranked in log2(n) rounds of equi-joins; no task walks a line.
+is ranked in a logarithmic number of rounds of equi-joins; no task walks a line.
 
 Open lines start at the row-major smaller end cell (a single cell at its first
 side).  Closed ones start at their smallest cell, first step preferring N, S, W, E.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage
 from .detect import numbered, two_sided
 
+HOPS = 3  # look-ups a round: reach grows fourfold
 _STEP = "CASE {bit} WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END"
 
 
@@ -48,8 +49,15 @@ def doubled(links: DataFrame) -> DataFrame:
         if sign[0] == 0 or sign == seen:
             return now
         seen = sign
-        ahead = now.select("image_id", F.col("arc").alias("last"), F.col("last").alias("last2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
-        moved = now.filter(~F.col("open")).join(ahead, ["image_id", "last"]).select("image_id", "arc", F.col("last2").alias("last"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"))
+        ahead = now.select("image_id", F.col("arc").alias("key"), F.col("last").alias("last2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+        moved = now.filter(~F.col("open"))
+        for _ in range(HOPS):  # arcs that have arrived look up a key of their own that is nobody's
+            key = F.when(F.col("open"), -1 - F.col("arc")).otherwise(F.col("last"))
+            moved = moved.withColumn("key", key).join(ahead, ["image_id", "key"], "left")
+            moved = moved.select(
+                "image_id", "arc", F.coalesce("last2", "last").alias("last"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
+                F.least("low", "low2").alias("low"), F.coalesce("open2", "open").alias("open"),
+            )
         now = stage(now.filter("open").unionByName(moved), "arcs")
 
 
@@ -68,20 +76,25 @@ def line_points(edges: DataFrame, dims: DataFrame) -> DataFrame:
     forward = (first < final) | ((first == final) & (F.col("in_bit") < F.col("out_bit")))
     opened = both.filter(F.col("open") & forward).withColumns({"line_cell": first, "pos": F.col("t_dist")})
 
+    keep = ["image_id", "line_cell", "pos", "in_point", "out_point"]
+    path = opened.select(keep)
+    if ranked.filter("not open").head(1):
+        path = path.unionByName(_closed(both, links).select(keep))
+    at = F.when(F.col("pos") == 0, F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.col("in_point").alias("p")), F.struct(F.lit(1).cast("bigint").alias("pos"), F.col("out_point").alias("p"))))
+    at = at.otherwise(F.array(F.struct((F.col("pos") + 1).alias("pos"), F.col("out_point").alias("p"))))
+    out = path.select("image_id", "line_cell", F.explode(at).alias("x"))
+    return out.select("image_id", "line_cell", F.col("x.pos").alias("pos"), "x.p.row_fx", "x.p.col_fx", "x.p.brightness", "x.p.strength")
+
+
+def _closed(both: DataFrame, links: DataFrame) -> DataFrame:
+    """Arcs of cycles in their canonical direction, with line_cell and pos."""
     closed = both.filter(~F.col("open") & (F.col("low") < F.col("t_low"))).withColumn("line_cell", F.expr("low div 4"))
     cut = closed.filter("cell = line_cell").select("image_id", F.col("arc").alias("nxt"), F.lit(True).alias("start"))
     ring = closed.select("image_id", "arc").join(links.select("image_id", "arc", "nxt"), ["image_id", "arc"]).join(cut, ["image_id", "nxt"], "left")
     ring = ring.select("image_id", "arc", F.when(F.col("start").isNull(), F.col("nxt")).alias("nxt"), F.lit(0).cast("bigint").alias("low"))
     steps = doubled(ring).select("image_id", "arc", F.col("last").alias("stop"), F.col("dist").alias("left"))
     lengths = steps.groupBy("image_id", "stop").agg(F.max("left").alias("most"))
-    closed = closed.join(steps.join(lengths, ["image_id", "stop"]), ["image_id", "arc"]).withColumn("pos", F.col("most") - F.col("left"))
-
-    keep = ["image_id", "line_cell", "pos", "in_point", "out_point"]
-    path = opened.select(keep).unionByName(closed.select(keep))
-    at = F.when(F.col("pos") == 0, F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.col("in_point").alias("p")), F.struct(F.lit(1).cast("bigint").alias("pos"), F.col("out_point").alias("p"))))
-    at = at.otherwise(F.array(F.struct((F.col("pos") + 1).alias("pos"), F.col("out_point").alias("p"))))
-    out = path.select("image_id", "line_cell", F.explode(at).alias("x"))
-    return out.select("image_id", "line_cell", F.col("x.pos").alias("pos"), "x.p.row_fx", "x.p.col_fx", "x.p.brightness", "x.p.strength")
+    return closed.join(steps.join(lengths, ["image_id", "stop"]), ["image_id", "arc"]).withColumn("pos", F.col("most") - F.col("left"))
 
 
 def lines(edges: DataFrame, dims: DataFrame) -> DataFrame:

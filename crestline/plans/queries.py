@@ -291,9 +291,9 @@ def pixel_index(spark, sf_dir):
     return classes.pixel_index(_exploded(detection(emb(spark, sf_dir), T).lines()))
 
 
-@query(O.ridges("emb", T, """SELECT p.entry_id FROM pixel p, (SELECT max("row") AS r FROM pixel) m WHERE "row" = 20 AND col = 11""", O.SIDES, O.SEGMENTS, O.LINES, _PAIRS, _INDEX))
+@query(O.ridges("emb", T, """SELECT entry_id FROM pixel WHERE "row" = 18 AND col = 10""", O.SIDES, O.SEGMENTS, O.LINES, _PAIRS, _INDEX))
 def pixel_pick(spark, sf_dir):
-    return classes.pick(classes.pixel_index(_exploded(detection(emb(spark, sf_dir), T).lines())), "emb", 11.2, 19.8)
+    return classes.pick(classes.pixel_index(_exploded(detection(emb(spark, sf_dir), T).lines())), "emb", 10.2, 17.8)
 
 
 # scale space ---------------------------------------------------------------------------

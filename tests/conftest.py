@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# workers import the package by path, wherever pytest was started
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,8 +25,6 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     """DuckDB over one of the table folders."""
-    import os
-
     import duckdb
 
     def connect(folder):
