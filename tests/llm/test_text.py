@@ -253,5 +253,28 @@ def test_pipeline(spark):
     assert leaked and not leaked & {r.doc_id for r in out}
 
 
+def prose(rng, vocab, lines, words=12):
+    return [" ".join(rng.choices(vocab, k=words)) for _ in range(lines)]
+
+
+def test_groups_of_copies_leave_one_document(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    exact, near, alone, other = (prose(rng, vocab, k) for k in (6, 30, 6, 4))
+    rows = [(10 + k, "\n".join(exact)) for k in range(4)]
+    for k in range(4):
+        own = list(near)
+        own[7 * k] = prose(rng, vocab, 1)[0]
+        rows.append((20 + k, "\n".join(own)))
+    rows += [(30, "\n".join(alone)), (31, ""), (32, "\n".join([exact[0], alone[1]])), (33, "\n".join([exact[0], alone[1], *other]))]
+    df = docs(spark, rows)
+    for _, step in pipeline.STAGES[1:3]:
+        df = step(spark, df, FOLDER)
+    got = {r.doc_id: r.text for r in df.collect()}
+    assert set(got) == {10, 20, 30, 31, 33}  # 32 holds nothing but lines of 10 and 30
+    assert got[33] == "\n".join(other) and got[10] == rows[0][1] and got[20] == rows[4][1] and got[30] == rows[8][1]
+
+
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 11))
