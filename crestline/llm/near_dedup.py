@@ -22,7 +22,8 @@ A pair at the threshold misses all bands with probability 8e-7 (24 bands of 5 at
 Cases: null or blank texts have the empty set and stay alone; texts with fewer
 words than a shingle are one shingle; rows with null ids take part and sort
 last; rows repeating an id share its class; extra columns are ignored; an empty
-table gives an empty result.  Sets compare by 64-bit shingle hashes.
+table gives an empty result.  ``kept`` speaks of ids; ``drop_near_copies`` decides
+row by row.  Sets compare by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -250,3 +251,22 @@ def _linked(spark, docs, nodes, members, words, percent, id_col, text_col) -> Da
     if not more.head(1):
         return comp
     return components(links.unionByName(more))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which each group keeps one: the smallest id, nulls last.
+
+    Where ids are null or repeated they do not tell rows apart: such a table is
+    staged with a key of its own per row, and rows with the smallest id of a group go
+    by a print of the text, then by that key.
+    """
+    unclear = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter(F.col(id_col).isNull() | (F.col("rows") > 1))
+    if not unclear.head(1):
+        gone = near_dedup(docs, words, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone"))
+        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "near-keyed")
+    groups = near_dedup(keyed, words, percent, "_key", text_col).filter("n_shingles > 0").select("_key", "component_id")
+    order = keyed.select("_key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col("_key").alias("key")).alias("_order"))
+    groups = stage(groups.join(order, "_key"), "near-order")
+    first = groups.groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col("_order.key").alias("_key"))
+    return keyed.join(groups.join(first, "_key", "left_anti"), "_key", "left_anti").drop("_key")

@@ -197,6 +197,20 @@ def test_near_cases(spark):
     assert N.near_dedup(docs(spark, []), 3, 85).count() == 0
 
 
+def test_near_copies_go_row_by_row(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stay = lambda rows: pipeline.near_duplicates(spark, docs(spark, rows), "").collect()
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    clean, copy, only_null, repeated = (text(k) for k in "abcd")
+    rows = [(None, clean), (1, copy), (None, copy + " x"), (None, only_null), (None, only_null + " y"), (None, ""), (None, "")]
+    rows += [(2, copy.upper()), (2, "b" + clean.replace(" ", " b")), (5, repeated), (5, repeated), (5, repeated), (6, None)]
+    left = [(r.doc_id, r.text) for r in stay(rows)]
+    null = [t for i, t in left if i is None]
+    assert clean in null and null.count("") == 2 and len(null) == 4 and {t[:40] for t in null} == {clean[:40], only_null[:40], ""}
+    assert sorted((i, t) for i, t in left if i in (1, 2, 5)) == [(1, copy), (2, rows[8][1]), (5, repeated)] and (6, None) in left
+    assert sorted(r.doc_id for r in stay([(1, copy), (2, copy), (3, clean)])) == [1, 3]
+
+
 def test_odd_sketches_estimate_high_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))
