@@ -8,7 +8,9 @@ path down the tree is one 64-bit hash, so the tree is a grouped count over
 (template, document) with map-side sums, not a structure in one task.
 
 A template found in ``min_docs`` documents or more is boilerplate: its lines stay
-in the document with the smallest id and are dropped elsewhere.
+in the document with the smallest id and are dropped elsewhere.  Lines of eight
+tokens and more that are equal as a whole, digits included, are repeats from two
+documents on; a short line or a template's variable field may recur by chance.
 
 Cases: null text counts as empty; blank lines stay; null ids sort last; rows
 repeating an id are counted as further rows of the template; extra columns pass
@@ -39,7 +41,11 @@ _LAST = 2**63 - 1
 
 
 def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line within the text, template hash), up to four rows for a line with tokens."""
+    """(text, line within the text, template hash), up to five rows for a line with tokens.
+
+    The last bit of the hash is set where it stands for a whole line of at least
+    ``GENERAL_FROM`` tokens as they are.
+    """
     starts, ends, _ = R.tokens(data, offs)
     breaks = np.flatnonzero(data == 10)
     cuts = np.sort(np.concatenate([breaks + 1, offs[:-1]]), kind="stable")  # where lines begin
@@ -51,7 +57,9 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pre = R.prefixes(data)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     h = R.mix(R.stretches(pre, starts, ends) + (ends - starts).astype(U) * _C[2])
-    h[digits[ends] > digits[starts]] = U(42)
+    varies = digits[ends] > digits[starts]
+    exact = h.copy()
+    h[varies] = U(42)
     first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
     count = np.diff(np.concatenate([first, [len(starts)]]))
     place = np.arange(len(starts)) - np.repeat(first, count)
@@ -61,13 +69,19 @@ def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = np.searchsorted(offs, starts[first], "right") - 1
     lines_before = np.searchsorted(breaks, offs[:-1])
     line = np.searchsorted(breaks, starts[first]) - lines_before[text]
-    out = [(text, line, R.mix(whole + tag))]
+    numbers = np.add.reduceat(varies, first, dtype=np.int64) > 0
+    asis = (count >= GENERAL_FROM) & ~numbers  # such a template is the line itself
+    out = [(text, line, R.mix(whole + tag) & ~U(1) | asis.astype(U))]
+    more = np.flatnonzero((count >= GENERAL_FROM) & numbers)
+    if len(more):
+        sums_ = np.concatenate([np.zeros(1, U), np.cumsum(R.mix(exact + (place + 1).astype(U) * _C[0]))])
+        out.append((text[more], line[more], R.mix(sums_[first[more] + count[more]] - sums_[first[more]] + tag[more]) | U(1)))
     big = np.flatnonzero(count >= GENERAL_FROM)
     tail = count[big] - LEAD
     for k in range(PARTS):
         lo = first[big] + LEAD + tail * k // PARTS
         hi = first[big] + LEAD + tail * (k + 1) // PARTS
-        out.append((text[big], line[big], R.mix(whole[big] - (sums[hi] - sums[lo]) + tag[big] + U((k + 1) * int(_C[2]) % (1 << 64)))))
+        out.append((text[big], line[big], R.mix(whole[big] - (sums[hi] - sums[lo]) + tag[big] + U((k + 1) * int(_C[2]) % (1 << 64))) & ~U(1)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -118,7 +132,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     slim = docs.select(ident.alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rk"))
     counted = slim.select("id", "text").mapInArrow(_count_batches, "sig bigint, id bigint")
-    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("holder")).filter(F.col("n") >= min_docs), "line-templates")
+    least = F.when(F.col("sig").bitwiseAND(1) == 1, min(min_docs, 2)).otherwise(min_docs)
+    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("holder")).filter(F.col("n") >= least), "line-templates")
     count, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = bits_for(count)
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(table, "sig", bits))

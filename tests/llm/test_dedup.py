@@ -236,6 +236,16 @@ def test_lines(spark):
     assert drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_whole_lines_recur_from_two_documents_on(spark):
+    plain, dated = "this line of nine words is in two documents", "on 3 May 2019 the council of 12 met here"
+    rows = [(1, f"one\n{plain}\n{dated}\nseven words only are in this line"), (2, f"{dated}\n{plain}\ntwo\nseven words only are in this line")]
+    rows += [(3, f"three\n{dated.replace('2019', '2020')}"), (4, f"{plain.replace('nine', 'ten')}\nfour")]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in drop_recurring_lines(docs(spark, rows[:2])).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "two\nseven words only are in this line")}
+    for other in rows[2:]:  # two documents whose lines differ in a number or a word
+        assert {r.n_dropped for r in drop_recurring_lines(docs(spark, [rows[0], other])).collect()} == {0}
+
+
 def test_lines_pass_other_columns_through(spark):
     df = docs(spark, [(1, "a")]).withColumnsRenamed({"lang": "id", "source": "rk"})
     assert drop_recurring_lines(df).columns == ["doc_id", "text", "id", "rk", "n_chars", "n_dropped"]
