@@ -1,8 +1,8 @@
 """Near-duplicate documents: banded MinHash candidates screened by odd sketches.
 
 1. One scan turns each text into its shingle set and keeps a slim sketch: set size,
-   128-bit hash of the set (the node; equal sets are one class), 24 bands of five
-   MinHash samples, and an odd sketch: the samples folded into a 256-bit parity
+   128-bit hash of the set (the node; equal sets are one class), bands of five
+   MinHash samples, and an odd sketch: 120 samples folded into a 256-bit parity
    bitmap.  Two sets' bitmaps differ in few bits iff few samples differ, so the
    popcount of their XOR estimates a high similarity closely.
 2. Nodes sharing a band are candidates.  In each bucket every member is compared
@@ -16,8 +16,9 @@
    loses nothing and only pairs that nearly link become rows.  No partner is
    skipped, and no group is expanded into all its pairs.
 
-A pair at the threshold misses all bands with probability 8e-7 (24 bands of 5 at
-0.85), and a component needs only one path.
+The number of bands follows the threshold: a pair at it misses all bands with
+probability 8e-7 at most (24 bands of 5 at 0.85, 36 at 0.8), and a component needs
+only one path.
 
 Cases: null or blank texts have the empty set and stay alone; texts with fewer
 words than a shingle are one shingle; rows with null ids take part and sort
@@ -43,13 +44,23 @@ from .skew import join_groups
 from .staging import stage
 
 U = R.U
-BANDS, PER_BAND, BITS, SET_BITS = 24, 5, 256, 1024
-SAMPLES = BANDS * PER_BAND
-_MUL = R.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
-_ADD = R.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x2545F4914F6CDD1D))
+SAMPLES, PER_BAND, BITS, SET_BITS, MISS = 120, 5, 256, 1024, 8e-7
 SKETCH = "id bigint, n bigint, node binary, odd array<bigint>, bands array<bigint>, par array<bigint>"
 
 
+@lru_cache
+def bands_for(percent: int) -> int:
+    """Least number of bands that a pair at the threshold misses with at most ``MISS``."""
+    one = (percent / 100) ** PER_BAND
+    return 1 if one >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-one)))
+
+
+@lru_cache
+def _factors(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.arange(1, samples + 1, dtype=U)
+    return R.mix(k * U(0xD1342543DE82EF95)) | U(1), R.mix(k * U(0x2545F4914F6CDD1D))
+
+
 @lru_cache
 def odd_limit(percent: int, risk: float = 1e-9) -> int:
     """Largest XOR popcount kept: pairs at the threshold exceed it with at most ``risk``."""
@@ -97,20 +108,22 @@ def set_node(s: np.ndarray) -> bytes:
     return b"" if not len(s) else np.array([s.sum(dtype=U) + U(len(s)), np.bitwise_xor.reduce(R.mix(s + U(1)))], U).tobytes()
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bands (n, BANDS) and odd sketches (n, 4) of the non-empty sets, as int64."""
+def sketches(sets: list[np.ndarray], n_bands: int = SAMPLES // PER_BAND) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (n, n_bands) and odd sketches (n, 4) of the non-empty sets, as int64."""
     if not sets:
-        return np.zeros((0, BANDS), np.int64), np.zeros((0, BITS // 64), np.int64)
+        return np.zeros((0, n_bands), np.int64), np.zeros((0, BITS // 64), np.int64)
     h = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    low = np.empty((len(sets), SAMPLES), U)
-    for k in range(SAMPLES):
-        low[:, k] = np.minimum.reduceat(h * _MUL[k] + _ADD[k], at)
-    bands = np.zeros((len(sets), BANDS), U)
+    samples = max(SAMPLES, n_bands * PER_BAND)
+    mul, add = _factors(samples)
+    low = np.empty((len(sets), samples), U)
+    for k in range(samples):
+        low[:, k] = np.minimum.reduceat(h * mul[k] + add[k], at)
+    bands = np.zeros((len(sets), n_bands), U)
     for k in range(PER_BAND):
-        bands = bands * U(0xA0761D6478BD642F) + R.mix(low[:, k::PER_BAND])
-    bands = R.mix(bands + np.arange(1, BANDS + 1, dtype=U))
-    bit = (R.mix(low + _ADD) % U(BITS)).astype(np.int64)
+        bands = bands * U(0xA0761D6478BD642F) + R.mix(low[:, k : n_bands * PER_BAND : PER_BAND])
+    bands = R.mix(bands + np.arange(1, n_bands + 1, dtype=U))
+    bit = (R.mix(low[:, :SAMPLES] + add[:SAMPLES]) % U(BITS)).astype(np.int64)
     flips = np.zeros((len(sets), BITS), np.uint8)
     rows = np.repeat(np.arange(len(sets)), SAMPLES)
     np.add.at(flips, (rows, bit.ravel()), 1)
@@ -131,14 +144,14 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(x).ravel()))
 
 
-def _sketch_batches(words: int):
+def _sketch_batches(words: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in R.slices(b.column(1)):
                 sets = distinct(*shingle_hashes(data, offs, words))
                 full = [i for i, s in enumerate(sets) if len(s)]
-                bands, odd = np.zeros((hi - lo, BANDS), np.int64), np.zeros((hi - lo, BITS // 64), np.int64)
-                bands[full], odd[full] = sketches([sets[i] for i in full])
+                bands, odd = np.zeros((hi - lo, n_bands), np.int64), np.zeros((hi - lo, BITS // 64), np.int64)
+                bands[full], odd[full] = sketches([sets[i] for i in full], n_bands)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_node(s) for s in sets], pa.binary()), _lists(odd), _lists(bands), _lists(parities(sets))],
                     names=["id", "n", "node", "odd", "bands", "par"],
@@ -184,7 +197,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     of ``words``-word shingles; component_id is the smallest id reachable.
     """
     spark = docs.sparkSession
-    rows = stage(_slim(docs, id_col, text_col).mapInArrow(_sketch_batches(words), SKETCH), "near-sketch")
+    rows = stage(_slim(docs, id_col, text_col).mapInArrow(_sketch_batches(words, bands_for(percent)), SKETCH), "near-sketch")
     filled = rows.filter("n > 0")
     nodes = stage(
         filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "odd", "bands", "par")).alias("r"), F.count(F.lit(1)).alias("rows"))

@@ -223,6 +223,14 @@ def test_odd_sketches_estimate_high_similarity():
     assert sum(int(x).bit_count() for x in (par[0] ^ par[1]).view(np.uint64)) <= len(np.setxor1d(a, b))
 
 
+def test_bands_follow_the_threshold(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(4)]
+    for percent in (80, 85):
+        n = len(spark.createDataFrame(rows, "id bigint, text string").mapInArrow(N._sketch_batches(5, N.bands_for(percent)), N.SKETCH).first().bands)
+        assert (1 - (percent / 100) ** N.PER_BAND) ** n <= 8e-7 < (1 - (percent / 100) ** N.PER_BAND) ** (n - 1)
+    assert (N.bands_for(80), N.bands_for(85)) == (36, 24)
+
+
 # lines
 
 
