@@ -13,7 +13,9 @@ tokens and more that are equal as a whole, digits included, are repeats from two
 documents on; a short line or a template's variable field may recur by chance.
 
 Cases: null text counts as empty; blank lines stay; null ids sort last; rows
-repeating an id are counted as further rows of the template; extra columns pass
+repeating an id are counted as further rows of the template, and of those with its
+smallest id the one with the smallest print of the text keeps the lines (one of them
+where texts are equal too); extra columns pass
 through untouched; an empty table gives an empty result; long lines and texts
 are whole.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -93,7 +95,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             text, sig = text[by], sig[by]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[new].view(np.int64)), b.column(0).take(pa.array(lo + text[new]))], names=["sig", "id"])
+            row = pa.array(lo + text[new])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[new].view(np.int64)), b.column(0).take(row), b.column(2).take(row)], names=["sig", "id", "rk"])
 
 
 def _found_batches(bits: int, shared):
@@ -131,19 +134,28 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     slim = docs.select(ident.alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rk"))
-    counted = slim.select("id", "text").mapInArrow(_count_batches, "sig bigint, id bigint")
+    # where ids tell rows apart, the smaller key is enough
+    repeated = bool(slim.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").head(1))
+    row = F.struct("id", "rk") if repeated else F.col("id")
+    counted = slim.mapInArrow(_count_batches, "sig bigint, id bigint, rk bigint").select("sig", row.alias("row"))
     least = F.when(F.col("sig").bitwiseAND(1) == 1, min(min_docs, 2)).otherwise(min_docs)
-    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("holder")).filter(F.col("n") >= least), "line-templates")
+    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("holder")).filter(F.col("n") >= least), "line-templates")
     count, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = bits_for(count)
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(table, "sig", bits))
     found = slim.mapInArrow(_found_batches(bits, shared), "sig bigint, id bigint, rk bigint, line int")
-    gone = join_groups(found, table, ["sig"], "n", total).filter("holder <> id")
-    gone = gone.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r")).agg(F.collect_set("line").alias("_gone"))
+    lines = join_groups(found, table, ["sig"], "n", total).filter("holder is not null").withColumn("_kept", F.col("holder") == row)
+    if not repeated:
+        lines = lines.filter("not _kept")
+    by_row = lines.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r"))
+    gone = by_row.agg(F.collect_set(F.when(~F.col("_kept"), F.col("line"))).alias("_gone"), F.collect_set("line").alias("_all")) if repeated else by_row.agg(F.collect_set("line").alias("_gone"))
     others = [c for c in docs.columns if c != text_col]
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]  # no clash with names of ours
     wide = docs.select(*named, ident.alias("_id"), F.xxhash64(F.col(id_col), text).alias("_rk"), text.alias("_text"))
     ready = wide.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_rk") == F.col("_r")), "left")
+    if repeated:  # of rows equal in id and text, the first keeps what this row keeps
+        number = F.row_number().over(Window.partitionBy("_id", "_rk").orderBy("_id"))
+        ready = ready.withColumn("_no", number).withColumn("_gone", F.when(F.col("_no") == 1, F.col("_gone")).otherwise(F.col("_all")))
     ready = ready.select(*[f"c{i}" for i in range(len(others))], "_text", "_gone")
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     out = ready.mapInArrow(_rewrite_batches, f"{kinds}{', ' if kinds else ''}text string, n_dropped bigint")

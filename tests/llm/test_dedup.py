@@ -254,6 +254,17 @@ def test_whole_lines_recur_from_two_documents_on(spark):
         assert {r.n_dropped for r in drop_recurring_lines(docs(spark, [rows[0], other])).collect()} == {0}
 
 
+def test_one_row_holds_a_line_where_ids_repeat_or_are_null(spark):
+    null, same, twin = (f"{k} line of more than eight words recurs in rows like {k}" for k in ("null", "same", "twin"))
+    rows = [(None, f"{null}\n{k}") for k in "abc"] + [(5, f"{same}\n{k}") for k in "def"] + [(6, twin)] * 3 + [(7, f"own\n{twin}"), (8, None), (None, "")]
+    got = [(r.doc_id, r.n_dropped, r.text) for r in drop_recurring_lines(docs(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    for line, of in ((null, None), (same, 5), (twin, 6)):
+        assert [i for i, _, t in got if line in t] == [of]
+    assert sorted(n for _, n, _ in got) == [0] * 5 + [1] * 7 and (7, 1, "own") in got
+    assert {t[-1] for i, _, t in got if i in (None, 5) and t} == set("abcdef")
+
+
 def test_lines_pass_other_columns_through(spark):
     df = docs(spark, [(1, "a")]).withColumnsRenamed({"lang": "id", "source": "rk"})
     assert drop_recurring_lines(df).columns == ["doc_id", "text", "id", "rk", "n_chars", "n_dropped"]
