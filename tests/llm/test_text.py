@@ -276,5 +276,68 @@ def test_groups_of_copies_leave_one_document(spark):
     assert got[33] == "\n".join(other) and got[10] == rows[0][1] and got[20] == rows[4][1] and got[30] == rows[8][1]
 
 
+def one_of_each(rows):
+    """Rows of the smallest id of each component of 5-word Jaccard 0.8."""
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return [(i, t) for i, t in rows if root[i] == i]
+
+
+def line_keys(line):
+    """(key, documents it takes) of the line's templates."""
+    t = line.split()
+    plain = [None if re.search("[0-9]", x) else x for x in t]
+    keys = [(("whole", *plain), 3)] if t else []
+    if len(t) >= 8:
+        cut = [2 + (len(t) - 2) * k // 3 for k in range(4)]
+        keys += [(("exact", *t), 2)] + [((k, len(t), *plain[: cut[k]], "*", *plain[cut[k + 1] :]), 3) for k in range(3)]
+    return keys
+
+
+def without_recurring(rows):
+    seen: dict = {}
+    for i, t in rows:
+        for key in {x for line in t.split("\n") for x in line_keys(line)}:
+            seen.setdefault(key, []).append(i)
+    out = []
+    for i, t in rows:
+        left = [x for x in t.split("\n") if not any(len(seen[k]) >= k[1] and min(seen[k]) != i for k in line_keys(x))]
+        if left == t.split("\n") or "".join(left).strip():
+            out.append((i, "\n".join(left)))
+    return out
+
+
+def test_stages_match_brute_force(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    common = prose(rng, vocab, 4) + ["sent on {} May by the office of the north side {}"]
+    base = [prose(rng, vocab, 12) for _ in range(6)]
+    items = [(k, prose(rng, vocab, 1)[0]) for k in range(3)]
+    rows = []
+    for i in range(60):
+        t = list(rng.choice(base)) if i % 2 else prose(rng, vocab, rng.randrange(1, 8))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            t[rng.randrange(len(t))] = prose(rng, vocab, 1)[0]
+        t += [x.format(i, rng.choice(vocab)) for x in rng.sample(common, rng.choice([0, 1, 2]))]
+        t += [rng.choice(items)[1].replace("a", "z", 1)] if i % 9 == 0 else []
+        rows.append((i, "\n".join(t)))
+    rows += [(70, ""), (71, "\n".join(common[:1] + common[1:2]))]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = one_of_each(without_recurring(one_of_each(rows)))
+    budget = lambda y: D.budget(len(plain(y)))[0]
+    want = {i: t for i, t in want if not any(distance(plain(y), plain(t)) <= budget(y) for _, y in items)}
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    for _, step in pipeline.STAGES[1:4]:
+        df = step(spark, df, str(tmp_path))
+    assert {r.doc_id: r.text for r in df.collect()} == want and 10 < len(want) < 50
+
+
 def test_names():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in Q.QUERIES) == list(range(1, 11))
