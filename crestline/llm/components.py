@@ -5,25 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..plans.staging import drop, stage
+from .skew import join_groups
+
+
+def _hooked(rows: DataFrame, total: int) -> DataFrame:
+    """Rows (a, b) with m, the least of a and its partners; a's of very many rows are spread over tasks."""
+    low = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("c"))
+    return join_groups(rows, low, ["a"], "c", total)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of every node in ``links`` (a, b); comp is its smallest node.
+    """(node, comp) of every node in ``links`` (a, b; bigint); comp is its smallest node.
 
     Each round is two grouped minima and equi-joins over the links, staged to the
     shared folder; rounds grow with the logarithm of the longest chain.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    count = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = count()
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "edges")
-        sign = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        large = _hooked(both, 2 * seen[0]).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stage(large.distinct(), "stars")
+        hooked = _hooked(large, 2 * seen[0])
+        small = hooked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stage(small.unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct(), "edges")
+        drop(edges, large)
+        edges = after
+        sign = count()
         if sign == seen:
             break
         seen = sign

@@ -1,33 +1,55 @@
-"""Bitmaps of fixed size that screen a second scan; joins afterwards decide."""
+"""Bitmaps of fixed size that screen a second scan; joins afterwards decide.
+
+A key sets the bits its leading bits name.  With 16 bits or more a key, one row in 16
+of the others passes; a bitmap is 32 MB at most (2^28 bits), which keeps that up to
+16 million keys.  Beyond, more rows pass and later joins carry them: results do
+not change, and the cost tends to that of a plan without a screen.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_BITS = 28  # 32 MB; beyond that the screen passes more, results do not change
+MOST_BITS = 28
+_BLOCK = 32768  # bits in one row of bitmap_construct_agg
 
 
 def bits_for(count: int) -> int:
     return min(MOST_BITS, max(18, (16 * count).bit_length()))
 
 
+def _bitmap_rows(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """(bucket, m): at most 2^(bits-15) rows of 4 KB."""
+    place = keys.select((F.shiftrightunsigned(column, 64 - bits) + 1).alias("p"))
+    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+
+
 def key_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Leading bits of a bigint column, set by grouped aggregation; 2^(bits-3) bytes."""
-    rows = (
-        keys.select((F.shiftrightunsigned(column, 64 - bits) + 1).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-        .collect()
-    )
+    """The bitmap of a bigint column for use in Python; 2^(bits-3) bytes."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    for r in _bitmap_rows(keys, column, bits).collect():
+        at = (r["bucket"] - 1) * (_BLOCK // 8)
+        out[at : at + _BLOCK // 8] = np.frombuffer(bytes(r["m"]), np.uint8)
     return out
 
 
 def hits(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
     p = (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
     return ((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def with_hit(rows: DataFrame, key: Column, keys: DataFrame, column: str, count: int, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether ``key`` may be among the ``count`` keys.
+
+    DataFrame functions only; what is broadcast is the bitmap's rows, 32 MB at most.
+    """
+    bits = bits_for(count)
+    maps = F.broadcast(_bitmap_rows(keys, column, bits).select((F.col("bucket") - 1).cast("int").alias("_bucket"), F.col("m").alias("_m")))
+    place = F.shiftrightunsigned(key, 64 - bits)
+    probed = rows.withColumn("_p", place).withColumn("_b", F.shiftright("_p", 15).cast("int"))
+    byte = F.conv(F.hex(F.substring(F.col("_m"), (F.shiftright(F.col("_p"), 3) % (_BLOCK // 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte.cast("bigint"), (F.col("_p") % 8).cast("int")) == 1
+    joined = probed.join(maps, F.col("_b") == F.col("_bucket"), "left")
+    return joined.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias(name))
