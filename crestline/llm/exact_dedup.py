@@ -1,18 +1,18 @@
 """Exact dedup, DataFrame functions only.
 
-Plan: one scan hashes the normalised text (128-bit MD5 as group key, SHA-256 as
-published digest).  Grouping by (hash, digest, normalised bytes) compares the
-bytes themselves; its map-side half emits a text once per task, so a group that
-holds a third of all rows costs each task one row.  Each document then gets its
-group by an equi-join of slim rows on (hash, digest), where groups of over a
-thousandth of all rows (at most 1000 of them) are broadcast.
+1. One scan hashes the normalised text (128-bit MD5 as group key, SHA-256 as
+   published digest) into slim rows; groups are counted on those.
+2. Only groups of two and more need their bytes: a second scan, screened by a bitmap
+   of their keys, groups by (hash, digest, normalised bytes), which compares the
+   bytes themselves.  Its map-side half emits a text once per task, so a group
+   that holds a third of all rows costs each task one row.
+3. Slim rows get their group by an equi-join on (hash, digest), where groups of over
+   a thousandth of all rows (at most 1000 of them) are broadcast.  Rows of a key whose
+   bytes differ go by their bytes instead.
 
 Cases: null text counts as empty, and empty texts form a group.  A null id sorts
 after every other id.  Rows that repeat an id with the same text share one
 decision.  Extra columns are ignored.  An empty table gives an empty result.
-Two different texts with one 128-bit hash are told apart by the digest; should
-both agree, the byte grouping sees two rows for the key and the query fails
-rather than merge them.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
+from .screen import with_hit
 from .skew import join_groups
-from .staging import stage
 
 BLANKS = r"[\x20\x09-\x0D]"
 _STEP = "18446744073709551616"  # 2^64: one code point outweighs any id
 _NO_ID = 9223372036854775807
+_KEY = ["_h", "_sha"]
 
 
 def normalised(text: Column) -> Column:
@@ -36,41 +38,42 @@ def md5_key(norm: Column) -> Column:
     return F.unhex(F.md5(norm))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=md5_key) -> DataFrame:
+def sha256_digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+# (longest, then smallest id) as one fixed-width number keeps grouping a hash aggregate
+_RANK = f"cast(cast(_len as decimal(12,0)) * {_STEP} - cast(coalesce(_id, {_NO_ID}) as decimal(20,0)) as decimal(38,0))"
+
+
+def _grouped(rows: DataFrame, *by: str) -> DataFrame:
+    """_n rows of each group and its _keep, the id that stays (null where only null ids are)."""
+    out = rows.groupBy(*by).agg(F.max(F.expr(_RANK)).alias("_rank"), F.max("_len").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    keep = F.expr(f"cast(cast(_top as decimal(12,0)) * {_STEP} - _rank as bigint)")
+    return out.select(*by, F.nullif(keep, F.lit(_NO_ID)).alias("_keep"), "_n")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=md5_key, digest_of=sha256_digest) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
-    ``hash_of`` maps the normalised text to the group key (tests pass a weak one).
-    The row with the most code points of original text stays, then the smallest id.
+    ``hash_of`` and ``digest_of`` map the normalised text to the group key and the
+    digest (tests pass weak ones).  The row with the most code points of original text
+    stays, then the smallest id.
     """
-    norm = normalised(F.col(text_col))
-    keyed = docs.select(
-        F.col(id_col).alias("_id"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"),
-        norm.alias("_norm"),
-    ).select("_id", "_len", "_norm", hash_of(F.col("_norm")).alias("_h"), F.unhex(F.sha2("_norm", 256)).alias("_sha"))
-
-    # (longest, then smallest id) as one fixed-width number keeps this a hash aggregate
-    rank = F.expr(f"cast(_len as decimal(12,0)) * {_STEP} - cast(coalesce(_id, {_NO_ID}) as decimal(20,0))").cast("decimal(38,0)")
-    texts = keyed.groupBy("_h", "_sha", "_norm").agg(F.max(rank).alias("_rank"), F.max("_len").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    groups = (
-        texts.groupBy("_h", "_sha")
-        .agg(F.count(F.lit(1)).alias("_texts"), F.max("_rank").alias("_rank"), F.max("_top").alias("_top"), F.sum("_n").alias("_n"))
-        .select(
-            F.col("_h"),
-            F.col("_sha"),
-            F.when(F.col("_texts") == 1, F.expr(f"cast(cast(_top as decimal(12,0)) * {_STEP} - _rank as bigint)"))
-            .otherwise(F.raise_error(F.lit("different texts share a 128-bit hash and a SHA-256 digest")).cast("bigint"))
-            .alias("_keep"),
-            F.col("_n"),
-        )
-    )
-    groups = stage(groups, "exact-groups")
-    total, = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()
-    keep = F.nullif(F.col("_keep"), F.lit(_NO_ID))
-    return join_groups(keyed.select("_id", "_h", "_sha"), groups, ["_h", "_sha"], "_n", total).select(
-        F.col("_id").alias(id_col),
-        keep.alias("keep_id"),
-        F.col("_n").cast("bigint").alias("group_size"),
-        F.col("_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"),
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    wide = docs.select(F.col(id_col).alias("_id"), F.char_length(text).alias("_len"), normalised(text).alias("_norm")).withColumn("_h", hash_of(F.col("_norm")))
+    rows = stage(wide.select("_id", "_len", "_h", digest_of(F.col("_norm")).alias("_sha")), "exact-rows")
+    groups = stage(_grouped(rows, *_KEY).filter("_n > 1"), "exact-groups")
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    print_ = F.xxhash64("_h")
+    again = with_hit(wide, print_, groups.select(print_.alias("k")), "k", count, "_again").filter("_again").drop("_again")
+    again = again.withColumn("_sha", digest_of(F.col("_norm")))
+    clashing = stage(again.groupBy(*_KEY, "_norm").agg(F.count(F.lit(1)).alias("_rows")).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1"), "exact-clashes")
+    plain = join_groups(rows, groups, _KEY, "_n", total)
+    if clashing.head(1):
+        apart = again.join(clashing, _KEY, "left_semi")
+        mine = _grouped(apart, *_KEY, "_norm")
+        plain = plain.join(clashing, _KEY, "left_anti").unionByName(join_groups(apart, mine, [*_KEY, "_norm"], "_n", total).select(plain.columns))
+    size = F.coalesce("_n", F.lit(1)).cast("bigint")
+    keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    return plain.select(F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
