@@ -19,21 +19,21 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLES: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i for i < n, kept between calls; ``second`` has another base."""
-    if second not in _TABLES or len(_TABLES[second][0]) < n:
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """B^i and B^-i for i < n, kept between calls; ``base`` numbers independent bases."""
+    if base not in _TABLES or len(_TABLES[base][0]) < n:
         size = max(n, SLICE + 1)
-        base = pow(BASE, 5, 1 << 64) if second else BASE
+        root = pow(BASE, 4 * base + 1, 1 << 64)
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
+        for b in (root, pow(root, -1, 1 << 64)):
             t = np.full(size, b, U)
             t[0] = 1
             both.append(np.cumprod(t, out=t))
-        _TABLES[second] = (both[0], both[1])
-    up, down = _TABLES[second]
+        _TABLES[base] = (both[0], both[1])
+    up, down = _TABLES[base]
     return up[:n], down[:n]
 
 
@@ -47,27 +47,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefixes(data: np.ndarray, second: bool = False) -> np.ndarray:
+def prefixes(data: np.ndarray, base: int = 0) -> np.ndarray:
     """P with hash(s, e) = (P[e] - P[s]) * B^-s; one longer than the data."""
-    pow_, _ = powers(len(data) + 1, second)
+    pow_, _ = powers(len(data) + 1, base)
     out = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * pow_[:-1], out=out[1:])
     return out
 
 
-def stretches(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    _, inv = powers(len(pre), second)
+def stretches(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
+    _, inv = powers(len(pre), base)
     return (pre[ends] - pre[starts]) * inv[starts]
 
 
-def windows(pre: np.ndarray, width: int) -> np.ndarray:
+def windows(pre: np.ndarray, width: int, base: int = 0) -> np.ndarray:
     """Hash of every stretch of the width."""
-    _, inv = powers(len(pre))
+    _, inv = powers(len(pre), base)
     return (pre[width:] - pre[:-width]) * inv[: len(pre) - width]
 
 
-def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of parts of the column up to ``most`` bytes or one row."""
+def slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of parts of the column up to ``most`` bytes (SLICE) or one row."""
+    most = most or SLICE
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -84,6 +85,21 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
+def chunks(column: pa.Array, width: int, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Like ``slices``, with texts of over ``most`` bytes in parts: (..., where the part begins in its text).
+
+    Parts overlap by width - 1 bytes, so every stretch of ``width`` bytes is in exactly one.
+    """
+    most = most or SLICE
+    for lo, hi, data, offs in slices(column, most):
+        if len(data) <= most + width:
+            yield lo, hi, data, offs, 0
+            continue
+        for at in range(0, len(data) - width + 1, most):
+            part = data[at : at + most + width - 1]
+            yield lo, hi, part, np.array([0, len(part)]), at
+
+
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the stretches without blanks, and for each text its first one (and the end)."""
     solid = ~BLANK[data]

@@ -6,124 +6,137 @@ if they agree on their anchor, the 64-byte gram in them with the smallest hash
 suffixes in the same cell (anchor, offset):
 
 1. A scan cuts each text into runs of windows with one anchor occurrence and
-   counts runs per anchor hash (map-side combined).  Anchors seen once are done;
-   runs with an anchor always seen in the same surroundings repeat as a whole.
-2. A second scan, screened by a bitmap of fixed size, cuts the remaining runs into
-   pieces of up to 60 windows at fixed offsets.  Pieces equal as a whole are one
-   class (128-bit fingerprints), and a class of two or more is repeated throughout.
+   counts runs per anchor hash (map-side combined).  Anchors seen once are done.
+2. A second scan, screened by bitmaps of fixed size, takes runs whose anchor is always
+   seen in the same surroundings as one piece and cuts the others into pieces of up
+   to 60 windows at fixed offsets.  Pieces are grouped by their bytes into classes;
+   what a class of two or more covers is repeated throughout.
 3. Classes that share an anchor and the bytes common to a piece's windows but
    differ around them are sorted: a mergesort of suffixes per cell, where two
    suffixes are compared by binary search for their common extension over prefix
    polynomial hashes.  Neighbours that extend over 200 bytes repeat; their bytes
    are compared, and a cell with a hash collision is redone on bytes alone.
-   A group of over 5000 classes is recut into single windows instead, whose
-   equality is again a grouped count; no group is gathered in one task.
+   Groups of over ``CELL`` classes are recut into windows, dealt into cells by a hash of
+   their bytes and sorted likewise.  A cell still larger (many copies of a window) is sorted
+   in parts; each part marks its repeats and sends one window of each kind on to a
+   next round, dealt anew, so no group is gathered in one task.
 4. Masks of repeated windows return to their texts, where covered bytes go.
 
+Every decision rests on bytes: pieces meet by bytes, sorted windows are compared on
+bytes.  Hashes only bring candidates together and carry results back; should two
+different pieces share the 128 bits that carry results, or an anchor's surroundings
+the 64 that call them equal, it is found out and everything is done again with other bases.
+
 Cases: null is empty; texts under 200 bytes stay as they are; rows with null ids
 are documents of their own; rows repeating id and text are separate places, so
 they repeat each other; extra columns are ignored; an empty table gives an empty
-result.  A text may be up to 256 MB.
+result.  Long texts are worked on in overlapping parts of 1 MB.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop, stage
 from . import rolling as R
+from .rows import Rows, split_by_keys
 from .screen import bits_for, hits, key_bitmap
 from .skew import join_groups
-from .staging import stage
 
 U = R.U
-GRAM, BLOCK, SORTED_CLASSES = 64, 60, 5000
-_PLACE = U((1 << 28) - 1)
+GRAM, BLOCK, CELL = 64, 60, 1000
+_PLACE = U((1 << 22) - 1)  # parts of texts are shorter
 _C = [U(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
-WHOLE = -1  # mask of a run or piece that repeats throughout
+WHOLE = -1  # mask of a piece that repeats throughout
+RUN = -1  # offset of a piece that is a run
 CHUNK = 2 << 20  # bytes of class bodies sorted at once
 
 
-def anchor_runs(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, anchor place, anchor hash, prefix hashes) of each run."""
-    pre = R.prefixes(data)
-    n = len(data) - width + 1
-    if n <= 0:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), pre)
-    gram = R.mix(R.windows(pre, GRAM))
-    low = (gram & ~_PLACE) | np.arange(len(gram), dtype=U)
-    span, most = 1, width - GRAM + 1
-    while 2 * span <= most:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < most:
-        low = np.minimum(low[: n], low[most - span : most - span + n])
-    place = (low & _PLACE).astype(np.int64)
-    edge = np.zeros(n + 1, np.int32)  # windows that would leave their text
-    np.add.at(edge, np.minimum(np.maximum(offs[1:] - width + 1, offs[:-1]), n), 1)
-    np.add.at(edge, np.minimum(offs[1:], n), -1)
-    bad = np.cumsum(edge[:-1]) > 0
-    turn = np.ones(n + 1, bool)
-    turn[1:-1] = (place[1:] != place[:-1]) | (bad[1:] != bad[:-1])
-    cut = np.flatnonzero(turn)
-    first, count = cut[:-1], np.diff(cut)
-    keep = ~bad[first]
-    first, count = first[keep], count[keep]
-    at = place[first]
-    # least hashes crowd near 0; mixed again they spread over the screen's bits
-    return first, count, at, R.mix(gram[at] + _C[1]), pre
-
-
-def _run_print(pre, first, count, at, width):
-    return R.mix(R.stretches(pre, first, first + count - 1 + width) + (at - first).astype(U) * _C[0] + count.astype(U) * _C[1])
-
-
-def _anchor_batches(width: int):
+class Runs:
+    """Runs of windows with one anchor in a part of the texts; ``seed`` picks the bases."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, width: int, seed: int):
+        self.data, self.width, self.seed = data, width, seed
+        self.pre = R.prefixes(data, 2 * seed)
+        n = len(data) - width + 1
+        if n <= 0:
+            self.first = self.count = self.at = np.zeros(0, np.int64)
+            self.key = np.zeros(0, U)
+            return
+        gram = R.mix(R.windows(self.pre, GRAM, 2 * seed))
+        low = (gram & ~_PLACE) | np.arange(len(gram), dtype=U)
+        span, most = 1, width - GRAM + 1
+        while 2 * span <= most:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < most:
+            low = np.minimum(low[:n], low[most - span : most - span + n])
+        place = (low & _PLACE).astype(np.int64)
+        edge = np.zeros(n + 1, np.int32)  # windows that would leave their text
+        np.add.at(edge, np.minimum(np.maximum(offs[1:] - width + 1, offs[:-1]), n), 1)
+        np.add.at(edge, np.minimum(offs[1:], n), -1)
+        bad = np.cumsum(edge[:-1]) > 0
+        turn = np.ones(n + 1, bool)
+        turn[1:-1] = (place[1:] != place[:-1]) | (bad[1:] != bad[:-1])
+        cut = np.flatnonzero(turn)
+        first, count = cut[:-1], np.diff(cut)
+        keep = ~bad[first]
+        self.first, self.count = first[keep], count[keep]
+        self.at = place[self.first]
+        # least hashes crowd near 0; mixed again they spread over the screen's bits
+        self.key = R.mix(gram[self.at] + _C[1])
+
+    def prints(self) -> np.ndarray:
+        """64 bits of each run's bytes and of its anchor's place in them."""
+        tag = (self.at - self.first).astype(U) * _C[0] + self.count.astype(U) * _C[1]
+        return R.mix(R.stretches(self.pre, self.first, self.first + self.count - 1 + self.width, 2 * self.seed) + tag)
+
+    def pieces(self, whole: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(p0, end, offset, windows, core, u1, u2) of runs taken whole and of runs cut at multiples of BLOCK from the anchor."""
+        count, at, first, key = self.count[cut], self.at[cut], self.first[cut], self.key[cut]
+        high = at - first  # offset of the anchor in the first window
+        low = high - count + 1
+        n = high // BLOCK - low // BLOCK + 1
+        run = np.repeat(np.arange(len(n)), n)
+        blk = high[run] // BLOCK - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+        q = at[run]
+        off = np.minimum(high[run], blk * BLOCK + BLOCK - 1)
+        cnt = off - np.maximum(low[run], blk * BLOCK) + 1
+        core = R.mix(R.stretches(self.pre, q - blk * BLOCK, q - blk * BLOCK - BLOCK + 1 + self.width, 2 * self.seed) + blk.astype(U) * _C[2] + key[run])
+        p0, cnt = np.concatenate([self.first[whole], q - off]), np.concatenate([self.count[whole], cnt])
+        core, off = np.concatenate([self.key[whole], core]), np.concatenate([np.full(whole.sum(), RUN), off])
+        end = p0 + cnt - 1 + self.width
+        tag = off.astype(U) * _C[0] + cnt.astype(U) * _C[1]
+        u1 = R.mix(R.stretches(self.pre, p0, end, 2 * self.seed) + tag)
+        other = R.prefixes(self.data ^ np.uint8(0x5A), 2 * self.seed + 1)
+        return p0, end, off, cnt, core, u1, R.mix(R.stretches(other, p0, end, 2 * self.seed + 1) + tag)
+
+
+def _anchor_batches(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, offs in R.slices(b.column(0)):
-                first, count, at, key, pre = anchor_runs(data, offs, width)
-                whole = _run_print(pre, first, count, at, width)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64))], names=["key", "whole"])
+            for _, _, data, offs, _ in R.chunks(b.column(0), width):
+                r = Runs(data, offs, width, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(r.key.view(np.int64)), pa.array(r.prints().view(np.int64))], names=["key", "whole"])
 
     return run
 
 
-def _pieces(data, first, count, at, key, pre, width):
-    """Runs cut at multiples of BLOCK from the anchor: (p0, end, offset, windows, run, core, u1, u2)."""
-    high = at - first  # offset of the anchor in the first window
-    low = high - count + 1
-    n = high // BLOCK - low // BLOCK + 1
-    run_ = np.repeat(np.arange(len(n)), n)
-    blk = high[run_] // BLOCK - (np.arange(len(run_)) - np.repeat(np.cumsum(n) - n, n))
-    q = at[run_]
-    off = np.minimum(high[run_], blk * BLOCK + BLOCK - 1)
-    p0 = q - off
-    cnt = off - np.maximum(low[run_], blk * BLOCK) + 1
-    core = R.mix(R.stretches(pre, q - blk * BLOCK, q - blk * BLOCK - BLOCK + 1 + width) + blk.astype(U) * _C[2] + key[run_])
-    end = p0 + cnt - 1 + width
-    tag = off.astype(U) * _C[0] + cnt.astype(U) * _C[1]
-    u1 = R.mix(R.stretches(pre, p0, end) + tag)
-    other = R.prefixes(data ^ np.uint8(0x5A), second=True)
-    u2 = R.mix(R.stretches(other, p0, end, second=True) + tag)
-    return p0, end, off, cnt, run_, core, u1, u2
-
-
-def _class_batches(width: int, bits: int, shared):
-    """Pieces of the runs whose anchor is seen in different surroundings, with their bytes."""
+def _class_batches(width: int, seed: int, bits: int, shared):
+    """Pieces of the runs whose anchor is seen again, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, mixed = shared.value
+        again, mixed = shared.value
         for b in batches:
-            for _, _, data, offs in R.slices(b.column(0)):
-                *runs, pre = anchor_runs(data, offs, width)
-                sel = hits(mixed, bits, runs[3])
-                p0, end, off, cnt, _, core, u1, u2 = _pieces(data, *(x[sel] for x in runs), pre, width)
+            for _, _, data, offs, _ in R.chunks(b.column(0), width):
+                r = Runs(data, offs, width, seed)
+                p0, end, off, cnt, core, u1, u2 = r.pieces(hits(again, bits, r.key), hits(mixed, bits, r.key))
                 raw = data.tobytes()
                 body = [raw[i:j] for i, j in zip(p0.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -134,27 +147,21 @@ def _class_batches(width: int, bits: int, shared):
     return run
 
 
-def _place_batches(width: int, bits: int, shared, mask_bits: int, found):
-    """Places that may repeat: whole runs by anchor, and pieces by fingerprint."""
+def _place_batches(width: int, seed: int, bits: int, shared, mask_bits: int, found):
+    """Places of the pieces that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, mixed = shared.value
         for b in batches:
-            for lo, _, data, offs in R.slices(b.column(2)):
-                *runs, pre = anchor_runs(data, offs, width)
-                cut = hits(mixed, bits, runs[3])
-                p0, _, _, cnt, _, _, u1, u2 = _pieces(data, *(x[cut] for x in runs), pre, width)
+            for lo, _, data, offs, start in R.chunks(b.column(1), width):
+                r = Runs(data, offs, width, seed)
+                p0, _, _, cnt, _, u1, u2 = r.pieces(hits(again, bits, r.key), hits(mixed, bits, r.key))
                 sel = hits(found.value, mask_bits, u1)
-                whole = hits(again, bits, runs[3])
-                k1 = np.concatenate([runs[3][whole], u1[sel]]).view(np.int64)
-                k2 = np.concatenate([np.zeros(whole.sum(), U), u2[sel]]).view(np.int64)
-                at = np.concatenate([runs[0][whole], p0[sel]])
-                n = np.concatenate([runs[1][whole], cnt[sel]])
-                doc = np.searchsorted(offs, at, "right") - 1
-                row = pa.array(lo + doc)
+                p0, cnt, u1, u2 = p0[sel], cnt[sel], u1[sel], u2[sel]
+                doc = np.searchsorted(offs, p0, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(row), b.column(1).take(row), pa.array((at - offs[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(k1), pa.array(k2)],
-                    names=["id", "rk", "p0", "cnt", "k1", "k2"],
+                    [b.column(0).take(pa.array(lo + doc)), pa.array(p0 - offs[doc] + start), pa.array(cnt.astype(np.int32)), pa.array(u1.view(np.int64)), pa.array(u2.view(np.int64))],
+                    names=["key", "p0", "cnt", "u1", "u2"],
                 )
 
     return run
@@ -221,55 +228,53 @@ class SuffixSorter:
         return order
 
 
-def repeated_windows(bodies: list[bytes], group: np.ndarray, off: np.ndarray, cnt: np.ndarray, width: int) -> np.ndarray:
-    """Mask (bit i = window i) of each class's windows that another class of its group has too."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    base = np.cumsum([0] + [len(b) for b in bodies[:-1]])
-    cls = np.repeat(np.arange(len(cnt)), cnt)
-    i = np.arange(len(cls)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    suffix, offset = base[cls] + i, off[cls] - i
-    by = np.lexsort((offset, group[cls]))
-    cls, i, suffix, offset = cls[by], i[by], suffix[by], offset[by]
-    fresh = np.concatenate([[True], (group[cls][1:] != group[cls][:-1]) | (offset[1:] != offset[:-1])])
-    cell = np.cumsum(fresh)
+def window_kinds(data: np.ndarray, suffix: np.ndarray, cell: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window: equal windows of a cell, and only those, share it.  Cells are contiguous."""
+    n = len(suffix)
     sorter = SuffixSorter(data, width)
     order = sorter.sort(suffix, cell)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(cell[a] == cell[b])
+    near = near[sorter.extension(suffix[a[near]], suffix[b[near]]) >= width]
     a, b = a[near], b[near]
-    equal = sorter.extension(suffix[a], suffix[b]) >= width
-    a, b = a[equal], b[equal]
     true = np.ones(len(a), bool)
     for lo in range(0, len(a), 20_000):  # collision check on the bytes
         s, t = (suffix[x[lo : lo + 20_000], None] + np.arange(width) for x in (a, b))
         true[lo : lo + 20_000] = (data[s] == data[t]).all(axis=1)
-    hit = np.zeros(len(cls), bool)
-    hit[a[true]] = hit[b[true]] = True
+    fresh = np.ones(n, bool)
+    fresh[near + 1] = False
+    kind = np.empty(n, np.int64)
+    kind[order] = np.cumsum(fresh)
     for c in np.unique(cell[a[~true]]):
-        same = defaultdict(list)
-        for k in np.flatnonzero(cell == c):
-            same[data[suffix[k] : suffix[k] + width].tobytes()].append(k)
-        for ks in same.values():
-            hit[ks] = len(ks) > 1
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero(cell == c).tolist():
+            kind[k] = seen.setdefault(data[suffix[k] : suffix[k] + width].tobytes(), n + 1 + k)
+    return kind
+
+
+def _again(kind: np.ndarray) -> np.ndarray:
+    _, of, n = np.unique(kind, return_inverse=True, return_counts=True)
+    return n[of] > 1
+
+
+def repeated_windows(bodies: list[bytes], group: np.ndarray, off: np.ndarray, cnt: np.ndarray, width: int) -> np.ndarray:
+    """Mask (bit i = window i) of each class's windows that another class of its group has too."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    base = np.cumsum([0] + [len(b) for b in bodies[:-1]])
+    cls = np.repeat(np.arange(len(cnt)), cnt)
+    i = np.arange(len(cls)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    suffix, offset = base[cls] + i, off[cls] - i
+    by = np.lexsort((offset, group[cls]))
+    cls, i, suffix, offset = cls[by], i[by], suffix[by], offset[by]
+    fresh = np.concatenate([[True], (group[cls][1:] != group[cls][:-1]) | (offset[1:] != offset[:-1])])
+    hit = _again(window_kinds(data, suffix, np.cumsum(fresh), width))
     out = np.zeros(len(cnt), np.int64)
     np.bitwise_or.at(out, cls[hit], np.int64(1) << i[hit])
     return out
 
 
-def _sort_batches(width: int):
-    """Whole groups (rows sorted by core) in chunks of bounded size."""
-
-    def solve(part: pa.Table) -> pa.RecordBatch:
-        core = part["core"].to_numpy()
-        alone = np.ones(len(core), bool)  # a class without company repeats nothing
-        alone[1:] &= core[1:] != core[:-1]
-        alone[:-1] &= core[1:] != core[:-1]
-        part = part.filter(pa.array(~alone))
-        core = part["core"].to_numpy()
-        off, cnt = (part[c].to_numpy().astype(np.int64) for c in ("off", "cnt"))
-        mask = repeated_windows(part["body"].to_pylist(), core, off, cnt, width)
-        some = pa.array(mask != 0)
-        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks().filter(some) for c in ("u1", "u2", "n")), pa.array(mask).filter(some)], names=["u1", "u2", "n", "mask"])
+def _whole_groups(column: str, solve):
+    """Batches of rows sorted by ``column`` as tables of whole groups and of bounded size, each through ``solve``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,8 +286,8 @@ def _sort_batches(width: int):
                 if size < CHUNK:
                     continue
                 t = pa.Table.from_batches(held)
-                core = t["core"].to_numpy()
-                cut = int(np.searchsorted(core, core[-1]))  # the last group may go on
+                key = t[column].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
                 if cut:
                     yield solve(t.slice(0, cut))
                 held = t.slice(cut).combine_chunks().to_batches()
@@ -293,57 +298,163 @@ def _sort_batches(width: int):
     return run
 
 
-def _single_batches(width: int):
-    """Classes recut into single windows."""
+def _sorted_classes(width: int):
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        core = part["core"].to_numpy()
+        alone = np.ones(len(core), bool)  # a class without company repeats nothing
+        alone[1:] &= core[1:] != core[:-1]
+        alone[:-1] &= core[1:] != core[:-1]
+        part = part.filter(pa.array(~alone))
+        off, cnt = (part[c].to_numpy().astype(np.int64) for c in ("off", "cnt"))
+        mask = repeated_windows(part["body"].to_pylist(), part["core"].to_numpy(), off, cnt, width)
+        some = pa.array(mask != 0)
+        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks().filter(some) for c in ("u1", "u2", "n")), pa.array(mask).filter(some)], names=["u1", "u2", "n", "mask"])
+
+    return _whole_groups("core", solve)
+
+
+_WINDOW = "cell bigint, u1 bigint, u2 bigint, n bigint, i int, body binary"
+
+
+def _windows_of(width: int):
+    """Classes (u1, u2, n, cnt, off, body, core, parts) recut into windows, dealt by their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cnt, off = (b.column(k).to_numpy().astype(np.int64) for k in (4, 5))
-            cls = np.repeat(np.arange(len(cnt)), cnt)
-            i = np.arange(len(cls)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            bodies = b.column(6).to_pylist()
-            windows = [bodies[c][k : k + width] for c, k in zip(cls.tolist(), i.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(pa.array(cls)) for k in range(4)), pa.array(i), pa.array(off[cls] - i), pa.array(windows, pa.binary())], names=["core", "u1", "u2", "n", "i", "a", "body"]
-            )
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                cnt, off, core, parts = (part.column(k).to_numpy().astype(np.int64) for k in (3, 4, 6, 7))
+                bodies = part.column(5).to_pylist()
+                data = np.frombuffer(b"".join(bodies), np.uint8)
+                base = np.cumsum([0] + [len(x) for x in bodies[:-1]])
+                cls = np.repeat(np.arange(len(cnt)), cnt)
+                i = np.arange(len(cls)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+                at = base[cls] + i
+                h = R.mix(R.stretches(R.prefixes(data), at, at + width)) % parts[cls].astype(U)
+                cell = R.mix(core[cls].view(U) + (off[cls] - i).astype(U) * _C[0] + h * _C[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.view(np.int64)), *(part.column(k).take(pa.array(cls)) for k in range(3)), pa.array(i.astype(np.int32)), pa.array([bodies[c][k : k + width] for c, k in zip(cls.tolist(), i.tolist())], pa.binary())],
+                    names=["cell", "u1", "u2", "n", "i", "body"],
+                )
 
     return run
 
 
+def _sorted_cells(width: int):
+    """Windows of (part of) a cell: all with whether they repeat, and the first of each kind as ``lead``."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        place = t["place"].to_numpy()
+        data = np.frombuffer(b"".join(t["body"].to_pylist()), np.uint8)
+        kind = window_kinds(data, np.arange(len(place)) * width, np.unique(place, return_inverse=True)[1], width)
+        lead = np.zeros(len(place), bool)
+        lead[np.unique(kind, return_index=True)[1]] = True
+        lead &= t["open"].to_numpy(zero_copy_only=False)
+        hit = _again(kind)
+        some = pa.array(hit | lead)
+        body = pa.array([x if y else None for x, y in zip(t["body"].to_pylist(), lead)], pa.binary())
+        cols = [t[c].combine_chunks() for c in ("cell", "u1", "u2", "n", "i")]
+        more = (pa.array(hit), t["share"].combine_chunks())
+        return pa.RecordBatch.from_arrays([x.filter(some) for x in (*cols, body, *more)], names=["cell", "u1", "u2", "n", "i", "body", "hit", "share"])
+
+    return _whole_groups("place", solve)
+
+
+def _crowded(classes: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """(u1, u2, n, mask) of the groups of over CELL classes; ``sizes`` (core, size) names them."""
+    total, = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
+    marks: list[DataFrame] = []
+    dealt = join_groups(classes, sizes.withColumn("parts", F.ceil(F.col("size") / CELL).cast("bigint")), ["core"], "size", max(total, 1)).filter("parts is not null")
+    rows = stage(dealt.select("u1", "u2", "n", "cnt", "off", "body", "core", "parts").mapInArrow(_windows_of(width), _WINDOW), "repeat-windows")
+    for again in count(1):
+        if not rows.head(1):
+            break
+        held, = rows.agg(F.count(F.lit(1))).first()
+        full = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CELL)
+        split = join_groups(rows, full, ["cell"], "c", held).withColumn("open", F.col("c").isNotNull()).withColumn("share", F.coalesce(F.ceil(F.col("c") / CELL), F.lit(1)))
+        placed = split.withColumn("place", F.xxhash64("cell", F.pmod(F.xxhash64("u1", "u2", "i"), "share"))).drop("c").repartition("place").sortWithinPartitions("place")
+        done = stage(placed.mapInArrow(_sorted_cells(width), f"{_WINDOW}, hit boolean, share bigint"), "repeat-cells")
+        marks.append(done.filter("hit").select("u1", "u2", "n", F.expr("shiftleft(1L, i)").alias("mask")))
+        # equal windows stay together, different ones part
+        cell = F.xxhash64("cell", F.pmod(F.xxhash64("body", F.lit(again)), 4 * F.col("share")))
+        after = stage(done.filter("body is not null").select(cell.alias("cell"), "u1", "u2", "n", "i", "body"), "repeat-windows")
+        drop(rows)
+        rows = after
+    out = classes.select("u1", "u2", "n", F.lit(0).cast("bigint").alias("mask")).limit(0)
+    for m in marks:
+        out = out.unionByName(m)
+    return out
+
+
 def _cover_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n, gone, spans = [], [], [], []
-            for text, ps, ns, ms in zip(*(b.column(k) for k in range(1, 5))):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                n.append(len(raw))
-                if not ps.is_valid:
-                    kept.append(raw)
-                    gone.append(0)
-                    spans.append([])
-                    continue
-                p, c, m = (np.array(x.as_py(), np.int64) for x in (ps, ns, ms))
-                edge = np.zeros(len(raw) + 1, np.int64)
+            k = b.num_columns - 4
+            for text, ps, ns, ms in zip(*(b.column(k + i) for i in range(4))):
+                raw = text.as_buffer().to_pybytes()
+                p, c, m = (x.values.to_numpy().astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in (ps, ns, ms))
                 full = m == WHOLE
-                np.add.at(edge, p[full], 1)
-                np.add.at(edge, p[full] + c[full] - 1 + width, -1)
-                p, m = p[~full], m[~full]
-                which, bit = np.nonzero((m[:, None] >> np.arange(BLOCK)) & 1)
-                np.add.at(edge, p[which] + bit, 1)
-                np.add.at(edge, p[which] + bit + width, -1)
-                cover = np.cumsum(edge[:-1]) > 0
-                turn = np.flatnonzero(np.diff(np.concatenate([[False], cover, [False]])))
-                kept.append(np.frombuffer(raw, np.uint8)[~cover].tobytes())
-                gone.append(int(cover.sum()))
-                spans.append([{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())])
+                which, bit = np.nonzero((m[~full, None] >> np.arange(BLOCK)) & 1)
+                start = np.concatenate([p[full], p[~full][which] + bit])
+                end = np.concatenate([p[full] + c[full] - 1, p[~full][which] + bit]) + width
+                by = np.argsort(start, kind="stable")
+                start, reach = start[by], np.maximum.accumulate(end[by]) if len(by) else end
+                first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(by) else np.zeros(0, int)
+                start, end = start[first].tolist(), reach[np.append(first[1:], len(by)) - 1].tolist() if len(by) else []
+                kept.append(b"".join(raw[i:j] for i, j in zip([0, *end], [*start, len(raw)])))
+                n.append(len(raw))
+                gone.append(len(raw) - len(kept[-1]))
+                spans.append([{"start": i, "end": j} for i, j in zip(start, end)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "spans", "kept"]
+                [*b.columns[:k], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*b.schema.names[:k], "n_bytes", "n_removed", "spans", "kept"]
             )
 
     return run
 
 
+class _Collision(Exception):
+    """Different bytes behind one hash."""
+
+
+def _spans(rows: Rows, width: int, seed: int) -> DataFrame:
+    """(key, ps, ns, ms): repeated pieces of the rows that have some."""
+    long_ = rows.df.filter(F.octet_length("text") >= width)
+    sc = rows.df.sparkSession.sparkContext
+    anchors = long_.select("text").mapInArrow(_anchor_batches(width, seed), "key bigint, whole bigint")
+    seen = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
+    again = stage(seen.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "repeat-anchors")
+    bits = bits_for(again.agg(F.count(F.lit(1))).first()[0])
+    shared = sc.broadcast((key_bitmap(again.filter("not mixed"), "key", bits), key_bitmap(again.filter("mixed"), "key", bits)))
+
+    pieces = long_.select("text").mapInArrow(_class_batches(width, seed, bits, shared), "core bigint, u1 bigint, u2 bigint, off int, cnt int, body binary")
+    classes = stage(pieces.groupBy("core", "u1", "u2", "off", "cnt", "body").agg(F.count(F.lit(1)).alias("n")), "repeat-classes")
+    runs = classes.filter(F.col("off") == RUN)
+    torn = runs.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").join(again.filter("not mixed"), F.col("core") == F.col("key"))
+    if classes.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").head(1) or torn.head(1):
+        raise _Collision
+    cut = classes.filter(F.col("off") != RUN)
+    sizes = cut.groupBy("core").agg(F.count(F.lit(1)).alias("size"))
+    crowds = stage(sizes.filter(F.col("size") > CELL), "repeat-crowds")
+    small = cut.join(sizes.filter(F.col("size").between(2, CELL)).select("core"), "core", "left_semi")
+    parts = classes.filter("n > 1").select("u1", "u2", "n", F.lit(WHOLE).cast("bigint").alias("mask"))
+    ordered = small.select("core", "u1", "u2", "n", "cnt", "off", "body").repartition("core").sortWithinPartitions("core")
+    parts = parts.unionByName(ordered.mapInArrow(_sorted_classes(width), "u1 bigint, u2 bigint, n bigint, mask bigint"))
+    if crowds.head(1):
+        parts = parts.unionByName(_crowded(cut, crowds, width))
+    masks = stage(parts.groupBy("u1", "u2").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "repeat-masks")
+    n_masks, total = masks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    drop(classes, crowds)
+    mask_bits = bits_for(n_masks)
+    found = sc.broadcast(key_bitmap(masks, "u1", mask_bits))
+    places = long_.select("key", "text").mapInArrow(_place_batches(width, seed, bits, shared, mask_bits, found), "key bigint, p0 bigint, cnt int, u1 bigint, u2 bigint")
+    placed = join_groups(places, masks, ["u1", "u2"], "n", total).filter("mask is not null")
+    out = stage(placed.groupBy("key").agg(F.collect_list("p0").alias("ps"), F.collect_list("cnt").alias("ns"), F.collect_list("mask").alias("ms")), "repeat-spans")
+    drop(again, masks)
+    return out
+
+
 def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (start, end), kept (binary).
 
@@ -351,49 +462,22 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     """
     if width < 2 * GRAM:
         raise ValueError("width is too small for the anchors")
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("rk"), text.alias("text"))
-    long_ = slim.filter(F.octet_length("text") >= width)
-    anchors = long_.select("text").mapInArrow(_anchor_batches(width), "key bigint, whole bigint")
-    again = stage(
-        anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1").select("key", "n", (F.col("lo") != F.col("hi")).alias("mixed")),
-        "repeat-anchors",
-    )
-    count, = again.agg(F.count(F.lit(1))).first()
-    bits = bits_for(count)
-    shared = spark.sparkContext.broadcast((key_bitmap(again.filter("not mixed"), "key", bits), key_bitmap(again.filter("mixed"), "key", bits)))
-    kind = slim.schema["id"].dataType.simpleString()
-
-    mine = ["core", "u1", "u2"]
-    pieces = long_.select("text").mapInArrow(_class_batches(width, bits, shared), "core bigint, u1 bigint, u2 bigint, off int, cnt int, body binary")
-    classes = stage(pieces.groupBy(*mine).agg(F.count(F.lit(1)).alias("n"), F.first("cnt").alias("cnt"), F.first("off").alias("off"), F.first("body").alias("body")), "repeat-classes")
-    crowded = stage(classes.groupBy("core").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SORTED_CLASSES).select("core"), "repeat-crowded")
-    wide = classes.select(*mine, "n", "cnt", "off", "body")
-    sort_in = wide.join(crowded, "core", "left_anti").repartition("core").sortWithinPartitions("core")
-    sorted_ = sort_in.mapInArrow(_sort_batches(width), "u1 bigint, u2 bigint, n bigint, mask bigint")
-    singles = wide.join(crowded, "core", "left_semi").mapInArrow(_single_batches(width), "core bigint, u1 bigint, u2 bigint, n bigint, i bigint, a bigint, body binary")
-    singles = singles.select("u1", "u2", "n", "i", F.xxhash64("core", "body", "a").alias("w1"), F.xxhash64("a", "body", "core", F.lit(1)).alias("w2"))
-    equal = singles.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    n_singles = singles.count() if crowded.head(1) else 0
-    recut = join_groups(singles, equal, ["w1", "w2"], "c", n_singles).filter("c is not null").select("u1", "u2", "n", F.expr("shiftleft(1L, cast(i as int))").alias("mask"))
-    whole = classes.filter("n > 1").select("u1", "u2", "n", F.lit(WHOLE).cast("bigint").alias("mask"))
-    parts = whole.unionByName(sorted_)
-    if n_singles:
-        parts = parts.unionByName(recut)
-    masks = stage(parts.groupBy("u1", "u2").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "repeat-masks")
-    n_masks, = masks.agg(F.count(F.lit(1))).first()
-    mask_bits = bits_for(n_masks)
-    found = spark.sparkContext.broadcast(key_bitmap(masks, "u1", mask_bits))
-
-    verdicts = masks.select(F.col("u1").alias("k1"), F.col("u2").alias("k2"), "mask", "n").unionByName(
-        again.filter("not mixed").select(F.col("key").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(WHOLE).cast("bigint").alias("mask"), "n")
-    )
-    total, = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
-    places = long_.select("id", "rk", "text").mapInArrow(_place_batches(width, bits, shared, mask_bits, found), f"id {kind}, rk bigint, p0 int, cnt int, k1 bigint, k2 bigint")
-    placed = join_groups(places, verdicts, ["k1", "k2"], "n", total).filter("mask is not null")
-    spans = placed.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r")).agg(F.collect_list("p0").alias("ps"), F.collect_list("cnt").alias("ns"), F.collect_list("mask").alias("ms"))
-    spans = stage(spans, "repeat-spans")
-    ready = slim.join(spans, F.col("id").eqNullSafe(F.col("_i")) & (F.col("rk") == F.col("_r")), "left").select("id", F.col("text").cast("binary"), "ps", "ns", "ms")
+    rows = Rows.of(docs, id_col, text_col)
+    for seed in range(8):
+        try:
+            spans = _spans(rows, width, seed)
+            break
+        except _Collision:
+            continue
+    else:
+        raise RuntimeError("hashes of eight bases collide")
+    n_spans, = spans.agg(F.count(F.lit(1))).first()
+    same, other = split_by_keys(rows.df, spans, n_spans)
+    ident = F.col(f"c{docs.columns.index(id_col)}").alias("id")
+    raw = F.col("text").cast("binary").alias("text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    clean = same.select(ident, F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), raw.alias("kept"))
+    ready = other.join(spans, "key", "left").select(ident, raw, "ps", "ns", "ms")
     out = ready.mapInArrow(_cover_batches(width), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    return clean.unionByName(out).withColumnRenamed("id", id_col)
