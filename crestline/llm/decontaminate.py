@@ -7,17 +7,24 @@ their diagonals lie within k of each other, hence in one of the overlapping
 diagonal bands of width 2(k + 1).  Bands that reach the count are retained and
 verified by an alignment restricted to the band.
 
-The item index is broadcast only up to ``block_bytes`` of items; more items are
+An item must have ``least`` bytes to be evidence (12; a parameter, since a word or two
+are in any text).  Items shorter than a q-gram, where ``least`` admits them, are
+their own q-gram and matched without edits.
+
+The index takes 16 bytes per item byte and 4 MB; it is broadcast for blocks of at most
+``block_bytes`` of items (8 MB, so 132 MB in a Python worker) and one item; more items are
 taken in blocks, each against all documents.
 
-Cases: null text or item matches nothing; items under 12 bytes are too short to be
-evidence and never match; k is lowered where the lemma would ask for no gram;
-null ids are kept; repeated rows each give their rows; extra columns are
-ignored; empty tables give an empty result; very long texts are whole.
+Cases: null text or item matches nothing; k is lowered where the lemma would ask for
+no gram; null ids, of documents and of items, are kept as null; repeated rows each
+give their rows; overlapping passages of one item in one text are one, the cheapest
+(then the first); extra columns are ignored by ``leaks`` and kept by ``drop_leaking``,
+whatever their names; empty tables give an empty result; very long texts are whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,6 +39,7 @@ from . import rolling as R
 U = R.U
 GRAM, EDITS_PERCENT = 12, 6
 _SIEVE = 22
+BLOCK_BYTES = 8 << 20
 SCHEMA = "item_id bigint, start bigint, end bigint, edits int"
 
 
@@ -49,71 +57,94 @@ def normalised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def budget(m: int) -> tuple[int, int]:
     """(edits allowed, q-grams a band must share) for an item of the length."""
+    if m < GRAM:
+        return 0, 1
     k = min(m * EDITS_PERCENT // 100, (m - GRAM) // GRAM)
     return k, m - GRAM + 1 - k * GRAM
 
 
+@dataclass(frozen=True)
+class Grams:
+    """Grams of one width: sorted distinct hashes, and their places in the joined items."""
+
+    width: int
+    hashes: np.ndarray
+    begin: np.ndarray  # where each hash's places begin
+    places: np.ndarray
+    sieve: np.ndarray
+
+    @classmethod
+    def of(cls, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, width: int) -> Grams:
+        n = np.maximum(lens - width + 1, 0)
+        places = (np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
+        own = R.mix(R.windows(R.prefixes(flat), width))[places] if len(places) else np.zeros(0, U)
+        by = np.argsort(own, kind="stable")
+        hashes, begin = np.unique(own[by], return_index=True)
+        sieve = np.zeros(1 << _SIEVE, bool)
+        sieve[(hashes >> U(64 - _SIEVE)).astype(np.int64)] = True
+        return cls(width, hashes, np.append(begin, len(by)).astype(np.int32), places[by], sieve)
+
+    def met(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in the text, place in the items) of every gram in common."""
+        none = (np.zeros(0, np.int64),) * 3
+        if len(data) < self.width or not len(self.hashes):
+            return none
+        h = R.mix(R.windows(R.prefixes(data), self.width))
+        pos = np.flatnonzero(self.sieve[(h >> U(64 - _SIEVE)).astype(np.int64)])
+        g = np.minimum(np.searchsorted(self.hashes, h[pos]), len(self.hashes) - 1)
+        real = self.hashes[g] == h[pos]
+        pos, g = pos[real], g[real]
+        text = np.searchsorted(offs, pos, "right") - 1
+        whole = pos + self.width <= offs[text + 1]
+        pos, g, text = pos[whole], g[whole], text[whole]
+        n = self.begin[g + 1] - self.begin[g]
+        k = np.repeat(self.begin[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(text, n), np.repeat(pos - offs[text], n), self.places[k].astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Index:
-    ids: np.ndarray
+    ids: list[int | None]
     items: list[bytes]
+    starts: np.ndarray
     edits: np.ndarray
     need: np.ndarray
-    grams: np.ndarray  # sorted distinct hashes
-    at: np.ndarray  # where each gram's places begin
-    item: np.ndarray
-    place: np.ndarray
-    sieve: np.ndarray
+    grams: list[Grams]
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int | None, str | None]], least: int = GRAM) -> Index:
         ids, items = [], []
         for i, t in rows:
             raw = np.frombuffer((t or "").encode(), np.uint8)
             body = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if len(body) >= GRAM:
+            if len(body) >= max(least, 1):
                 ids.append(i)
                 items.append(body)
         lens = np.array([len(x) for x in items], np.int64)
         bound = [budget(int(m)) for m in lens]
         flat = np.frombuffer(b"".join(items), np.uint8)
-        begin = np.cumsum(lens) - lens
-        h = R.mix(R.windows(R.prefixes(flat), GRAM)) if len(flat) else np.zeros(0, U)
-        item = np.repeat(np.arange(len(items)), np.maximum(lens - GRAM + 1, 0))
-        place = np.arange(len(item)) - np.repeat(np.cumsum(lens - GRAM + 1) - (lens - GRAM + 1), lens - GRAM + 1)
-        own = h[begin[item] + place] if len(item) else np.zeros(0, U)
-        by = np.argsort(own, kind="stable")
-        grams, at = np.unique(own[by], return_index=True)
-        sieve = np.zeros(1 << _SIEVE, bool)
-        sieve[(grams >> U(64 - _SIEVE)).astype(np.int64)] = True
-        return cls(np.array(ids, np.int64), items, np.array([b[0] for b in bound], np.int64), np.array([b[1] for b in bound], np.int64), grams, np.append(at, len(by)), item[by], place[by], sieve)
+        starts = np.cumsum(lens) - lens
+        widths = sorted({min(int(m), GRAM) for m in lens})
+        # a shorter item is its only gram; items of the full width and more share one index
+        parts = [(lens == w) if w < GRAM else (lens >= GRAM) for w in widths]
+        grams = [Grams.of(flat, starts[p], lens[p], w) for w, p in zip(widths, parts)]
+        return cls(ids, items, starts, np.array([b[0] for b in bound], np.int64), np.array([b[1] for b in bound], np.int64), grams)
 
     def bands(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, first diagonal) of the retained bands; diagonals count from the text's start."""
-        if len(data) < GRAM or not len(self.grams):
-            return
-        h = R.mix(R.windows(R.prefixes(data), GRAM))
-        pos = np.flatnonzero(self.sieve[(h >> U(64 - _SIEVE)).astype(np.int64)])
-        g = np.minimum(np.searchsorted(self.grams, h[pos]), len(self.grams) - 1)
-        real = self.grams[g] == h[pos]
-        pos, g = pos[real], g[real]
-        text = np.searchsorted(offs, pos, "right") - 1
-        whole = pos + GRAM <= offs[text + 1]
-        pos, g, text = pos[whole], g[whole], text[whole]
-        n = self.at[g + 1] - self.at[g]
-        k = np.repeat(self.at[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, text = self.item[k], np.repeat(text, n)
-        diag = np.repeat(pos, n) - offs[text] - self.place[k]
-        step = self.edits[item] + 1
-        cell = diag // step
-        keys = np.stack([np.concatenate([text, text]), np.concatenate([item, item]), np.concatenate([cell, cell - 1])])
-        by = np.lexsort(keys[::-1])
-        keys = keys[:, by]
-        cut = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(by) else np.zeros(0, int)
-        count = np.diff(np.append(cut, len(by)))
-        keys = keys[:, cut]
-        for t, i, c in keys[:, count >= self.need[keys[1]]].T.tolist():
-            yield t, i, c * (int(self.edits[i]) + 1)
+        for grams in self.grams:
+            text, at, place = grams.met(data, offs)
+            item = np.searchsorted(self.starts, place, "right") - 1
+            diag = at - (place - self.starts[item])
+            cell = diag // (self.edits[item] + 1)
+            keys = np.stack([np.concatenate([text, text]), np.concatenate([item, item]), np.concatenate([cell, cell - 1])])
+            by = np.lexsort(keys[::-1])
+            keys = keys[:, by]
+            cut = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if len(by) else np.zeros(0, int)
+            count = np.diff(np.append(cut, len(by)))
+            keys = keys[:, cut]
+            for t, i, c in keys[:, count >= self.need[keys[1]]].T.tolist():
+                yield t, i, c * (int(self.edits[i]) + 1)
 
 
 def aligned(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None:
@@ -170,9 +201,14 @@ def _passages(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[in
             if key not in best or (cost, -end) < (best[key][1], -best[key][0]):
                 best[key] = (end, cost)
     rows: list[tuple[int, int, int, int, int]] = []
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}  # disjoint stretches, sorted
     for (t, i, s), (e, c) in sorted(best.items(), key=lambda x: (x[0][:2], x[1][1], x[0][2])):
-        if not any(r[:2] == (t, i) and s < r[3] and r[2] < e for r in rows[-8:]):
-            rows.append((t, i, s, e, c))  # the cheapest of overlapping ones
+        held = taken.setdefault((t, i), [])
+        k = bisect_left(held, (s, e))
+        if (k and held[k - 1][1] > s) or (k < len(held) and held[k][0] < e):
+            continue  # the cheapest of overlapping ones is there already
+        held.insert(k, (s, e))
+        rows.append((t, i, s, e, c))
     return rows
 
 
@@ -185,7 +221,7 @@ def _match_batches(shared):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array([lo + t for t in cols[0]], pa.int64())),
-                        pa.array([int(index.ids[i]) for i in cols[1]], pa.int64()),
+                        pa.array([index.ids[i] for i in cols[1]], pa.int64()),
                         *(pa.array(c, pa.int64()) for c in cols[2:4]),
                         pa.array(cols[4], pa.int32()),
                     ],
@@ -208,31 +244,32 @@ def _clean_batches(shared):
     return run
 
 
-def _indexes(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator:
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int, least: int) -> Iterator:
     """Broadcast indexes of the items, each over at most ``block_bytes`` of them and one item."""
     sc = benchmark.sparkSession.sparkContext
     held, size, any_ = [], 0, False
     for r in benchmark.select(F.col(item_col).cast("bigint"), item_text).orderBy(item_col, item_text).toLocalIterator():
-        held.append((r[0] if r[0] is not None else -1, r[1]))
-        size += len(r[1] or "")
+        held.append((r[0], r[1]))
+        size += len((r[1] or "").encode())
         if size >= block_bytes:
-            yield sc.broadcast(Index.build(held))
+            yield sc.broadcast(Index.build(held, least))
             held, size, any_ = [], 0, True
     if held or not any_:
-        yield sc.broadcast(Index.build(held))
+        yield sc.broadcast(Index.build(held, least))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = GRAM) -> DataFrame:
     """One row per passage: id, item_id, start, end (bytes of the text), edits."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    blocks = [slim.mapInArrow(_match_batches(x), f"id {kind}, {SCHEMA}") for x in _indexes(benchmark, item_col, item_text, block_bytes)]
+    blocks = [slim.mapInArrow(_match_batches(x), f"id {kind}, {SCHEMA}") for x in _indexes(benchmark, item_col, item_text, block_bytes, least)]
     return reduce(DataFrame.unionByName, blocks).withColumnRenamed("id", id_col)
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = GRAM) -> DataFrame:
     """The rows of ``docs`` without a passage of any item, all columns as they are."""
-    wide = docs.withColumn("_compared", F.coalesce(F.col(text_col), F.lit("")))
-    for shared in _indexes(benchmark, item_col, item_text, block_bytes):
+    # numbered names cannot clash with those of the table; the compared text is the last
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("compared"))
+    for shared in _indexes(benchmark, item_col, item_text, block_bytes, least):
         wide = wide.mapInArrow(_clean_batches(shared), wide.schema)
-    return wide.drop("_compared")
+    return wide.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
