@@ -9,12 +9,13 @@
    with one hub, not with every other; pairs whose XOR popcount is beyond what a
    linked pair reaches (risk 1e-9) are dropped, the rest are confirmed on
    full sets, fetched once for candidate classes only.
-3. Links give components.  A bucket may still span several; then its members outside
-   its largest component are compared with the members of other components.  Those
-   pairs are screened inside the join by a second parity bitmap, of the whole
-   set: its XOR popcount never exceeds the symmetric difference, so the screen
-   loses nothing and only pairs that nearly link become rows.  No partner is
-   skipped, and no group is expanded into all its pairs.
+3. Links give components.  A bucket may still span several.  The nodes of such buckets
+   are joined by prefixes: with shingles ordered from rare to frequent, two sets of
+   the wanted similarity share one of their first n - ceil(t n) + 1.  So nodes of
+   different components meet only on a rare shingle in common, not in their bucket;
+   sets that look alike but share frequent shingles only never meet.  The order comes from
+   counts in a table of fixed size; any order gives the same links.  Groups of many nodes
+   on one shingle are cut into blocks.
 
 The number of bands follows the threshold: a pair at it misses all bands with
 probability 8e-7 at most (24 bands of 5 at 0.85, 36 at 0.8), and a component needs
@@ -37,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop, stage
 from . import rolling as R
 from .components import components
+from .rows import Rows, split_by_keys
 from .screen import bits_for, hits, key_bitmap
 from .skew import join_groups
-from .staging import stage
 
 U = R.U
 SAMPLES, PER_BAND, BITS, SET_BITS, MISS = 120, 5, 256, 1024, 8e-7
+COUNTERS, BLOCK = 20, 1000  # 2^20 counts order the shingles; nodes of a shingle are cut into blocks
 SKETCH = "id bigint, n bigint, node binary, odd array<bigint>, bands array<bigint>, par array<bigint>"
 
 
@@ -186,6 +189,38 @@ def _confirmed(percent: int):
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(counter, n): how often shingles fall on each counter."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 500):
+            items = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in b.column(0).slice(lo, 500)] or [np.zeros(0, U)])
+            at, n = np.unique((items >> U(64 - COUNTERS)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["counter", "n"])
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _prefixes(percent: int, counts):
+    """Rows of (nid, comp, odd, items): one for each shingle of the set's prefix, rare ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            picked, size = [], []
+            for x in b.column(3):
+                s = np.frombuffer(x.as_buffer(), U)
+                p = prefix_length(len(s), percent)
+                often = counts.value[(s >> U(64 - COUNTERS)).astype(np.int64)]
+                picked.append(s[np.lexsort((s, often))[:p]])
+                size.append(len(s))
+            row = pa.array(np.repeat(np.arange(len(picked)), [len(x) for x in picked]).astype(np.int64))
+            token = np.concatenate(picked or [np.zeros(0, U)])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(b.column(k).take(row) for k in range(3)), pa.array(size, pa.int64()).take(row)], names=["token", "nid", "comp", "odd", "n"])
+
+    return run
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
@@ -196,90 +231,110 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     Documents are linked when 100 * |A and B| >= percent * |A or B| over their sets
     of ``words``-word shingles; component_id is the smallest id reachable.
     """
-    spark = docs.sparkSession
     rows = stage(_slim(docs, id_col, text_col).mapInArrow(_sketch_batches(words, bands_for(percent)), SKETCH), "near-sketch")
     filled = rows.filter("n > 0")
-    nodes = stage(
-        filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "odd", "bands", "par")).alias("r"), F.count(F.lit(1)).alias("rows"))
-        .select("node", F.col("r.id").alias("id"), F.col("r.n").alias("n"), F.col("r.odd").alias("odd"), F.col("r.bands").alias("bands"), F.col("r.par").alias("par"), "rows"),
-        "near-nodes",
-    )
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).filter("hub < last").drop("last")
-    members = stage(spread.join(shared, "bucket"), "near-buckets")
-    comp = _linked(spark, docs, nodes, members, words, percent, id_col, text_col)
-    by_node = nodes.select("node", "id", "rows").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    low = by_node.groupBy("comp").agg(F.min("id").alias("component_id"))
-    labels = stage(by_node.join(low, "comp").select("node", "component_id", "rows"), "near-labels")
+    grouped = filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "odd", "bands", "par")).alias("r"), F.count(F.lit(1)).alias("rows"))
+    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("nid"), "node", "r.id", "r.n", "r.odd", "r.bands", "r.par", "rows"), "near-nodes")
     total, = rows.agg(F.count(F.lit(1))).first()
+    count, = nodes.agg(F.count(F.lit(1))).first()
+    spread = nodes.select("nid", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stage(join_groups(spread, shared, ["bucket"], "size", count * bands_for(percent)).filter("hub is not null"), "near-buckets")
+    comp = _linked(docs, nodes, members, count, words, percent, id_col, text_col)
+    by_node = nodes.select("nid", "node", "id", "rows").join(comp, F.col("nid") == F.col("at"), "left").withColumn("comp", F.coalesce("comp", "nid")).select("node", "id", "rows", "comp")
+    sizes = by_node.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    labels = stage(join_groups(by_node, sizes, ["comp"], "nodes", count).select("node", "component_id", "rows"), "near-labels")
+    drop(nodes, members)
     out = join_groups(rows.select("id", "n", "node"), labels, ["node"], "rows", total)
     low = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), low.alias("component_id"), F.col("id").eqNullSafe(low).alias("kept"))
 
 
-def _linked(spark, docs, nodes, members, words, percent, id_col, text_col) -> DataFrame:
-    """(node, comp) of the nodes that have links."""
-    count, = nodes.agg(F.count(F.lit(1))).first()
+def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(at, comp) of the nodes that have links."""
+    spark = docs.sparkSession
     bits = bits_for(count)
-    wanted = members.select("node").distinct().join(nodes.select("node", "id"), "node").select(F.xxhash64("id").alias("key"))
+    wanted = members.select("nid").distinct().join(nodes.select("nid", "id"), "nid").select(F.xxhash64("id").alias("key"))
     bitmap = spark.sparkContext.broadcast(key_bitmap(wanted, "key", bits))
-    sets = stage(
+    sets = (
         _slim(docs, id_col, text_col, F.xxhash64(F.col(id_col).cast("bigint")).alias("p"))
         .mapInArrow(_set_batches(words, bitmap, bits), "node binary, items binary")
-        .groupBy("node").agg(F.first("items").alias("items")),
-        "near-sets",
+        .groupBy("node").agg(F.first("items").alias("items"))
     )
+    sets = stage(sets.join(nodes.select("nid", "node"), "node").select("nid", "items"), "near-sets")
     limit = odd_limit(percent)
-    print_ = nodes.select("node", "n", "odd", "par")
+    print_ = nodes.select("nid", "n", "odd", "par")
 
     def of(x: str) -> DataFrame:
-        return print_.select(*[F.col(c).alias(f"{c}_{x}") for c in print_.columns]).withColumnRenamed(f"node_{x}", x)
+        return print_.select(F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", "par")])
 
-    def near(x: str, y: str) -> Column:
-        """Neither parity bitmap rules the pair out."""
-        differ = lambda c, words_: sum((F.bit_count(F.col(f"{c}_{x}")[k].bitwiseXOR(F.col(f"{c}_{y}")[k])) for k in range(words_)), F.lit(0))
-        size = F.col(f"n_{x}") + F.col(f"n_{y}")
-        return (differ("odd", BITS // 64) < limit) & (differ("par", SET_BITS // 64) * (100 + percent) <= size * (100 - percent))
+    def differ(c: str, words_: int) -> Column:
+        return sum((F.bit_count(F.col(f"{c}_a")[k].bitwiseXOR(F.col(f"{c}_b")[k])) for k in range(words_)), F.lit(0))
+
+    few_odd = differ("odd", BITS // 64) < limit
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-        full = pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
-        return full.mapInArrow(_confirmed(percent), "a binary, b binary")
-
-    pairs = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(confirmed(pairs.join(of("a"), "a").join(of("b"), "b").filter(near("a", "b")).select("a", "b")), "near-links")
-    comp = components(links)
-
-    open_ = members.filter("size > 2").select("bucket", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    split = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    open_ = stage(open_.join(split.select("bucket", F.col("top.comp").alias("top")), "bucket"), "near-open")
-    if not open_.head(1):
-        return comp
-    x = open_.filter("comp <> top").select("bucket", F.col("node").alias("x"), F.col("comp").alias("comp_x")).join(of("x"), "x")
-    y = open_.select("bucket", F.col("node").alias("y"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("top")).alias("main")).join(of("y"), "y")
-    apart = (x["bucket"] == y["bucket"]) & (F.col("comp_x") != F.col("comp_y")) & (F.col("main") | (F.col("x") < F.col("y")))
-    more = x.join(y, apart & near("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = stage(confirmed(more), "near-links")
-    if not more.head(1):
-        return comp
-    return components(links.unionByName(more))
+        """Pairs (a, b) that neither parity bitmap rules out and whose sets agree; a's of very many pairs are spread."""
+        pairs = stage(pairs.distinct(), "near-pairs")
+        n, = pairs.agg(F.count(F.lit(1))).first()
+        often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
+        own = often.join(of("a"), "a").join(sets.select(F.col("nid").alias("a"), F.col("items").alias("items_a")), "a")
+        whole = differ("par", SET_BITS // 64) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+        both = join_groups(pairs, own, ["a"], "c", n).join(of("b"), "b").filter(few_odd & whole).select("a", "b", "items_a")
+        full = both.join(sets.select(F.col("nid").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b")
+        out = stage(full.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "near-links")
+        drop(pairs)
+        return out
+
+    links = confirmed(members.filter("hub <> nid").select(F.col("hub").alias("a"), F.col("nid").alias("b")))
+    comp = components(links).select(F.col("node").alias("at"), "comp")
+
+    placed = members.filter("size > 2").join(comp, F.col("nid") == F.col("at"), "left").select("bucket", "nid", "size", F.coalesce("comp", "nid").alias("comp"))
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("c")).filter("low < high").select("bucket", "c", F.lit(True).alias("open"))
+    open_ = join_groups(placed, split, ["bucket"], "c", count * bands_for(percent)).filter("open").select("nid", "comp").distinct()
+    open_ = stage(open_.join(nodes.select("nid", "odd"), "nid").join(sets, "nid").select("nid", "comp", "odd", "items"), "near-open")
+    if open_.head(1):
+        more = confirmed(_by_prefix(open_, percent, few_odd))
+        if more.head(1):
+            comp = components(links.unionByName(more)).select(F.col("node").alias("at"), "comp")
+    drop(open_, sets)
+    return comp
+
+
+def _by_prefix(open_: DataFrame, percent: int, few_odd: Column) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes."""
+    got = open_.select("items").mapInArrow(_tally, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # 2^20 rows at most
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    counts[got["counter"].to_numpy()] = got["n"].to_numpy()
+    shared = open_.sparkSession.sparkContext.broadcast(counts)
+    rows = stage(open_.mapInArrow(_prefixes(percent, shared), "token bigint, nid bigint, comp bigint, odd array<bigint>, n bigint"), "near-prefixes")
+    total, = rows.agg(F.count(F.lit(1))).first()
+    parts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    met = parts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("f"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "f", F.col("top.comp").alias("top"))
+    rows = join_groups(rows, met, ["token"], "f", total).filter("top is not null").withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int"))
+    a = rows.filter("comp <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("nid").alias("a"), F.col("comp").alias("comp_a"), F.col("odd").alias("odd_a"), F.col("n").alias("n_a"))
+    b = rows.select("token", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), F.col("nid").alias("b"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"), F.col("n").alias("n_b"), (F.col("comp") == F.col("top")).alias("main"))
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("a") < F.col("b")))
+    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return a.join(b, ["token", "block"]).filter(apart & alike & few_odd).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which each group keeps one: the smallest id, nulls last.
 
-    Where ids are null or repeated they do not tell rows apart: such a table is
-    staged with a key of its own per row, and rows with the smallest id of a group go
-    by a print of the text, then by that key.
+    Where ids are null or repeated they do not tell rows apart: such rows are numbered,
+    and of those with the smallest id of a group one stays, by a print of the text, then
+    by number.  So of equal rows one stays, unless they have no words.
     """
-    unclear = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter(F.col(id_col).isNull() | (F.col("rows") > 1))
-    if not unclear.head(1):
-        gone = near_dedup(docs, words, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone"))
-        return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "near-keyed")
-    groups = near_dedup(keyed, words, percent, "_key", text_col).filter("n_shingles > 0").select("_key", "component_id")
-    order = keyed.select("_key", F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col("_key").alias("key")).alias("_order"))
-    groups = stage(groups.join(order, "_key"), "near-order")
-    first = groups.groupBy("component_id").agg(F.min("_order").alias("_order")).select(F.col("_order.key").alias("_key"))
-    return keyed.join(groups.join(first, "_key", "left_anti"), "_key", "left_anti").drop("_key")
+    rows = Rows.of(docs, id_col, text_col)
+    groups = near_dedup(rows.df.select("key", "text"), words, percent, "key", "text")
+    if rows.clear:
+        gone = stage(groups.filter("not kept").select("key"), "near-gone")
+    else:
+        groups = stage(groups.filter("n_shingles > 0").select("key", "component_id").join(rows.df.select("key", rows.order.alias("place")), "key"), "near-order")
+        first = groups.groupBy("component_id").agg(F.min("place").alias("place")).select("place.key")
+        gone = stage(groups.join(first, "key", "left_anti").select("key"), "near-gone")
+        drop(groups)
+    n_gone, = gone.agg(F.count(F.lit(1))).first()
+    same, other = split_by_keys(rows.df, gone, n_gone)
+    return rows.restored(same.unionByName(other.join(gone, "key", "left_anti")))
