@@ -1,23 +1,31 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line is parsed by token count, then by its two leading tokens, then into the
-templates of that leaf: the constants as they are (tokens with a digit are always
-variable), and, from eight tokens on, with one third of the tail generalised to a
-variable field, so every template keeps at least two thirds of its tokens.  The
-path down the tree is one 64-bit hash, so the tree is a grouped count over
-(template, document) with map-side sums, not a structure in one task.
-
-A template found in ``min_docs`` documents or more is boilerplate: its lines stay
-in the document with the smallest id and are dropped elsewhere.  Lines of eight
-tokens and more that are equal as a whole, digits included, are repeats from two
-documents on; a short line or a template's variable field may recur by chance.
-
-Cases: null text counts as empty; blank lines stay; null ids sort last; rows
-repeating an id are counted as further rows of the template, and of those with its
-smallest id the one with the smallest print of the text keeps the lines (one of them
-where texts are equal too); extra columns pass
-through untouched; an empty table gives an empty result; long lines and texts
-are whole.
+A line goes down the tree by its token count, its two leading tokens and a block of its
+other tokens; tokens with a digit are one variable token throughout.
+
+* Lines that recur as they are (masked so) in ``min_docs`` documents or more are
+  templates by themselves.  Lines of eight tokens and more that are equal as a whole,
+  digits included, are repeats from two documents on.
+* The rest is generalised: a template may have one variable field in five tokens, four
+  at most (``fields``).  Its other tokens are cut into one block more than that, so
+  one block is without variable fields and its lines meet in that block's leaf.
+  There a token is constant if it recurs at its place in ``min_docs`` documents
+  (counting a document once per masked line), else a variable field.  A template found
+  in ``min_docs`` documents is recurring.
+* A template needs constants that are no numbers in at least half of its tokens.
+
+Leaves are hashes of the path, so the tree is a chain of grouped counts with map-side
+sums, not a structure in one task; it does not depend on the order of lines or on their
+number.  Only lines with a recurring block, which do not recur as they are, are cut
+into tokens, once per masked line.
+
+Recurring lines stay in the document with the smallest id and are dropped elsewhere.
+
+Cases: null text counts as empty; blank lines stay; null ids sort last; where ids
+are null or repeated every row counts, and of those with the smallest id the one with
+the smallest print of the text keeps the lines (one of them where texts are equal too);
+extra columns pass through untouched, whatever their names; an empty table gives an
+empty result; long lines and texts are whole.
 """
 
 from __future__ import annotations
@@ -26,88 +34,142 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop, stage
 from . import rolling as R
+from .rows import Rows, free_name, split_by_keys
 from .screen import bits_for, hits, key_bitmap
 from .skew import join_groups
-from .staging import stage
 
 U = R.U
-LEAD, PARTS, GENERAL_FROM = 2, 3, 8
+LEAD, PER_FIELD, MOST_FIELDS, WHOLE_FROM = 2, 5, 4, 8
+MASKED, WHOLE, BLOCK_ = 0, 1, 2  # last two bits of a key: a masked line, a line as it is, a block
 _C = [U(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
-_LAST = 2**63 - 1
-
-
-def templates(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line within the text, template hash), up to five rows for a line with tokens.
-
-    The last bit of the hash is set where it stands for a whole line of at least
-    ``GENERAL_FROM`` tokens as they are.
-    """
-    starts, ends, _ = R.tokens(data, offs)
-    breaks = np.flatnonzero(data == 10)
-    cuts = np.sort(np.concatenate([breaks + 1, offs[:-1]]), kind="stable")  # where lines begin
-    cuts_text = np.searchsorted(offs, cuts, "right") - 1
-    # a break that ends its text begins the next text's place; it belongs to its own
-    line_of = np.searchsorted(cuts, starts, "right") - 1
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    pre = R.prefixes(data)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    h = R.mix(R.stretches(pre, starts, ends) + (ends - starts).astype(U) * _C[2])
-    varies = digits[ends] > digits[starts]
-    exact = h.copy()
-    h[varies] = U(42)
-    first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
-    count = np.diff(np.concatenate([first, [len(starts)]]))
-    place = np.arange(len(starts)) - np.repeat(first, count)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(R.mix(h + (place + 1).astype(U) * _C[0]))])
-    whole = sums[first + count] - sums[first]
-    tag = count.astype(U) * _C[1]
-    text = np.searchsorted(offs, starts[first], "right") - 1
-    lines_before = np.searchsorted(breaks, offs[:-1])
-    line = np.searchsorted(breaks, starts[first]) - lines_before[text]
-    numbers = np.add.reduceat(varies, first, dtype=np.int64) > 0
-    asis = (count >= GENERAL_FROM) & ~numbers  # such a template is the line itself
-    out = [(text, line, R.mix(whole + tag) & ~U(1) | asis.astype(U))]
-    more = np.flatnonzero((count >= GENERAL_FROM) & numbers)
-    if len(more):
-        sums_ = np.concatenate([np.zeros(1, U), np.cumsum(R.mix(exact + (place + 1).astype(U) * _C[0]))])
-        out.append((text[more], line[more], R.mix(sums_[first[more] + count[more]] - sums_[first[more]] + tag[more]) | U(1)))
-    big = np.flatnonzero(count >= GENERAL_FROM)
-    tail = count[big] - LEAD
-    for k in range(PARTS):
-        lo = first[big] + LEAD + tail * k // PARTS
-        hi = first[big] + LEAD + tail * (k + 1) // PARTS
-        out.append((text[big], line[big], R.mix(whole[big] - (sums[hi] - sums[lo]) + tag[big] + U((k + 1) * int(_C[2]) % (1 << 64))) & ~U(1)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+_NUMBER = U(42)
+
+
+def fields(count):
+    """Variable fields that a template of so many tokens may have."""
+    return np.minimum(count // PER_FIELD, MOST_FIELDS)
+
+
+def _tagged(h: np.ndarray, tag) -> np.ndarray:
+    return R.mix(h) & ~U(3) | np.asarray(tag).astype(U)
+
+
+class Lines:
+    """Lines with tokens of a slice of texts, and their keys."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        starts, ends, _ = R.tokens(data, offs)
+        breaks = np.flatnonzero(data == 10)
+        cuts = np.sort(np.concatenate([breaks + 1, offs[:-1]]), kind="stable")  # where lines begin
+        line_of = np.searchsorted(cuts, starts, "right") - 1
+        pre = R.prefixes(data)
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        exact = R.mix(R.stretches(pre, starts, ends) + (ends - starts).astype(U) * _C[2])
+        numbers = digits[ends] > digits[starts]
+        self.tokens = np.where(numbers, _NUMBER, exact)
+        self.first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]])) if len(starts) else np.zeros(0, np.int64)
+        self.count = np.diff(np.concatenate([self.first, [len(starts)]])).astype(np.int64)
+        self.place = np.arange(len(starts)) - np.repeat(self.first, self.count)
+        self.text = np.searchsorted(offs, starts[self.first], "right") - 1
+        # a break that ends its text begins the next text's place; it belongs to its own
+        self.line = np.searchsorted(breaks, starts[self.first]) - np.searchsorted(breaks, offs[:-1])[self.text]
+        self.sums, whole = self._sums(self.tokens), self._sums(exact)
+        tag = self.count.astype(U) * _C[1]
+        last = self.first + self.count
+        digital = np.add.reduceat(numbers, self.first, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        self.worded = 2 * digital <= self.count
+        asis = (self.count >= WHOLE_FROM) & (digital == 0)  # such a masked line is the line itself
+        self.masked = _tagged(self.sums[last] - self.sums[self.first] + tag, asis)
+        self.long = (self.count >= WHOLE_FROM) & (digital > 0)
+        self.exact = _tagged(whole[last] - whole[self.first] + tag + _C[2], WHOLE)
+        lead = self.sums[np.minimum(self.first + LEAD, last)] - self.sums[self.first]
+        self._leaf = R.mix(lead + tag)
+        self.fields = np.where(self.worded, fields(self.count), 0)
+
+    def _sums(self, tokens: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, U), np.cumsum(R.mix(tokens + (self.place + 1).astype(U) * _C[0]))])
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of every block of the lines that may have variable fields."""
+        at = np.flatnonzero(self.fields)
+        n = self.fields[at] + 1
+        row = np.repeat(at, n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        tail, n = self.count[row] - LEAD, np.repeat(n, n)
+        lo, hi = (self.first[row] + LEAD + tail * x // n for x in (k, k + 1))
+        return row, _tagged(self.sums[hi] - self.sums[lo] + self._leaf[row] + k.astype(U) * _C[2], BLOCK_)
+
+
+def _taken(b: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    """What identifies the rows: all columns but the text."""
+    at = pa.array(row)
+    return [c.take(at) for c in b.columns[:-1]]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of every text, each once."""
     for b in batches:
-        for lo, _, data, offs in R.slices(b.column(1)):
-            text, _, sig = templates(data, offs)
+        for lo, _, data, offs in R.slices(b.column(b.num_columns - 1)):
+            x = Lines(data, offs)
+            row, block = x.blocks()
+            text = np.concatenate([x.text[x.worded], x.text[x.long], x.text[row]])
+            sig = np.concatenate([x.masked[x.worded], x.exact[x.long], block])
             by = np.lexsort((sig, text))
             text, sig = text[by], sig[by]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (text[1:] != text[:-1])
-            row = pa.array(lo + text[new])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[new].view(np.int64)), b.column(0).take(row), b.column(2).take(row)], names=["sig", "id", "rk"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[new].view(np.int64)), *_taken(b, lo + text[new])], names=["sig", *b.schema.names[:-1]])
+
+
+def _lists(values: np.ndarray, begin: np.ndarray, size: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Stretches of ``values`` as lists, null where not ``some``."""
+    size = np.where(some, size, 0)
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values[at].view(np.int64)), mask=pa.array(~some))
 
 
 def _found_batches(bits: int, shared):
+    """Lines that may recur as they are, and those with a block that may recur.
+
+    ``blocks`` is null for lines without such a block; it and ``toks`` are filled for the
+    first line of its masked form in a slice, else empty and null.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, data, offs in R.slices(b.column(1)):
-                text, line, sig = templates(data, offs)
-                hit = hits(shared.value, bits, sig)
-                row = pa.array(lo + text[hit])
+            for lo, _, data, offs in R.slices(b.column(b.num_columns - 1)):
+                x = Lines(data, offs)
+                row, block = x.blocks()
+                hit = hits(shared.value, bits, block)
+                row, block = row[hit], block[hit]
+                of = np.bincount(row, minlength=len(x.count))  # blocks of each line, which are neighbours
+                mine = np.flatnonzero(x.worded & (hits(shared.value, bits, x.masked) | (of > 0)))
+                long_ = np.flatnonzero(x.long & hits(shared.value, bits, x.exact))
+                _, at = np.unique(x.masked[mine], return_index=True)
+                fresh = np.zeros(len(mine), bool)
+                fresh[at] = True
+                fresh &= of[mine] > 0
+                begin = np.cumsum(of) - of
+                none = np.zeros(len(long_), bool)
+                line = np.concatenate([mine, long_])
+                size = np.where(np.concatenate([fresh, none]), of[line], 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig[hit].view(np.int64)), b.column(0).take(row), b.column(2).take(row), pa.array(line[hit].astype(np.int32))], names=["sig", "id", "rk", "line"]
+                    [
+                        pa.array(np.concatenate([x.masked[mine], x.exact[long_]]).view(np.int64)),
+                        *_taken(b, lo + x.text[line]),
+                        pa.array(x.line[line].astype(np.int32)),
+                        _lists(block, begin[line], size, np.concatenate([of[mine] > 0, none])),
+                        _lists(x.tokens, x.first[line], x.count[line], np.concatenate([fresh, none])),
+                    ],
+                    names=["sig", *b.schema.names[:-1], "line", "blocks", "toks"],
                 )
 
     return run
@@ -119,45 +181,71 @@ def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         texts, n = [], []
         k = b.num_columns - 2
         for t, gone in zip(b.column(k), b.column(k + 1)):
-            if not gone.is_valid:
-                texts.append(t.as_py())
-                n.append(0)
-                continue
-            drop = set(gone.as_py())
-            texts.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in drop))
-            n.append(len(drop))
+            drop_ = set(gone.as_py() or ())
+            texts.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in drop_) if drop_ else t.as_py())
+            n.append(len(drop_))
         yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=[*b.schema.names[:k], "text", "n_dropped"])
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with recurring lines gone from the text, and n_dropped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    slim = docs.select(ident.alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rk"))
-    # where ids tell rows apart, the smaller key is enough
-    repeated = bool(slim.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").head(1))
-    row = F.struct("id", "rk") if repeated else F.col("id")
-    counted = slim.mapInArrow(_count_batches, "sig bigint, id bigint, rk bigint").select("sig", row.alias("row"))
-    least = F.when(F.col("sig").bitwiseAND(1) == 1, min(min_docs, 2)).otherwise(min_docs)
-    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("holder")).filter(F.col("n") >= least), "line-templates")
+def _generalised(rare: DataFrame, rows: Rows, min_docs: int) -> DataFrame:
+    """(sig, tpl): the templates of masked lines that do not recur as they are."""
+    docs = rare.select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
+    forms = rare.filter("toks is not null").groupBy("sig").agg(F.first("blocks").alias("blocks"), F.first("toks").alias("toks")).join(docs, "sig")
+    leaf = forms.select("sig", "w", "toks", F.explode("blocks").alias("leaf"))
+    toks = leaf.select("sig", "leaf", "w", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
+    toks = stage(toks.select("sig", "leaf", "w", "n", F.xxhash64("pos", "tok").alias("field"), F.xxhash64("leaf", "pos", "tok").alias("at")), "line-fields")
+    support = toks.groupBy("at").agg(F.sum("w").alias("docs"), F.count(F.lit(1)).alias("rows")).filter(F.col("docs") >= min_docs)
+    total, = toks.agg(F.count(F.lit(1))).first()
+    constant = join_groups(toks, support.select("at", "rows", F.lit(True).alias("fixed")), ["at"], "rows", total).filter("fixed")
+    kept = constant.groupBy("sig", "leaf", "n").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("field").alias("x"))
+    spare = F.least(F.expr(f"n div {PER_FIELD}"), F.lit(MOST_FIELDS))
+    out = stage(kept.filter(F.col("n") - F.col("c") <= spare).select("sig", F.xxhash64("leaf", "x", "c").alias("tpl")), "line-forms")
+    drop(toks)
+    return out
+
+
+def recurring_lines(rows: Rows, min_docs: int = 3) -> DataFrame:
+    """(key, gone): numbers of the lines to drop, of the rows that have some."""
+    slim = rows.df.select(*rows.slim, "text")
+    kinds = ", ".join(f"{c} bigint" for c in rows.slim)
+    counted = slim.mapInArrow(_count_batches, f"sig bigint, {kinds}")
+    least = F.when(F.col("sig").bitwiseAND(3) == WHOLE, min(min_docs, 2)).otherwise(min_docs)
+    table = stage(counted.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(rows.order).alias("holder")).filter(F.col("n") >= least), "line-templates")
     count, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = bits_for(count)
-    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(table, "sig", bits))
-    found = slim.mapInArrow(_found_batches(bits, shared), "sig bigint, id bigint, rk bigint, line int")
-    lines = join_groups(found, table, ["sig"], "n", total).filter("holder is not null").withColumn("_kept", F.col("holder") == row)
-    if not repeated:
-        lines = lines.filter("not _kept")
-    by_row = lines.groupBy(F.col("id").alias("_i"), F.col("rk").alias("_r"))
-    gone = by_row.agg(F.collect_set(F.when(~F.col("_kept"), F.col("line"))).alias("_gone"), F.collect_set("line").alias("_all")) if repeated else by_row.agg(F.collect_set("line").alias("_gone"))
-    others = [c for c in docs.columns if c != text_col]
-    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]  # no clash with names of ours
-    wide = docs.select(*named, ident.alias("_id"), F.xxhash64(F.col(id_col), text).alias("_rk"), text.alias("_text"))
-    ready = wide.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_rk") == F.col("_r")), "left")
-    if repeated:  # of rows equal in id and text, the first keeps what this row keeps
-        number = F.row_number().over(Window.partitionBy("_id", "_rk").orderBy("_id"))
-        ready = ready.withColumn("_no", number).withColumn("_gone", F.when(F.col("_no") == 1, F.col("_gone")).otherwise(F.col("_all")))
-    ready = ready.select(*[f"c{i}" for i in range(len(others))], "_text", "_gone")
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    out = ready.mapInArrow(_rewrite_batches, f"{kinds}{', ' if kinds else ''}text string, n_dropped bigint")
-    place = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(others)}
-    return out.select(*[place.get(c, F.col("text").alias(c)) for c in docs.columns], "n_dropped")
+    shared = slim.sparkSession.sparkContext.broadcast(key_bitmap(table, "sig", bits))
+    found = slim.mapInArrow(_found_batches(bits, shared), f"sig bigint, {kinds}, line int, blocks array<bigint>, toks array<bigint>")
+    met = stage(join_groups(found, table.filter(F.col("sig").bitwiseAND(3) != BLOCK_), ["sig"], "n", total), "line-found")
+    gone = met.filter("holder is not null").filter(F.col("holder") != rows.order).select("key", "line")
+    rare = met.filter("holder is null and blocks is not null")
+    forms = _generalised(rare, rows, min_docs)
+    lines = stage(rare.select("sig", *rows.slim, "line").join(forms, "sig").drop("sig"), "line-rare")
+    by_row = lines.select("tpl", *rows.slim).distinct()
+    tpls = by_row.groupBy("tpl").agg(F.count(F.lit(1)).alias("n"), F.min(rows.order).alias("holder")).filter(F.col("n") >= min_docs)
+    rare_total, = by_row.agg(F.count(F.lit(1))).first()
+    more = join_groups(lines, tpls, ["tpl"], "n", rare_total).filter("holder is not null").filter(F.col("holder") != rows.order)
+    out = stage(gone.unionByName(more.select("key", "line")).groupBy("key").agg(F.collect_set("line").alias("gone")), "line-gone")
+    drop(table, met, forms, lines)
+    return out
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", count_as: str | None = "n_dropped", keep_emptied: bool = True) -> DataFrame:
+    """The rows of ``docs`` with recurring lines gone from the text, and how many went.
+
+    The count's column is ``count_as`` (with underscores in front where the table has one
+    of that name; None for none).  Without ``keep_emptied``, rows go that had words and are
+    left without one.
+    """
+    rows = Rows.of(docs, id_col, text_col)
+    gone = recurring_lines(rows, min_docs)
+    n_gone, = gone.agg(F.count(F.lit(1))).first()
+    same, other = split_by_keys(rows.df, gone, n_gone)
+    others = [f"c{i}" for i in range(len(docs.columns))]
+    ready = other.join(gone, "key", "left").select(*others, "text", "gone")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.select(*others).schema)
+    changed = ready.mapInArrow(_rewrite_batches, f"{kinds}, text string, n_dropped bigint")
+    if not keep_emptied:
+        changed = changed.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = same.select(*others, "text", F.lit(0).cast("bigint").alias("n_dropped")).unionByName(changed)
+    more: list[Column] = [F.col("n_dropped").alias(free_name(docs.columns, count_as))] if count_as else []
+    return rows.restored(out, *more, **{text_col: F.col("text")})
