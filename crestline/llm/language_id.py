@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .skew import join_groups
-from .staging import stage
+from ..plans.staging import drop, stage
 
 FIT_ROWS = 2000
 BUCKETS = 16
@@ -66,6 +66,15 @@ def trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def counted(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams that count, text after text, and where each text's begin (and the end)."""
+    gram, counts = trigrams(data)
+    tail = np.concatenate([offs[1:] - 1, offs[1:] - 2])  # none reaches into the next text
+    counts[tail[tail >= 0]] = False
+    at = np.flatnonzero(counts)
+    return gram[at], np.searchsorted(at, offs)
+
+
 @dataclass(frozen=True)
 class TextModel:
     langs: list[str]
@@ -73,20 +82,47 @@ class TextModel:
     floor: float  # worst mean log likelihood of the sample under its language
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
-        langs = sorted({lang for lang, _ in rows})
-        count = np.zeros((1 << BUCKETS, len(langs)))
-        coded = [(langs.index(lang), *trigrams(np.frombuffer(t.encode(), np.uint8))) for lang, t in rows]
-        texts = [(k, b[c]) for k, b, c in coded]
-        for k, b in texts:
-            count[:, k] += np.bincount(b, minlength=1 << BUCKETS)
+    def of(cls, langs: list[str], count: np.ndarray, floor: float = -math.inf) -> TextModel:
+        """From counts (2^BUCKETS, languages)."""
         # smoothed by the trigram's share over all languages
         base = (count.sum(1) + 0.5) / (count.sum() + 0.5 * len(count))
         p = (count + 20 * len(langs) * base[:, None]) / (count.sum(0) + 20 * len(langs))
         p = 0.98 * p + 0.02 / len(count)
-        table = np.log(p)
-        means = [float(table[b, k].mean()) for k, b in texts if len(b) >= JUDGED]
-        return cls(langs, table.astype(np.float32), min(means, default=-math.inf) - MARGIN)
+        return cls(langs, np.log(p).astype(np.float32), floor)
+
+    def sums(self, gram: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(texts, languages) log likelihoods."""
+        out = np.zeros((len(first) - 1, len(self.langs)))
+        full = np.flatnonzero(np.diff(first))  # their stretches follow one another without gaps
+        if len(full) and len(self.langs):
+            out[full] = np.add.reduceat(self.table[gram].astype(np.float64), first[:-1][full], axis=0)
+        return out
+
+
+def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of (lang, text) rows."""
+    for b in batches:
+        for lo, hi, data, offs in R.slices(b.column(1), _SLICE):
+            gram, first = counted(data, offs)
+            langs = b.column(0).slice(lo, hi - lo).to_pylist()
+            for lang in set(langs):
+                mine = np.repeat([x == lang for x in langs], np.diff(first))
+                bucket, n = np.unique(gram[mine], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+
+
+def _sample_means(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: TextModel = shared.value
+        for b in batches:
+            for lo, hi, data, offs in R.slices(b.column(1), _SLICE):
+                gram, first = counted(data, offs)
+                n = np.diff(first)
+                k = [model.langs.index(x) for x in b.column(0).slice(lo, hi - lo).to_pylist()]
+                mean = model.sums(gram, first)[np.arange(hi - lo), k] / np.maximum(n, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(mean[n >= JUDGED])], names=["mean"])
+
+    return run
 
 
 def _likelihood_batches(shared):
@@ -98,17 +134,9 @@ def _likelihood_batches(shared):
         for b in batches:
             k = b.num_columns - 1
             for lo, hi, data, offs in R.slices(b.column(k), _SLICE):
-                gram, counts = trigrams(data)
-                tail = np.concatenate([offs[1:] - 1, offs[1:] - 2])
-                counts[tail[tail >= 0]] = False
-                at = np.flatnonzero(counts)
-                first = np.searchsorted(at, offs)
+                gram, first = counted(data, offs)
                 grams = np.diff(first)
-                sums = np.zeros((hi - lo, width))
-                full = np.flatnonzero(grams)  # their stretches follow one another without gaps
-                if len(full) and width:
-                    sums[full] = np.add.reduceat(model.table[gram[at]].astype(np.float64), first[:-1][full], axis=0)
-                mean = sums / np.maximum(grams, 1)[:, None]
+                mean = model.sums(gram, first) / np.maximum(grams, 1)[:, None]
                 ll = mean * np.minimum(grams, EVIDENCE)[:, None]
                 solid = ((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 0x80)
                 letters = np.concatenate([[0], np.cumsum(solid)])
@@ -145,13 +173,25 @@ def from_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
 
 
 def fit_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS) -> TextModel:
-    """Fit on at most ``rows`` labelled rows, chosen by a hash of their ids."""
-    known = labelled.filter(F.col(lang_col).isNotNull()).withColumn("_o", F.xxhash64(id_col))
-    low = known.select("_o").orderBy("_o").limit(rows).agg(F.max("_o")).first()[0]
+    """Fit on at most ``rows`` labelled rows, chosen by a hash of their ids.
+
+    The driver gets counts per trigram bucket and language; the texts stay in the cluster.
+    """
+    known = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col).alias("o"))
+    low = known.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
     if low is None:
         return TextModel([], np.zeros((1 << BUCKETS, 0), np.float32), -math.inf)
-    got = known.filter(F.col("_o") <= low).orderBy("_o").limit(rows).select(lang_col, text_col, id_col).collect()
-    return TextModel.fit(sorted((r[0], r[1] or "") for r in got))
+    sample = stage(known.filter(F.col("o") <= low).orderBy("o").limit(rows).select("lang", "text"), "language-sample")
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    got = sample.mapInArrow(_sample_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros((1 << BUCKETS, len(langs)))
+    place = {x: i for i, x in enumerate(langs)}
+    count[got["bucket"].to_numpy(), [place[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
+    model = TextModel.of(langs, count)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    worst, = sample.mapInArrow(_sample_means(shared), "mean double").agg(F.min("mean")).first()
+    drop(sample)
+    return TextModel(model.langs, model.table, -math.inf if worst is None else worst - MARGIN)
 
 
 def _vector(col: str | Column, n: int) -> list[Column]:
