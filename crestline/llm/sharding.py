@@ -1,11 +1,13 @@
 """Sharding by sampled splitters, DataFrame functions only.  Law: bytes.
 
-1. Slim rows (id, size, crc, key hash) are computed in one scan and staged.
+1. Slim rows (id, size, crc, key hash, number) are computed in one scan and staged.
 2. Keys are drawn with probability proportional to size (a hash of the row
    decides, so a rerun draws the same) and their weighted quantiles bound ranges
-   of the key (text hash, id).  Equal texts are neighbours in that order.
+   of the key (text hash, id, row number).  Equal texts are neighbours in that order.
 3. Exact bytes per range are counted; ranges over twice the mean are subdivided
-   by a fresh sample from inside them, by id where one text fills the range.
+   by a fresh sample from inside them until none is left but single rows.  As row
+   numbers are distinct, any range can be cut: by id where one text fills it, by number
+   where text and id are equal.
 4. A row's shard is where the midpoint of its bytes falls on the cumulated
    bytes: exact offsets of ranges plus a running sum inside each range.  A group
    of equal texts moves as one unless it is larger than 1/64 of a shard.
@@ -21,11 +23,12 @@ A row larger than a shard stays whole, so its shard is larger.
 from __future__ import annotations
 
 import bisect
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..plans.staging import stage
 
 _MIN = -(2**63)
 SAMPLES_PER_RANGE = 32
@@ -37,86 +40,95 @@ def _array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def range_of(bounds: list[tuple[int, int]], key: Column, sub: Column) -> Column:
-    """Number of bounds <= (key, sub), by binary search inside the expression."""
+Bound = tuple[int, int, int]  # h, k, u
+_KEYS = ("h", "k", "u")
+
+
+def range_of(bounds: list[Bound]) -> Column:
+    """Number of bounds <= (h, k, u), by binary search inside the expression."""
     if not bounds:
         return F.lit(0)
-    hs, ids = _array([b[0] for b in bounds]), _array([b[1] for b in bounds])
+    at_ = [_array([b[i] for b in bounds]) for i in range(3)]
     steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
 
     def probe(pos: Column, step: Column) -> Column:
-        at = pos + step - 1
-        h, i = F.get(hs, at), F.get(ids, at)
-        return F.when((h < key) | ((h == key) & (i <= sub)), pos + step).otherwise(pos)
+        h, k, u = (F.get(a, pos + step - 1) for a in at_)
+        below = (h < F.col("h")) | ((h == F.col("h")) & ((k < F.col("k")) | ((k == F.col("k")) & (u <= F.col("u")))))
+        return F.when(below, pos + step).otherwise(pos)
 
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
 
 
 def _uniform(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64("h", "k", F.lit(seed)), 11) / F.lit(float(2**53))
+    return F.shiftrightunsigned(F.xxhash64(*_KEYS, F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def _sample(rows: DataFrame, unit: float, seed: int) -> list[tuple[int, int, float]]:
-    """(key, sub, weight) drawn with probability size/unit, at most 1."""
-    got = rows.filter(_uniform(seed) < F.col("size") / F.lit(unit)).select("h", "k", "size").collect()
-    return sorted((r["h"], r["k"], max(float(r["size"]), unit)) for r in got)
+def _sample(rows: DataFrame, unit: float, seed: int) -> list[tuple[Bound, float, float]]:
+    """(key, size, weight) drawn with probability size/unit, at most 1."""
+    got = rows.filter(_uniform(seed) < F.col("size") / F.lit(unit)).select(*_KEYS, "size").collect()
+    return sorted(((r["h"], r["k"], r["u"]), float(r["size"]), max(float(r["size"]), unit)) for r in got)
 
 
-def _quantiles(drawn: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
+def _quantiles(drawn: list[tuple[Bound, float, float]], parts: int, mean: float) -> list[Bound]:
+    """Bounds at the weighted quantiles; a row larger than a range is cut out on both sides."""
     total, run, out = sum(w for *_, w in drawn), 0.0, []
-    for h, k, w in drawn:
-        if out and len(out) >= parts - 1:
-            break
+    for (h, k, u), size, w in drawn:
         run += w
-        if run >= total * (len(out) + 1) / parts:
-            out.append((h, k))
+        if run >= total * (len(out) + 1) / parts and len(out) < parts - 1:
+            out.append((h, k, u))
             while len(out) < parts - 1 and run >= total * (len(out) + 1) / parts:
-                out.append((h, k))  # several quantiles in one heavy row: merged below
+                out.append((h, k, u))  # several quantiles in one heavy row: merged below
+        if size > mean:
+            out += [(h, k, u), (h, k, u + 1)]
     return out
 
 
-def _snapped(bounds: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A key hit once is cut before its group; one hit repeatedly is cut inside too."""
-    by: dict[int, set[int]] = {}
-    for h, k in bounds:
-        by.setdefault(h, set()).add(k)
-    return sorted({(h, _MIN) for h in by} | {(h, k) for h, ks in by.items() if len(ks) > 1 for k in ks})
+def _snapped(bounds: set[Bound]) -> set[Bound]:
+    """A text hit once is cut before its group; one hit repeatedly is cut inside too."""
+    by: dict[int, set[Bound]] = {}
+    for b in bounds:
+        by.setdefault(b[0], set()).add(b)
+    return {(h, _MIN, _MIN) for h in by} | {b for bs in by.values() if len(bs) > 1 for b in bs}
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null)."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = stage(
-        docs.select(
-            F.col(id_col).cast("bigint").alias("id"),
-            (F.octet_length(text) + 8).cast("bigint").alias("size"),
-            F.crc32(text).alias("crc"),
-            F.xxhash64(text).alias("h"),
-            F.coalesce(F.col(id_col).cast("bigint"), F.lit(_MIN)).alias("k"),
-        ),
-        "shard-rows",
+    return docs.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        (F.octet_length(text) + 8).cast("bigint").alias("size"),
+        F.crc32(text).alias("crc"),
+        F.xxhash64(text).alias("h"),
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_MIN)).alias("k"),
     )
-    n, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(shards * 8, -(-n // ROWS_PER_RANGE))
-    mean = max(1.0, total / ranges)
-    bounds = _snapped(set(_quantiles(_sample(slim, mean / SAMPLES_PER_RANGE, seed), ranges))) if n else []
-    for again in range(1, 4):
-        ranged = slim.withColumn("r", range_of(bounds, F.col("h"), F.col("k")))
+
+
+def ranges_of(rows: DataFrame, ranges: int, mean: float, seed: int) -> tuple[list[Bound], dict[int, tuple[int, int]]]:
+    """Bounds, and (bytes, rows) of each range: at most twice the mean, or a single row."""
+    unit = mean / SAMPLES_PER_RANGE
+    bounds = sorted(_snapped(set(_quantiles(_sample(rows, unit, seed), ranges, mean))))
+    for again in count(1):
+        ranged = rows.withColumn("r", range_of(bounds))
         sums = {r["r"]: (r["b"], r["n"]) for r in ranged.groupBy("r").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
         over = sorted(r for r, (b, c) in sums.items() if b > 2 * mean and c > 1)
-        if not over or again == 3:
-            break
-        drawn = _sample(ranged.filter(F.col("r").isin(over)), mean / SAMPLES_PER_RANGE, seed + again)
-        more: set[tuple[int, int]] = set()
+        if not over:
+            return bounds, sums
+        drawn = _sample(ranged.filter(F.col("r").isin(over)), unit, seed + again)
+        keys = [d[0] for d in drawn]
+        more: set[Bound] = set()
         for r in over:
-            low = bounds[r - 1] if r else (_MIN, _MIN)
-            high = bounds[r] if r < len(bounds) else (2**63, 0)
-            i, j = (bisect.bisect_left(drawn, (*b, 0.0)) for b in (low, high))
-            more |= set(_quantiles(drawn[i:j], -(-2 * int(sums[r][0]) // int(mean))))
-        fresh = sorted(set(bounds) | (set(_snapped(more)) if again == 1 else more))
-        if fresh == bounds:
-            break
-        bounds = fresh
+            i = bisect.bisect_left(keys, bounds[r - 1]) if r else 0
+            j = bisect.bisect_left(keys, bounds[r]) if r < len(bounds) else len(keys)
+            more |= set(_quantiles(drawn[i:j], -(-2 * int(sums[r][0]) // int(mean)), mean))
+        bounds = sorted(set(bounds) | (_snapped(more) if again == 1 else more))
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
+    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null)."""
+    slim = stage(keyed(docs, id_col, text_col).withColumn("u", F.monotonically_increasing_id()), "shard-rows")
+    n, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(shards * 8, -(-n // ROWS_PER_RANGE))
+    bounds, sums = ranges_of(slim, ranges, max(1.0, total / ranges), seed) if n else ([], {})
+    ranged = slim.withColumn("r", range_of(bounds))
     spark = docs.sparkSession
     offsets, at_b, at_n = [], 0, 0
     for r in sorted(sums):
@@ -124,7 +136,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
         at_b, at_n = at_b + sums[r][0], at_n + sums[r][1]
     # bounded by the number of ranges, as checked above
     starts = F.broadcast(spark.createDataFrame(offsets, "r int, from_b bigint, from_n bigint"))
-    by_range = Window.partitionBy("r").orderBy("h", "k", "size")
+    by_range = Window.partitionBy("r").orderBy(*_KEYS)
     group = Window.partitionBy("r", "h")
     before = F.sum("size").over(by_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = (
