@@ -6,15 +6,21 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from crestline.llm import near_dedup as N
 from crestline.llm import queries as Q
+from crestline.llm import rolling as R
 from crestline.llm import sharding as S
 from crestline.llm import suffix_dedup as X
+from crestline.llm.components import components
 from crestline.llm.exact_dedup import exact_dedup
 from crestline.llm.line_templates import drop_recurring_lines
+from crestline.llm.screen import bits_for, hits, key_bitmap, with_hit
+
+from .brute import line_templates, without_recurring_lines
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -39,8 +45,26 @@ def test_exact_keeps_the_longest_original(spark):
 
 def test_exact_excludes_collisions(spark):
     weak = lambda norm: F.unhex(F.lit("00"))
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs(spark, [(1, "a"), (2, "b"), (3, "a ")]), hash_of=weak).collect()}
-    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+    rows = [(1, "a"), (2, "b"), (3, "a "), (None, " c"), (4, "c")]
+    for options in ({"hash_of": weak}, {"hash_of": weak, "digest_of": weak}):
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs(spark, rows), **options).collect()}
+        assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), None: (None, 2), 4: (None, 2)}
+
+
+def test_exact_groups_of_long_texts(spark):
+    wide = [(i, f"{i} " * 400) for i in range(300)] + [(900, "twin " * 300), (901, "twin " * 300)]
+    got = {r.doc_id: r.group_size for r in exact_dedup(docs(spark, wide)).collect()}
+    assert {i for i, n in got.items() if n > 1} == {900, 901}
+
+
+def test_screen_lets_all_keys_through(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(20000).withColumn("key", F.xxhash64("id"))
+    out = with_hit(rows, F.col("key"), keys, "k", 5000, "hit").select("id", "hit").collect()
+    assert len(out) == 20000 and all(r.hit for r in out if r.id < 5000) and sum(r.hit for r in out) < 6500
+    bitmap = key_bitmap(keys, "k", bits_for(5000))
+    h = np.array([r.key for r in rows.collect()], np.int64)
+    assert hits(bitmap, bits_for(5000), h).sum() == sum(r.hit for r in out)
 
 
 def test_exact_matches_sql(spark, duck):
@@ -83,10 +107,26 @@ def test_shard_cases(spark):
 
 
 def test_ranges_by_binary_search(spark):
-    bounds = [(1, 0), (1, 5), (3, -2), (9, 9)]
-    keys = [(h, k) for h in range(-1, 11) for k in (-3, 0, 5, 9)]
-    got = spark.createDataFrame(keys, "h bigint, k bigint").select("h", "k", S.range_of(bounds, F.col("h"), F.col("k")).alias("r")).collect()
-    assert all(r.r == sum(b <= (r.h, r.k) for b in bounds) for r in got)
+    bounds = [(1, 0, 0), (1, 5, 2), (1, 5, 3), (3, -2, 0), (9, 9, 1)]
+    keys = [(h, k, u) for h in range(-1, 11) for k in (-3, 0, 5, 9) for u in range(4)]
+    got = spark.createDataFrame(keys, "h bigint, k bigint, u bigint").select("h", "k", "u", S.range_of(bounds).alias("r")).collect()
+    assert all(r.r == sum(b <= (r.h, r.k, r.u) for b in bounds) for r in got)
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one giant", "one id"])
+def test_ranges_are_subdivided_until_none_is_overfull(spark, kind):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abc ", k=200))) for i in range(400)]
+    same = "all of these rows are equal in text and id " * 4
+    rows += {"null ids": [(None, same)] * 1200, "one giant": [(9000, "g" * 90_000), *[(9001 + i, "g") for i in range(300)]], "one id": [(77, same)] * 1200}[kind]
+    slim = S.keyed(docs(spark, rows)).withColumn("u", F.monotonically_increasing_id()).cache()
+    mean = sum(len((t or "").encode()) + 8 for _, t in rows) / 192
+    bounds, sums = S.ranges_of(slim, 192, mean, 3)
+    assert all(b <= 2 * mean or n == 1 for b, n in sums.values())
+    got = S.shard_by_bytes(docs(spark, rows), 24).collect()
+    sizes = check_shards(got, 24, len(rows))
+    if kind != "one giant":
+        assert max(sizes) < 1.1 * sum(sizes) / 24
 
 
 # byte strings
@@ -114,9 +154,11 @@ def repeats(df):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("sorted_classes", [5000, 3])
-def test_repeats_match_brute_force(spark, monkeypatch, sorted_classes):
-    monkeypatch.setattr(X, "SORTED_CLASSES", sorted_classes)
+@pytest.mark.parametrize("cell, part", [(1000, 1 << 20), (3, 1 << 20), (5, 300)])
+def test_repeats_match_brute_force(spark, monkeypatch, cell, part):
+    """Also with cells that small groups overfill, and texts in parts."""
+    monkeypatch.setattr(X, "CELL", cell)
+    monkeypatch.setattr(R, "SLICE", part)
     rng = random.Random(3)
     text = lambda n: "".join(rng.choices("abcdefgh éñ\n", k=n))
     base = [text(900) for _ in range(5)]
@@ -142,6 +184,26 @@ def test_suffix_sort():
     assert [key(i) for i in order] == sorted(key(i) for i in range(360))
 
 
+def test_parts_of_long_texts_hold_every_window_once(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab é", k=k)) for k in (0, 150, 5000, 10, 700, 2300)]
+    seen = Counter()
+    for lo, _, data, offs, start in R.chunks(pa.array(texts), 200, 500):
+        for d in range(len(offs) - 1):
+            for p in range(offs[d], offs[d + 1] - 199):
+                seen[lo + d, p - offs[d] + start, data[p : p + 200].tobytes()] += 1
+    want = {(i, p, b[p : p + 200]) for i, b in enumerate(t.encode() for t in texts) for p in range(len(b) - 199)}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+def test_collisions_start_again_with_other_bases(spark, monkeypatch):
+    tried, spans = [], X._spans
+    # hashes of workers are real; a driver-side stand-in shows the way back
+    monkeypatch.setattr(X, "_spans", lambda rows, width, seed: tried.append(seed) or (_ for _ in ()).throw(X._Collision()) if seed == 0 else spans(rows, width, seed))
+    rows = [(1, "xyz " * 100), (2, "q"), (3, "xyz " * 80)]
+    assert repeats(docs(spark, rows)) == removed(rows) and tried == [0]
+
+
 def test_hash_collisions_are_redone_on_bytes(monkeypatch):
     bodies = [b"x" * 100 + bytes([97 + i]) * 100 for i in (0, 1, 0)]
     monkeypatch.setattr(X.SuffixSorter, "extension", lambda self, i, j: np.full(len(i), 200))
@@ -191,6 +253,62 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == linked(rows, 3, 85)
 
 
+def test_look_alikes_under_the_threshold_meet_on_rare_shingles_only(spark):
+    """Families that share a frequent frame, and links between members that no hub has."""
+    rng = random.Random(9)
+    frame = [f"f{i}" for i in range(100)]
+    rows = []
+    for k in range(120):
+        own = [f"o{k}x{i}" for i in range(26)]
+        rows.append((k, " ".join(frame + own)))
+        if k % 10 == 0:  # a near copy of this member
+            own[rng.randrange(26)] = "zz"
+            rows.append((1000 + k, " ".join(frame + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_dedup(docs(spark, rows), 3, 85).collect()}
+    assert got == linked(rows, 3, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefixes_lose_no_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    rng = np.random.default_rng(percent)
+    base = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 7, 40, 200)]
+    sets = []
+    for _ in range(80):
+        s = base[rng.integers(4)].copy()
+        cut = rng.random(len(s)) < rng.choice([0.02, 0.05, 0.1, 0.2])
+        s[cut] = rng.integers(0, 2**63, cut.sum(), dtype=np.uint64)
+        sets.append(np.unique(s))
+    _, odd = N.sketches(sets)
+    comp = [int(rng.integers(12)) for _ in sets]
+    df = spark.createDataFrame([(i, comp[i], odd[i].tolist(), bytearray(s.tobytes())) for i, s in enumerate(sets)], "nid bigint, comp bigint, odd array<bigint>, items binary")
+    got = {(min(r), max(r)) for r in N._by_prefix(df, percent, F.lit(True)).collect()}
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(s, sets[j]))
+            if comp[i] != comp[j] and 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                assert (j, i) in got
+    assert all(comp[i] != comp[j] for i, j in got)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(2)
+    chain = [(i, i + 1) for i in range(200)]
+    star = [(1000, 1001 + i) for i in range(400)]
+    links = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in chain + star] + [(5000, 5001)]
+    rng.shuffle(links)
+    got = {(r.node, r.comp) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {(i, 0) for i in range(201)} | {(i, 1000) for i in range(1000, 1401)} | {(5000, 5000), (5001, 5000)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_copies_keep_clashing_columns(spark):
+    df = docs(spark, [(1, "one two three four five six"), (2, "One two three four five six"), (3, None)]).withColumnsRenamed({"lang": "key", "source": "place", "n_chars": "_hit"})
+    out = N.drop_near_copies(df.withColumn("c1", F.lit(1)))
+    assert out.columns == [*df.columns, "c1"] and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert N.drop_near_copies(df.limit(0)).count() == 0
+
+
 def test_near_cases(spark):
     got = N.near_dedup(docs(spark, ODD), 3, 85).collect()
     assert len(got) == len(ODD) and {r.doc_id: r.component_id for r in got}[9] == 8
@@ -244,6 +362,15 @@ def test_lines(spark):
     assert drop_recurring_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_of_different_content_stay(spark):
+    parts = ["one two three", "account balance forty", "my secret recipe", "here nothing matters"]
+    rows = [(i, f"alpha beta {x} four five six seven eight nine") for i, x in enumerate(parts)]
+    rows += [(10 + i, f"{i} {i * 7} {i + 3} 12:0{i} {i}") for i in range(5)]  # numbers alone are no template
+    rows += [(20 + i, f"seen at {i} o'clock") for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == {**{i: 0 for i, _ in rows}, 21: 1, 22: 1}
+
+
 def test_whole_lines_recur_from_two_documents_on(spark):
     plain, dated = "this line of nine words is in two documents", "on 3 May 2019 the council of 12 met here"
     rows = [(1, f"one\n{plain}\n{dated}\nseven words only are in this line"), (2, f"{dated}\n{plain}\ntwo\nseven words only are in this line")]
@@ -254,6 +381,57 @@ def test_whole_lines_recur_from_two_documents_on(spark):
         assert {r.n_dropped for r in drop_recurring_lines(docs(spark, [rows[0], other])).collect()} == {0}
 
 
+def lined(rng, n):
+    """Texts of own lines and of lines from templates with variable fields at any place."""
+    vocab = ["".join(rng.choices("abcdefghijk", k=5)) for _ in range(400)]
+    common = ["the", "of", "and", "in", "a"]
+    forms = []
+    for size in (1, 3, 4, 5, 6, 9, 12, 16, 21, 30):
+        for spots in (0, 1, 2, 4, 5):
+            form = rng.choices(vocab + common * 40, k=size)
+            for p in rng.sample(range(size), min(spots, size)):
+                form[p] = None
+            forms.append(form)
+    names = rng.sample(vocab, 12)
+    rows = []
+    for i in range(n):
+        t = []
+        for _ in range(rng.randrange(8)):
+            form = rng.choice(forms)
+            t.append(" ".join(x or rng.choice([rng.choice(vocab), rng.choice(names), str(rng.randrange(99))]) for x in form))
+            if rng.random() < 0.3:
+                t.append(" ".join(rng.choices(vocab + common * 40, k=rng.randrange(12))))
+        rows.append((i, "\n".join(t)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_lines_match_brute_force(spark):
+    rows = lined(random.Random(12), 300) + [(900, None), (None, ""), (901, "\n\n")]
+    want = {i: x for (i, _), x in zip(rows, without_recurring_lines(rows))}
+    got = {r.doc_id: (r.n_dropped, r.text) for r in drop_recurring_lines(docs(spark, rows)).collect()}
+    assert got == want
+    keys, at, recurs = line_templates(rows)
+    kinds = Counter(k[0] for k in at if recurs(k))
+    assert min(kinds[k] for k in ("form", "masked", "whole")) > 5, kinds
+
+
+def test_precision_of_templates():
+    """Of lines dropped for a template, how many were made from one: planted forms among prose."""
+    rng = random.Random(13)
+    vocab = ["".join(rng.choices("abcdefghijk", k=4)) for _ in range(60)]  # few words, so lines agree by chance
+    made, rows = set(), []
+    for i in range(400):
+        t = [" ".join(rng.choices(vocab, k=rng.randrange(3, 20))) for _ in range(6)]
+        if i % 4 == 0:
+            t.append(f"shared by {rng.choice(vocab)} on the page of our club for all members of it")
+            made.add((i, 6))
+        rows.append((i, "\n".join(t)))
+    keys, at, recurs = line_templates(rows)
+    hit = {place for place, ks in keys.items() if any(recurs(k) for k in ks)}
+    assert len(hit & made) >= 0.95 * len(hit) and len(hit & made) >= 0.95 * len(made)
+
+
 def test_one_row_holds_a_line_where_ids_repeat_or_are_null(spark):
     null, same, twin = (f"{k} line of more than eight words recurs in rows like {k}" for k in ("null", "same", "twin"))
     rows = [(None, f"{null}\n{k}") for k in "abc"] + [(5, f"{same}\n{k}") for k in "def"] + [(6, twin)] * 3 + [(7, f"own\n{twin}"), (8, None), (None, "")]
@@ -266,5 +444,10 @@ def test_one_row_holds_a_line_where_ids_repeat_or_are_null(spark):
 
 
 def test_lines_pass_other_columns_through(spark):
-    df = docs(spark, [(1, "a")]).withColumnsRenamed({"lang": "id", "source": "rk"})
-    assert drop_recurring_lines(df).columns == ["doc_id", "text", "id", "rk", "n_chars", "n_dropped"]
+    df = docs(spark, [(1, "a"), (None, "b"), (1, "a line of more than eight words for the test"), (2, "a line of more than eight words for the test")])
+    for names in ({"lang": "id", "source": "key"}, {"lang": "n_dropped", "source": "_n_dropped", "n_chars": "gone"}):
+        out = drop_recurring_lines(df.withColumnsRenamed(names).withColumn("c0", F.lit(5)))
+        assert out.columns[:-1] == [names.get(c, c) for c in df.columns] + ["c0"] and out.columns[-1].lstrip("_") == "n_dropped"
+        assert sorted(r[-1] for r in out.collect()) == [0, 0, 0, 1] and {r[-2] for r in out.collect()} == {5}
+    assert drop_recurring_lines(df, count_as=None).columns == df.columns
+    assert drop_recurring_lines(df, keep_emptied=False).count() == 3
