@@ -14,8 +14,10 @@
    the wanted similarity share one of their first n - ceil(t n) + 1.  So nodes of
    different components meet only on a rare shingle in common, not in their bucket;
    sets that look alike but share frequent shingles only never meet.  The order comes from
-   counts in a table of fixed size; any order gives the same links.  Groups of many nodes
-   on one shingle are cut into blocks.
+   counts in a table of fixed size; any order gives the same links.  A first round compares
+   the nodes of a shingle with one of them, a hub of its own, so groups whose members are
+   all alike become one component by as many comparisons as they have members.  The
+   second compares what is still apart; groups of many nodes are cut into blocks there.
 
 The number of bands follows the threshold: a pair at it misses all bands with
 probability 8e-7 at most (24 bands of 5 at 0.85, 36 at 0.8), and a component needs
@@ -171,20 +173,9 @@ def _set_batches(words: int, bitmap, bits: int):
             b = b.filter(pa.array(hits(bitmap.value, bits, b.column(2).to_numpy(zero_copy_only=False))))
             for _, _, data, offs in R.slices(b.column(1)):
                 sets = distinct(*shingle_hashes(data, offs, words))
-                yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
-
-    return run
-
-
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.binary()), items], names=["node", "items"])
 
     return run
 
@@ -193,7 +184,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(counter, n): how often shingles fall on each counter."""
     for b in batches:
         for lo in range(0, b.num_rows, 500):
-            items = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in b.column(0).slice(lo, 500)] or [np.zeros(0, U)])
+            items = b.column(0).slice(lo, 500).flatten().to_numpy().view(U)
             at, n = np.unique((items >> U(64 - COUNTERS)).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["counter", "n"])
 
@@ -203,20 +194,21 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(percent: int, counts):
-    """Rows of (nid, comp, odd, items): one for each shingle of the set's prefix, rare ones first."""
+    """Rows of (nid, items): one for each shingle of the set's prefix with its place there, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked, size = [], []
-            for x in b.column(3):
-                s = np.frombuffer(x.as_buffer(), U)
+            picked = []
+            for x in b.column(1):
+                s = x.values.to_numpy().view(U)
                 p = prefix_length(len(s), percent)
                 often = counts.value[(s >> U(64 - COUNTERS)).astype(np.int64)]
                 picked.append(s[np.lexsort((s, often))[:p]])
-                size.append(len(s))
-            row = pa.array(np.repeat(np.arange(len(picked)), [len(x) for x in picked]).astype(np.int64))
+            size = np.array([len(x) for x in picked], np.int64)
+            row = np.repeat(np.arange(len(picked)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             token = np.concatenate(picked or [np.zeros(0, U)])
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(b.column(k).take(row) for k in range(3)), pa.array(size, pa.int64()).take(row)], names=["token", "nid", "comp", "odd", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32))], names=["token", "nid", "pos"])
 
     return run
 
@@ -258,32 +250,35 @@ def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, w
     bitmap = spark.sparkContext.broadcast(key_bitmap(wanted, "key", bits))
     sets = (
         _slim(docs, id_col, text_col, F.xxhash64(F.col(id_col).cast("bigint")).alias("p"))
-        .mapInArrow(_set_batches(words, bitmap, bits), "node binary, items binary")
+        .mapInArrow(_set_batches(words, bitmap, bits), "node binary, items array<bigint>")
         .groupBy("node").agg(F.first("items").alias("items"))
     )
     sets = stage(sets.join(nodes.select("nid", "node"), "node").select("nid", "items"), "near-sets")
-    limit = odd_limit(percent)
+    near = _near(percent)
     print_ = nodes.select("nid", "n", "odd", "par")
 
     def of(x: str) -> DataFrame:
         return print_.select(F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "odd", "par")])
 
-    def differ(c: str, words_: int) -> Column:
-        return sum((F.bit_count(F.col(f"{c}_a")[k].bitwiseXOR(F.col(f"{c}_b")[k])) for k in range(words_)), F.lit(0))
-
-    few_odd = differ("odd", BITS // 64) < limit
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that neither parity bitmap rules out and whose sets agree; a's of very many pairs are spread."""
+        """Pairs (a, b) that neither parity bitmap rules out and whose sets agree.
+
+        Sets of an a with very many b's go to as many blocks of them; nothing of a size
+        that texts decide is broadcast.
+        """
         pairs = stage(pairs.distinct(), "near-pairs")
         n, = pairs.agg(F.count(F.lit(1))).first()
         often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-        own = often.join(of("a"), "a").join(sets.select(F.col("nid").alias("a"), F.col("items").alias("items_a")), "a")
-        whole = differ("par", SET_BITS // 64) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-        both = join_groups(pairs, own, ["a"], "c", n).join(of("b"), "b").filter(few_odd & whole).select("a", "b", "items_a")
-        full = both.join(sets.select(F.col("nid").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b")
-        out = stage(full.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "near-links")
-        drop(pairs)
+        close = join_groups(pairs, often.join(of("a"), "a"), ["a"], "c", n).drop("c").join(of("b"), "b").filter(near)
+        close = stage(close.select("a", "b"), "near-close")
+        n, = close.agg(F.count(F.lit(1))).first()
+        blocks = close.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+        own = blocks.join(sets, F.col("a") == F.col("nid")).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("items").alias("items_a"))
+        placed = join_groups(close, blocks, ["a"], "c", n).select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
+        full = placed.join(sets.select(F.col("nid").alias("b"), F.col("items").alias("items_b")), "b").join(own, ["a", "block"])
+        both = F.size(F.array_intersect("items_a", "items_b"))
+        out = stage(full.filter(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b"), "near-links")
+        drop(pairs, close)
         return out
 
     links = confirmed(members.filter("hub <> nid").select(F.col("hub").alias("a"), F.col("nid").alias("b")))
@@ -291,32 +286,75 @@ def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, w
 
     placed = members.filter("size > 2").join(comp, F.col("nid") == F.col("at"), "left").select("bucket", "nid", "size", F.coalesce("comp", "nid").alias("comp"))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("c")).filter("low < high").select("bucket", "c", F.lit(True).alias("open"))
-    open_ = join_groups(placed, split, ["bucket"], "c", count * bands_for(percent)).filter("open").select("nid", "comp").distinct()
-    open_ = stage(open_.join(nodes.select("nid", "odd"), "nid").join(sets, "nid").select("nid", "comp", "odd", "items"), "near-open")
+    open_ = join_groups(placed, split, ["bucket"], "c", count * bands_for(percent)).filter("open").select("nid").distinct()
+    open_ = stage(open_.select("nid").join(sets, "nid").select("nid", "items"), "near-open")
     if open_.head(1):
-        more = confirmed(_by_prefix(open_, percent, few_odd))
-        if more.head(1):
-            comp = components(links.unionByName(more)).select(F.col("node").alias("at"), "comp")
+        prefixes = stage(_prefix_rows(open_, percent), "near-prefixes")
+        for meet in (_with_hubs, _with_all):
+            placed = prefixes.join(comp, F.col("nid") == F.col("at"), "left").select("token", "nid", "pos", F.coalesce("comp", "nid").alias("comp"))
+            more = confirmed(meet(placed, print_, percent))
+            if more.head(1):
+                links = links.unionByName(more)
+                comp = components(links).select(F.col("node").alias("at"), "comp")
+        drop(prefixes)
     drop(open_, sets)
     return comp
 
 
-def _by_prefix(open_: DataFrame, percent: int, few_odd: Column) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes."""
-    got = open_.select("items").mapInArrow(_tally, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # 2^20 rows at most
+def _near(percent: int) -> Column:
+    """Of pairs with n, odd and par of a and b: neither parity bitmap rules the pair out."""
+
+    def differ(c: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"{c}_a")[k].bitwiseXOR(F.col(f"{c}_b")[k])) for k in range(words)), F.lit(0))
+
+    whole = differ("par", SET_BITS // 64) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return (differ("odd", BITS // 64) < odd_limit(percent)) & whole
+
+
+def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, nid, pos) of the prefixes of (nid, items)."""
+    got = sets.select("items").mapInArrow(_tally, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # 2^20 rows at most
     counts = np.zeros(1 << COUNTERS, np.int64)
     counts[got["counter"].to_numpy()] = got["n"].to_numpy()
-    shared = open_.sparkSession.sparkContext.broadcast(counts)
-    rows = stage(open_.mapInArrow(_prefixes(percent, shared), "token bigint, nid bigint, comp bigint, odd array<bigint>, n bigint"), "near-prefixes")
-    total, = rows.agg(F.count(F.lit(1))).first()
-    parts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    return sets.mapInArrow(_prefixes(percent, shared), "token bigint, nid bigint, pos int")
+
+
+_SIDE = ("nid", "comp", "pos", "n", "odd", "par")
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col(c).alias(x if c == "nid" else f"{c}_{x}") for c in _SIDE]
+
+
+def _alike(percent: int) -> Column:
+    """What is left of both sets from a shingle on can reach the overlap, and no bitmap rules the pair out."""
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))) & _near(percent)
+
+
+def _with_hubs(placed: DataFrame, print_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each node with one hub of each of its shingles, where both are in different components."""
+    total, = placed.agg(F.count(F.lit(1))).first()
+    wide = F.struct(*_SIDE)
+    rows = stage(placed.join(print_, "nid"), "near-placed")
+    hubs = rows.groupBy("token").agg(F.min_by(wide, F.xxhash64("nid", "token")).alias("hub"), F.count(F.lit(1)).alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "hub", "f")
+    met = join_groups(rows, hubs, ["token"], "f", total).filter("hub is not null and comp <> hub.comp")
+    return met.select(*_side("a"), *[F.col(f"hub.{c}").alias("b" if c == "nid" else f"{c}_b") for c in _SIDE]).filter(_alike(percent)).select("a", "b")
+
+
+def _with_all(placed: DataFrame, print_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes and pass the screens."""
+    total, = placed.agg(F.count(F.lit(1))).first()
+    parts = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     met = parts.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("f"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "f", F.col("top.comp").alias("top"))
-    rows = join_groups(rows, met, ["token"], "f", total).filter("top is not null").withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int"))
-    a = rows.filter("comp <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("nid").alias("a"), F.col("comp").alias("comp_a"), F.col("odd").alias("odd_a"), F.col("n").alias("n_a"))
-    b = rows.select("token", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), F.col("nid").alias("b"), F.col("comp").alias("comp_b"), F.col("odd").alias("odd_b"), F.col("n").alias("n_b"), (F.col("comp") == F.col("top")).alias("main"))
+    rows = join_groups(placed, met, ["token"], "f", total).filter("top is not null").withColumn("blocks", F.ceil(F.col("f") / BLOCK).cast("int"))
+    rows = rows.join(print_, "nid")
+    a = rows.filter("comp <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *_side("a"))
+    b = rows.select("token", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), *_side("b"), (F.col("comp") == F.col("top")).alias("main"))
+    on = (a["token"] == b["token"]) & (a["block"] == b["block"])
     apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("a") < F.col("b")))
-    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return a.join(b, ["token", "block"]).filter(apart & alike & few_odd).select("a", "b")
+    return a.join(b, on & apart & _alike(percent)).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

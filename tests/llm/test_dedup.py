@@ -19,6 +19,7 @@ from crestline.llm.components import components
 from crestline.llm.exact_dedup import exact_dedup
 from crestline.llm.line_templates import drop_recurring_lines
 from crestline.llm.screen import bits_for, hits, key_bitmap, with_hit
+from crestline.llm.skew import join_groups
 
 from .brute import line_templates, without_recurring_lines
 
@@ -61,12 +62,22 @@ def test_screen_lets_all_keys_through(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
     rows = spark.range(20000).withColumn("key", F.xxhash64("id"))
     out = with_hit(rows, F.col("key"), keys, "k", 5000, "hit").select("id", "hit").collect()
-    assert len(out) == 20000 and all(r.hit for r in out if r.id < 5000) and sum(r.hit for r in out) < 6500
+    assert len(out) == 20000 and all(r.hit for r in out if r.id < 5000) and sum(r.hit for r in out) < 5200
     bitmap = key_bitmap(keys, "k", bits_for(5000))
     h = np.array([r.key for r in rows.collect()], np.int64)
     assert hits(bitmap, bits_for(5000), h).sum() == sum(r.hit for r in out)
 
 
+def test_hot_groups_are_spread(spark):
+    """The second join's key holds more than the group's, so a group's rows part; none is lost."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k % 3 < 2")
+    out = join_groups(rows, groups, ["k"], "n", 3000)
+    assert {r.id: r.n for r in out.collect()} == {i: (1500 if i < 1500 else 1 if i % 3 < 2 else None) for i in range(3000)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftOuter, \(\(k#\d+L = _k#\d+L\) AND \(_from#\d+L = _to#\d+L\)\)", plan), plan
+
+
 def test_exact_matches_sql(spark, duck):
     folder = "/root/testdata/sf0.001"
     got = sorted(map(tuple, Q.QUERIES["op1_exact_dedup"](spark, folder).collect()))
@@ -279,10 +290,15 @@ def test_prefixes_lose_no_link(spark, monkeypatch, percent):
         cut = rng.random(len(s)) < rng.choice([0.02, 0.05, 0.1, 0.2])
         s[cut] = rng.integers(0, 2**63, cut.sum(), dtype=np.uint64)
         sets.append(np.unique(s))
-    _, odd = N.sketches(sets)
+    (_, odd), par = N.sketches(sets), N.parities(sets)
     comp = [int(rng.integers(12)) for _ in sets]
-    df = spark.createDataFrame([(i, comp[i], odd[i].tolist(), bytearray(s.tobytes())) for i, s in enumerate(sets)], "nid bigint, comp bigint, odd array<bigint>, items binary")
-    got = {(min(r), max(r)) for r in N._by_prefix(df, percent, F.lit(True)).collect()}
+    df = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "nid bigint, items array<bigint>")
+    comps = spark.createDataFrame(list(enumerate(comp)), "nid bigint, comp bigint")
+    prints = spark.createDataFrame([(i, len(s), odd[i].tolist(), par[i].tolist()) for i, s in enumerate(sets)], "nid bigint, n bigint, odd array<bigint>, par array<bigint>")
+    placed = N._prefix_rows(df, percent).join(comps, "nid")
+    got = {(min(r), max(r)) for r in N._with_all(placed, prints, percent).collect()}
+    hubs = {(min(r), max(r)) for r in N._with_hubs(placed, prints, percent).collect()}
+    assert hubs <= got and hubs
     for i, s in enumerate(sets):
         for j in range(i):
             both = len(np.intersect1d(s, sets[j]))
