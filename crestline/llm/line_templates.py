@@ -45,7 +45,7 @@ from .skew import join_groups
 
 U = R.U
 LEAD, PER_FIELD, MOST_FIELDS, WHOLE_FROM = 2, 5, 4, 8
-MASKED, WHOLE, BLOCK_ = 0, 1, 2  # last two bits of a key: a masked line, a line as it is, a block
+MASKED, WHOLE, BLOCK_ = 0, 1, 2  # last two bits of a key: a masked line, a line as it is, a block; a block's number precedes them
 _C = [U(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
@@ -58,7 +58,7 @@ def fields(count):
 
 
 def _tagged(h: np.ndarray, tag) -> np.ndarray:
-    return R.mix(h) & ~U(3) | np.asarray(tag).astype(U)
+    return R.mix(h) & ~U(31) | np.asarray(tag).astype(U)
 
 
 class Lines:
@@ -104,7 +104,7 @@ class Lines:
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         tail, n = self.count[row] - LEAD, np.repeat(n, n)
         lo, hi = (self.first[row] + LEAD + tail * x // n for x in (k, k + 1))
-        return row, _tagged(self.sums[hi] - self.sums[lo] + self._leaf[row] + k.astype(U) * _C[2], BLOCK_)
+        return row, _tagged(self.sums[hi] - self.sums[lo] + self._leaf[row] + k.astype(U) * _C[2], 4 * k + BLOCK_)
 
 
 def _taken(b: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
@@ -191,15 +191,26 @@ def _generalised(rare: DataFrame, rows: Rows, min_docs: int) -> DataFrame:
     """(sig, tpl): the templates of masked lines that do not recur as they are."""
     docs = rare.select("sig", "key").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
     forms = rare.filter("toks is not null").groupBy("sig").agg(F.first("blocks").alias("blocks"), F.first("toks").alias("toks")).join(docs, "sig")
-    leaf = forms.select("sig", "w", "toks", F.explode("blocks").alias("leaf"))
-    toks = leaf.select("sig", "leaf", "w", F.size("toks").alias("n"), F.posexplode("toks").alias("pos", "tok"))
-    toks = stage(toks.select("sig", "leaf", "w", "n", F.xxhash64("pos", "tok").alias("field"), F.xxhash64("leaf", "pos", "tok").alias("at")), "line-fields")
-    support = toks.groupBy("at").agg(F.sum("w").alias("docs"), F.count(F.lit(1)).alias("rows")).filter(F.col("docs") >= min_docs)
+    forms = stage(forms, "line-rare-forms")
+    places = forms.select("sig", "w", F.explode("blocks").alias("leaf"))
+    total, = places.agg(F.count(F.lit(1))).first()
+    leaves = places.groupBy("leaf").agg(F.sum("w").alias("docs"), F.count(F.lit(1)).alias("rows")).filter(F.col("docs") >= min_docs).select("leaf", "rows")
+    places = join_groups(places, leaves, ["leaf"], "rows", total).filter("rows is not null").select("sig", "leaf", "w")
+    # the leaf's own tokens (leading ones and block) are constant; the others are looked up
+    spare = F.least(F.expr(f"n div {PER_FIELD}"), F.lit(MOST_FIELDS)).cast("int")
+    k = F.shiftright("leaf", 2).bitwiseAND(7).cast("int")
+    edge = lambda x: F.lit(LEAD) + F.expr(f"cast((n - {LEAD}) * {x} div (spare + 1) as int)")
+    toks = places.join(forms.select("sig", "toks"), "sig").withColumn("n", F.size("toks")).withColumn("spare", spare).withColumn("k", k)
+    toks = toks.select("sig", "leaf", "w", "spare", edge("k").alias("lo"), edge("(k + 1)").alias("hi"), F.posexplode("toks").alias("pos", "tok"))
+    toks = toks.filter((F.col("pos") >= LEAD) & ~F.col("pos").between(F.col("lo"), F.col("hi") - 1))
+    toks = stage(toks.select("sig", "leaf", "w", "spare", F.xxhash64("pos", "tok").alias("field")), "line-fields")
     total, = toks.agg(F.count(F.lit(1))).first()
-    constant = join_groups(toks, support.select("at", "rows", F.lit(True).alias("fixed")), ["at"], "rows", total).filter("fixed")
-    kept = constant.groupBy("sig", "leaf", "n").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("field").alias("x"))
-    spare = F.least(F.expr(f"n div {PER_FIELD}"), F.lit(MOST_FIELDS))
-    out = stage(kept.filter(F.col("n") - F.col("c") <= spare).select("sig", F.xxhash64("leaf", "x", "c").alias("tpl")), "line-forms")
+    support = toks.groupBy("leaf", "field").agg(F.sum("w").alias("docs"), F.count(F.lit(1)).alias("rows")).filter(F.col("docs") >= min_docs)
+    known = join_groups(toks, support.select("leaf", "field", "rows"), ["leaf", "field"], "rows", total)
+    fixed = F.col("rows").isNotNull()
+    kept = known.groupBy("sig", "leaf", "spare").agg(F.count_if(~fixed).alias("free"), F.coalesce(F.bit_xor(F.when(fixed, F.col("field"))), F.lit(0)).alias("x"))
+    out = stage(kept.filter("free <= spare").select("sig", F.xxhash64("leaf", "x", "free").alias("tpl")), "line-forms")
+    drop(forms)
     drop(toks)
     return out
 
@@ -241,7 +252,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_
     n_gone, = gone.agg(F.count(F.lit(1))).first()
     same, other = split_by_keys(rows.df, gone, n_gone)
     others = [f"c{i}" for i in range(len(docs.columns))]
-    ready = other.join(gone, "key", "left").select(*others, "text", "gone")
+    # one plan at every size: where most texts lose lines, their list is too large to broadcast
+    ready = other.join(gone.hint("merge"), "key", "left").select(*others, "text", "gone")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.select(*others).schema)
     changed = ready.mapInArrow(_rewrite_batches, f"{kinds}, text string, n_dropped bigint")
     if not keep_emptied:
