@@ -64,6 +64,7 @@ def parser() -> Parser:
     form = p.add_mutually_exclusive_group()
     for flag, name in (("-s", "svg"), ("-d", "pdf"), ("-c", "csv"), ("-p", "png"), ("-t", "tiff")):
         form.add_argument(flag, f"--{name}", dest="form", action="store_const", const=name)
+    p.add_argument("--classes", action="store_true", help="colour SVG strokes by class")
     p.add_argument("infile")
     p.add_argument("outfile")
 
@@ -118,31 +119,31 @@ def detect(spark: SparkSession, a) -> None:
             if path:
                 _save(3, lambda p, c: Path(p).write_bytes(bytes(tiff.encoded(m, c).first()["content"])), path, column)
     if a.outfile:
-        _save(3, files.save, found.entries(a.mode or "segments"), a.outfile, rows, cols)
+        _save(3, files.save, found.entries(a.mode or "segments"), a.outfile, ridg.image_size(rows, cols))
     else:
         log.info("%d edges", found.edges.count())
 
 
 def cull(spark: SparkSession, a) -> None:
-    data, rows, cols = _load(spark, a.infile)
+    data = _load(spark, a.infile)
     limits = (a.brightness, a.length, a.strength)
-    kept = entries.cull(data, *limits, invert=bool(a.invert % 2))
-    n = entries.cull_counts(data, *limits, invert=bool(a.invert % 2)).first()
-    _save(3, files.save, kept, a.outfile or a.infile, rows, cols)
+    kept = entries.cull(data.entries, *limits, invert=bool(a.invert % 2))
+    n = entries.cull_counts(data.entries, *limits, invert=bool(a.invert % 2)).first()
+    _save(3, files.save, kept, a.outfile or a.infile, data.metadata)
     print(f"Culled {n['culled']} of {n['total']}", file=sys.stderr)
 
 
 def convert(spark: SparkSession, a) -> None:
-    data, rows, cols = _load(spark, a.infile)
-    if rows is None or cols is None:
+    data = _load(spark, a.infile)
+    if data.rows is None or data.cols is None:
         raise Failure(2, f"{a.infile} does not tell the image's size")
-    _save(3, files.convert, data, a.outfile, rows, cols, a.form)
+    _save(3, files.convert, data.entries, a.outfile, data.rows, data.cols, a.form, a.classes)
 
 
 def classstat(spark: SparkSession, a) -> None:
     loaded = []
     for path in a.files:
-        data, _, _ = _load(spark, path)
+        data = _load(spark, path).entries
         if data.filter("class is null").head(1):
             raise Failure(3, f"{path} has no classification")
         loaded.append(data.select("entry_id", "class", "likelihood"))
@@ -163,11 +164,12 @@ def classstat(spark: SparkSession, a) -> None:
 
 
 def classexport(spark: SparkSession, a) -> None:
-    data, rows, cols = _load(spark, a.infile)
+    loaded = _load(spark, a.infile)
+    data = loaded.entries
     if data.filter("class is null").head(1):
         raise Failure(3, f"{a.infile} has no classification")
     for part, path in zip(classes.split(data), (a.out_a, a.out_b)):
-        _save(4, files.save, part.drop("class"), path, rows, cols)
+        _save(4, files.save, part.drop("class", "likelihood"), path, ridg.image_size(loaded.rows, loaded.cols))
 
 
 COMMANDS = {"detect": detect, "cull": cull, "convert": convert, "classstat": classstat, "classexport": classexport}

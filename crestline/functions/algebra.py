@@ -89,9 +89,14 @@ def to_subpixel(fixed: Column) -> Column:
 
 
 def to_fixed(pixels: Column) -> Column:
-    return F.rint(pixels * F.lit(float(SUBPIXELS))).cast("int")
+    return F.rint(pixels * F.lit(float(SUBPIXELS))).cast("bigint")
 
 
 def millionths(v: Column) -> Column:
     """A double as a whole number of millionths, for exact comparison."""
     return F.floor(v * F.lit(1e6) + F.lit(0.5)).cast("bigint")
+
+
+def fine(v: Column, unit: float = 1e15) -> Column:
+    """A double in parts of ``unit``: ten digits and more of a strength, for exact comparison."""
+    return F.floor(v * F.lit(unit) + F.lit(0.5)).cast("bigint")

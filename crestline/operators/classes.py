@@ -66,15 +66,15 @@ def toggled(labels: DataFrame, entry_id: int, column: str = "class") -> DataFram
     return labels.withColumn(column, F.when(F.col("entry_id") == entry_id, flip).otherwise(F.col(column)).cast("smallint"))
 
 
-def pixel_index(line_points: DataFrame) -> DataFrame:
+def pixel_index(lines: DataFrame) -> DataFrame:
     """image_id, row, col, entry_id: the pixel of each pair of consecutive points; the last line wins.
 
-    ``line_points`` has image_id, entry_id, pos, row_fx, col_fx.
+    Pairs are made inside each line's array, so only pixels are shuffled.
     """
-    nxt = line_points.select("image_id", "entry_id", (F.col("pos") - 1).alias("pos"), F.col("row_fx").alias("r2"), F.col("col_fx").alias("c2"))
-    pair = line_points.join(nxt, ["image_id", "entry_id", "pos"])
-    pixel = pair.select("image_id", F.shiftright(F.col("row_fx") + F.col("r2"), 8).alias("row"), F.shiftright(F.col("col_fx") + F.col("c2"), 8).alias("col"), "entry_id")
-    return pixel.groupBy("image_id", "row", "col").agg(F.max("entry_id").alias("entry_id"))
+    near = F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))
+    pair = lines.select("image_id", "entry_id", F.explode(near).alias("z"))
+    at = lambda f: F.shiftright(F.col(f"z.a.{f}") + F.col(f"z.b.{f}"), 8).cast("int")
+    return pair.select("image_id", at("row_fx").alias("row"), at("col_fx").alias("col"), "entry_id").groupBy("image_id", "row", "col").agg(F.max("entry_id").alias("entry_id"))
 
 
 def pick(index: DataFrame, image_id: str, x: float, y: float) -> DataFrame:

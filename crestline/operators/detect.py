@@ -19,7 +19,7 @@ from .stencil import along, metrics, smoothed
 from .surface import filled
 
 EDGE_SCHEMA = "image_id string, row int, col int, dir string, d int, brightness double, strength double"
-POINT = "struct<row_fx:int,col_fx:int,brightness:double,strength:double>"
+POINT = "struct<row_fx:bigint,col_fx:bigint,brightness:double,strength:double>"
 BITS = {"N": 1, "W": 2, "S": 4, "E": 8}
 ORDER = ("N", "W", "S", "E")
 
@@ -43,24 +43,30 @@ def edges_by_windows(surface: DataFrame, t: float = 0.0, metric: str = "N", fill
 def position(row: Column, col: Column, dir_: Column, d: Column) -> tuple[Column, Column]:
     """Fixed-point position of an edge's ridge point."""
     north = dir_ == "N"
-    return row * SUBPIXELS + F.when(north, 0).otherwise(d), col * SUBPIXELS + F.when(north, d).otherwise(0)
+    return row.cast("bigint") * SUBPIXELS + F.when(north, 0).otherwise(d), col.cast("bigint") * SUBPIXELS + F.when(north, d).otherwise(0)
 
 
 def as_point(edge: DataFrame) -> DataFrame:
     r, c = position(F.col("row"), F.col("col"), F.col("dir"), F.col("d"))
-    return edge.withColumns({"row_fx": r.cast("int"), "col_fx": c.cast("int")})
+    return edge.withColumns({"row_fx": r, "col_fx": c})
+
+
+ROWS_OF_BLOCK = 1024
 
 
 def numbered(df: DataFrame, *order: str, name: str = "entry_id") -> DataFrame:
     """``name`` = place in row-major order within the image, from 0.
 
     Rows are ranked inside each image row and shifted by the counts of the rows
-    above, so no task sorts a whole image.
+    above, summed in two levels: inside blocks of 1024 rows, and over blocks.  So no
+    task sorts an image, and one that sums over an image sees a row per 1024 rows.
     """
     rank = F.row_number().over(Window.partitionBy("image_id", "row").orderBy(*order))
-    counts = df.groupBy("image_id", "row").count()
-    above = F.sum("count").over(Window.partitionBy("image_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("image_id", "row", F.coalesce(above, F.lit(0)).alias("_above"))
+    above = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("image_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy("image_id", "row").count().withColumn("_block", F.floor(F.col("row") / ROWS_OF_BLOCK))
+    blocks = counts.groupBy("image_id", "_block").agg(F.sum("count").alias("total"))
+    blocks = blocks.select("image_id", "_block", above("total", "_block").alias("_before"))
+    starts = counts.withColumn("_in", above("count", "_block", "row")).join(blocks, ["image_id", "_block"]).select("image_id", "row", (F.col("_in") + F.col("_before")).alias("_above"))
     return df.withColumn("_rank", rank).join(starts, ["image_id", "row"]).withColumn(name, F.col("_above") + F.col("_rank") - 1).drop("_rank", "_above")
 
 

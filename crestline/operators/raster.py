@@ -27,8 +27,20 @@ def pixels(entries: DataFrame, compat: bool = False) -> DataFrame:
     return hit.distinct()
 
 
+ROWS_OF_BLOCK = 256
+
+
+def grid(dims: DataFrame) -> DataFrame:
+    """Every (image_id, row, col); blocks of rows are dealt to tasks before they are filled."""
+    last = F.floor((F.col("rows") - 1) / ROWS_OF_BLOCK)
+    blocks = dims.filter("rows > 0 and cols > 0").select("image_id", "rows", "cols", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    blocks = blocks.repartition("image_id", "block")
+    first = F.col("block") * ROWS_OF_BLOCK
+    rows = blocks.select("image_id", "cols", F.explode(F.sequence(first, F.least(first + ROWS_OF_BLOCK, F.col("rows")) - 1)).alias("row"))
+    return rows.select("image_id", F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)).alias("col"))
+
+
 def mask(hit: DataFrame, dims: DataFrame) -> DataFrame:
     """Dense image_id, row, col, m (0 or 255); pixels outside the image are dropped."""
-    grid = dims.select("image_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "cols").select("image_id", "row", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"))
-    marked = hit.withColumn("m", F.lit(255).cast("smallint"))
-    return grid.join(marked, ["image_id", "row", "col"], "left").withColumn("m", F.coalesce("m", F.lit(0)).cast("smallint"))
+    marked = hit.select("image_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(255).cast("smallint").alias("m"))
+    return grid(dims).join(marked, ["image_id", "row", "col"], "left").withColumn("m", F.coalesce("m", F.lit(0)).cast("smallint"))

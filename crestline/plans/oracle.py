@@ -31,6 +31,10 @@ def millionths(x: str) -> str:
     return f"CAST(floor({x} * {number(1e6)} + {number(0.5)}) AS BIGINT)"
 
 
+def fine(x: str, unit: float = 1e15) -> str:
+    return f"CAST(floor({x} * {number(unit)} + {number(0.5)}) AS BIGINT)"
+
+
 def window(axis: str, extra: str = "") -> str:
     keys, order = _AXIS[axis]
     part = f"PARTITION BY {keys}{extra} ORDER BY {order}"
@@ -109,7 +113,7 @@ both_ AS (SELECT m.image_id, m."row", m.col, lp, lpp, r, raw.v AS raw FROM me m
 edge_x AS (SELECT *, CAST(round_even(x * 128, 0) AS INTEGER) AS d FROM (SELECT * FROM edge_N UNION ALL SELECT * FROM edge_W)),
 edges AS MATERIALIZED (SELECT image_id, "row", col, dir, d, (1 - d / {number(128.0)}) * raw + d / {number(128.0)} * raw2 AS brightness,
   (1 - d / {number(128.0)}) * r + d / {number(128.0)} * r2 AS strength,
-  CAST("row" * 128 + CASE WHEN dir = 'N' THEN 0 ELSE d END AS INTEGER) AS row_fx, CAST(col * 128 + CASE WHEN dir = 'N' THEN d ELSE 0 END AS INTEGER) AS col_fx FROM edge_x)"""
+  CAST("row" AS BIGINT) * 128 + CASE WHEN dir = 'N' THEN 0 ELSE d END AS row_fx, CAST(col AS BIGINT) * 128 + CASE WHEN dir = 'N' THEN d ELSE 0 END AS col_fx FROM edge_x)"""
 
 
 POINTS = """points AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY "row", col, dir) - 1 AS entry_id, row_fx, col_fx, brightness, strength FROM edges)"""

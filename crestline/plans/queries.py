@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import millionths
+from ..functions.algebra import fine, millionths
 from ..functions.kernels import derivative
 from ..operators import classes, entries, raster, scalespace, stencil, surface
 from ..operators.detect import cells as cells_of
@@ -44,6 +44,18 @@ def _us(*names: str) -> str:
     return ", ".join(f"{O.millionths(n)} AS {n}_u" for n in names)
 
 
+#: Strengths of vectors near 1 are tiny, those of counts and quantities large.
+UNIT = {"emb": 1e15, "evt": 1e9, "li": 1e2}
+
+
+def _f(*names: str, of: str = "emb") -> list[Column]:
+    return [fine(F.col(n), UNIT[of]).alias(f"{n}_f") for n in names]
+
+
+def _fs(*names: str, of: str = "emb") -> str:
+    return ", ".join(f"{O.fine(n, UNIT[of])} AS {n}_f" for n in names)
+
+
 # surfaces ------------------------------------------------------------------------------
 
 for _name, _make in SURFACES.items():
@@ -83,11 +95,11 @@ def derivatives(spark, sf_dir):
 
 def _metrics(metric: str) -> None:
     sql = f"""WITH raw AS ({O.SURFACES["emb"]}), {O.smoothing("raw", "sm", T)}, {O.derivative_ctes("sm", "dv")}, {O.metric_ctes("dv", "me", metric, O.number(T))}
-SELECT {GRID}, {_us("l1", "l2", "lp", "lpp", "r")} FROM me"""
+SELECT {GRID}, {_us("l1", "l2", "lp", "lpp")}, {_fs("r")} FROM me"""
 
     @query(sql, f"eigen_metrics_{metric.lower()}")
     def run(spark, sf_dir):
-        return stencil.metrics(stencil.smoothed(emb(spark, sf_dir), T), T, metric).select("image_id", "row", "col", *_u("l1", "l2", "lp", "lpp", "r"))
+        return stencil.metrics(stencil.smoothed(emb(spark, sf_dir), T), T, metric).select("image_id", "row", "col", *_u("l1", "l2", "lp", "lpp"), *_f("r"))
 
 
 for _m in "NMA":
@@ -97,15 +109,15 @@ for _m in "NMA":
 # detection -----------------------------------------------------------------------------
 
 
-@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness", "strength")} FROM edges'))
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges'))
 def edge_crossings(spark, sf_dir):
-    return detection(emb(spark, sf_dir), T).edges.select("image_id", "row", "col", "dir", "d", *_u("brightness", "strength"))
+    return detection(emb(spark, sf_dir), T).edges.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
 
 
-@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness", "strength")} FROM edges', metric="A"))
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges', metric="A"))
 def edge_crossings_windows(spark, sf_dir):
     """The window plan of the image stage, with metric A."""
-    return detection(emb(spark, sf_dir), T, "A", plan="windows").edges.select("image_id", "row", "col", "dir", "d", *_u("brightness", "strength"))
+    return detection(emb(spark, sf_dir), T, "A", plan="windows").edges.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
 
 
 @query(O.ridges("emb", T, 'SELECT image_id, "row", col, flags, north, west FROM cells', O.SIDES, O.CELLS))
@@ -115,11 +127,11 @@ def ridge_cells(spark, sf_dir):
 
 
 def _points(surface_name: str, t: float) -> None:
-    sql = O.ridges(surface_name, t, f"SELECT image_id, entry_id, row_fx, col_fx, {_us('brightness')} FROM points", O.POINTS)
+    sql = O.ridges(surface_name, t, f"SELECT image_id, entry_id, row_fx, col_fx, {_us('brightness')}, {_fs('strength', of=surface_name)} FROM points", O.POINTS)
 
     @query(sql, "ridge_points" if surface_name == "emb" else f"ridge_points_{surface_name}")
     def run(spark, sf_dir):
-        return detection(SURFACES[surface_name](spark, sf_dir), t).points().select("image_id", "entry_id", "row_fx", "col_fx", *_u("brightness"))
+        return detection(SURFACES[surface_name](spark, sf_dir), t).points().select("image_id", "entry_id", "row_fx", "col_fx", *_u("brightness"), *_f("strength", of=surface_name))
 
 
 for _name, _t in (("emb", T), ("evt", 2 / 3), ("li", 1 / 3)):
@@ -128,10 +140,10 @@ for _name, _t in (("emb", T), ("evt", 2 / 3), ("li", 1 / 3)):
 
 def _flat(d: DataFrame) -> DataFrame:
     p = lambda e, f, n: F.col(f"{e}.{f}").alias(n)
-    return d.select("image_id", "entry_id", p("start", "row_fx", "r1"), p("start", "col_fx", "c1"), p("end", "row_fx", "r2"), p("end", "col_fx", "c2"))
+    return d.select("image_id", "entry_id", p("start", "row_fx", "r1"), p("start", "col_fx", "c1"), p("end", "row_fx", "r2"), p("end", "col_fx", "c2"), *[fine(F.col(f"{e}.strength")).alias(f"{n}_f") for e, n in (("start", "s1"), ("end", "s2"))])
 
 
-@query(O.ridges("emb", T, "SELECT image_id, entry_id, r1, c1, r2, c2 FROM segments", O.SIDES, O.SEGMENTS))
+@query(O.ridges("emb", T, f"SELECT image_id, entry_id, r1, c1, r2, c2, {_fs('s1', 's2')} FROM segments", O.SIDES, O.SEGMENTS))
 def ridge_segments(spark, sf_dir):
     return _flat(detection(emb(spark, sf_dir), T).segments())
 
@@ -142,18 +154,18 @@ def _exploded(lines: DataFrame) -> DataFrame:
 
 
 def _lines(name: str, t: float) -> None:
-    sql = O.ridges(name, t, f"SELECT '{name}' AS image_id, entry_id, pos, row_fx, col_fx, {_us('brightness')} FROM lines", O.SIDES, O.SEGMENTS, O.LINES)
+    sql = O.ridges(name, t, f"SELECT '{name}' AS image_id, entry_id, pos, row_fx, col_fx, {_us('brightness')}, {_fs('strength', of=name)} FROM lines", O.SIDES, O.SEGMENTS, O.LINES)
 
     @query(sql, "ridge_lines" if name == "emb" else f"ridge_lines_{name}")
     def run(spark, sf_dir):
-        return _exploded(detection(SURFACES[name](spark, sf_dir), t).lines()).select("image_id", "entry_id", "pos", "row_fx", "col_fx", *_u("brightness"))
+        return _exploded(detection(SURFACES[name](spark, sf_dir), t).lines()).select("image_id", "entry_id", "pos", "row_fx", "col_fx", *_u("brightness"), *_f("strength", of=name))
 
 
 for _name, _t in (("emb", T), ("li", 1 / 3)):
     _lines(_name, _t)
 
 
-@query(O.ridges("emb", T, "SELECT 'emb' AS image_id, entry_id, count(*) AS n_points, CAST(min(row_fx) AS INTEGER) AS top FROM lines GROUP BY entry_id", O.SIDES, O.SEGMENTS, O.LINES))
+@query(O.ridges("emb", T, "SELECT 'emb' AS image_id, entry_id, count(*) AS n_points, min(row_fx) AS top FROM lines GROUP BY entry_id", O.SIDES, O.SEGMENTS, O.LINES))
 def line_components(spark, sf_dir):
     """Lines as components, with their size."""
     lines = detection(emb(spark, sf_dir), T).lines()
@@ -170,7 +182,7 @@ def cull_points(spark, sf_dir):
     return entries.cull(detection(emb(spark, sf_dir), T).points(), B, None, S).select("image_id", "entry_id", "row_fx", "col_fx")
 
 
-@query(O.ridges("emb", T, f"SELECT image_id, entry_id, r1, c1, r2, c2 FROM segments WHERE NOT (1 < 1 OR (b1 + b2) / 2.0::DOUBLE < {B} OR (s1 + s2) / 2.0::DOUBLE < {S})", O.SIDES, O.SEGMENTS))
+@query(O.ridges("emb", T, f"SELECT image_id, entry_id, r1, c1, r2, c2, {_fs('s1', 's2')} FROM segments WHERE NOT (1 < 1 OR (b1 + b2) / 2.0::DOUBLE < {B} OR (s1 + s2) / 2.0::DOUBLE < {S})", O.SIDES, O.SEGMENTS))
 def cull_segments(spark, sf_dir):
     return _flat(entries.cull(detection(emb(spark, sf_dir), T).segments(), B, 1, S))
 
@@ -288,12 +300,12 @@ _INDEX = 'pixel AS (SELECT (r1 + r2) >> 8 AS "row", (c1 + c2) >> 8 AS col, max(e
 
 @query(O.ridges("emb", T, """SELECT 'emb' AS image_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, entry_id FROM pixel""", O.SIDES, O.SEGMENTS, O.LINES, _PAIRS, _INDEX))
 def pixel_index(spark, sf_dir):
-    return classes.pixel_index(_exploded(detection(emb(spark, sf_dir), T).lines()))
+    return classes.pixel_index(detection(emb(spark, sf_dir), T).lines())
 
 
 @query(O.ridges("emb", T, """SELECT entry_id FROM pixel WHERE "row" = 18 AND col = 10""", O.SIDES, O.SEGMENTS, O.LINES, _PAIRS, _INDEX))
 def pixel_pick(spark, sf_dir):
-    return classes.pick(classes.pixel_index(_exploded(detection(emb(spark, sf_dir), T).lines())), "emb", 10.2, 17.8)
+    return classes.pick(classes.pixel_index(detection(emb(spark, sf_dir), T).lines()), "emb", 10.2, 17.8)
 
 
 # scale space ---------------------------------------------------------------------------
@@ -333,10 +345,10 @@ def scale_derivative(spark, sf_dir):
 
 @query(f"""WITH {_SPACE}, {O.derivative_ctes("space", "dv", _SPACE_KEYS, ", scale_idx")}, {O.metric_ctes("dv", "me", "N", "scale")},
 g AS (SELECT *, {O.convolved("r", derivative())} AS dr FROM me {O.window("scale")}), h AS (SELECT *, {O.convolved("dr", derivative())} AS ddr FROM g {O.window("scale")})
-SELECT image_id, scale_idx, "row", col, {_us("lp", "lpp", "r", "dr", "ddr")} FROM h""")
+SELECT image_id, scale_idx, "row", col, {_us("lp", "lpp")}, {_fs("r", "dr", "ddr")} FROM h""")
 def scale_metrics(spark, sf_dir):
     space = stage(scalespace.generate(emb(spark, sf_dir), SPACE), "space")
-    return scalespace.scale_metrics(space).select("image_id", "scale_idx", "row", "col", *_u("lp", "lpp", "r", "dr", "ddr"))
+    return scalespace.scale_metrics(space).select("image_id", "scale_idx", "row", "col", *_u("lp", "lpp"), *_f("r", "dr", "ddr"))
 
 
 # text and files ------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,22 +23,62 @@ def format_of(path: str, form: str | None = None) -> str:
     return FORMATS.get(Path(path).suffix[1:].lower(), "svg")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, int | None, int | None]:
-    """Entries of one file with class and likelihood, and the image's rows and columns."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    data = ridg.decode(raw)
-    entries = ridg.read(spark, path, data.kind, with_class=True)
-    return entries, data.uint32(ridg.ROWS), data.uint32(ridg.COLS)
+@dataclass(frozen=True)
+class Loaded:
+    """One file: entries with class and likelihood, and all metadata that is not per entry."""
 
+    entries: DataFrame
+    metadata: dict[int, bytes]
 
-def save(entries: DataFrame, path: str, rows: int | None, cols: int | None) -> None:
-    """One container file at a local path (a file is one value in its format)."""
-    kept = entries.drop("likelihood")
-    Path(path).write_bytes(ridg.encode(ridg.to_dataset(kept.toPandas(), kind_of(kept), rows, cols)))
+    def uint32(self, key: int) -> int | None:
+        raw = self.metadata.get(key)
+        return int.from_bytes(raw, "big") if raw is not None and len(raw) == 4 else None
 
+    @property
+    def rows(self) -> int | None:
+        return self.uint32(ridg.ROWS)
 
-def convert(entries: DataFrame, path: str, rows: int, cols: int, form: str | None = None) -> None:
-    """Export one image's entries; CSV and SVG rows are formatted by the executors."""
+    @property
+    def cols(self) -> int | None:
+        return self.uint32(ridg.COLS)
+
+
+def load(spark: SparkSession, path: str) -> Loaded:
+    """The file at ``path``; only its header and metadata come to the driver."""
+    files = spark.read.format("binaryFile").load(path)
+    head = ridg.headers(files).first()
+    return Loaded(ridg.read(spark, path, head["kind"], with_class=True), {k: bytes(v) for k, v in head["metadata"].items()})
+
+
+def save(entries: DataFrame, path: str, metadata: dict[int, bytes] | None = None) -> None:
+    """One container file at a local path, written beside it and renamed when complete.
+
+    Entries are encoded by the executors and appended part by part in order; their number is
+    put into the header at the end.  Classes and likelihoods follow the entries that are left.
+    """
+    kind, n = kind_of(entries), 0
+    per: dict[int, list[bytes | None]] = {ridg.CLASSES: [], ridg.LIKELIHOODS: []}
+    target = Path(path)
+    beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    try:
+        with beside.open("wb") as f:
+            f.write(ridg.frame(kind, 0))
+            for part in ridg.encoded_chunks(entries).toLocalIterator():
+                f.write(part["body"])
+                n += part["n"]
+                per[ridg.CLASSES].append(part["classes"])
+                per[ridg.LIKELIHOODS].append(part["likelihoods"])
+            whole = {k: b"".join(v) for k, v in per.items() if v and None not in v}
+            f.write(ridg.trailer({**(metadata or {}), **whole}))
+            f.seek(0)
+            f.write(ridg.frame(kind, n))
+        beside.replace(target)
+    finally:
+        beside.unlink(missing_ok=True)
+
+
+def convert(entries: DataFrame, path: str, rows: int, cols: int, form: str | None = None, coloured: bool = False) -> None:
+    """Export one image's entries, formatted by the executors; ``coloured`` SVG strokes show classes."""
     form = format_of(path, form)
     out = Path(path)
     if form == "csv":
@@ -45,9 +87,9 @@ def convert(entries: DataFrame, path: str, rows: int, cols: int, form: str | Non
             f.writelines(r[0] + "\n" for r in lines)
     elif form == "svg":
         with out.open("w") as f:
-            f.writelines(r[0] + "\n" for r in text.svg_lines(entries, rows, cols).toLocalIterator())
+            f.writelines(r[0] + "\n" for r in text.svg_lines(entries, rows, cols, text.class_colour() if coloured else None).toLocalIterator())
     elif form == "pdf":
-        ops = [r[0] for r in text.pdf_operators(entries, rows).orderBy("entry_id").select("ops").toLocalIterator()]
+        ops = (r[0] for r in text.pdf_operators(entries, rows).orderBy("entry_id").select("ops").toLocalIterator())
         out.write_bytes(text.pdf_page(ops, rows, cols))
     else:
         dims = entries.select("image_id").distinct().withColumns({"rows": F.lit(rows), "cols": F.lit(cols)})

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +25,13 @@ MAGIC = b"RIDG"
 TYPES = {"points": 1, "segments": 2, "lines": 3}
 ROWS, COLS, CLASSES, LIKELIHOODS = 0x10, 0x11, 0x80, 0x81
 POINT = np.dtype([("row_fx", ">u4"), ("col_fx", ">u4"), ("brightness", ">f4"), ("strength", ">f4")])
-POINT_SQL = "struct<row_fx:int,col_fx:int,brightness:float,strength:float>"
+POINT_SQL = "struct<row_fx:bigint,col_fx:bigint,brightness:float,strength:float>"
 SCHEMAS = {
-    "points": "image_id string, entry_id bigint, row_fx int, col_fx int, brightness float, strength float",
+    "points": "image_id string, entry_id bigint, row_fx bigint, col_fx bigint, brightness float, strength float",
     "segments": f"image_id string, entry_id bigint, start {POINT_SQL}, end {POINT_SQL}",
     "lines": f"image_id string, entry_id bigint, points array<{POINT_SQL}>",
 }
-_ARROW_POINT = pa.struct([("row_fx", pa.int32()), ("col_fx", pa.int32()), ("brightness", pa.float32()), ("strength", pa.float32())])
+_ARROW_POINT = pa.struct([("row_fx", pa.int64()), ("col_fx", pa.int64()), ("brightness", pa.float32()), ("strength", pa.float32())])
 
 
 class FormatError(ValueError):
@@ -73,16 +72,13 @@ class Dataset:
 
 
 def encode(data: Dataset) -> bytes:
-    out = [MAGIC, struct.pack(">III", TYPES[data.kind], 0, len(data.entries))]
+    out = [frame(data.kind, len(data.entries))]
     if data.kind == "lines":
         for line in data.entries:
             out += [struct.pack(">I", len(line)), np.asarray(line, POINT).tobytes()]
     else:
         out.append(np.asarray(data.entries, POINT).tobytes())
-    out.append(struct.pack(">I", len(data.metadata)))
-    for key, value in data.metadata.items():
-        out += [struct.pack(">II", key, len(value)), value, b"\0" * (-len(value) % 4)]
-    return b"".join(out)
+    return b"".join([*out, trailer(data.metadata)])
 
 
 def decode(raw: bytes) -> Dataset:
@@ -117,7 +113,7 @@ def decode(raw: bytes) -> Dataset:
 
 def _structs(points: np.ndarray) -> pa.StructArray:
     p = points.ravel()
-    cols = [pa.array(p["row_fx"].astype(np.int64).astype(np.int32)), pa.array(p["col_fx"].astype(np.int64).astype(np.int32)), pa.array(p["brightness"].astype(np.float32)), pa.array(p["strength"].astype(np.float32))]
+    cols = [pa.array(p["row_fx"].astype(np.int64)), pa.array(p["col_fx"].astype(np.int64)), pa.array(p["brightness"].astype(np.float32)), pa.array(p["strength"].astype(np.float32))]
     return pa.StructArray.from_arrays(cols, fields=list(_ARROW_POINT))
 
 
@@ -159,43 +155,107 @@ def entries_of(files: DataFrame, kind: str, with_class: bool = False) -> DataFra
     return files.mapInArrow(run, SCHEMAS[kind] + (", class smallint, likelihood float" if with_class else ""))
 
 
-def _points(rows: list) -> np.ndarray:
-    return np.array([(p["row_fx"], p["col_fx"], p["brightness"], p["strength"]) for p in rows], POINT)
+def headers(files: DataFrame) -> DataFrame:
+    """path, kind, entries, metadata (key to value, without values per entry) of (path, content) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [decode(c) for c in b.column(1).to_pylist()]
+            meta = [[(k, v) for k, v in d.metadata.items() if k not in (CLASSES, LIKELIHOODS)] for d in data]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([d.kind for d in data]), pa.array([len(d.entries) for d in data], pa.int64()), pa.array(meta, pa.map_(pa.int64(), pa.binary()))],
+                names=["path", "kind", "entries", "metadata"],
+            )
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, entries bigint, metadata map<bigint,binary>")
+
 
+def _filled(struct: dict[str, pa.Array], n: int) -> np.ndarray:
+    out = np.empty(n, POINT)
+    for name in POINT.names:
+        out[name] = struct[name].to_numpy(zero_copy_only=False)
+    return out
 
-def to_dataset(entries: pd.DataFrame, kind: str, rows: int | None, cols: int | None) -> Dataset:
-    entries = entries.sort_values("entry_id")
+
+def _fields(column: pa.StructArray) -> dict[str, pa.Array]:
+    return {column.type[i].name: x for i, x in enumerate(column.flatten())}
+
+
+def encoded_entries(part: pa.Table, kind: str) -> bytes:
+    """The entries of a table, in its order, as the format's bytes; columns are filled at once."""
+    part = part.combine_chunks()
+    one = lambda name: part[name].chunk(0) if part[name].num_chunks else pa.array([], part[name].type)
+    n = part.num_rows
     if kind == "points":
-        body: np.ndarray | list = _points(entries.to_dict("records"))
-    elif kind == "segments":
-        body = np.stack([_points(list(entries["start"])), _points(list(entries["end"]))], axis=1) if len(entries) else np.zeros((0, 2), POINT)
-    else:
-        body = [_points(list(x)) for x in entries["points"]]
-    data = Dataset(kind, body)
-    for key, value in ((ROWS, rows), (COLS, cols)):
-        if value is not None:
-            data.set_uint32(key, value)
-    if "class" in entries.columns and entries["class"].notna().all() and len(entries):
-        data.metadata[CLASSES] = entries["class"].astype(np.uint8).to_numpy().tobytes()
-    return data
+        return _filled({x: one(x) for x in POINT.names}, n).tobytes()
+    if kind == "segments":
+        out = np.empty((n, 2), POINT)
+        for k, side in enumerate(("start", "end")):
+            out[:, k] = _filled(_fields(one(side)), n)
+        return out.tobytes()
+    lists = one("points")
+    flat = lists.flatten()
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64) if n else np.zeros(0, np.int64)
+    words = np.empty(n + 4 * len(flat), ">u4")  # a count and four words a point
+    head = np.cumsum(4 * size + 1) - (4 * size + 1)
+    rest = np.ones(len(words), bool)
+    rest[head] = False
+    words[head] = size
+    words[rest] = _filled(_fields(flat), len(flat)).view(">u4").ravel()
+    return words.tobytes()
+
+
+def frame(kind: str, count: int) -> bytes:
+    """The header of a file."""
+    return MAGIC + struct.pack(">III", TYPES[kind], 0, count)
+
+
+def trailer(metadata: dict[int, bytes]) -> bytes:
+    out = [struct.pack(">I", len(metadata))]
+    for key, value in metadata.items():
+        out += [struct.pack(">II", key, len(value)), value, b"\0" * (-len(value) % 4)]
+    return b"".join(out)
+
+
+def image_size(rows: int | None, cols: int | None) -> dict[int, bytes]:
+    return {key: struct.pack(">I", value) for key, value in ((ROWS, rows), (COLS, cols)) if value is not None}
 
 
 def encoded(entries: DataFrame, dims: DataFrame | None = None) -> DataFrame:
     """image_id, content: one file per image, each encoded in a task of its own.
 
     The format numbers entries inside one file, so a file is as large as its image's
-    entries; images are independent.
+    entries; images are independent.  Classes and likelihoods travel if every entry has one.
     """
     from ..operators.entries import kind_of
 
     kind = kind_of(entries)
-    if dims is None:
-        wide = entries.withColumns({"rows": F.lit(None).cast("int"), "cols": F.lit(None).cast("int")})
-    else:
-        wide = entries.join(F.broadcast(dims), "image_id", "left")  # a row per image
+    # joined plainly: it has a row per image, which may be many
+    wide = entries.join(dims.select("image_id", "rows", "cols"), "image_id", "left") if dims is not None else entries.withColumns({"rows": F.lit(None).cast("int"), "cols": F.lit(None).cast("int")})
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("entry_id")
+        meta = image_size(part["rows"][0].as_py(), part["cols"][0].as_py())
+        for name, key, code in (("class", CLASSES, "u1"), ("likelihood", LIKELIHOODS, ">f4")):
+            if name in part.column_names and not part[name].null_count:
+                meta[key] = part[name].to_numpy().astype(code).tobytes()
+        content = frame(kind, part.num_rows) + encoded_entries(part, kind) + trailer(meta)
+        return pa.table({"image_id": pa.array([part["image_id"][0].as_py()], pa.string()), "content": pa.array([content], pa.binary())})
+
+    return wide.groupBy("image_id").applyInArrow(run, "image_id string, content binary")
+
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size = [None if pd.isna(part[c].iloc[0]) else int(part[c].iloc[0]) for c in ("rows", "cols")]
-        return pd.DataFrame({"image_id": [key[0]], "content": [encode(to_dataset(part, kind, *size))]})
+def encoded_chunks(entries: DataFrame) -> DataFrame:
+    """n, body, classes, likelihoods: parts of one file in entry order."""
+    from ..operators.entries import kind_of
+
+    kind = kind_of(entries)
+    extra = [c for c in ("class", "likelihood") if c in entries.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            per = [t[c].to_numpy().astype(code).tobytes() if c in extra and not t[c].null_count else None for c, code in (("class", "u1"), ("likelihood", ">f4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64()), *(pa.array([x], pa.binary()) for x in (encoded_entries(t, kind), *per))], names=["n", "body", "classes", "likelihoods"])
 
-    return wide.groupBy("image_id").applyInPandas(run, "image_id string, content binary")
+    return entries.orderBy("entry_id").mapInArrow(run, "n bigint, body binary, classes binary, likelihoods binary")

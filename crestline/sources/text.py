@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,9 +105,11 @@ def pdf_operators(entries: DataFrame, rows: int) -> DataFrame:
     return entries.select("image_id", "entry_id", ops.alias("ops"))
 
 
-def pdf_page(operators: list[str], rows: int, cols: int) -> bytes:
+def pdf_page(operators: Iterable[str], rows: int, cols: int) -> bytes:
     """A one-page PDF with the operators, black round strokes on white."""
-    stream = zlib.compress("\n".join([f"1 1 1 rg 0 0 {cols} {rows} re f 0 0 0 RG 1 J 1 w", *operators]).encode())
+    packer = zlib.compressobj()  # only the compressed stream is held
+    stream = packer.compress(f"1 1 1 rg 0 0 {cols} {rows} re f 0 0 0 RG 1 J 1 w".encode())
+    stream += b"".join([packer.compress(b"\n" + x.encode()) for x in operators]) + packer.flush()
     objects = [
         b"<< /Type /Catalog /Pages 2 0 R >>",
         b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>",

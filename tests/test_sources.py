@@ -118,6 +118,33 @@ def test_commands(spark, tmp_path, capsys):
     assert run("classstat", t("c.ridg"), t("none.ridg")) in (3, 4)
 
 
+META = {0x10: b"\0\0\0\5", 0x11: b"\0\0\0\6", 0x77: b"kept as it is", 0x80: b"\0\1\2", 0x81: struct.pack(">3f", 0.5, -1.5, 2.25)}
+BIG = 2**31 + 5
+
+
+@pytest.mark.parametrize("kind", ["points", "segments", "lines"])
+def test_files_keep_everything(spark, tmp_path, kind):
+    """All metadata, classes of the entries left, coordinates over 2^31; and the old file until the new one is whole."""
+    p = [points((BIG + i, 7 * i, 0.5 * i, 0.25)) for i in range(6)]
+    body = {"points": np.concatenate(p[:3]), "segments": np.stack([np.concatenate(p[:2]), np.concatenate(p[2:4]), np.concatenate(p[4:])]), "lines": [np.concatenate(p[: 2 + i]) for i in range(3)]}[kind]
+    raw = ridg.encode(ridg.Dataset(kind, body, META))
+    path = tmp_path / "a.ridg"
+    path.write_bytes(raw)
+    got = files.load(spark, str(path))
+    assert (got.rows, got.cols) == (5, 6) and 0x80 not in got.metadata
+    files.save(got.entries, str(path), got.metadata)
+    assert path.read_bytes() == raw and [x.name for x in tmp_path.iterdir()] == ["a.ridg"]
+    files.save(got.entries.filter("entry_id <> 1"), str(path), got.metadata)
+    d = ridg.decode(path.read_bytes())
+    assert len(d.entries) == 2 and d.metadata[0x80] == b"\0\2" and d.metadata[0x81] == META[0x81][:4] + META[0x81][8:] and d.metadata[0x77] == META[0x77]
+    assert int(np.asarray(d.entries[0]).ravel()[0]["row_fx"]) == BIG
+    with pytest.raises(Exception):
+        files.save(got.entries.withColumn("entry_id", got.entries["entry_id"] / 0), str(path), got.metadata)
+    assert len(ridg.decode(path.read_bytes()).entries) == 2 and len(list(tmp_path.iterdir())) == 1
+    files.save(got.entries.limit(0), str(path))
+    assert len(ridg.decode(path.read_bytes()).entries) == 0
+
+
 def test_sql_views(spark):
     from crestline.sql import register_ridges, register_tables
 
