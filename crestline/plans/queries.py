@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import fine, millionths
-from ..functions.kernels import derivative
+from ..functions.algebra import fine, millionths, to_fixed, to_subpixel
+from ..functions.kernels import derivative, gaussian
+from ..functions.scales import parse_scales
 from ..operators import classes, entries, raster, scalespace, stencil, surface
 from ..operators.detect import cells as cells_of
-from ..sources import ridg, text, tiff
+from ..sources import files as paths
+from ..sources import masks, ridg, text, tiff
 from ..sources.tables import SURFACES, emb, evt, li
 from . import oracle as O
 from .detection import detection
@@ -379,3 +381,137 @@ def ridg_roundtrip(spark, sf_dir):
 def tiff_roundtrip(spark, sf_dir):
     files = tiff.encoded(emb(spark, sf_dir))
     return tiff.surfaces_of(files.select(F.col("image_id").alias("path"), "content"))
+
+
+def _files(df: DataFrame) -> DataFrame:
+    return df.select(F.col("image_id").alias("path"), "content")
+
+
+@query(f'WITH raw AS ({O.SURFACES["emb"]}) SELECT image_id, CAST("row" - 7 AS INTEGER) AS "row", CAST(col - 9 AS INTEGER) AS col, v FROM raw WHERE "row" >= 7 AND "row" < 57 AND col >= 9 AND col < 41')
+def tiff_extents(spark, sf_dir):
+    """A window of a TIFF: half-open, moved to the origin."""
+    return surface.clipped(tiff.surfaces_of(_files(tiff.encoded(emb(spark, sf_dir)))), 7, 9, 50, 32)
+
+
+@query(f'WITH raw AS ({O.SURFACES["li"]}) SELECT image_id, CAST(max("row") + 1 AS INTEGER) AS "rows", CAST(max(col) + 1 AS INTEGER) AS cols FROM raw GROUP BY image_id')
+def tiff_sizes(spark, sf_dir):
+    return tiff.sizes_of(_files(tiff.encoded(li(spark, sf_dir))))
+
+
+@query(f"""WITH raw AS ({O.SURFACES["emb"]}), {O.smoothing("raw", "sm", T)}, {O.derivative_ctes("sm", "dv")}, {O.metric_ctes("dv", "me", "N", O.number(T))}
+SELECT 'lpp' AS plane, "row", col, {O.millionths("x")} AS v_u FROM (SELECT "row", col, CAST(CAST(lpp AS FLOAT) AS DOUBLE) AS x FROM me)""")
+def tiff_dump(spark, sf_dir):
+    """A plane of the metrics written as a float TIFF and read back."""
+    m = stencil.metrics(stencil.smoothed(emb(spark, sf_dir), T), T, "N")
+    return tiff.surfaces_of(_files(tiff.encoded(m, "lpp"))).select(F.lit("lpp").alias("plane"), "row", "col", *_u("v"))
+
+
+@query(O.ridges("emb", T, """SELECT 'points' AS kind, (SELECT count(*) FROM points) AS entries, CAST("rows" AS BIGINT) AS "rows", CAST(cols AS BIGINT) AS cols, CAST(3735928559 AS BIGINT) AS own, true AS gone FROM dims""", O.POINTS))
+def metadata_block(spark, sf_dir):
+    """Metadata of a container: the image's size, a key set, a key taken out, one of another length."""
+    d = detection(emb(spark, sf_dir), T)
+    head = ridg.headers(_files(ridg.encoded(d.points(), d.dims)))
+    meta = entries.with_metadata(entries.with_metadata(F.col("metadata"), 0x77, bytes.fromhex("deadbeef")), 0x78, b"no")
+    out = head.withColumns({"m": meta, "left": entries.with_metadata(meta, 0x77, None)})
+    gone = entries.metadata_uint32(F.col("left"), 0x77).isNull() & entries.metadata_uint32(F.col("m"), 0x78).isNull()
+    return out.select("kind", "entries", *[entries.metadata_uint32(F.col("m"), k).alias(n) for k, n in ((ridg.ROWS, "rows"), (ridg.COLS, "cols"), (0x77, "own"))], gone.alias("gone"))
+
+
+@query(O.ridges("emb", T, "SELECT entry_id, r1, c1, r2, c2 FROM segments", O.SIDES, O.SEGMENTS))
+def ridg_segments(spark, sf_dir):
+    """Segments encoded to the container and decoded from it."""
+    d = detection(emb(spark, sf_dir), T)
+    return _flat(ridg.entries_of(_files(ridg.encoded(d.segments(), d.dims)), "segments")).select("entry_id", "r1", "c1", "r2", "c2")
+
+
+@query(O.ridges("emb", T, "SELECT entry_id, pos, row_fx, col_fx FROM lines", O.SIDES, O.SEGMENTS, O.LINES))
+def ridg_lines(spark, sf_dir):
+    """Lines encoded to the container and decoded from it."""
+    d = detection(emb(spark, sf_dir), T)
+    return _exploded(ridg.entries_of(_files(ridg.encoded(d.lines(), d.dims)), "lines")).select("entry_id", "pos", "row_fx", "col_fx")
+
+
+@query(O.ridges("emb", T, "SELECT entry_id, CAST(entry_id % 3 AS SMALLINT) AS class, CAST(entry_id % 8 AS FLOAT) / 8 AS likelihood FROM points", O.POINTS))
+def class_save(spark, sf_dir):
+    """Classes and likelihoods through a container file."""
+    d = detection(emb(spark, sf_dir), T)
+    classed = d.points().withColumns({"class": (F.col("entry_id") % 3).cast("smallint"), "likelihood": ((F.col("entry_id") % 8) / 8).cast("float")})
+    return ridg.entries_of(_files(ridg.encoded(classed, d.dims)), "points", with_class=True).select("entry_id", "class", "likelihood")
+
+
+_HIT = """SELECT DISTINCT image_id, CAST({r} AS INTEGER) AS "row", CAST({c} AS INTEGER) AS col, CAST(255 AS SMALLINT) AS m FROM {t} JOIN dims USING (image_id) WHERE {r} < "rows" AND {c} < cols"""
+
+
+@query(O.ridges("emb", T, _HIT.format(r="(row_fx >> 7)", c="(col_fx >> 7)", t="points"), O.POINTS))
+def mask_png(spark, sf_dir):
+    """Set pixels of a PNG mask, read back from the file's bytes."""
+    d = detection(emb(spark, sf_dir), T)
+    return masks.decoded(masks.encoded(raster.mask(raster.pixels(d.points()), d.dims), "png"), "png")
+
+
+@query(O.ridges("emb", T, _HIT.format(r="(least(r1, r2) >> 7)", c="(least(c1, c2) >> 7)", t="segments"), O.SIDES, O.SEGMENTS))
+def mask_tiff(spark, sf_dir):
+    """Set pixels of an 8-bit TIFF mask, read back from the file's bytes."""
+    d = detection(emb(spark, sf_dir), T)
+    return masks.decoded(masks.encoded(raster.mask(raster.pixels(d.segments()), d.dims), "tiff"), "tiff")
+
+
+def _px(x: str) -> str:
+    return f"regexp_replace(printf('%.7f', ({x}) / 128.0::DOUBLE), '\\.?0+$', '')"
+
+
+@query(O.ridges("emb", T, f"SELECT entry_id, {_px('c1')} || ' ' || {_px('500 * 128 - r1')} || ' m ' || {_px('c2')} || ' ' || {_px('500 * 128 - r2')} || ' l S' AS ops FROM segments", O.SIDES, O.SEGMENTS))
+def pdf_segments(spark, sf_dir):
+    """Drawing operators of a PDF page 500 high; y grows upwards."""
+    return text.pdf_operators(detection(emb(spark, sf_dir), T).segments(), 500).select("entry_id", "ops")
+
+
+@query(O.ridges("emb", T, "SELECT entry_id, CASE WHEN entry_id = 4 THEN '#ff8000' WHEN entry_id % 3 = 0 THEN '#0000ff' ELSE '#ff0000' END AS stroke FROM line_ids", O.SIDES, O.SEGMENTS, O.LINES))
+def svg_classes(spark, sf_dir):
+    """Strokes of classified lines: a colour per class, one line selected."""
+    classed = detection(emb(spark, sf_dir), T).lines().withColumn("class", (F.col("entry_id") % 3).cast("smallint"))
+    shapes = text.svg_elements(classed, text.class_colour(selected=4))
+    return shapes.select("entry_id", F.regexp_extract("element", 'stroke="([^"]*)"', 1).alias("stroke"))
+
+
+@query(O.ridges("emb", T, "SELECT entry_id, row_fx, CAST(round_even((col_fx / 128.0::DOUBLE + 0.005::DOUBLE) * 128.0::DOUBLE, 0) AS BIGINT) AS col_fx FROM points", O.POINTS))
+def fixed_positions(spark, sf_dir):
+    """Positions to pixels and back, the columns moved by less than one unit."""
+    p = detection(emb(spark, sf_dir), T).points()
+    return p.select("entry_id", to_fixed(to_subpixel(F.col("row_fx"))).alias("row_fx"), to_fixed(to_subpixel(F.col("col_fx")) + F.lit(0.005)).alias("col_fx"))
+
+
+@query("SELECT * FROM (VALUES ('2.5', 2.5::DOUBLE, true), ('1:1:3', 6.0, true), ('3:-1:1', 6.0, true), ('0:0.5:1', 1.5, true), ('1:0:2', NULL, false), ('2:1:1', NULL, false), ('-1', NULL, false), ('a', NULL, false), ('1:2', NULL, false), ('inf', NULL, false)) t(argument, total, ok)")
+def scale_arguments(spark, sf_dir):
+    """Scale arguments: the sum of their scales, or that they are refused."""
+
+    def told(argument: str) -> tuple:
+        try:
+            return argument, float(sum(parse_scales(argument))), True
+        except ValueError:
+            return argument, None, False
+
+    return spark.createDataFrame([told(x) for x in ("2.5", "1:1:3", "3:-1:1", "0:0.5:1", "1:0:2", "2:1:1", "-1", "a", "1:2", "inf")], "argument string, total double, ok boolean")
+
+
+@query("SELECT * FROM (VALUES ('a.PNG', 'png'), ('b.tif', 'tiff'), ('c.TIFF', 'tiff'), ('d', 'svg'), ('e.Pdf', 'pdf'), ('f.csv', 'csv'), ('g.xyz', 'svg')) t(path, form)")
+def export_formats(spark, sf_dir):
+    """The format by suffix, without regard to case."""
+    return spark.createDataFrame([(x, paths.format_of(x)) for x in ("a.PNG", "b.tif", "c.TIFF", "d", "e.Pdf", "f.csv", "g.xyz")], "path string, form string")
+
+
+def _sampled(v: str) -> str:
+    tap = lambda i: f"exp(-{i * i}::DOUBLE / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi())"
+    return "(" + " + ".join(f"{tap(i)} * {O.shifted(v, -i)}" for i in range(-3, 4)) + ")"
+
+
+@query(f"WITH raw AS ({O.SURFACES['emb']}), one AS (SELECT {GRID}, {_sampled('v')} AS v FROM raw {O.window('rows')}), two AS (SELECT {GRID}, {_sampled('v')} AS v FROM one {O.window('cols')}) SELECT {GRID}, {_us('v')} FROM two")
+def smooth_sampled(spark, sf_dir):
+    """The sampled Gaussian of variance 1, not normalised."""
+    return stencil.filter_surface(emb(spark, sf_dir), gaussian(1.0, sampled=True)).select("image_id", "row", "col", *_u("v"))
+
+
+@query(f'WITH {_SPACE} SELECT image_id, CAST(scale_idx - 1 AS INTEGER) AS scale_idx, CAST("row" - 10 AS INTEGER) AS "row", CAST(col - 4 AS INTEGER) AS col, {_us("v")} FROM space WHERE scale_idx BETWEEN 1 AND 2 AND "row" BETWEEN 10 AND 29 AND col BETWEEN 4 AND 15')
+def scale_view(spark, sf_dir):
+    """A box of the scale space, moved to its origin."""
+    return scalespace.view(scalespace.generate(emb(spark, sf_dir), SPACE), 10, 4, 20, 12, 1, 2).select("image_id", "scale_idx", "row", "col", *_u("v"))

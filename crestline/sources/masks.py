@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tiff
@@ -31,3 +33,31 @@ def encoded(mask: DataFrame, form: str) -> DataFrame:
         return pd.DataFrame({"image_id": [key[0]], "content": [write(tiff.dense(part, "m", np.uint8))]})
 
     return mask.select("image_id", "row", "col", "m").groupBy("image_id").applyInPandas(run, "image_id string, content binary")
+
+
+def unpng(raw: bytes) -> np.ndarray:
+    """The uint8 image of a PNG made by ``png`` (grey, 8 bits, no line filters)."""
+    cols, rows, depth, colour = struct.unpack_from(">IIBB", raw, 16)
+    at, body = 8, b""
+    while at < len(raw):
+        (n,) = struct.unpack_from(">I", raw, at)
+        body += raw[at + 8 : at + 8 + n] if raw[at + 4 : at + 8] == b"IDAT" else b""
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(rows, cols + 1)
+    if (depth, colour) != (8, 0) or lines[:, 0].any():
+        raise ValueError("only unfiltered grey masks of 8 bits are read")
+    return lines[:, 1:]
+
+
+def decoded(files: DataFrame, form: str) -> DataFrame:
+    """Set pixels (image_id, row, col, m) of mask files (image_id, content)."""
+    read = {"png": unpng, "tiff": tiff.decode_mask}[form]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                image = read(content)
+                row, col = np.nonzero(image)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(image[row, col].astype(np.int16))], names=["image_id", "row", "col", "m"])
+
+    return files.select("image_id", "content").mapInArrow(run, "image_id string, row int, col int, m smallint")

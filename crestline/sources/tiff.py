@@ -1,12 +1,14 @@
-"""Single-channel TIFF, uncompressed strips: float32 surfaces in and out, 8-bit masks out.
+"""Single-channel TIFF in strips: float32 surfaces in and out, 8-bit masks out and back.
 
-Tag numbers and field types are those of the TIFF 6.0 specification.  Tiled files,
-compressed ones and other sample formats are refused, not guessed at.
+Tag numbers, field types and compression codes are those of the TIFF 6.0 specification and
+its supplements; strips may be plain, PackBits, LZW or deflate, the file classic or BigTIFF.
+Tiled files, predictors and other sample formats are refused, not guessed at.  Output is plain.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,10 @@ from ..operators.surface import SCHEMA, clipped
 
 # fixed values: tags of TIFF 6.0
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS = 256, 257, 258, 259, 262, 273
-SAMPLES, ROWS_PER_STRIP, BYTE_COUNTS, PLANAR, TILE_WIDTH, FORMAT = 277, 278, 279, 284, 322, 339
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+SAMPLES, ROWS_PER_STRIP, BYTE_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, FORMAT = 277, 278, 279, 284, 317, 322, 339
+_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
+_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 STRIP_BYTES = 8192
 
 
@@ -31,19 +34,22 @@ class FormatError(ValueError):
 
 def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or len(raw) < 8 or struct.unpack(order + "H", raw[2:4])[0] != 42:
+    if order is None or len(raw) < 8 or (version := struct.unpack(order + "H", raw[2:4])[0]) not in (42, 43):
         raise FormatError("not a TIFF file")
+    big = version == 43
+    word, entry, inline = ("Q", 20, 8) if big else ("I", 12, 4)
     try:
-        (at,) = struct.unpack_from(order + "I", raw, 4)
-        (n,) = struct.unpack_from(order + "H", raw, at)
+        (at,) = struct.unpack_from(order + word, raw, 8 if big else 4)
+        (n,) = struct.unpack_from(order + ("Q" if big else "H"), raw, at)
+        at += 8 if big else 2
         out: dict[int, list] = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(order + "HH" + word, raw, at + entry * i)
             if kind not in _CODES:
                 continue
-            place = at + 10 + 12 * i
-            if _SIZES[kind] * count > 4:
-                (place,) = struct.unpack_from(order + "I", raw, place)
+            place = at + entry * (i + 1) - inline
+            if _SIZES[kind] * count > inline:
+                (place,) = struct.unpack_from(order + word, raw, place)
             out[tag] = list(struct.unpack_from(f"{order}{count}{_CODES[kind]}", raw, place))
         return order, out
     except struct.error:
@@ -58,20 +64,80 @@ def size(raw: bytes) -> tuple[int, int]:
     return tags[LENGTH][0], tags[WIDTH][0]
 
 
-def decode(raw: bytes) -> np.ndarray:
-    """float32 surface of the first image."""
+def unpackbits(raw: bytes) -> bytes:
+    """A count byte n, then n + 1 bytes as they are, or one byte 1 - n times where n is negative."""
+    out, i = bytearray(), 0
+    while i < len(raw):
+        n = raw[i]
+        if n < 128:
+            out += raw[i + 1 : i + 2 + n]
+            i += 2 + n
+        else:
+            if n > 128:
+                out += raw[i + 1 : i + 2] * (257 - n)
+            i += 2
+    return bytes(out)
+
+
+def unlzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends; widths grow one code early."""
+    out, held, bits, width = [], 0, 0, 9
+    table: list[bytes] = []
+    last = b""
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise FormatError("a strip is damaged")
+        word = table[code] if code < len(table) else last + last[:1]
+        out.append(word)
+        if last and len(table) < 4096:
+            table.append(last + word[:1])
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        last = word
+    return b"".join(out)
+
+
+_UNPACK = {PLAIN: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
+
+
+def _image(raw: bytes, bits: int, form: int, code: str) -> np.ndarray:
     order, tags = _tags(raw)
     rows, cols = size(raw)
     if TILE_WIDTH in tags:
         raise FormatError("tiled images are not supported")
-    if tags.get(SAMPLES, [1])[0] != 1 or tags.get(BITS, [1])[0] != 32 or tags.get(FORMAT, [1])[0] != 3:
-        raise FormatError("only one channel of 32-bit floats is supported")
-    if tags.get(COMPRESSION, [1])[0] != 1:
-        raise FormatError("only uncompressed strips are supported")
-    body = b"".join(raw[o : o + n] for o, n in zip(tags.get(OFFSETS, []), tags.get(BYTE_COUNTS, [])))
-    if len(body) < rows * cols * 4:
+    if tags.get(SAMPLES, [1])[0] != 1 or tags.get(BITS, [1])[0] != bits or tags.get(FORMAT, [1])[0] != form:
+        raise FormatError(f"only one channel of {bits}-bit samples of format {form} is supported")
+    unpack = _UNPACK.get(tags.get(COMPRESSION, [PLAIN])[0])
+    if unpack is None or tags.get(PREDICTOR, [1])[0] != 1:
+        raise FormatError("the compression of the strips is not supported")
+    try:
+        body = b"".join(unpack(raw[o : o + n]) for o, n in zip(tags.get(OFFSETS, []), tags.get(BYTE_COUNTS, [])))
+    except zlib.error as e:
+        raise FormatError("a strip is damaged") from e
+    need = rows * cols * bits // 8
+    if len(body) < need:
         raise FormatError("the file ends early")
-    return np.frombuffer(body[: rows * cols * 4], order + "f4").reshape(rows, cols).astype(np.float32)
+    return np.frombuffer(body[:need], order + code).reshape(rows, cols)
+
+
+def decode(raw: bytes) -> np.ndarray:
+    """float32 surface of the first image."""
+    return _image(raw, 32, 3, "f4").astype(np.float32)
+
+
+def decode_mask(raw: bytes) -> np.ndarray:
+    """uint8 mask of the first image."""
+    return _image(raw, 8, 1, "u1")
 
 
 def encode(image: np.ndarray) -> bytes:
@@ -138,13 +204,16 @@ def surfaces_of(files: DataFrame) -> DataFrame:
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, rows, cols) of the TIFFs at ``path``; no pixel becomes a row."""
+    return sizes_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
 
+def sizes_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [size(c) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())], names=["image_id", "rows", "cols"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "image_id string, rows int, cols int")
+    return files.select("path", "content").mapInArrow(run, "image_id string, rows int, cols int")
 
 
 def dense(part: pd.DataFrame, value: str, dtype) -> np.ndarray:

@@ -64,6 +64,76 @@ def test_tiff_refusals():
         tiff.decode(b"not a tiff")
 
 
+def retold(raw, code, pack, big=False):
+    """The file with its strips packed otherwise, or as BigTIFF, written by hand."""
+    order, tags = tiff._tags(raw)
+    strips = [pack(raw[o : o + n]) for o, n in zip(tags[tiff.OFFSETS], tags[tiff.BYTE_COUNTS])]
+    tags = {**tags, tiff.COMPRESSION: [code], tiff.BYTE_COUNTS: [len(x) for x in strips]}
+    begin = 16 if big else 8
+    tags[tiff.OFFSETS] = [begin + sum(map(len, strips[:i])) for i in range(len(strips))]
+    body = b"".join(strips)
+    word, fmt, kind = (8, "<HHQ", 16) if big else (4, "<HHI", 4)
+    at = begin + len(body)
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+    out, far = struct.pack("<Q" if big else "<H", len(tags)), b""
+    after = at + len(out) + len(tags) * (20 if big else 12) + word
+    for tag in sorted(tags):
+        packed = struct.pack(f"<{len(tags[tag])}{'Q' if big else 'I'}", *tags[tag])
+        out += struct.pack(fmt, tag, kind, len(tags[tag]))
+        if len(packed) > word:
+            out += (after + len(far)).to_bytes(word, "little")
+            far += packed
+        else:
+            out += packed.ljust(word, b"\0")
+    return head + body + out + bytes(word) + far
+
+
+def lzw(raw):
+    """A plain LZW packer: 9 to 12 bits, high bits first, widths grow one code early."""
+    bits, table, width, word = "", None, 9, b""
+    put = lambda c: format(c, f"0{width}b")
+    fresh = lambda: {bytes([i]): i for i in range(256)}
+    table, n = fresh(), 258
+    bits += put(256)
+    for b in raw:
+        if (longer := word + bytes([b])) in table:
+            word = longer
+            continue
+        bits += put(table[word])
+        table[longer] = n
+        n += 1
+        width = max(9, (n).bit_length()) if n < 4096 else 12
+        if n >= 4094:
+            bits += put(256)
+            table, n, width = fresh(), 258, 9
+        word = bytes([b])
+    bits += put(table[word]) if word else ""
+    width = max(width, min(12, (n + 1).bit_length()))
+    bits += put(257)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def packbits(raw):
+    return b"".join(bytes([len(raw[i : i + 128]) - 1]) + raw[i : i + 128] for i in range(0, len(raw), 128)) + b"\x80\x80"
+
+
+@pytest.mark.parametrize("code, pack", [(1, bytes), (5, lzw), (8, zlib.compress), (32946, zlib.compress), (32773, packbits)])
+@pytest.mark.parametrize("big", [False, True])
+def test_packed_strips(code, pack, big):
+    a = (np.random.default_rng(3).integers(0, 40, (90, 70)) / 8).astype(np.float32)
+    raw = retold(tiff.encode(a), code, pack, big)
+    assert tiff.size(raw) == (90, 70) and (tiff.decode(raw) == a).all()
+
+
+def test_packbits_runs_and_refusals():
+    assert tiff.unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA])) == bytes.fromhex("aaaaaa80002aaaaaaaaa")
+    raw = tiff.encode(np.zeros((2, 2), np.float32))
+    for bad in (retold(raw, 7, bytes), retold(raw, 8, bytes), retold(raw, 5, lambda x: b"\xff" * 9)):
+        with pytest.raises(tiff.FormatError):
+            tiff.decode(bad)
+
+
 def test_tiff_scan(spark, tmp_path):
     a = np.arange(30, dtype=np.float32).reshape(5, 6)
     (tmp_path / "a.tif").write_bytes(tiff.encode(a))
