@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,8 +83,8 @@ def test_dump_with_likelihood(spark):
 
 
 def test_pixel_index(spark):
-    pts = spark.createDataFrame([("im", 0, 0, 0, 64), ("im", 0, 1, 128, 64), ("im", 1, 0, 0, 70), ("im", 1, 1, 128, 70)], "image_id string, entry_id bigint, pos bigint, row_fx int, col_fx int")
-    ix = classes.pixel_index(pts)
+    lines = [("im", 0, [(0, 64), (128, 64)]), ("im", 1, [(0, 70), (128, 70)])]
+    ix = classes.pixel_index(spark.createDataFrame(lines, "image_id string, entry_id bigint, points array<struct<row_fx:bigint,col_fx:bigint>>"))
     assert [tuple(r) for r in ix.collect()] == [("im", 0, 0, 1)]
     assert classes.pick(ix, "im", 0.4, 0.3).first()[0] == 1 and classes.pick(ix, "im", 5, 5).count() == 0
 
@@ -91,7 +92,7 @@ def test_pixel_index(spark):
 def test_stream_of_containers(spark, tmp_path):
     from crestline.streaming.entries import container_stream, culled_stream
 
-    data = ridg.Dataset("points", ridg._points([{"row_fx": 1, "col_fx": 2, "brightness": b, "strength": 0.0} for b in (1.0, 5.0)]))
+    data = ridg.Dataset("points", np.array([(1, 2, b, 0.0) for b in (1.0, 5.0)], ridg.POINT))
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.ridg").write_bytes(ridg.encode(data))
     s = culled_stream(container_stream(spark, str(tmp_path / "in"), "points"), 2.0)
