@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .functions.scales import parse_scales
-from .operators import classes, entries, surface
+from .operators import classes, entries
 from .plans.detection import METRICS, detection
 from .sources import files, ridg, tiff
 
@@ -95,7 +95,7 @@ def _save(code: int, write, *args) -> None:
 
 
 def detect(spark: SparkSession, a) -> None:
-    from .operators import stencil
+    from .operators import blocks
 
     try:
         scales = [t for s in a.scale for t in parse_scales(s)] or [0.0]
@@ -114,7 +114,7 @@ def detect(spark: SparkSession, a) -> None:
     dumps = {"v": a.dump_l, "lp": a.dump_lp, "lpp": a.dump_lpp, "r": a.dump_r}
     if any(dumps.values()):
         t = min(scales)
-        m = stencil.metrics(stencil.smoothed(surface.filled(image, a.nan_value), t), t, a.metric)
+        m = blocks.metrics_by_blocks(image, t, a.metric, a.nan_value)
         for column, path in dumps.items():
             if path:
                 _save(3, lambda p, c: Path(p).write_bytes(bytes(tiff.encoded(m, c).first()["content"])), path, column)

@@ -1,29 +1,49 @@
-"""The fused stencil: one exchange for the whole image stage.
+"""The fused stencil: one exchange for all passes over an image.
 
-Every pixel goes to the blocks whose halo holds it (N + 3 pixels: smoothing, two
-derivative passes, the neighbour of an edge); a block is one dense array, so all
-passes run in numpy without another shuffle.  Values are float64 and every sum has
-the window plan's term order, so both plans agree bit for bit.
+Every pixel goes to the blocks whose halo holds it (as far as the passes reach: N for
+smoothing, two for derivatives, one for the neighbour of an edge); a block is one dense
+array, so all passes run in numpy without another shuffle, and the number of tasks
+grows with the pixels, whatever the shape of the image.  Values are float64 and every
+sum has the window plan's term order, so both plans agree bit for bit.
+
+Surfaces may have several planes (scale_idx, and scale where a pass needs it), which
+travel together.  A null value counts as NaN; pixels that are absent from a grid which
+should be dense are read as NaN and not made up in the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.algebra import finite_or
 from ..functions.kernels import Kernel, derivative, gaussian
+from ..functions.scales import sorted_distinct, to_thirds
 from .detect import EDGE_SCHEMA
 
 BLOCK = 256
+_AXIS = {"scale": 0, "rows": 2, "cols": 1}
+
+
+def side(halo: int) -> int:
+    """Side of a block: four halos at least, so that no pixel is sent more than 2.25 times on average."""
+    return max(BLOCK, 4 * halo)
 
 
 def convolve(a: np.ndarray, kernel: Kernel, axis: int) -> np.ndarray:
-    n = a.shape[axis]
+    n, reach = a.shape[axis], kernel.ofs
+    wide = np.pad(a, [(reach, reach) if k == axis % a.ndim else (0, 0) for k in range(a.ndim)], mode="edge")
+    at = [slice(None)] * a.ndim
     out = None
     for by, weight in kernel.terms():
-        term = weight * np.take(a, np.clip(np.arange(n) + by, 0, n - 1), axis=axis)
+        at[axis] = slice(reach + by, reach + by + n)
+        term = weight * wide[tuple(at)]
         out = term if out is None else out + term
     return out
 
@@ -49,13 +69,22 @@ def eigen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]
     return l1, l2, c, s
 
 
-def metrics(v: np.ndarray, t: float, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """lp, lpp, r of a filled surface."""
-    smooth, diff = gaussian(t), derivative()
-    if smooth:
-        v = convolve(convolve(v, smooth, 1), smooth, 0)
-    dx, dy = convolve(v, diff, 1), convolve(v, diff, 0)
-    l1, l2, c, s = eigen(convolve(dy, diff, 0), convolve(dx, diff, 0), convolve(dx, diff, 1))
+def smooth(v: np.ndarray, kernel: Kernel | None) -> np.ndarray:
+    return convolve(convolve(v, kernel, -1), kernel, -2) if kernel else v
+
+
+def slopes(v: np.ndarray) -> dict[str, np.ndarray]:
+    """dx, dy, dxx, dyy, dxy: each pass clamps by itself; dxy runs down the columns of dx."""
+    diff = derivative()
+    dx, dy = convolve(v, diff, -1), convolve(v, diff, -2)
+    return {"dx": dx, "dy": dy, "dxx": convolve(dx, diff, -1), "dyy": convolve(dy, diff, -2), "dxy": convolve(dx, diff, -2)}
+
+
+def metrics(v: np.ndarray, t: float | np.ndarray, metric: str) -> dict[str, np.ndarray]:
+    """l1, l2, lp, lpp, r of a filled and smoothed surface; ``t`` may differ by plane."""
+    d = slopes(v)
+    dx, dy = d["dx"], d["dy"]
+    l1, l2, c, s = eigen(d["dyy"], d["dxy"], d["dxx"])
     first = np.abs(l1) > np.abs(l2)
     lpp = np.where(first, l1, l2)
     lp = np.where(first, c * dy + (-s) * dx, s * dy + c * dx)
@@ -69,7 +98,7 @@ def metrics(v: np.ndarray, t: float, metric: str) -> tuple[np.ndarray, np.ndarra
         r = (t * t) * (d * d)
     else:
         raise ValueError(f"metric must be A, M or N, not {metric!r}")
-    return lp, lpp, r
+    return {"l1": l1, "l2": l2, "lp": lp, "lpp": lpp, "r": r}
 
 
 def crossings(lp: np.ndarray, lpp: np.ndarray, axis: int) -> np.ndarray:
@@ -91,7 +120,8 @@ def _block(t: float, metric: str, fill: float, block: int):
         top, left = row.min(), col.min()
         grid = np.full((row.max() - top + 1, col.max() - left + 1), np.nan)
         grid[row - top, col - left] = raw
-        lp, lpp, r = metrics(np.where(np.isfinite(grid), grid, fill), t, metric)
+        made = metrics(smooth(np.where(np.isfinite(grid), grid, fill), gaussian(t)), t, metric)
+        lp, lpp, r = made["lp"], made["lpp"], made["r"]
         out = []
         for dir_, axis in (("N", 1), ("W", 0)):
             d = crossings(lp, lpp, axis)
@@ -118,13 +148,127 @@ def _block(t: float, metric: str, fill: float, block: int):
     return run
 
 
-def edges_by_blocks(surface: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0, block: int = BLOCK) -> DataFrame:
+def dealt(surface: DataFrame, halo: int, block: int) -> DataFrame:
+    """The pixels with the blocks (br, bc) whose halo holds them."""
+
+    def reach(x: str) -> list:
+        return [F.floor((F.col(x) - halo) / block).cast("int"), F.floor((F.col(x) + halo) / block).cast("int")]
+
+    spread = surface.select("*", F.explode(F.sequence(*reach("row"))).alias("br")).select("*", F.explode(F.sequence(*reach("col"))).alias("bc"))
+    return spread.filter("br >= 0 and bc >= 0")
+
+
+def edges_by_blocks(surface: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0, block: int | None = None) -> DataFrame:
     """Edges of a raw, dense surface from one shuffle of its pixels."""
     kernel = gaussian(t)
     halo = (kernel.ofs if kernel else 0) + 3
+    block = block or side(halo)
+    spread = dealt(surface.select("image_id", "row", "col", "v"), halo, block)
+    return spread.groupBy("image_id", "br", "bc").applyInArrow(_block(t, metric, fill, block), EDGE_SCHEMA)
 
-    def reach(x: str) -> list:
-        return [F.floor((F.col(x) - halo) / block).cast("int"), F.floor((F.col(x) + halo) / block).cast("int")]
 
-    spread = surface.select("image_id", "row", "col", "v", F.explode(F.sequence(*reach("row"))).alias("br")).select("*", F.explode(F.sequence(*reach("col"))).alias("bc"))
-    return spread.filter("br >= 0 and bc >= 0").groupBy("image_id", "br", "bc").applyInArrow(_block(t, metric, fill, block), EDGE_SCHEMA)
+Passes = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
+
+
+def by_blocks(surface: DataFrame, halo: int, passes: Passes, made: tuple[str, ...], block: int | None = None) -> DataFrame:
+    """The surface's rows with columns ``made``; one of them replaces a column of its name.
+
+    ``passes`` gets a block as an array (plane, row, col) and the scale of every plane
+    (NaN without such a column), and gives an array of that shape for each new column.
+    """
+    block = block or side(halo)
+    kept = [c for c in surface.columns if c not in made]
+    schema = StructType([*(surface.schema[c] for c in kept), *(StructField(c, DoubleType()) for c in made)])
+
+    def run(table: pa.Table) -> pa.Table:
+        row, col = (table[c].to_numpy().astype(np.int64) for c in ("row", "col"))
+        names, plane = np.unique(table["scale_idx"].to_numpy(), return_inverse=True) if "scale_idx" in table.column_names else (np.zeros(1), np.zeros(len(row), np.int64))
+        top, left = row.min(), col.min()
+        cube = np.full((len(names), row.max() - top + 1, col.max() - left + 1), np.nan)
+        cube[plane, row - top, col - left] = table["v"].to_numpy()
+        scales = np.full(len(names), np.nan)
+        if "scale" in table.column_names:
+            scales[plane] = table["scale"].to_numpy()
+        new = passes(cube, scales)
+        own = (row // block == table["br"][0].as_py()) & (col // block == table["bc"][0].as_py())
+        places = plane[own], row[own] - top, col[own] - left
+        out = table.select(kept).filter(pa.array(own))
+        for c in made:
+            out = out.append_column(c, pa.array(new[c][places]))
+        return out
+
+    return dealt(surface, halo, block).groupBy("image_id", "br", "bc").applyInArrow(run, schema).select(*surface.columns, *[c for c in made if c not in surface.columns])
+
+
+def _reach(kernel: Kernel | None) -> int:
+    return kernel.ofs if kernel else 0
+
+
+def filtered(surface: DataFrame, kernel: Kernel | None, axes: tuple[str, ...] = ("rows", "cols"), block: int | None = None) -> DataFrame:
+    """``v`` filtered along each axis in turn, "rows", "cols" or "scale"; no kernel or no axis changes nothing."""
+    if not kernel or not axes:
+        return surface
+
+    def passes(v: np.ndarray, _) -> dict[str, np.ndarray]:
+        for axis in axes:
+            v = convolve(v, kernel, _AXIS[axis])
+        return {"v": v}
+
+    return by_blocks(surface, kernel.ofs if {"rows", "cols"} & set(axes) else 0, passes, ("v",), block)
+
+
+def smoothed(surface: DataFrame, t: float, block: int | None = None) -> DataFrame:
+    return filtered(surface, gaussian(t), block=block)
+
+
+def derivatives(surface: DataFrame, t: float = 0.0, block: int | None = None) -> DataFrame:
+    """dx, dy, dxx, dyy, dxy beside v, of the surface smoothed by ``t``."""
+    kernel = gaussian(t)
+
+    def passes(v: np.ndarray, _) -> dict[str, np.ndarray]:
+        v = smooth(v, kernel)
+        return {"v": v, **slopes(v)}
+
+    return by_blocks(surface, _reach(kernel) + 2, passes, ("v", "dx", "dy", "dxx", "dyy", "dxy"), block)
+
+
+def metrics_by_blocks(surface: DataFrame, t: float, metric: str = "N", fill: float = 0.0, block: int | None = None) -> DataFrame:
+    """l1, l2, lp, lpp, r beside v, of a raw surface filled and smoothed by ``t``."""
+    kernel = gaussian(t)
+
+    def passes(v: np.ndarray, _) -> dict[str, np.ndarray]:
+        v = smooth(v, kernel)
+        return {"v": v, **metrics(v, t, metric)}
+
+    raw = surface.withColumn("v", finite_or(F.col("v"), fill))
+    return by_blocks(raw, _reach(kernel) + 2, passes, ("v", "l1", "l2", "lp", "lpp", "r"), block)
+
+
+def scale_space(surface: DataFrame, scales: list[float], block: int | None = None) -> DataFrame:
+    """(image_id, scale_idx, scale, row, col, v): plane i is plane i-1 smoothed by the difference of their scales."""
+    ordered = [float(s) for s in sorted_distinct(to_thirds(scales))]
+    kernels = [gaussian(b - a) for a, b in pairwise([0.0, *ordered])]
+    names = tuple(f"_v{i}" for i in range(len(ordered)))
+
+    def passes(v: np.ndarray, _) -> dict[str, np.ndarray]:
+        planes = {}
+        for name, kernel in zip(names, kernels):
+            planes[name] = v = smooth(v, kernel)
+        return planes
+
+    wide = by_blocks(surface.select("image_id", "row", "col", "v"), sum(map(_reach, kernels)), passes, names, block)
+    planes = [F.struct(F.lit(i).alias("scale_idx"), F.lit(s).alias("scale"), F.col(n).alias("v")) for i, (n, s) in enumerate(zip(names, ordered))]
+    return wide.select("image_id", "row", "col", F.inline(F.array(*planes))).select("image_id", "scale_idx", "scale", "row", "col", "v")
+
+
+def scale_metrics(space: DataFrame, metric: str = "N", block: int | None = None) -> DataFrame:
+    """lp, lpp, r of every plane, and the first and second derivative of r along the scales, in one shuffle."""
+
+    def passes(v: np.ndarray, scales: np.ndarray) -> dict[str, np.ndarray]:
+        m = metrics(v, scales[:, None, None], metric)
+        m["dr"] = convolve(m["r"], derivative(), 0)
+        m["ddr"] = convolve(m["dr"], derivative(), 0)
+        return m
+
+    out = by_blocks(space, 2, passes, ("lp", "lpp", "r", "dr", "ddr"), block)
+    return out.select("image_id", "scale_idx", "scale", "row", "col", "lp", "lpp", "r", "dr", "ddr")

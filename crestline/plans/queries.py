@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.algebra import fine, millionths, to_fixed, to_subpixel
 from ..functions.kernels import derivative, gaussian
 from ..functions.scales import parse_scales
-from ..operators import classes, entries, raster, scalespace, stencil, surface
+from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface
 from ..operators.detect import cells as cells_of
 from ..sources import files as paths
 from ..sources import masks, ridg, text, tiff
 from ..sources.tables import SURFACES, emb, evt, li
 from . import oracle as O
 from .detection import detection
-from .staging import stage, table
+from .staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,12 +87,12 @@ def surface_size(spark, sf_dir):
 
 @query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)} SELECT {GRID}, {_us('v')} FROM sm")
 def smooth_gauss(spark, sf_dir):
-    return stencil.smoothed(emb(spark, sf_dir), T).select("image_id", "row", "col", *_u("v"))
+    return blocks.smoothed(emb(spark, sf_dir), T).select("image_id", "row", "col", *_u("v"))
 
 
 @query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)}, {O.derivative_ctes('sm', 'dv')} SELECT {GRID}, {_us('dx', 'dy', 'dxx', 'dyy', 'dxy')} FROM dv")
 def derivatives(spark, sf_dir):
-    return stencil.derivatives(stencil.smoothed(emb(spark, sf_dir), T)).select("image_id", "row", "col", *_u("dx", "dy", "dxx", "dyy", "dxy"))
+    return blocks.derivatives(emb(spark, sf_dir), T).select("image_id", "row", "col", *_u("dx", "dy", "dxx", "dyy", "dxy"))
 
 
 def _metrics(metric: str) -> None:
@@ -101,13 +101,19 @@ SELECT {GRID}, {_us("l1", "l2", "lp", "lpp")}, {_fs("r")} FROM me"""
 
     @query(sql, f"eigen_metrics_{metric.lower()}")
     def run(spark, sf_dir):
-        return stencil.metrics(stencil.smoothed(emb(spark, sf_dir), T), T, metric).select("image_id", "row", "col", *_u("l1", "l2", "lp", "lpp"), *_f("r"))
+        return blocks.metrics_by_blocks(emb(spark, sf_dir), T, metric).select("image_id", "row", "col", *_u("l1", "l2", "lp", "lpp"), *_f("r"))
 
 
 for _m in "NMA":
     _metrics(_m)
 
 
+@query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)}, {O.derivative_ctes('sm', 'dv')} SELECT {GRID}, {_us('dx', 'dy', 'dxx', 'dyy', 'dxy')} FROM dv")
+def derivatives_windows(spark, sf_dir):
+    """The window plan, which the block plan is held against."""
+    return stencil.derivatives(stencil.smoothed(emb(spark, sf_dir), T)).select("image_id", "row", "col", *_u("dx", "dy", "dxx", "dyy", "dxy"))
+
+
 # detection -----------------------------------------------------------------------------
 
 
@@ -349,8 +355,7 @@ def scale_derivative(spark, sf_dir):
 g AS (SELECT *, {O.convolved("r", derivative())} AS dr FROM me {O.window("scale")}), h AS (SELECT *, {O.convolved("dr", derivative())} AS ddr FROM g {O.window("scale")})
 SELECT image_id, scale_idx, "row", col, {_us("lp", "lpp")}, {_fs("r", "dr", "ddr")} FROM h""")
 def scale_metrics(spark, sf_dir):
-    space = stage(scalespace.generate(emb(spark, sf_dir), SPACE), "space")
-    return scalespace.scale_metrics(space).select("image_id", "scale_idx", "row", "col", *_u("lp", "lpp"), *_f("r", "dr", "ddr"))
+    return scalespace.scale_metrics(scalespace.generate(emb(spark, sf_dir), SPACE)).select("image_id", "scale_idx", "row", "col", *_u("lp", "lpp"), *_f("r", "dr", "ddr"))
 
 
 # text and files ------------------------------------------------------------------------
@@ -402,7 +407,7 @@ def tiff_sizes(spark, sf_dir):
 SELECT 'lpp' AS plane, "row", col, {O.millionths("x")} AS v_u FROM (SELECT "row", col, CAST(CAST(lpp AS FLOAT) AS DOUBLE) AS x FROM me)""")
 def tiff_dump(spark, sf_dir):
     """A plane of the metrics written as a float TIFF and read back."""
-    m = stencil.metrics(stencil.smoothed(emb(spark, sf_dir), T), T, "N")
+    m = blocks.metrics_by_blocks(emb(spark, sf_dir), T, "N")
     return tiff.surfaces_of(_files(tiff.encoded(m, "lpp"))).select(F.lit("lpp").alias("plane"), "row", "col", *_u("v"))
 
 
@@ -508,7 +513,7 @@ def _sampled(v: str) -> str:
 @query(f"WITH raw AS ({O.SURFACES['emb']}), one AS (SELECT {GRID}, {_sampled('v')} AS v FROM raw {O.window('rows')}), two AS (SELECT {GRID}, {_sampled('v')} AS v FROM one {O.window('cols')}) SELECT {GRID}, {_us('v')} FROM two")
 def smooth_sampled(spark, sf_dir):
     """The sampled Gaussian of variance 1, not normalised."""
-    return stencil.filter_surface(emb(spark, sf_dir), gaussian(1.0, sampled=True)).select("image_id", "row", "col", *_u("v"))
+    return blocks.filtered(emb(spark, sf_dir), gaussian(1.0, sampled=True)).select("image_id", "row", "col", *_u("v"))
 
 
 @query(f'WITH {_SPACE} SELECT image_id, CAST(scale_idx - 1 AS INTEGER) AS scale_idx, CAST("row" - 10 AS INTEGER) AS "row", CAST(col - 4 AS INTEGER) AS col, {_us("v")} FROM space WHERE scale_idx BETWEEN 1 AND 2 AND "row" BETWEEN 10 AND 29 AND col BETWEEN 4 AND 15')

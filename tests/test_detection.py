@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.operators import lines as L
-from crestline.operators import scalespace, stencil, surface
+from crestline.functions.kernels import derivative, gaussian
+from crestline.operators import blocks, scalespace, stencil, surface
 from crestline.operators.blocks import edges_by_blocks
 from crestline.operators.detect import EDGE_SCHEMA, edges_by_windows
 from crestline.plans.detection import detection
@@ -49,6 +50,38 @@ def test_both_plans_agree(spark, metric, t, block):
     assert len(a) > 20 and sorted(map(key, a)) == sorted(map(key, b))
 
 
+def same(a, b, n):
+    """Equal rows, to the last bit of every double."""
+    assert sorted(a.columns) == sorted(b.columns)
+    a, b = (sorted(map(repr, df.select(*sorted(df.columns)).collect())) for df in (a, b))
+    assert len(a) == n and a == b
+
+
+@pytest.mark.parametrize("t, block", [(0.0, 7), (1.0, 5), (2.0, 64)])
+def test_stencils_by_blocks_equal_windows(spark, t, block):
+    grid = np.random.default_rng(6).normal(size=(23, 11))
+    grid[3, 4], grid[9, 9] = np.nan, np.inf
+    raw = image(spark, grid, "a").unionByName(image(spark, grid[:9] * 3, "b"))
+    im, n = surface.filled(raw, 0.5), 32 * 11
+    same(blocks.smoothed(im, t, block), stencil.smoothed(im, t), n)
+    same(blocks.derivatives(im, t, block), stencil.derivatives(stencil.smoothed(im, t)), n)
+    for metric in "AMN":
+        same(blocks.metrics_by_blocks(raw, t, metric, 0.5, block), stencil.metrics(stencil.smoothed(im, t), t, metric), n)
+    same(blocks.filtered(im, gaussian(t, sampled=True), ("cols",), block), stencil.filter_surface(im, gaussian(t, sampled=True), ("cols",)), n)
+
+
+def test_missing_and_null_pixels_by_blocks(spark):
+    im = image(spark, np.ones((4, 4))).filter("row <> 1 or col <> 2").withColumn("v", F.expr("if(row = 3 and col = 3, null, v)"))
+    got = {(r.row, r.col): r.v for r in blocks.smoothed(im, 1 / 3).collect()}
+    assert len(got) == 15 and (1, 2) not in got
+    assert np.isnan(got[1, 1]) and np.isnan(got[3, 3]) and got[3, 0] == pytest.approx(1)
+
+
+def test_blocks_grow_with_the_halo():
+    assert blocks.side(6) == 256 and blocks.side(303) == 1212
+    assert all((1 + 2 * h / blocks.side(h)) ** 2 <= 2.25 for h in range(3, 2000))
+
+
 def test_unknown_choices(spark):
     with pytest.raises(ValueError):
         detection(image(spark, bar(True)), metric="X")
@@ -136,3 +169,23 @@ def test_scale_space(spark):
     assert scalespace.view(space, 1, 1, 2, 3, 1).count() == 12
     assert scalespace.scale_metrics(space).count() == 108
     assert stencil.filter_surface(im, None).columns == im.columns
+
+
+def test_scale_space_by_blocks_equals_windows(spark):
+    im = image(spark, np.random.default_rng(2).normal(size=(19, 8)))
+    scales = [0.34, 1.0, 2.0]
+    space, windows = scalespace.generate(im, scales), scalespace.generate(im, scales, "windows")
+    same(space, windows, 3 * 152)
+    same(blocks.scale_space(im, scales, 5), windows, 3 * 152)
+    for metric in "AMN":
+        same(scalespace.scale_metrics(space, metric), scalespace.scale_metrics(space, metric, "windows"), 3 * 152)
+    same(blocks.scale_metrics(space, "N", 4), scalespace.scale_metrics(space, "N", "windows"), 3 * 152)
+    for axes in (("scale",), ("rows", "scale"), ("rows", "cols", "scale"), ("cols",)):
+        same(scalespace.filter_space(space, derivative(), axes), scalespace.filter_space(space, derivative(), axes, "windows"), 3 * 152)
+    upper = scalespace.view(space, 0, 0, 19, 8, 1)
+    assert scalespace.filter_space(upper, derivative(), ("rows", "scale")).count() == 2 * 152
+
+
+def test_stencils_of_an_empty_surface(spark):
+    none = spark.createDataFrame([], surface.SCHEMA)
+    assert blocks.metrics_by_blocks(none, 1.0).count() == blocks.derivatives(none).count() == scalespace.generate(none, [1.0]).count() == 0
