@@ -2,8 +2,10 @@
 
 Each two-sided cell gives two arcs, one per direction (enter by one side, leave by
 the other).  An arc's successor is the arc that enters the neighbour by the shared
-edge.  Doubling joins every arc with its successor's successor, so a path of n cells
-is ranked in a logarithmic number of rounds of equi-joins; no task walks a line.
+edge.  Stretches of a path inside a block of cells are contracted first, in numpy; what
+is left are the arcs that leave a block.  Doubling joins each of them with its successor's
+successor, so a path through n blocks is ranked in a logarithmic number of rounds of
+equi-joins over few rows; no task walks a line.
 
 Open lines start at the row-major smaller end cell (a single cell at its first
 side).  Closed ones start at their smallest cell, first step preferring N, S, W, E.
@@ -12,12 +14,15 @@ Points: the first cell's entry, then every cell's exit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import drop, stage
 from .detect import numbered, two_sided
 
+BLOCK = 256  # cells a side
 HOPS = 3  # look-ups a round: reach grows fourfold
 _STEP = "CASE {bit} WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END"
 
@@ -37,12 +42,12 @@ def arcs(edges: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def doubled(links: DataFrame) -> DataFrame:
-    """(image_id, arc, last, dist, low, open) from (image_id, arc, nxt, low).
+    """(image_id, arc, last, dist, low, open) from (image_id, arc, nxt, dist, low).
 
     last: the arc where the path ends, dist: steps to it, low: least ``low`` on the
     way; open is false on cycles, where low is the whole cycle's.
     """
-    now = stage(links.select("image_id", "arc", F.coalesce("nxt", "arc").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(1).cast("bigint").alias("dist"), "low", F.col("nxt").isNull().alias("open")), "arcs")
+    now = stage(links.select("image_id", "arc", F.coalesce("nxt", "arc").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(F.col("dist")).cast("bigint").alias("dist"), "low", F.col("nxt").isNull().alias("open")), "arcs")
     seen = None
     while True:
         sign = now.agg(F.count_if(~F.col("open")), F.sum(F.when(~F.col("open"), F.xxhash64("arc", "low")).cast("decimal(38,0)"))).first()
@@ -58,41 +63,107 @@ def doubled(links: DataFrame) -> DataFrame:
                 "image_id", "arc", F.coalesce("last2", "last").alias("last"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
                 F.least("low", "low2").alias("low"), F.coalesce("open2", "open").alias("open"),
             )
-        now = stage(now.filter("open").unionByName(moved), "arcs")
+        before, now = now, stage(now.filter("open").unionByName(moved), "arcs")
+        drop(before)
+
+
+def block_of(row: Column, col: Column) -> Column:
+    return F.shiftleft(F.floor(row / BLOCK).cast("bigint"), 32) + F.floor(col / BLOCK).cast("bigint")
+
+
+def _walked(last: np.ndarray, steps: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Successors, steps and minima on the way, as far ahead as there are arcs at least."""
+    for _ in range(len(last).bit_length()):
+        steps, low, last = steps + steps[last], np.minimum(low, low[last]), last[last]
+    return last, steps, low
+
+
+def _contract(links: pa.Table) -> pa.Table:
+    """Every arc's last arc inside its block; a block holds two arcs a cell, 131,072 at most.
+
+    Rings that never leave the block have no tail; their steps count from the arc whose
+    ``low`` is the ring's, which no other arc of the image shares.
+    """
+    arc = links["arc"].to_numpy()
+    nxt = links["nxt"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(arc)
+    at = order[np.minimum(np.searchsorted(arc, nxt, sorter=order), len(arc) - 1)]
+    goes = arc[at] == nxt
+    last = np.where(goes, at, np.arange(len(arc)))
+    steps = goes.astype(np.int64)
+    none = np.iinfo(np.int64).max
+    own = links["low"].to_numpy()
+    last, steps, low = _walked(last, steps, np.where(goes, own, none))  # of the arcs before ``last``
+    ring = goes[last]  # still under way after as many steps as there are arcs
+    if ring.any():
+        start = ring & (own == low)
+        on = ring & ~start[at]
+        _, left, _ = _walked(np.where(on, at, np.arange(len(arc))), on.astype(np.int64), low)
+        first = np.nonzero(start)[0]
+        first = first[np.argsort(low[first])]
+        steps[ring] = left[first[np.searchsorted(low[first], low[ring])]] - left[ring]
+    return pa.table(
+        {
+            "image_id": pa.array([links["image_id"][0].as_py()] * len(arc), pa.string()),
+            "arc": pa.array(arc),
+            "tail": pa.array(arc[last], mask=ring),
+            "steps": pa.array(steps),
+            "low_in": pa.array(low, mask=low == none),
+        }
+    )
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """``doubled`` of (image_id, arc, nxt, low, block, next_block), with whole stretches inside a block as steps.
+
+    ``last`` is null on cycles inside a block, where dist is the place from the arc with the least ``low``.
+    """
+    chains = stage(links.select("image_id", "arc", "nxt", "low", "block").groupBy("image_id", "block").applyInArrow(_contract, "image_id string, arc bigint, tail bigint, steps bigint, low_in bigint"), "line-chains")
+    leaving = links.filter("nxt is null or block <> next_block").select("image_id", "arc", "nxt", "low")
+    entered = chains.select("image_id", F.col("arc").alias("nxt"), "tail", "steps", "low_in")
+    nodes = leaving.join(entered, ["image_id", "nxt"], "left").select("image_id", "arc", F.col("tail").alias("nxt"), (F.col("steps") + 1).alias("dist"), F.least("low", "low_in").alias("low"))
+    ends = doubled(nodes).withColumnRenamed("arc", "tail")
+    through = chains.join(ends, ["image_id", "tail"]).select("image_id", "arc", "last", (F.col("dist") + F.col("steps")).alias("dist"), F.least("low", "low_in").alias("low"), "open")
+    rings = chains.filter("tail is null").select("image_id", "arc", F.col("tail").alias("last"), F.col("steps").alias("dist"), F.col("low_in").alias("low"), F.lit(False).alias("open"))
+    out = stage(through.unionByName(rings), "line-ranks")
+    drop(chains)
+    return out
 
 
 def line_points(edges: DataFrame, dims: DataFrame) -> DataFrame:
     """image_id, line_cell, pos, row_fx, col_fx, brightness, strength; one row per point."""
     a = stage(arcs(edges, dims), "line-arcs")
-    enter = a.select("image_id", F.col("in_edge").alias("out_edge"), F.col("arc").alias("nxt"), F.col("cell").alias("c2"))
-    step = a.join(enter, ["image_id", "out_edge"]).filter("c2 <> cell").select("image_id", "arc", "nxt")
+    block = block_of(F.col("row"), F.col("col"))
+    enter = a.select("image_id", F.col("in_edge").alias("out_edge"), F.col("arc").alias("nxt"), F.col("cell").alias("c2"), block.alias("next_block"))
+    step = a.join(enter, ["image_id", "out_edge"]).filter("c2 <> cell").select("image_id", "arc", "nxt", "next_block")
     key = F.col("cell") * 4 + F.expr(_STEP.format(bit="out_bit"))
-    links = stage(a.join(step, ["image_id", "arc"], "left").select("image_id", "arc", "nxt", key.alias("low")), "line-links")
-    ranked = doubled(links)
+    links = stage(a.join(step, ["image_id", "arc"], "left").select("image_id", "arc", "nxt", key.alias("low"), block.alias("block"), "next_block"), "line-links")
+    ranks = ranked(links)
 
-    twin = ranked.select("image_id", F.col("arc").alias("twin"), F.col("last").alias("t_last"), F.col("dist").alias("t_dist"), F.col("low").alias("t_low"))
-    both = a.join(ranked, ["image_id", "arc"]).join(twin, ["image_id", "twin"])
+    twin = ranks.select("image_id", F.col("arc").alias("twin"), F.col("last").alias("t_last"), F.col("dist").alias("t_dist"), F.col("low").alias("t_low"))
+    both = a.join(ranks, ["image_id", "arc"]).join(twin, ["image_id", "twin"])
     first, final = F.expr("t_last div 2"), F.expr("last div 2")
     forward = (first < final) | ((first == final) & (F.col("in_bit") < F.col("out_bit")))
     opened = both.filter(F.col("open") & forward).withColumns({"line_cell": first, "pos": F.col("t_dist")})
 
     keep = ["image_id", "line_cell", "pos", "in_point", "out_point"]
     path = opened.select(keep)
-    if ranked.filter("not open").head(1):
-        path = path.unionByName(_closed(both, links).select(keep))
+    closed = both.filter(~F.col("open") & (F.col("low") < F.col("t_low"))).withColumn("line_cell", F.expr("low div 4"))
+    path = path.unionByName(closed.filter("last is null").withColumn("pos", F.col("dist")).select(keep))
+    if ranks.filter("not open and last is not null").head(1):
+        path = path.unionByName(_across(closed.filter("last is not null"), links).select(keep))
     at = F.when(F.col("pos") == 0, F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.col("in_point").alias("p")), F.struct(F.lit(1).cast("bigint").alias("pos"), F.col("out_point").alias("p"))))
     at = at.otherwise(F.array(F.struct((F.col("pos") + 1).alias("pos"), F.col("out_point").alias("p"))))
     out = path.select("image_id", "line_cell", F.explode(at).alias("x"))
     return out.select("image_id", "line_cell", F.col("x.pos").alias("pos"), "x.p.row_fx", "x.p.col_fx", "x.p.brightness", "x.p.strength")
 
 
-def _closed(both: DataFrame, links: DataFrame) -> DataFrame:
-    """Arcs of cycles in their canonical direction, with line_cell and pos."""
-    closed = both.filter(~F.col("open") & (F.col("low") < F.col("t_low"))).withColumn("line_cell", F.expr("low div 4"))
+def _across(closed: DataFrame, links: DataFrame) -> DataFrame:
+    """Arcs of cycles through several blocks, in their canonical direction, with their pos from line_cell."""
     cut = closed.filter("cell = line_cell").select("image_id", F.col("arc").alias("nxt"), F.lit(True).alias("start"))
-    ring = closed.select("image_id", "arc").join(links.select("image_id", "arc", "nxt"), ["image_id", "arc"]).join(cut, ["image_id", "nxt"], "left")
-    ring = ring.select("image_id", "arc", F.when(F.col("start").isNull(), F.col("nxt")).alias("nxt"), F.lit(0).cast("bigint").alias("low"))
-    steps = doubled(ring).select("image_id", "arc", F.col("last").alias("stop"), F.col("dist").alias("left"))
+    ring = closed.select("image_id", "arc").join(links.drop("low"), ["image_id", "arc"]).join(cut, ["image_id", "nxt"], "left")
+    ring = ring.select("image_id", "arc", F.when(F.col("start").isNull(), F.col("nxt")).alias("nxt"), F.lit(0).cast("bigint").alias("low"), "block", "next_block")
+    steps = ranked(stage(ring, "line-rings")).select("image_id", "arc", F.col("last").alias("stop"), F.col("dist").alias("left"))
     lengths = steps.groupBy("image_id", "stop").agg(F.max("left").alias("most"))
     return closed.join(steps.join(lengths, ["image_id", "stop"]), ["image_id", "arc"]).withColumn("pos", F.col("most") - F.col("left"))
 

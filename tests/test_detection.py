@@ -121,6 +121,19 @@ def test_three_sided_cell_breaks(spark):
     assert [len(x.points) for x in got] == [2, 2] and [x.entry_id for x in got] == [0, 1]
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 256])
+def test_lines_do_not_depend_on_blocks(spark, monkeypatch, block):
+    grid = np.random.default_rng(8).normal(size=(40, 40))
+    d = detection(image(spark, grid, "a").unionByName(image(spark, grid.T[:9], "b")), 1.0)
+    whole = sorted(map(repr, d.lines().collect()))
+    monkeypatch.setattr(L, "BLOCK", block)
+    got = d.lines().collect()
+    assert sorted(map(repr, got)) == whole and len(got) > 20
+    if block == 1:  # nothing is contracted: doubling alone
+        ends = [(places(x)[0], places(x)[-1]) for x in got]
+        assert any(a == b for a, b in ends) and any(a != b for a, b in ends)
+
+
 def test_lines_match_a_walk(spark):
     grid = np.random.default_rng(8).normal(size=(40, 40))
     d = detection(image(spark, grid), 1.0)
