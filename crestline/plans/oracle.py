@@ -6,7 +6,15 @@ compared as integers (positions, flags, millionths).
 
 from __future__ import annotations
 
-from ..functions.kernels import Kernel, derivative, gaussian
+# fixed values, not the engine's: (shift, weight) of the derivative, and weights of the Gaussians
+# of variance n/3, last sample first; 216 (n = 3) is 6^3, and so on, summed in double
+DERIVATIVE = ((1, -0.5), (-1, 0.5))
+GAUSSIANS = {
+    1: (0.16666666666666666, 0.6666666666666666, 0.16666666666666666),
+    2: (0.027777777777777776, 0.2222222222222222, 0.5, 0.2222222222222222, 0.027777777777777776),
+    3: (0.004629629629629629, 0.05555555555555555, 0.2361111111111111, 0.4074074074074074, 0.23611111111111108, 0.05555555555555555, 0.004629629629629629),
+}
+Terms = tuple[tuple[int, float], ...]
 
 SURFACES = {
     "emb": """SELECT 'emb' AS image_id, CAST(vec_id AS INTEGER) AS "row", CAST(i - 1 AS INTEGER) AS col, CAST(embedding[i] AS DOUBLE) AS v
@@ -47,21 +55,22 @@ def shifted(v: str, by: int) -> str:
     return f"coalesce(lead({v}, {by}) OVER w, last_value({v}) OVER wf)" if by > 0 else f"coalesce(lag({v}, {-by}) OVER w, first_value({v}) OVER wf)"
 
 
-def convolved(v: str, kernel: Kernel) -> str:
-    return "(" + " + ".join(f"{number(weight)} * {shifted(v, by)}" for by, weight in kernel.terms()) + ")"
+def convolved(v: str, terms: Terms) -> str:
+    return "(" + " + ".join(f"{number(weight)} * {shifted(v, by)}" for by, weight in terms) + ")"
 
 
 def smoothing(source: str, target: str, t: float, keys: str = 'image_id, "row", col', extra: str = "") -> str:
     """CTEs ``target`` = ``source`` smoothed."""
-    k = gaussian(t)
-    if k is None:
+    n = round(3 * t)
+    if n == 0:
         return f"{target} AS (SELECT {keys}, v FROM {source})"
+    k = tuple((n - i, weight) for i, weight in enumerate(GAUSSIANS[n]))
     return f"""{target}_1 AS (SELECT {keys}, {convolved("v", k)} AS v FROM {source} {window("rows", extra)}),
 {target} AS (SELECT {keys}, {convolved("v", k)} AS v FROM {target}_1 {window("cols", extra)})"""
 
 
 def derivative_ctes(source: str, target: str, keys: str = 'image_id, "row", col', extra: str = "") -> str:
-    d = derivative()
+    d = DERIVATIVE
     return f"""{target}_1 AS (SELECT {keys}, v, {convolved("v", d)} AS dx FROM {source} {window("rows", extra)}),
 {target}_2 AS (SELECT *, {convolved("dx", d)} AS dxx FROM {target}_1 {window("rows", extra)}),
 {target}_3 AS (SELECT *, {convolved("v", d)} AS dy, {convolved("dx", d)} AS dxy FROM {target}_2 {window("cols", extra)}),

@@ -346,13 +346,13 @@ def scale_sections(spark, sf_dir):
     return cut.filter("scale_idx <> 1").select("image_id", "scale_idx", "row", *_u("v"))
 
 
-@query(f"WITH {_SPACE}, f AS (SELECT {_SPACE_KEYS}, {O.convolved('v', derivative())} AS v FROM space {O.window('scale')}) SELECT image_id, scale_idx, \"row\", col, {_us('v')} FROM f")
+@query(f"WITH {_SPACE}, f AS (SELECT {_SPACE_KEYS}, {O.convolved('v', O.DERIVATIVE)} AS v FROM space {O.window('scale')}) SELECT image_id, scale_idx, \"row\", col, {_us('v')} FROM f")
 def scale_derivative(spark, sf_dir):
     return scalespace.filter_space(scalespace.generate(emb(spark, sf_dir), SPACE), derivative(), ("scale",)).select("image_id", "scale_idx", "row", "col", *_u("v"))
 
 
 @query(f"""WITH {_SPACE}, {O.derivative_ctes("space", "dv", _SPACE_KEYS, ", scale_idx")}, {O.metric_ctes("dv", "me", "N", "scale")},
-g AS (SELECT *, {O.convolved("r", derivative())} AS dr FROM me {O.window("scale")}), h AS (SELECT *, {O.convolved("dr", derivative())} AS ddr FROM g {O.window("scale")})
+g AS (SELECT *, {O.convolved("r", O.DERIVATIVE)} AS dr FROM me {O.window("scale")}), h AS (SELECT *, {O.convolved("dr", O.DERIVATIVE)} AS ddr FROM g {O.window("scale")})
 SELECT image_id, scale_idx, "row", col, {_us("lp", "lpp")}, {_fs("r", "dr", "ddr")} FROM h""")
 def scale_metrics(spark, sf_dir):
     return scalespace.scale_metrics(scalespace.generate(emb(spark, sf_dir), SPACE)).select("image_id", "scale_idx", "row", "col", *_u("lp", "lpp"), *_f("r", "dr", "ddr"))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from crestline.functions.kernels import Kernel, derivative, gaussian
 from crestline.functions.scales import parse_scales, sorted_distinct, to_thirds
 from crestline.operators.blocks import convolve, crossings, eigen
+from crestline.plans.oracle import GAUSSIANS
 
 
 def test_kernels():
@@ -18,6 +19,31 @@ def test_kernels():
     assert gaussian(1, sampled=True).taps[3] == pytest.approx(1 / math.sqrt(2 * math.pi))
 
 
+def test_weights_of_the_sql_are_those_of_the_binomials():
+    """(1 + 4x + x^2)^n / 6^n, in whole numbers."""
+    for n, taps in GAUSSIANS.items():
+        exact = [1]
+        for _ in range(n):
+            exact = [a + 4 * b + c for a, b, c in zip([*exact, 0, 0], [0, *exact, 0], [0, 0, *exact])]
+        assert [t * 6**n for t in taps] == pytest.approx(exact, rel=1e-15)
+        assert gaussian(n / 3).taps == pytest.approx(taps, rel=1e-15)
+
+
+_NUMBER = st.floats(-1e6, 1e6).filter(lambda x: x == 0 or abs(x) > 1e-6)
+
+
+@given(_NUMBER, _NUMBER, _NUMBER)
+def test_eigenvalues_have_the_trace_and_determinant(a, b, d):
+    l1, l2, c, s = (float(x) for x in eigen(*(np.array(x) for x in (a, b, d))))
+    size = max(abs(a), abs(b), abs(d))
+    assert l1 + l2 == pytest.approx(a + d, abs=1e-6 * size)
+    assert l1 * l2 == pytest.approx(a * d - b * b, abs=1e-6 * size * size)
+    assert c * c + s * s == pytest.approx(1)
+    # (c, -s) is the vector of l1, (s, c) that of l2
+    for value, x, y in ((l1, c, -s), (l2, s, c)):
+        assert [a * x + b * y - value * x, b * x + d * y - value * y] == pytest.approx([0, 0], abs=1e-6 * size)
+
+
 @given(st.floats(0.2, 12))
 def test_gaussian_sums_to_one(t):
     k = gaussian(t)
