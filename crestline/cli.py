@@ -106,7 +106,7 @@ def detect(spark: SparkSession, a) -> None:
             raise Failure(1, "there must be a partition")
         spark.conf.set("spark.sql.shuffle.partitions", a.partitions)
     try:
-        rows, cols = tiff.size(bytes(spark.read.format("binaryFile").load(a.infile).select("content").first()[0]))
+        _, rows, cols = tiff.sizes(spark, a.infile).first()
         image = tiff.read(spark, a.infile)
         found = detection(image, scales, a.metric, a.nan_value)
     except Exception as e:

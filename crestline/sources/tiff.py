@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.surface import SCHEMA, clipped
+from . import ranges
+from .ranges import Read, held
 
 # fixed values: tags of TIFF 6.0
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS = 256, 257, 258, 259, 262, 273
@@ -26,13 +28,15 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 STRIP_BYTES = 8192
+BATCH = 1 << 20  # pixels
 
 
 class FormatError(ValueError):
     """Not a TIFF of the supported kind."""
 
 
-def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
+def _tags_at(read: Read) -> tuple[str, dict[int, list]]:
+    raw = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or len(raw) < 8 or (version := struct.unpack(order + "H", raw[2:4])[0]) not in (42, 43):
         raise FormatError("not a TIFF file")
@@ -40,30 +44,42 @@ def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
     word, entry, inline = ("Q", 20, 8) if big else ("I", 12, 4)
     try:
         (at,) = struct.unpack_from(order + word, raw, 8 if big else 4)
-        (n,) = struct.unpack_from(order + ("Q" if big else "H"), raw, at)
+        first = "Q" if big else "H"
+        (n,) = struct.unpack(order + first, read(at, struct.calcsize(order + first)))
         at += 8 if big else 2
+        entries = read(at, entry * n)
         out: dict[int, list] = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HH" + word, raw, at + entry * i)
+            tag, kind, count = struct.unpack_from(order + "HH" + word, entries, entry * i)
             if kind not in _CODES:
                 continue
-            place = at + entry * (i + 1) - inline
-            if _SIZES[kind] * count > inline:
-                (place,) = struct.unpack_from(order + word, raw, place)
-            out[tag] = list(struct.unpack_from(f"{order}{count}{_CODES[kind]}", raw, place))
+            size_, form = _SIZES[kind] * count, f"{order}{count}{_CODES[kind]}"
+            place = entry * (i + 1) - inline
+            if size_ > inline:
+                (far,) = struct.unpack_from(order + word, entries, place)
+                out[tag] = list(struct.unpack(form, read(far, size_)))
+            else:
+                out[tag] = list(struct.unpack_from(form, entries, place))
         return order, out
     except struct.error:
         raise FormatError("the file ends early") from None
 
 
-def size(raw: bytes) -> tuple[int, int]:
-    """(rows, cols) from the header alone."""
-    _, tags = _tags(raw)
+def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
+    return _tags_at(held(raw))
+
+
+def _size(tags: dict[int, list]) -> tuple[int, int]:
     if LENGTH not in tags or WIDTH not in tags:
         raise FormatError("the image has no size")
     return tags[LENGTH][0], tags[WIDTH][0]
 
 
+def size(raw: bytes) -> tuple[int, int]:
+    """(rows, cols) from the header alone."""
+    return _size(_tags(raw)[1])
+
+
 def unpackbits(raw: bytes) -> bytes:
     """A count byte n, then n + 1 bytes as they are, or one byte 1 - n times where n is negative."""
     out, i = bytearray(), 0
@@ -110,9 +126,8 @@ def unlzw(raw: bytes) -> bytes:
 _UNPACK = {PLAIN: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
 
 
-def _image(raw: bytes, bits: int, form: int, code: str) -> np.ndarray:
-    order, tags = _tags(raw)
-    rows, cols = size(raw)
+def _checked(tags: dict[int, list], bits: int, form: int) -> Callable[[bytes], bytes]:
+    """How to unpack a strip of an image of the supported kind."""
     if TILE_WIDTH in tags:
         raise FormatError("tiled images are not supported")
     if tags.get(SAMPLES, [1])[0] != 1 or tags.get(BITS, [1])[0] != bits or tags.get(FORMAT, [1])[0] != form:
@@ -120,14 +135,28 @@ def _image(raw: bytes, bits: int, form: int, code: str) -> np.ndarray:
     unpack = _UNPACK.get(tags.get(COMPRESSION, [PLAIN])[0])
     if unpack is None or tags.get(PREDICTOR, [1])[0] != 1:
         raise FormatError("the compression of the strips is not supported")
+    return unpack
+
+
+def _samples(read: Read, unpack: Callable[[bytes], bytes], strips: list[tuple[int, int]], need: int) -> bytes:
     try:
-        body = b"".join(unpack(raw[o : o + n]) for o, n in zip(tags.get(OFFSETS, []), tags.get(BYTE_COUNTS, [])))
+        body = b"".join(unpack(read(o, n)) for o, n in strips)
     except zlib.error as e:
         raise FormatError("a strip is damaged") from e
-    need = rows * cols * bits // 8
     if len(body) < need:
         raise FormatError("the file ends early")
-    return np.frombuffer(body[:need], order + code).reshape(rows, cols)
+    return body[:need]
+
+
+def _strips(tags: dict[int, list]) -> list[tuple[int, int]]:
+    return list(zip(tags.get(OFFSETS, []), tags.get(BYTE_COUNTS, [])))
+
+
+def _image(raw: bytes, bits: int, form: int, code: str) -> np.ndarray:
+    order, tags = _tags(raw)
+    rows, cols = _size(tags)
+    body = _samples(held(raw), _checked(tags, bits, form), _strips(tags), rows * cols * bits // 8)
+    return np.frombuffer(body, order + code).reshape(rows, cols)
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -173,11 +202,27 @@ def encode(image: np.ndarray) -> bytes:
 
 
 def read(spark: SparkSession, path: str, extents: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """Surfaces (image_id = file) of the TIFFs at ``path``; extents are top, left, height, width."""
-    out = surfaces_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+    """Surfaces (image_id = file) of the TIFFs at ``path``; extents are top, left, height, width.
+
+    Files up to ``ranges.SPLIT_BYTES`` are read whole, larger ones strip by strip in several tasks.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    small = found.filter(F.col("length") <= ranges.SPLIT_BYTES).select("path", "content")
+    out = surfaces_of(small).unionByName(split_surfaces(found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path")))
     return clipped(out, *extents) if extents else out
 
 
+def _pixels(name: str, top: int, part: np.ndarray) -> pa.RecordBatch:
+    rows, cols = part.shape
+    columns = [
+        pa.array([name] * part.size, pa.string()),
+        pa.array(np.repeat(np.arange(top, top + rows, dtype=np.int32), cols)),
+        pa.array(np.tile(np.arange(cols, dtype=np.int32), rows)),
+        pa.array(part.ravel().astype(np.float64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["image_id", "row", "col", "v"])
+
+
 def surfaces_of(files: DataFrame) -> DataFrame:
     """Surfaces of (path, content) rows, in batches of about a million pixels."""
 
@@ -186,25 +231,66 @@ def surfaces_of(files: DataFrame) -> DataFrame:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 image = decode(content)
                 rows, cols = image.shape
-                for top in range(0, rows, max(1, (1 << 20) // max(1, cols))):
-                    part = image[top : top + max(1, (1 << 20) // max(1, cols))]
-                    n = part.size
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * n, pa.string()),
-                            pa.array(np.repeat(np.arange(top, top + len(part), dtype=np.int32), cols)),
-                            pa.array(np.tile(np.arange(cols, dtype=np.int32), len(part))),
-                            pa.array(part.ravel().astype(np.float64)),
-                        ],
-                        names=["image_id", "row", "col", "v"],
-                    )
+                many = max(1, BATCH // max(1, cols))
+                for top in range(0, rows, many):
+                    yield _pixels(name, top, image[top : top + many])
 
     return files.mapInArrow(run, SCHEMA)
 
 
+_PART = "path string, order string, packing int, top int, rows int, cols int, strips array<struct<at:bigint,n:bigint>>"
+
+
+def split_surfaces(paths: DataFrame) -> DataFrame:
+    """Surfaces of the files named by (path) rows, whose strips are dealt to tasks about a million pixels a row.
+
+    A header is read by one task, the strips by all; no task holds an image.
+    """
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with ranges.opened(name) as at:
+                    order, tags = _tags_at(at)
+                rows, cols = _size(tags)
+                _checked(tags, 32, 3)
+                per, strips = min(tags.get(ROWS_PER_STRIP, [rows])[0], rows), _strips(tags)
+                many = max(1, BATCH // max(1, per * cols))
+                if len(strips) * per < rows:
+                    raise FormatError("the file ends early")
+                tops = range(0, len(strips), many) if rows * cols else ()
+                parts = [
+                    {"path": name, "order": order, "packing": tags.get(COMPRESSION, [PLAIN])[0], "top": i * per, "rows": min(many * per, rows - i * per), "cols": cols, "strips": [{"at": o, "n": n} for o, n in strips[i : i + many]]}
+                    for i in tops
+                    if i * per < rows
+                ]
+                yield from pa.Table.from_pylist(parts, _part).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.to_pylist():
+                with ranges.opened(p["path"]) as at:
+                    body = _samples(at, _UNPACK[p["packing"]], [(x["at"], x["n"]) for x in p["strips"]], 4 * p["rows"] * p["cols"])
+                yield _pixels(p["path"], p["top"], np.frombuffer(body, p["order"] + "f4").astype(np.float32).reshape(p["rows"], p["cols"]))
+
+    strip = pa.struct([("at", pa.int64()), ("n", pa.int64())])
+    _part = pa.schema([("path", pa.string()), ("order", pa.string()), ("packing", pa.int32()), ("top", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("strips", pa.list_(strip))])
+    return paths.mapInArrow(plan, _PART).repartition("path", "top").mapInArrow(run, SCHEMA)
+
+
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, rows, cols) of the TIFFs at ``path``; no pixel becomes a row."""
-    return sizes_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+    """(image_id, rows, cols) of the TIFFs at ``path``; of files over ``ranges.SPLIT_BYTES`` only the header is read."""
+    found = spark.read.format("binaryFile").load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with ranges.opened(name) as at:
+                    rows, cols = _size(_tags_at(at)[1])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int32()), pa.array([cols], pa.int32())], names=["image_id", "rows", "cols"])
+
+    large = found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path").mapInArrow(run, "image_id string, rows int, cols int")
+    return sizes_of(found.filter(F.col("length") <= ranges.SPLIT_BYTES).select("path", "content")).unionByName(large)
 
 
 def sizes_of(files: DataFrame) -> DataFrame:

@@ -126,6 +126,25 @@ def test_packed_strips(code, pack, big):
     assert tiff.size(raw) == (90, 70) and (tiff.decode(raw) == a).all()
 
 
+@pytest.mark.parametrize("code, pack, big", [(1, bytes, False), (5, lzw, True), (8, zlib.compress, False)])
+def test_large_tiffs_are_read_by_strips(spark, tmp_path, monkeypatch, code, pack, big):
+    a = np.random.default_rng(3).integers(0, 9, (200, 70)).astype(np.float32)
+    (tmp_path / "a b.tif").write_bytes(retold(tiff.encode(a), code, pack, big))
+    (tmp_path / "small.tif").write_bytes(tiff.encode(a[:3]))
+    monkeypatch.setattr(tiff.ranges, "SPLIT_BYTES", 2000)
+    monkeypatch.setattr(tiff, "BATCH", 5000)
+    for name, want in (("a b.tif", a), ("small.tif", a[:3])):
+        got = tiff.read(spark, str(tmp_path / name)).collect()
+        assert len(got) == want.size and all(want[r.row, r.col] == r.v for r in got)
+    found = {r.image_id.split("/")[-1]: (r.rows, r.cols) for r in tiff.sizes(spark, str(tmp_path)).collect()}
+    assert found == {"a b.tif": (200, 70), "small.tif": (3, 70)}
+    parts = tiff.split_surfaces(spark.read.format("binaryFile").load(str(tmp_path)).filter("length > 2000").select("path"))
+    assert parts.count() == a.size
+    (tmp_path / "cut.tif").write_bytes((tmp_path / "a b.tif").read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends early"):
+        tiff.read(spark, str(tmp_path / "cut.tif")).collect()
+
+
 def test_packbits_runs_and_refusals():
     assert tiff.unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA])) == bytes.fromhex("aaaaaa80002aaaaaaaaa")
     raw = tiff.encode(np.zeros((2, 2), np.float32))
