@@ -45,8 +45,7 @@ class Loaded:
 
 def load(spark: SparkSession, path: str) -> Loaded:
     """The file at ``path``; only its header and metadata come to the driver."""
-    files = spark.read.format("binaryFile").load(path)
-    head = ridg.headers(files).first()
+    head = ridg.headers_at(spark, path).first()
     return Loaded(ridg.read(spark, path, head["kind"], with_class=True), {k: bytes(v) for k, v in head["metadata"].items()})
 
 

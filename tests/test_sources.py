@@ -234,6 +234,34 @@ def test_files_keep_everything(spark, tmp_path, kind):
     assert len(ridg.decode(path.read_bytes()).entries) == 0
 
 
+@pytest.mark.parametrize("kind", ["points", "segments", "lines"])
+def test_large_containers_are_read_in_parts(spark, tmp_path, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    some = lambda n: points(*[(int(a), int(b), float(c), 0.5) for a, b, c in zip(rng.integers(0, 2**32, n), rng.integers(0, 99, n), range(n))])
+    body = {"points": some(50), "segments": some(100).reshape(50, 2), "lines": [some(1 + i % 4 * 3) for i in range(50)]}[kind]
+    meta = {0x10: b"\0\0\0\5", 0x81: struct.pack(">50f", *range(50)), 0x77: b"odd", 0x80: bytes(range(50))}
+    raw = ridg.encode(ridg.Dataset(kind, body, meta))
+    (tmp_path / "a b.ridg").write_bytes(raw)
+    (tmp_path / "none.ridg").write_bytes(ridg.encode(ridg.Dataset(kind, body[:0])))
+    want = sorted(map(repr, ridg.read(spark, str(tmp_path), kind, with_class=True).collect()))
+    heads = sorted(map(repr, ridg.headers_at(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(ridg.ranges, "SPLIT_BYTES", 0)
+    monkeypatch.setattr(ridg, "PART_BYTES", 100)
+    assert len(ridg.layout(ridg.ranges.held(raw)).parts) > 5
+    assert sorted(map(repr, ridg.read(spark, str(tmp_path), kind, with_class=True).collect())) == want and len(want) == 50
+    assert sorted(map(repr, ridg.headers_at(spark, str(tmp_path)).collect())) == heads
+    assert ridg.read(spark, str(tmp_path), kind).count() == 50
+    for cut in (8, 20, len(raw) - 70, len(raw) - 1):
+        with pytest.raises(ridg.FormatError, match="ends early"):
+            ridg.layout(ridg.ranges.held(raw[:cut]))
+    other = "lines" if kind != "lines" else "points"
+    with pytest.raises(Exception, match=f"holds {kind}"):
+        ridg.read(spark, str(tmp_path / "a b.ridg"), other).collect()
+    (tmp_path / "a b.ridg").write_bytes(ridg.encode(ridg.Dataset(kind, body, {0x80: b"short"})))
+    with pytest.raises(Exception, match="one byte per entry"):
+        ridg.read(spark, str(tmp_path), kind, with_class=True).collect()
+
+
 def test_sql_views(spark):
     from crestline.sql import register_ridges, register_tables
 
