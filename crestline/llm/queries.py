@@ -17,6 +17,7 @@ from .sharding import shard_by_bytes
 from ..plans.staging import table
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
+from .vantage import nearest
 
 
 def piece_model() -> str:
@@ -76,6 +77,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "exact")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 50 divides, against all rows."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_nearest": op11_nearest,
 }
 
 ORACLES: dict[str, str] = {
