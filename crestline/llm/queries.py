@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .line_templates import drop_recurring_lines
 from .near_dedup import near_dedup
+from .merkle import manifest
 from .pii import personal_data
 from .sharding import shard_by_bytes
 from ..plans.staging import table
@@ -83,6 +84,15 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree per language; every row whose id's checksum 7 divides is tampered with."""
+
+    def tamper(c):
+        return F.crc32(c["doc_id"].cast("string")) % 7 == 0, {"n_chars": c["n_chars"] + 1}
+
+    return manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", tamper)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id 100 divides; where 7 divides it the label is moved on first."""
     moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -101,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_nearest": op11_nearest,
+    "op12_merkle": op12_merkle,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -117,6 +128,47 @@ k AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept,
        sha256(norm) AS text_sha256
 FROM k""",
+    "op12_merkle": """
+WITH RECURSIVE
+f AS (
+  SELECT doc_id, lang, hit, concat_ws('', d, s, l) AS a, coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS n,
+         coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') AS m, t
+  FROM (SELECT doc_id, lang, n_chars, 
+               xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                 lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 7 = 0 AS hit,
+               coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') AS d, coalesce(octet_length(encode(source)) || ':' || source, '-') AS s,
+               coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS l, coalesce(octet_length(encode(text)) || ':' || text, '-') AS t
+        FROM documents)),
+leaf AS (
+  SELECT doc_id, lang, sha256(a || n || t) AS leaf, CASE WHEN hit THEN sha256(a || m || t) ELSE sha256(a || n || t) END AS tampered,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM f),
+up AS (
+  SELECT lang, 0 AS lvl, i, leaf AS h, n FROM leaf
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, i, h, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY lvl, i // 2, n),
+p AS (
+  SELECT doc_id, lang, leaf, 0 AS lvl, i, n, '' AS sib, tampered AS h FROM leaf
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf, p.lvl + 1, p.i // 2, (p.n + 1) // 2, p.sib || coalesce(s.h, ''),
+         CASE WHEN p.i % 2 = 1 THEN sha256(s.h || p.h) ELSE sha256(p.h || coalesce(s.h, '')) END
+  FROM p LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lvl = p.lvl AND s.i = xor(p.i, 1)
+  WHERE p.n > 1),
+q AS (
+  SELECT p.doc_id, p.leaf, sub.h AS subroot, 0 AS lvl, sub.i, sub.n, p.sib, p.h FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL
+  SELECT q.doc_id, q.leaf, q.subroot, q.lvl + 1, q.i // 2, (q.n + 1) // 2, q.sib || coalesce(s.h, ''),
+         CASE WHEN q.i % 2 = 1 THEN sha256(s.h || q.h) ELSE sha256(q.h || coalesce(s.h, '')) END
+  FROM q LEFT JOIN high s ON s.lvl = q.lvl AND s.i = xor(q.i, 1)
+  WHERE q.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(sib) AS proof_sha256, q.h AS folded_root,
+       q.h = (SELECT h FROM high WHERE n = 1) AS verified
+FROM q WHERE n = 1""",
     "op13_hard_negatives": """
 WITH r AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -43,7 +43,7 @@ QUERIES_PER_BLOCK = 2048
 SAMPLE = 16384
 MOST_CELLS = SAMPLE // 8
 LEAF = 64
-FACTOR = 3.5  # finds 0.98 and more of the true neighbours even of vectors without any structure
+FACTOR = 2.0  # finds 0.93 and more of the true neighbours of normal noise in 2 to 64 dimensions, 0.999 in 64
 _SLACK = 1e-6  # of angles, for rounding near 0
 _TRIES = 5  # vantage points looked at for one
 _FOUND = "qn bigint, id bigint, score double, same boolean"
