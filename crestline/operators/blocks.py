@@ -26,6 +26,7 @@ from ..functions.algebra import finite_or
 from ..functions.kernels import Kernel, derivative, gaussian
 from ..functions.scales import sorted_distinct, to_thirds
 from .detect import EDGE_SCHEMA
+from .region import Range
 
 BLOCK = 256
 _AXIS = {"scale": 0, "rows": 2, "cols": 1}
@@ -113,6 +114,34 @@ def crossings(lp: np.ndarray, lpp: np.ndarray, axis: int) -> np.ndarray:
         return np.where(ok, np.rint(np.where(ok, x, 0) * 128.0), -1).astype(np.int64)
 
 
+def edge_table(image_id: str, grid: np.ndarray, top: int, left: int, t: float, metric: str, fill: float, own: tuple[int, int, int, int]) -> pa.Table:
+    """Edges of the pixels in ``own`` (top, bottom, left, right) of a raw grid whose first pixel is (top, left)."""
+    made = metrics(smooth(np.where(np.isfinite(grid), grid, fill), gaussian(t)), t, metric)
+    lp, lpp, r = made["lp"], made["lpp"], made["r"]
+    out = []
+    for dir_, axis in (("N", 1), ("W", 0)):
+        d = crossings(lp, lpp, axis)
+        i, j = np.nonzero(d >= 0)
+        mine = (i + top >= own[0]) & (i + top < own[1]) & (j + left >= own[2]) & (j + left < own[3])
+        i, j = i[mine], j[mine]
+        at = d[i, j] / 128.0
+        i2, j2 = (i, j + 1) if axis else (i + 1, j)
+        mean = lambda z: (1.0 - at) * z[i, j] + at * z[i2, j2]  # noqa: B023, E731
+        out.append((i + top, j + left, np.full(len(i), dir_), d[i, j], mean(grid), mean(r)))
+    row, col, dir_, d, bright, strong = (np.concatenate(x) for x in zip(*out))
+    return pa.table(
+        {
+            "image_id": pa.array([image_id] * len(row), pa.string()),
+            "row": pa.array(row.astype(np.int32)),
+            "col": pa.array(col.astype(np.int32)),
+            "dir": pa.array(dir_.astype(object), pa.string()),
+            "d": pa.array(d.astype(np.int32)),
+            "brightness": pa.array(bright),
+            "strength": pa.array(strong),
+        }
+    )
+
+
 def _block(t: float, metric: str, fill: float, block: int):
     def run(table: pa.Table) -> pa.Table:
         row, col, raw = (table[c].to_numpy() for c in ("row", "col", "v"))
@@ -120,30 +149,7 @@ def _block(t: float, metric: str, fill: float, block: int):
         top, left = row.min(), col.min()
         grid = np.full((row.max() - top + 1, col.max() - left + 1), np.nan)
         grid[row - top, col - left] = raw
-        made = metrics(smooth(np.where(np.isfinite(grid), grid, fill), gaussian(t)), t, metric)
-        lp, lpp, r = made["lp"], made["lpp"], made["r"]
-        out = []
-        for dir_, axis in (("N", 1), ("W", 0)):
-            d = crossings(lp, lpp, axis)
-            i, j = np.nonzero(d >= 0)
-            own = ((i + top) // block == br) & ((j + left) // block == bc)
-            i, j = i[own], j[own]
-            at = d[i, j] / 128.0
-            i2, j2 = (i, j + 1) if axis else (i + 1, j)
-            mean = lambda z: (1.0 - at) * z[i, j] + at * z[i2, j2]  # noqa: B023, E731
-            out.append((i + top, j + left, np.full(len(i), dir_), d[i, j], mean(grid), mean(r)))
-        row, col, dir_, d, bright, strong = (np.concatenate(x) for x in zip(*out))
-        return pa.table(
-            {
-                "image_id": pa.array([table["image_id"][0].as_py()] * len(row), pa.string()),
-                "row": pa.array(row.astype(np.int32)),
-                "col": pa.array(col.astype(np.int32)),
-                "dir": pa.array(dir_.astype(object), pa.string()),
-                "d": pa.array(d.astype(np.int32)),
-                "brightness": pa.array(bright),
-                "strength": pa.array(strong),
-            }
-        )
+        return edge_table(table["image_id"][0].as_py(), grid, top, left, t, metric, fill, (br * block, (br + 1) * block, bc * block, (bc + 1) * block))
 
     return run
 
@@ -200,7 +206,7 @@ def by_blocks(surface: DataFrame, halo: int, passes: Passes, made: tuple[str, ..
     return dealt(surface, halo, block).groupBy("image_id", "br", "bc").applyInArrow(run, schema).select(*surface.columns, *[c for c in made if c not in surface.columns])
 
 
-def _reach(kernel: Kernel | None) -> int:
+def reach_of(kernel: Kernel | None) -> int:
     return kernel.ofs if kernel else 0
 
 
@@ -229,7 +235,7 @@ def derivatives(surface: DataFrame, t: float = 0.0, block: int | None = None) ->
         v = smooth(v, kernel)
         return {"v": v, **slopes(v)}
 
-    return by_blocks(surface, _reach(kernel) + 2, passes, ("v", "dx", "dy", "dxx", "dyy", "dxy"), block)
+    return by_blocks(surface, reach_of(kernel) + 2, passes, ("v", "dx", "dy", "dxx", "dyy", "dxy"), block)
 
 
 def metrics_by_blocks(surface: DataFrame, t: float, metric: str = "N", fill: float = 0.0, block: int | None = None) -> DataFrame:
@@ -241,24 +247,36 @@ def metrics_by_blocks(surface: DataFrame, t: float, metric: str = "N", fill: flo
         return {"v": v, **metrics(v, t, metric)}
 
     raw = surface.withColumn("v", finite_or(F.col("v"), fill))
-    return by_blocks(raw, _reach(kernel) + 2, passes, ("v", "l1", "l2", "lp", "lpp", "r"), block)
+    return by_blocks(raw, reach_of(kernel) + 2, passes, ("v", "l1", "l2", "lp", "lpp", "r"), block)
 
 
-def scale_space(surface: DataFrame, scales: list[float], block: int | None = None) -> DataFrame:
-    """(image_id, scale_idx, scale, row, col, v): plane i is plane i-1 smoothed by the difference of their scales."""
+def scale_kernels(scales: list[float]) -> tuple[list[float], list[Kernel | None]]:
+    """The scales rounded, in order, and the kernel from each plane to the next."""
     ordered = [float(s) for s in sorted_distinct(to_thirds(scales))]
-    kernels = [gaussian(b - a) for a, b in pairwise([0.0, *ordered])]
-    names = tuple(f"_v{i}" for i in range(len(ordered)))
+    return ordered, [gaussian(b - a) for a, b in pairwise([0.0, *ordered])]
+
+
+def scale_space(surface: DataFrame, scales: list[float], block: int | None = None, planes: Range = None) -> DataFrame:
+    """(image_id, scale_idx, scale, row, col, v): plane i is plane i-1 smoothed by the difference of their scales.
+
+    ``planes`` (half-open) are those returned; none after the last of them is computed.
+    """
+    ordered, kernels = scale_kernels(scales)
+    first, last = planes or (0, len(ordered))
+    kernels = kernels[:last]
+    names = tuple(f"_v{i}" for i in range(first, len(kernels)))
+    if not names:
+        return surface.limit(0).select("image_id", F.lit(0).alias("scale_idx"), F.lit(0.0).alias("scale"), "row", "col", "v")
 
     def passes(v: np.ndarray, _) -> dict[str, np.ndarray]:
-        planes = {}
-        for name, kernel in zip(names, kernels):
-            planes[name] = v = smooth(v, kernel)
-        return planes
-
-    wide = by_blocks(surface.select("image_id", "row", "col", "v"), sum(map(_reach, kernels)), passes, names, block)
-    planes = [F.struct(F.lit(i).alias("scale_idx"), F.lit(s).alias("scale"), F.col(n).alias("v")) for i, (n, s) in enumerate(zip(names, ordered))]
-    return wide.select("image_id", "row", "col", F.inline(F.array(*planes))).select("image_id", "scale_idx", "scale", "row", "col", "v")
+        out = {}
+        for i, kernel in enumerate(kernels):
+            out[f"_v{i}"] = v = smooth(v, kernel)
+        return out
+
+    wide = by_blocks(surface.select("image_id", "row", "col", "v"), sum(map(reach_of, kernels)), passes, names, block)
+    made = [F.struct(F.lit(i).alias("scale_idx"), F.lit(ordered[i]).alias("scale"), F.col(f"_v{i}").alias("v")) for i in range(first, len(kernels))]
+    return wide.select("image_id", "row", "col", F.inline(F.array(*made))).select("image_id", "scale_idx", "scale", "row", "col", "v")
 
 
 def scale_metrics(space: DataFrame, metric: str = "N", block: int | None = None) -> DataFrame:

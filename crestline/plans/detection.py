@@ -1,7 +1,8 @@
 """From a surface to ridge points, segments or lines.
 
-The image stage has two physical plans with equal results: "blocks" (one shuffle of
-halo blocks, the default) and "windows" (SQL windows, an exchange per axis).  Its
+The image stage has three physical plans with equal results: "blocks" (one shuffle of
+halo blocks, the default for pixels), "tiles" (dense tiles that exchange halo strips, the
+plan for images that several passes read) and "windows" (SQL windows, an exchange per axis).  Its
 edges are sparse and feed several consumers, so they are staged once.
 """
 
@@ -11,8 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..functions.kernels import gaussian
 from ..functions.scales import sorted_distinct
-from ..operators import blocks, detect, lines, surface
+from ..operators import blocks, detect, lines, surface, tiles
 from .staging import stage
 
 MODES = ("points", "segments", "lines")
@@ -47,13 +49,26 @@ class Detection:
         return getattr(self, mode)()
 
 
+def detection_of_tiles(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0) -> Detection:
+    """Ridges of raw images as staged tiles; sizes come from the tiles' places."""
+    t = _smallest(scales, metric)
+    return Detection(stage(tiles.edges(image, t, metric, fill), "edges"), stage(tiles.dims(image), "dims"))
+
+
+def _smallest(scales: list[float] | float, metric: str) -> float:
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {', '.join(METRICS)}, not {metric!r}")
+    return sorted_distinct([float(s) for s in (scales if isinstance(scales, list) else [scales])])[0]
+
+
 def detection(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0, plan: str = "blocks") -> Detection:
     """Ridges of raw surfaces at the smallest of the scales.
 
     Brightness is read from the raw surface, strength from the chosen metric.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {', '.join(METRICS)}, not {metric!r}")
-    t = sorted_distinct([float(s) for s in (scales if isinstance(scales, list) else [scales])])[0]
+    t = _smallest(scales, metric)
+    if plan == "tiles":
+        halo = ofs.ofs if (ofs := gaussian(t)) else 0
+        return detection_of_tiles(tiles.staged(tiles.from_pixels(image, blocks.side(halo + 3))), t, metric, fill)
     find = {"blocks": blocks.edges_by_blocks, "windows": detect.edges_by_windows}[plan]
     return Detection(stage(find(image, t, metric, fill), "edges"), stage(surface.size(image), "dims"))

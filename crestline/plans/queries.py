@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,14 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.algebra import fine, millionths, to_fixed, to_subpixel
 from ..functions.kernels import derivative, gaussian
 from ..functions.scales import parse_scales
-from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface
+from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface, tiles
 from ..operators.detect import cells as cells_of
 from ..sources import files as paths
 from ..sources import masks, ridg, text, tiff
-from ..sources.tables import SURFACES, emb, evt, li
+from ..sources.tables import RUNS, SURFACES, emb, evt, li
 from . import oracle as O
-from .detection import detection
+from .detection import detection, detection_of_tiles
 from .staging import table
+from .windowed import Windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +110,29 @@ for _m in "NMA":
     _metrics(_m)
 
 
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.staged(tiles.from_runs(RUNS["emb"](spark, sf_dir)))
+
+
+@query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)} SELECT {GRID}, {_us('v')} FROM sm")
+def smooth_tiles(spark, sf_dir):
+    return tiles.to_pixels(tiles.filtered(_tiles(spark, sf_dir), gaussian(T))).select("image_id", "row", "col", *_u("v"))
+
+
+@query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)}, {O.derivative_ctes('sm', 'dv')} SELECT {GRID}, {_us('dx', 'dy', 'dxx', 'dyy', 'dxy')} FROM dv")
+def derivatives_tiles(spark, sf_dir):
+    """Smoothed tiles are tiles again, whose derivatives need another exchange of strips."""
+    smooth = tiles.staged(tiles.filtered(_tiles(spark, sf_dir), gaussian(T)))
+    return tiles.to_pixels(tiles.derivatives(smooth), "dx", "dy", "dxx", "dyy", "dxy").select("image_id", "row", "col", *_u("dx", "dy", "dxx", "dyy", "dxy"))
+
+
+@query(f"""WITH raw AS ({O.SURFACES["emb"]}), {O.smoothing("raw", "sm", T)}, {O.derivative_ctes("sm", "dv")}, {O.metric_ctes("dv", "me", "N", O.number(T))}
+SELECT {GRID}, {_us("l1", "l2", "lp", "lpp")}, {_fs("r")} FROM me""")
+def eigen_metrics_tiles(spark, sf_dir):
+    planes = ("l1", "l2", "lp", "lpp", "r")
+    return tiles.to_pixels(tiles.metrics(_tiles(spark, sf_dir), T), *planes).select("image_id", "row", "col", *_u("l1", "l2", "lp", "lpp"), *_f("r"))
+
+
 @query(f"WITH raw AS ({O.SURFACES['emb']}), {O.smoothing('raw', 'sm', T)}, {O.derivative_ctes('sm', 'dv')} SELECT {GRID}, {_us('dx', 'dy', 'dxx', 'dyy', 'dxy')} FROM dv")
 def derivatives_windows(spark, sf_dir):
     """The window plan, which the block plan is held against."""
@@ -128,6 +153,20 @@ def edge_crossings_windows(spark, sf_dir):
     return detection(emb(spark, sf_dir), T, "A", plan="windows").edges.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
 
 
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges'))
+def edge_crossings_tiles(spark, sf_dir):
+    """From table rows to tiles, which exchange halo strips only."""
+    found = detection_of_tiles(_tiles(spark, sf_dir), T)
+    return found.edges.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
+
+
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges WHERE "row" BETWEEN 90 AND 109 AND col BETWEEN 20 AND 39'))
+def edge_crossings_window(spark, sf_dir):
+    """Edges inside a window; the scan reads the window widened by what the passes reach."""
+    found = Windowed(partial(emb, spark, sf_dir)).edges(T).where((90, 110), (20, 40)).df()
+    return found.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
+
+
 @query(O.ridges("emb", T, 'SELECT image_id, "row", col, flags, north, west FROM cells', O.SIDES, O.CELLS))
 def ridge_cells(spark, sf_dir):
     d = detection(emb(spark, sf_dir), T)
@@ -341,8 +380,8 @@ def scale_space(spark, sf_dir):
 
 @query(f'WITH {_SPACE} SELECT image_id, scale_idx, "row", {_us("v")} FROM space WHERE col = 7 AND scale_idx <> 1')
 def scale_sections(spark, sf_dir):
-    """A cut across the scales, then one without its second plane."""
-    cut = scalespace.section(scalespace.generate(emb(spark, sf_dir), SPACE), "col", 7)
+    """A cut across the scales, without its second plane; of the image only columns near the cut are read."""
+    cut = Windowed(partial(emb, spark, sf_dir)).scale_space(SPACE).section("col", 7).df()
     return cut.filter("scale_idx <> 1").select("image_id", "scale_idx", "row", *_u("v"))
 
 
@@ -518,5 +557,5 @@ def smooth_sampled(spark, sf_dir):
 
 @query(f'WITH {_SPACE} SELECT image_id, CAST(scale_idx - 1 AS INTEGER) AS scale_idx, CAST("row" - 10 AS INTEGER) AS "row", CAST(col - 4 AS INTEGER) AS col, {_us("v")} FROM space WHERE scale_idx BETWEEN 1 AND 2 AND "row" BETWEEN 10 AND 29 AND col BETWEEN 4 AND 15')
 def scale_view(spark, sf_dir):
-    """A box of the scale space, moved to its origin."""
-    return scalespace.view(scalespace.generate(emb(spark, sf_dir), SPACE), 10, 4, 20, 12, 1, 2).select("image_id", "scale_idx", "row", "col", *_u("v"))
+    """A box of the scale space, moved to its origin; the scan reads the rows and planes that it rests on."""
+    return Windowed(partial(emb, spark, sf_dir)).scale_space(SPACE).view(10, 4, 20, 12, 1, 2).select("image_id", "scale_idx", "row", "col", *_u("v"))
