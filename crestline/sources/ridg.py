@@ -7,7 +7,7 @@ Metadata keys: 0x10 image rows, 0x11 image columns (uint32 each), 0x80 one class
 per entry, 0x81 one float32 likelihood per entry.
 
 Reading runs where the files are: ``read`` maps binary file rows to entry rows in
-Arrow batches, so many files decode in parallel; a large file is read in parts.
+Arrow batches, so many files decode in parallel; a file is read in parts by several tasks.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _structs(points: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays(cols, fields=list(_ARROW_POINT))
 
 
-def _batch(image_id: str, data: Dataset, first: int = 0) -> pa.RecordBatch:
+def batch_of(image_id: str, data: Dataset, first: int = 0) -> pa.RecordBatch:
     n = len(data.entries)
     head = [pa.array([image_id] * n, pa.string()), pa.array(np.arange(first, first + n, dtype=np.int64))]
     if data.kind == "points":
@@ -133,25 +133,25 @@ def _batch(image_id: str, data: Dataset, first: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array(offs), _structs(flat))], names=["image_id", "entry_id", "points"])
 
 
-def _exactly(read: Read, at: int, n: int) -> bytes:
+def exactly(read: Read, at: int, n: int) -> bytes:
     if len(raw := read(at, n)) < n:
         raise FormatError("the file ends early")
     return raw
 
 
-PART_BYTES = 4 << 20
+PART_BYTES = PASS = 4 << 20
 
 
-def _line_parts(read: Read, count: int) -> Iterator[tuple[int, int, int, int]]:
+def _line_parts(read: Read, count: int, part_bytes: int) -> Iterator[tuple[int, int, int, int]]:
     """The parts of a file of lines, found by passing over their lengths."""
     held, base, at, first, begin = b"", 16, 16, 0, 16
     for i in range(count):
         if at + 4 > base + len(held):
-            held, base = read(at, PART_BYTES), at
+            held, base = read(at, PASS), at
             if len(held) < 4:
                 raise FormatError("the file ends early")
         at += 4 + POINT.itemsize * struct.unpack_from(">I", held, at - base)[0]
-        if at - begin >= PART_BYTES or i == count - 1:
+        if at - begin >= part_bytes or i == count - 1:
             yield first, i + 1 - first, begin, at - begin
             first, begin = i + 1, at
 
@@ -166,8 +166,9 @@ class Layout:
     metadata: dict[int, tuple[int, int]]
 
 
-def layout(read: Read) -> Layout:
-    head = _exactly(read, 0, 16)
+def layout(read: Read, part_bytes: int = PART_BYTES, asked: tuple[int, int] = (0, 2**62)) -> Layout:
+    """Parts of about ``part_bytes``; entries of fixed size start at the first one ``asked`` for."""
+    head = exactly(read, 0, 16)
     if head[:4] != MAGIC:
         raise FormatError("the magic number is not RIDG")
     type_, _, count = struct.unpack(">III", head[4:])
@@ -175,72 +176,34 @@ def layout(read: Read) -> Layout:
     if kind is None:
         raise FormatError(f"unknown entry type {type_}")
     if kind == "lines":
-        parts = list(_line_parts(read, count))
+        parts = list(_line_parts(read, count, part_bytes))
     else:
         size = POINT.itemsize * TYPES[kind]
-        many = max(1, PART_BYTES // size)
-        parts = [(i, min(many, count - i), 16 + i * size, min(many, count - i) * size) for i in range(0, count, many)]
-    at = parts[-1][2] + parts[-1][3] if parts else 16
-    (n,) = struct.unpack(">I", _exactly(read, at, 4))
+        many, end = max(1, part_bytes // size), min(count, asked[1])
+        parts = [(i, min(many, end - i), 16 + i * size, min(many, end - i) * size) for i in range(asked[0], end, many)]
+    at = 16 + count * size if kind != "lines" else parts[-1][2] + parts[-1][3] if parts else 16
+    (n,) = struct.unpack(">I", exactly(read, at, 4))
     meta, at = {}, at + 4
     for _ in range(n):
-        key, size = struct.unpack(">II", _exactly(read, at, 8))
+        key, size = struct.unpack(">II", exactly(read, at, 8))
         meta[key] = at + 8, size
         at += 8 + size + -size % 4
-        _exactly(read, at - 1, 1)
+        exactly(read, at - 1, 1)
     return Layout(kind, count, parts, meta)
 
 
 def read(spark: SparkSession, path: str, kind: str, with_class: bool = False) -> DataFrame:
     """Entries of the files at ``path`` (image_id = file), optionally with class and likelihood.
 
-    Files up to ``ranges.SPLIT_BYTES`` are read whole, larger ones in parts by several tasks.
+    Parts are planned from the headers, and of a range of entries only its bytes are read;
+    files on systems that tasks cannot open by range are read whole by Spark.
     """
-    found = spark.read.format("binaryFile").load(path)
-    small = entries_of(found.filter(F.col("length") <= ranges.SPLIT_BYTES).select("path", "content"), kind, with_class)
-    return small.unionByName(split_entries(found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path"), kind, with_class))
+    from . import planned
 
-
-_PART = "path string, first bigint, n bigint, at bigint, size bigint, classes bigint, likelihoods bigint"
-
-
-def split_entries(paths: DataFrame, kind: str, with_class: bool = False) -> DataFrame:
-    """Entries of the files named by (path) rows: one task finds the parts of a file, all tasks read them."""
-    per = ((CLASSES, 1, "classification", "one byte"), (LIKELIHOODS, 4, "likelihoods", "four bytes"))
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                with ranges.opened(name) as at:
-                    found = layout(at)
-                if found.kind != kind:
-                    raise FormatError(f"{name} holds {found.kind}, not {kind}")
-                own = []
-                for key, size, what, each in per:
-                    begin, length = found.metadata.get(key, (None, None))
-                    if with_class and begin is not None and length != size * found.count:
-                        raise FormatError(f"the {what} do not have {each} per entry")
-                    own.append(begin)
-                columns = zip(*found.parts) if found.parts else ((), (), (), ())
-                n = len(found.parts)
-                arrays = [pa.array([name] * n, pa.string()), *(pa.array(list(c), pa.int64()) for c in columns), *(pa.array([x] * n, pa.int64()) for x in own)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["path", "first", "n", "at", "size", "classes", "likelihoods"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in b.to_pylist():
-                with ranges.opened(p["path"]) as at:
-                    body = frame(kind, p["n"]) + _exactly(at, p["at"], p["size"]) + trailer({})
-                    out = _batch(p["path"], decode(body), p["first"])
-                    if with_class:
-                        for name, key, code, type_ in (("class", "classes", "u1", pa.int16()), ("likelihood", "likelihoods", ">f4", pa.float32())):
-                            size = np.dtype(code).itemsize
-                            got = np.frombuffer(_exactly(at, p[key] + size * p["first"], size * p["n"]), code) if p[key] is not None else None
-                            out = out.append_column(name, pa.array(got.astype(type_.to_pandas_dtype()) if got is not None else [None] * p["n"], type_))
-                yield out
-
-    schema = SCHEMAS[kind] + (", class smallint, likelihood float" if with_class else "")
-    return paths.mapInArrow(plan, _PART).repartition("path", "first").mapInArrow(run, schema)
+    files = ranges.listed(spark, path)
+    if all(map(ranges.reachable, files)):
+        return planned.scan(spark, planned.RidgSource, files, kind=kind, classes=with_class)
+    return entries_of(spark.read.format("binaryFile").load(path).select("path", "content"), kind, with_class)
 
 
 def entries_of(files: DataFrame, kind: str, with_class: bool = False) -> DataFrame:
@@ -252,7 +215,7 @@ def entries_of(files: DataFrame, kind: str, with_class: bool = False) -> DataFra
                 data = decode(content)
                 if data.kind != kind:
                     raise FormatError(f"{name} holds {data.kind}, not {kind}")
-                out = _batch(name, data)
+                out = batch_of(name, data)
                 if with_class:
                     n = len(data.entries)
                     c, lk = data.classes(), data.likelihoods()
@@ -282,20 +245,21 @@ _HEAD = "path string, kind string, entries bigint, metadata map<bigint,binary>"
 
 
 def headers_at(spark: SparkSession, path: str) -> DataFrame:
-    """``headers`` of the files at ``path``; of files over ``ranges.SPLIT_BYTES`` no value per entry is read."""
-    found = spark.read.format("binaryFile").load(path)
+    """``headers`` of the files at ``path``; no value per entry is read."""
+    files = ranges.listed(spark, path)
+    if not all(map(ranges.reachable, files)):
+        return headers(spark.read.format("binaryFile").load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
                 with ranges.opened(name) as at:
                     one = layout(at)
-                    meta = [(k, _exactly(at, *v)) for k, v in one.metadata.items() if k not in (CLASSES, LIKELIHOODS)]
+                    meta = [(k, exactly(at, *v)) for k, v in one.metadata.items() if k not in (CLASSES, LIKELIHOODS)]
                 arrays = [pa.array([name]), pa.array([one.kind]), pa.array([one.count], pa.int64()), pa.array([meta], pa.map_(pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["path", "kind", "entries", "metadata"])
 
-    large = found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path").mapInArrow(run, _HEAD)
-    return headers(found.filter(F.col("length") <= ranges.SPLIT_BYTES)).unionByName(large)
+    return spark.createDataFrame([(f,) for f in files], "path string").mapInArrow(run, _HEAD)
 
 
 def _filled(struct: dict[str, pa.Array], n: int) -> np.ndarray:

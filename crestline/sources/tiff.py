@@ -35,7 +35,7 @@ class FormatError(ValueError):
     """Not a TIFF of the supported kind."""
 
 
-def _tags_at(read: Read) -> tuple[str, dict[int, list]]:
+def tags_at(read: Read) -> tuple[str, dict[int, list]]:
     raw = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or len(raw) < 8 or (version := struct.unpack(order + "H", raw[2:4])[0]) not in (42, 43):
@@ -66,10 +66,10 @@ def _tags_at(read: Read) -> tuple[str, dict[int, list]]:
 
 
 def _tags(raw: bytes) -> tuple[str, dict[int, list]]:
-    return _tags_at(held(raw))
+    return tags_at(held(raw))
 
 
-def _size(tags: dict[int, list]) -> tuple[int, int]:
+def size_of(tags: dict[int, list]) -> tuple[int, int]:
     if LENGTH not in tags or WIDTH not in tags:
         raise FormatError("the image has no size")
     return tags[LENGTH][0], tags[WIDTH][0]
@@ -77,7 +77,7 @@ def _size(tags: dict[int, list]) -> tuple[int, int]:
 
 def size(raw: bytes) -> tuple[int, int]:
     """(rows, cols) from the header alone."""
-    return _size(_tags(raw)[1])
+    return size_of(_tags(raw)[1])
 
 
 def unpackbits(raw: bytes) -> bytes:
@@ -148,14 +148,14 @@ def _samples(read: Read, unpack: Callable[[bytes], bytes], strips: list[tuple[in
     return body[:need]
 
 
-def _strips(tags: dict[int, list]) -> list[tuple[int, int]]:
+def strips_of(tags: dict[int, list]) -> list[tuple[int, int]]:
     return list(zip(tags.get(OFFSETS, []), tags.get(BYTE_COUNTS, [])))
 
 
 def _image(raw: bytes, bits: int, form: int, code: str) -> np.ndarray:
     order, tags = _tags(raw)
-    rows, cols = _size(tags)
-    body = _samples(held(raw), _checked(tags, bits, form), _strips(tags), rows * cols * bits // 8)
+    rows, cols = size_of(tags)
+    body = _samples(held(raw), _checked(tags, bits, form), strips_of(tags), rows * cols * bits // 8)
     return np.frombuffer(body, order + code).reshape(rows, cols)
 
 
@@ -204,20 +204,38 @@ def encode(image: np.ndarray) -> bytes:
 def read(spark: SparkSession, path: str, extents: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Surfaces (image_id = file) of the TIFFs at ``path``; extents are top, left, height, width.
 
-    Files up to ``ranges.SPLIT_BYTES`` are read whole, larger ones strip by strip in several tasks.
+    Strips are planned from the headers, and of extents only what they touch is read; files
+    on systems that tasks cannot open by range are read whole by Spark.
     """
-    found = spark.read.format("binaryFile").load(path)
-    small = found.filter(F.col("length") <= ranges.SPLIT_BYTES).select("path", "content")
-    out = surfaces_of(small).unionByName(split_surfaces(found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path")))
+    from . import planned
+
+    files = ranges.listed(spark, path)
+    if all(map(ranges.reachable, files)):
+        out = planned.scan(spark, planned.TiffSource, files)
+    else:
+        out = surfaces_of(spark.read.format("binaryFile").load(path).select("path", "content"))
     return clipped(out, *extents) if extents else out
 
 
-def _pixels(name: str, top: int, part: np.ndarray) -> pa.RecordBatch:
+def packing_of(tags: dict[int, list]) -> int:
+    """How the strips of a float image are packed; raises if it is not of the supported kind."""
+    _checked(tags, 32, 3)
+    return tags.get(COMPRESSION, [PLAIN])[0]
+
+
+def unpacked(strip: bytes, packing: int) -> bytes:
+    try:
+        return _UNPACK[packing](strip)
+    except zlib.error as e:
+        raise FormatError("a strip is damaged") from e
+
+
+def pixels_batch(name: str, top: int, part: np.ndarray, left: int = 0) -> pa.RecordBatch:
     rows, cols = part.shape
     columns = [
         pa.array([name] * part.size, pa.string()),
         pa.array(np.repeat(np.arange(top, top + rows, dtype=np.int32), cols)),
-        pa.array(np.tile(np.arange(cols, dtype=np.int32), rows)),
+        pa.array(np.tile(np.arange(left, left + cols, dtype=np.int32), rows)),
         pa.array(part.ravel().astype(np.float64)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["image_id", "row", "col", "v"])
@@ -233,64 +251,25 @@ def surfaces_of(files: DataFrame) -> DataFrame:
                 rows, cols = image.shape
                 many = max(1, BATCH // max(1, cols))
                 for top in range(0, rows, many):
-                    yield _pixels(name, top, image[top : top + many])
+                    yield pixels_batch(name, top, image[top : top + many])
 
     return files.mapInArrow(run, SCHEMA)
 
 
-_PART = "path string, order string, packing int, top int, rows int, cols int, strips array<struct<at:bigint,n:bigint>>"
-
-
-def split_surfaces(paths: DataFrame) -> DataFrame:
-    """Surfaces of the files named by (path) rows, whose strips are dealt to tasks about a million pixels a row.
-
-    A header is read by one task, the strips by all; no task holds an image.
-    """
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name in b.column(0).to_pylist():
-                with ranges.opened(name) as at:
-                    order, tags = _tags_at(at)
-                rows, cols = _size(tags)
-                _checked(tags, 32, 3)
-                per, strips = min(tags.get(ROWS_PER_STRIP, [rows])[0], rows), _strips(tags)
-                many = max(1, BATCH // max(1, per * cols))
-                if len(strips) * per < rows:
-                    raise FormatError("the file ends early")
-                tops = range(0, len(strips), many) if rows * cols else ()
-                parts = [
-                    {"path": name, "order": order, "packing": tags.get(COMPRESSION, [PLAIN])[0], "top": i * per, "rows": min(many * per, rows - i * per), "cols": cols, "strips": [{"at": o, "n": n} for o, n in strips[i : i + many]]}
-                    for i in tops
-                    if i * per < rows
-                ]
-                yield from pa.Table.from_pylist(parts, _part).to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in b.to_pylist():
-                with ranges.opened(p["path"]) as at:
-                    body = _samples(at, _UNPACK[p["packing"]], [(x["at"], x["n"]) for x in p["strips"]], 4 * p["rows"] * p["cols"])
-                yield _pixels(p["path"], p["top"], np.frombuffer(body, p["order"] + "f4").astype(np.float32).reshape(p["rows"], p["cols"]))
-
-    strip = pa.struct([("at", pa.int64()), ("n", pa.int64())])
-    _part = pa.schema([("path", pa.string()), ("order", pa.string()), ("packing", pa.int32()), ("top", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("strips", pa.list_(strip))])
-    return paths.mapInArrow(plan, _PART).repartition("path", "top").mapInArrow(run, SCHEMA)
-
-
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, rows, cols) of the TIFFs at ``path``; of files over ``ranges.SPLIT_BYTES`` only the header is read."""
-    found = spark.read.format("binaryFile").load(path)
+    """(image_id, rows, cols) of the TIFFs at ``path``, from their headers."""
+    files = ranges.listed(spark, path)
+    if not all(map(ranges.reachable, files)):
+        return sizes_of(spark.read.format("binaryFile").load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
                 with ranges.opened(name) as at:
-                    rows, cols = _size(_tags_at(at)[1])
+                    rows, cols = size_of(tags_at(at)[1])
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int32()), pa.array([cols], pa.int32())], names=["image_id", "rows", "cols"])
 
-    large = found.filter(F.col("length") > ranges.SPLIT_BYTES).select("path").mapInArrow(run, "image_id string, rows int, cols int")
-    return sizes_of(found.filter(F.col("length") <= ranges.SPLIT_BYTES).select("path", "content")).unionByName(large)
+    return spark.createDataFrame([(f,) for f in files], "path string").mapInArrow(run, "image_id string, rows int, cols int")
 
 
 def sizes_of(files: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -5,10 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan, StringContains
 
 from crestline import cli
-from crestline.operators import surface
-from crestline.sources import files, masks, ridg, text, tiff
+from crestline.operators import surface, tiles
+from crestline.sources import files, masks, planned, ridg, text, tiff
 
 
 def points(*rows):
@@ -127,24 +130,57 @@ def test_packed_strips(code, pack, big):
 
 
 @pytest.mark.parametrize("code, pack, big", [(1, bytes, False), (5, lzw, True), (8, zlib.compress, False)])
-def test_large_tiffs_are_read_by_strips(spark, tmp_path, monkeypatch, code, pack, big):
+def test_tiffs_are_planned_by_strips(spark, tmp_path, monkeypatch, code, pack, big):
     a = np.random.default_rng(3).integers(0, 9, (200, 70)).astype(np.float32)
-    (tmp_path / "a b.tif").write_bytes(retold(tiff.encode(a), code, pack, big))
+    (tmp_path / "a b%.tif").write_bytes(retold(tiff.encode(a), code, pack, big))
     (tmp_path / "small.tif").write_bytes(tiff.encode(a[:3]))
-    monkeypatch.setattr(tiff.ranges, "SPLIT_BYTES", 2000)
-    monkeypatch.setattr(tiff, "BATCH", 5000)
-    for name, want in (("a b.tif", a), ("small.tif", a[:3])):
-        got = tiff.read(spark, str(tmp_path / name)).collect()
-        assert len(got) == want.size and all(want[r.row, r.col] == r.v for r in got)
+    for name, want in (("a b%.tif", a), ("small.tif", a[:3])):
+        for options in ({}, {"batch": 500}):
+            got = planned.tiffs(spark, str(tmp_path / name), **options).collect()
+            assert len(got) == want.size and all(want[r.row, r.col] == r.v for r in got)
     found = {r.image_id.split("/")[-1]: (r.rows, r.cols) for r in tiff.sizes(spark, str(tmp_path)).collect()}
-    assert found == {"a b.tif": (200, 70), "small.tif": (3, 70)}
-    parts = tiff.split_surfaces(spark.read.format("binaryFile").load(str(tmp_path)).filter("length > 2000").select("path"))
-    assert parts.count() == a.size
-    (tmp_path / "cut.tif").write_bytes((tmp_path / "a b.tif").read_bytes()[:-9])
+    assert found == {"a b%.tif": (200, 70), "small.tif": (3, 70)}
+    both = tiff.read(spark, str(tmp_path))
+    name = next(r.image_id for r in tiff.sizes(spark, str(tmp_path)).collect() if "small" not in r.image_id)
+    some = both.filter((F.col("image_id") == name) & F.col("row").between(31, 60) & (F.col("col") >= 60) & (F.col("col") < 64) & (F.col("v") > 4))
+    assert sorted((r.row, r.col, r.v) for r in some.collect()) == [(i, j, a[i, j]) for i in range(31, 61) for j in range(60, 64) if a[i, j] > 4]
+    assert both.filter("row = 2 and image_id like '%small%'").count() == 70 and both.filter("row = 300").count() == 0
+    cut = planned.tiffs(spark, str(tmp_path / "a b%.tif"), "tiles", side=32).filter("tr >= 2 and tr < 4 and tc = 1")
+    assert sorted((r.tr, r.tc, r.top, r.left, r.height, r.width) for r in cut.collect()) == [(2, 1, 64, 32, 32, 32), (3, 1, 96, 32, 32, 32)]
+    whole = tiles.to_pixels(planned.tiffs(spark, str(tmp_path / "a b%.tif"), "tiles", side=48)).collect()
+    assert len(whole) == a.size and all(a[r.row, r.col] == r.v for r in whole)
+    (tmp_path / "cut.tif").write_bytes((tmp_path / "a b%.tif").read_bytes()[:-9])
     with pytest.raises(Exception, match="ends early"):
         tiff.read(spark, str(tmp_path / "cut.tif")).collect()
 
 
+def test_bytes_read_follow_the_window(tmp_path):
+    a = np.arange(400 * 300, dtype=np.float32).reshape(400, 300)
+    raw = tiff.encode(a)
+    (tmp_path / "a.tif").write_bytes(raw)
+    (tmp_path / "p.tif").write_bytes(retold(raw, 8, zlib.compress))
+
+    def read(name, gap, form="pixels", **bounds):
+        r = planned.TiffReader({"files": json.dumps([str(tmp_path / name)]), "form": form, "side": "64"})
+        filters = [k for n, (lo, hi) in bounds.items() for k in (GreaterThanOrEqual((n,), lo), LessThan((n,), hi))]
+        assert r.pushFilters(filters + [StringContains(("image_id",), "a")]) == [StringContains(("image_id",), "a")]
+        parts = r.partitions()
+        return sum(n for p in parts for _, n in p.ranges()), {(p.top + i, p.left + j): x for p in parts for (i, j), x in np.ndenumerate(p.pixels())}
+
+    for gap, most in ((1 << 16, 20 * 300 * 4), (100, 20 * 5 * 4)):
+        planned.GAP, kept = gap, planned.GAP
+        try:
+            n, got = read("a.tif", gap, row=(101, 121), col=(7, 12))
+        finally:
+            planned.GAP = kept
+        assert n == most and got == {(i, j): a[i, j] for i in range(101, 121) for j in range(7, 12)}
+    n, got = read("p.tif", 0, row=(101, 121), col=(7, 12))
+    assert n < len(raw) / 10 and got == {(i, j): a[i, j] for i in range(101, 121) for j in range(7, 12)}
+    n, got = read("a.tif", 0, "tiles", tr=(2, 3), tc=(4, 5))
+    assert n == 64 * 300 * 4 and set(got) == {(i, j) for i in range(128, 192) for j in range(256, 300)}
+    assert planned.TiffReader({"files": json.dumps([])}).partitions()[0].value is None
+
+
 def test_packbits_runs_and_refusals():
     assert tiff.unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA])) == bytes.fromhex("aaaaaa80002aaaaaaaaa")
     raw = tiff.encode(np.zeros((2, 2), np.float32))
@@ -235,7 +271,7 @@ def test_files_keep_everything(spark, tmp_path, kind):
 
 
 @pytest.mark.parametrize("kind", ["points", "segments", "lines"])
-def test_large_containers_are_read_in_parts(spark, tmp_path, monkeypatch, kind):
+def test_containers_are_planned_in_parts(spark, tmp_path, kind):
     rng = np.random.default_rng(4)
     some = lambda n: points(*[(int(a), int(b), float(c), 0.5) for a, b, c in zip(rng.integers(0, 2**32, n), rng.integers(0, 99, n), range(n))])
     body = {"points": some(50), "segments": some(100).reshape(50, 2), "lines": [some(1 + i % 4 * 3) for i in range(50)]}[kind]
@@ -243,14 +279,20 @@ def test_large_containers_are_read_in_parts(spark, tmp_path, monkeypatch, kind):
     raw = ridg.encode(ridg.Dataset(kind, body, meta))
     (tmp_path / "a b.ridg").write_bytes(raw)
     (tmp_path / "none.ridg").write_bytes(ridg.encode(ridg.Dataset(kind, body[:0])))
-    want = sorted(map(repr, ridg.read(spark, str(tmp_path), kind, with_class=True).collect()))
-    heads = sorted(map(repr, ridg.headers_at(spark, str(tmp_path)).collect()))
-    monkeypatch.setattr(ridg.ranges, "SPLIT_BYTES", 0)
-    monkeypatch.setattr(ridg, "PART_BYTES", 100)
-    assert len(ridg.layout(ridg.ranges.held(raw)).parts) > 5
-    assert sorted(map(repr, ridg.read(spark, str(tmp_path), kind, with_class=True).collect())) == want and len(want) == 50
+    files_ = spark.read.format("binaryFile").load(str(tmp_path))
+    want = sorted(map(repr, ridg.entries_of(files_.select("path", "content"), kind, with_class=True).collect()))
+    heads = sorted(map(repr, ridg.headers(files_.select("path", "content")).collect()))
+    assert len(ridg.layout(ridg.ranges.held(raw), 100).parts) > 5
+    for size in (100, 1 << 20):
+        got = planned.containers(spark, str(tmp_path), kind, True, partBytes=size)
+        assert sorted(map(repr, got.collect())) == want and len(want) == 50
+        some = got.filter("entry_id >= 11 and entry_id < 23 and class > 12")
+        assert sorted(r.entry_id for r in some.collect()) == list(range(13, 23)) and all(r["class"] == r.likelihood == r.entry_id for r in some.collect())
     assert sorted(map(repr, ridg.headers_at(spark, str(tmp_path)).collect())) == heads
-    assert ridg.read(spark, str(tmp_path), kind).count() == 50
+    assert ridg.read(spark, str(tmp_path), kind).count() == 50 and ridg.read(spark, str(tmp_path), kind).filter("entry_id = 49").count() == 1
+    r = planned.RidgReader({"files": json.dumps([str(tmp_path / "a b.ridg")]), "kind": kind, "partBytes": "100"})
+    assert list(r.pushFilters([EqualTo(("entry_id",), 30)])) == []
+    assert sum(p.n for p in r.partitions()) < 50 / 4 and len(r.partitions()) == 1
     for cut in (8, 20, len(raw) - 70, len(raw) - 1):
         with pytest.raises(ridg.FormatError, match="ends early"):
             ridg.layout(ridg.ranges.held(raw[:cut]))
