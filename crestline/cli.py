@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -106,7 +105,7 @@ def detect(spark: SparkSession, a) -> None:
             raise Failure(1, "there must be a partition")
         spark.conf.set("spark.sql.shuffle.partitions", a.partitions)
     try:
-        _, rows, cols = tiff.sizes(spark, a.infile).first()
+        image_id, rows, cols = tiff.sizes(spark, a.infile).first()
         image = tiff.read(spark, a.infile)
         found = detection(image, scales, a.metric, a.nan_value)
     except Exception as e:
@@ -117,7 +116,8 @@ def detect(spark: SparkSession, a) -> None:
         m = blocks.metrics_by_blocks(image, t, a.metric, a.nan_value)
         for column, path in dumps.items():
             if path:
-                _save(3, lambda p, c: Path(p).write_bytes(bytes(tiff.encoded(m, c).first()["content"])), path, column)
+                one = spark.createDataFrame([(files.located(path), image_id, rows, cols)], "file string, image_id string, rows int, cols int")
+                _save(3, tiff.write, m, one, column)
     if a.outfile:
         _save(3, files.save, found.entries(a.mode or "segments"), a.outfile, ridg.image_size(rows, cols))
     else:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import fine, millionths, to_fixed, to_subpixel
 from ..functions.kernels import derivative, gaussian
-from ..functions.scales import parse_scales
 from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface, tiles
 from ..operators.detect import cells as cells_of
-from ..sources import files as paths
-from ..sources import masks, ridg, text, tiff
+from ..sources import masks, planned, ridg, text, tiff
 from ..sources.tables import RUNS, SURFACES, emb, evt, li
 from . import oracle as O
 from .detection import detection, detection_of_tiles
-from .staging import table
+from .staging import folder, table
 from .windowed import Windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,11 +398,28 @@ def scale_metrics(spark, sf_dir):
 # text and files ------------------------------------------------------------------------
 
 
-@query(O.ridges("emb", T, """SELECT entry_id, printf('%.3f,%.3f', row_fx / 128.0::DOUBLE, col_fx / 128.0::DOUBLE) AS place FROM points""", O.POINTS))
+def _csv(*point: str) -> str:
+    return "printf('%.3f,%.3f,%e,%e', {} / 128.0::DOUBLE, {} / 128.0::DOUBLE, {}, {})".format(*point)
+
+
+@query(O.ridges("emb", T, f"SELECT entry_id, {_csv('row_fx', 'col_fx', 'brightness', 'strength')} AS line FROM points", O.POINTS))
 def csv_rows(spark, sf_dir):
-    """The position fields of the CSV rows of points."""
-    rows = text.csv_lines(detection(emb(spark, sf_dir), T).points())
-    return rows.select("entry_id", F.substring_index("line", ",", 2).alias("place"))
+    """All four fields of the CSV rows of points."""
+    return text.csv_lines(detection(emb(spark, sf_dir), T).points()).select("entry_id", "line")
+
+
+@query(O.ridges("emb", T, f"SELECT entry_id, {_csv('r1', 'c1', 'b1', 's1')} || ',' || {_csv('r2', 'c2', 'b2', 's2')} AS line FROM segments", O.SIDES, O.SEGMENTS))
+def csv_segments(spark, sf_dir):
+    """The eight fields of a segment."""
+    return text.csv_lines(detection(emb(spark, sf_dir), T).segments()).select("entry_id", "line")
+
+
+@query(O.ridges("emb", T, f"""SELECT entry_id, pos, {_csv('row_fx', 'col_fx', 'brightness', 'strength')} AS line FROM lines
+UNION ALL SELECT entry_id, max(pos) + 1, '' FROM lines GROUP BY entry_id""", O.SIDES, O.SEGMENTS, O.LINES))
+def csv_line_rows(spark, sf_dir):
+    """A row for each point of a line, and a blank one after it."""
+    rows = text.csv_lines(detection(emb(spark, sf_dir), T).lines())
+    return rows.select("entry_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 @query(O.ridges("emb", T, """SELECT entry_id, string_agg(regexp_replace(printf('%.7f', col_fx / 128.0::DOUBLE), '\\.?0+$', '') || ' ' || regexp_replace(printf('%.7f', row_fx / 128.0::DOUBLE), '\\.?0+$', ''), ' L ' ORDER BY pos) AS path FROM lines GROUP BY entry_id""", O.SIDES, O.SEGMENTS, O.LINES))
@@ -413,33 +428,64 @@ def svg_paths(spark, sf_dir):
     return shapes.select("entry_id", F.regexp_extract("element", 'd="M ([^"]*)"', 1).alias("path"))
 
 
+def _name(path: Column) -> Column:
+    """The image that a file is named after."""
+    return F.regexp_extract(path, r"([^/]*)\.[a-z]+$", 1)
+
+
+def _container(spark: SparkSession, entries: DataFrame, dims: DataFrame) -> str:
+    """The path of a container that many tasks have written."""
+    place = folder(spark, "containers")
+    ridg.write_images(entries, dims, place)
+    return f"{place}/emb.ridg"
+
+
+def _image(spark: SparkSession, name: str, pixels: DataFrame, value: str = "v") -> str:
+    """The path of a float TIFF that many tasks have written."""
+    place = folder(spark, "images")
+    tiff.write_images(pixels, surface.size(pixels), place, value)
+    return f"{place}/{name}.tif"
+
+
 @query(O.ridges("emb", T, "SELECT entry_id, row_fx, col_fx FROM points", O.POINTS))
 def ridg_roundtrip(spark, sf_dir):
-    """Points encoded to the container and decoded from it."""
+    """Points written to one container by many tasks and read from it in planned parts."""
     d = detection(emb(spark, sf_dir), T)
-    files = ridg.encoded(d.points(), d.dims)
-    return ridg.entries_of(files.select(F.col("image_id").alias("path"), "content"), "points").select("entry_id", "row_fx", "col_fx")
+    return ridg.read(spark, _container(spark, d.points(), d.dims), "points").select("entry_id", "row_fx", "col_fx")
 
 
-@query(f'WITH raw AS ({O.SURFACES["emb"]}) SELECT image_id, "row", col, v FROM raw')
-def tiff_roundtrip(spark, sf_dir):
-    files = tiff.encoded(emb(spark, sf_dir))
-    return tiff.surfaces_of(files.select(F.col("image_id").alias("path"), "content"))
+@query(O.ridges("emb", T, "SELECT entry_id, row_fx, col_fx FROM points WHERE entry_id >= 100 AND entry_id < 160", O.POINTS))
+def ridg_range(spark, sf_dir):
+    """A range of entries, of which alone the bytes are read."""
+    d = detection(emb(spark, sf_dir), T)
+    points = ridg.read(spark, _container(spark, d.points(), d.dims), "points")
+    return points.filter("entry_id >= 100 and entry_id < 160").select("entry_id", "row_fx", "col_fx")
 
 
-def _files(df: DataFrame) -> DataFrame:
-    return df.select(F.col("image_id").alias("path"), "content")
+@query(f'WITH raw AS ({O.SURFACES["emb"]}) SELECT image_id, "row", col, v FROM raw')
+def tiff_roundtrip(spark, sf_dir):
+    """A surface written to one TIFF in bands and read by its strips."""
+    return tiff.read(spark, _image(spark, "emb", emb(spark, sf_dir))).withColumn("image_id", _name(F.col("image_id")))
 
 
 @query(f'WITH raw AS ({O.SURFACES["emb"]}) SELECT image_id, CAST("row" - 7 AS INTEGER) AS "row", CAST(col - 9 AS INTEGER) AS col, v FROM raw WHERE "row" >= 7 AND "row" < 57 AND col >= 9 AND col < 41')
 def tiff_extents(spark, sf_dir):
-    """A window of a TIFF: half-open, moved to the origin."""
-    return surface.clipped(tiff.surfaces_of(_files(tiff.encoded(emb(spark, sf_dir)))), 7, 9, 50, 32)
+    """A window of a TIFF: half-open, moved to the origin; only the rows it touches are read."""
+    return tiff.read(spark, _image(spark, "emb", emb(spark, sf_dir)), (7, 9, 50, 32)).withColumn("image_id", _name(F.col("image_id")))
+
+
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")} FROM edges'))
+def tiff_tiles(spark, sf_dir):
+    """Edges of an image read as tiles, which its strips become directly."""
+    image = planned.tiffs(spark, _image(spark, "emb", emb(spark, sf_dir)), "tiles")
+    found = detection_of_tiles(tiles.staged(image), T)
+    return found.edges.select(_name(F.col("image_id")).alias("image_id"), "row", "col", "dir", "d", *_u("brightness"))
 
 
 @query(f'WITH raw AS ({O.SURFACES["li"]}) SELECT image_id, CAST(max("row") + 1 AS INTEGER) AS "rows", CAST(max(col) + 1 AS INTEGER) AS cols FROM raw GROUP BY image_id')
 def tiff_sizes(spark, sf_dir):
-    return tiff.sizes_of(_files(tiff.encoded(li(spark, sf_dir))))
+    """Sizes from headers alone."""
+    return tiff.sizes(spark, _image(spark, "li", li(spark, sf_dir))).withColumn("image_id", _name(F.col("image_id")))
 
 
 @query(f"""WITH raw AS ({O.SURFACES["emb"]}), {O.smoothing("raw", "sm", T)}, {O.derivative_ctes("sm", "dv")}, {O.metric_ctes("dv", "me", "N", O.number(T))}
@@ -447,14 +493,14 @@ SELECT 'lpp' AS plane, "row", col, {O.millionths("x")} AS v_u FROM (SELECT "row"
 def tiff_dump(spark, sf_dir):
     """A plane of the metrics written as a float TIFF and read back."""
     m = blocks.metrics_by_blocks(emb(spark, sf_dir), T, "N")
-    return tiff.surfaces_of(_files(tiff.encoded(m, "lpp"))).select(F.lit("lpp").alias("plane"), "row", "col", *_u("v"))
+    return tiff.read(spark, _image(spark, "emb", m, "lpp")).select(F.lit("lpp").alias("plane"), "row", "col", *_u("v"))
 
 
 @query(O.ridges("emb", T, """SELECT 'points' AS kind, (SELECT count(*) FROM points) AS entries, CAST("rows" AS BIGINT) AS "rows", CAST(cols AS BIGINT) AS cols, CAST(3735928559 AS BIGINT) AS own, true AS gone FROM dims""", O.POINTS))
 def metadata_block(spark, sf_dir):
     """Metadata of a container: the image's size, a key set, a key taken out, one of another length."""
     d = detection(emb(spark, sf_dir), T)
-    head = ridg.headers(_files(ridg.encoded(d.points(), d.dims)))
+    head = ridg.headers_at(spark, _container(spark, d.points(), d.dims))
     meta = entries.with_metadata(entries.with_metadata(F.col("metadata"), 0x77, bytes.fromhex("deadbeef")), 0x78, b"no")
     out = head.withColumns({"m": meta, "left": entries.with_metadata(meta, 0x77, None)})
     gone = entries.metadata_uint32(F.col("left"), 0x77).isNull() & entries.metadata_uint32(F.col("m"), 0x78).isNull()
@@ -463,16 +509,16 @@ def metadata_block(spark, sf_dir):
 
 @query(O.ridges("emb", T, "SELECT entry_id, r1, c1, r2, c2 FROM segments", O.SIDES, O.SEGMENTS))
 def ridg_segments(spark, sf_dir):
-    """Segments encoded to the container and decoded from it."""
+    """Segments written to one container by many tasks and read from it in planned parts."""
     d = detection(emb(spark, sf_dir), T)
-    return _flat(ridg.entries_of(_files(ridg.encoded(d.segments(), d.dims)), "segments")).select("entry_id", "r1", "c1", "r2", "c2")
+    return _flat(ridg.read(spark, _container(spark, d.segments(), d.dims), "segments")).select("entry_id", "r1", "c1", "r2", "c2")
 
 
 @query(O.ridges("emb", T, "SELECT entry_id, pos, row_fx, col_fx FROM lines", O.SIDES, O.SEGMENTS, O.LINES))
 def ridg_lines(spark, sf_dir):
-    """Lines encoded to the container and decoded from it."""
+    """Lines written to one container by many tasks and read from it in planned parts."""
     d = detection(emb(spark, sf_dir), T)
-    return _exploded(ridg.entries_of(_files(ridg.encoded(d.lines(), d.dims)), "lines")).select("entry_id", "pos", "row_fx", "col_fx")
+    return _exploded(ridg.read(spark, _container(spark, d.lines(), d.dims), "lines")).select("entry_id", "pos", "row_fx", "col_fx")
 
 
 @query(O.ridges("emb", T, "SELECT entry_id, CAST(entry_id % 3 AS SMALLINT) AS class, CAST(entry_id % 8 AS FLOAT) / 8 AS likelihood FROM points", O.POINTS))
@@ -480,24 +526,30 @@ def class_save(spark, sf_dir):
     """Classes and likelihoods through a container file."""
     d = detection(emb(spark, sf_dir), T)
     classed = d.points().withColumns({"class": (F.col("entry_id") % 3).cast("smallint"), "likelihood": ((F.col("entry_id") % 8) / 8).cast("float")})
-    return ridg.entries_of(_files(ridg.encoded(classed, d.dims)), "points", with_class=True).select("entry_id", "class", "likelihood")
+    return ridg.read(spark, _container(spark, classed, d.dims), "points", with_class=True).select("entry_id", "class", "likelihood")
 
 
 _HIT = """SELECT DISTINCT image_id, CAST({r} AS INTEGER) AS "row", CAST({c} AS INTEGER) AS col, CAST(255 AS SMALLINT) AS m FROM {t} JOIN dims USING (image_id) WHERE {r} < "rows" AND {c} < cols"""
 
 
+def _masked(spark: SparkSession, hit: DataFrame, dims: DataFrame, form: str) -> DataFrame:
+    place = folder(spark, "masks")
+    masks.write_images(hit.withColumn("m", F.lit(255).cast("smallint")), dims, place, form)
+    return masks.read(spark, place, form).withColumn("image_id", _name(F.col("image_id")))
+
+
 @query(O.ridges("emb", T, _HIT.format(r="(row_fx >> 7)", c="(col_fx >> 7)", t="points"), O.POINTS))
 def mask_png(spark, sf_dir):
-    """Set pixels of a PNG mask, read back from the file's bytes."""
+    """Set pixels of a PNG mask that many tasks wrote, read back band by band."""
     d = detection(emb(spark, sf_dir), T)
-    return masks.decoded(masks.encoded(raster.mask(raster.pixels(d.points()), d.dims), "png"), "png")
+    return _masked(spark, raster.pixels(d.points()), d.dims, "png")
 
 
 @query(O.ridges("emb", T, _HIT.format(r="(least(r1, r2) >> 7)", c="(least(c1, c2) >> 7)", t="segments"), O.SIDES, O.SEGMENTS))
 def mask_tiff(spark, sf_dir):
-    """Set pixels of an 8-bit TIFF mask, read back from the file's bytes."""
+    """Set pixels of an 8-bit TIFF mask that many tasks wrote, read back by its strips."""
     d = detection(emb(spark, sf_dir), T)
-    return masks.decoded(masks.encoded(raster.mask(raster.pixels(d.segments()), d.dims), "tiff"), "tiff")
+    return _masked(spark, raster.pixels(d.segments()), d.dims, "tiff")
 
 
 def _px(x: str) -> str:
@@ -510,12 +562,13 @@ def pdf_segments(spark, sf_dir):
     return text.pdf_operators(detection(emb(spark, sf_dir), T).segments(), 500).select("entry_id", "ops")
 
 
-@query(O.ridges("emb", T, "SELECT entry_id, CASE WHEN entry_id = 4 THEN '#ff8000' WHEN entry_id % 3 = 0 THEN '#0000ff' ELSE '#ff0000' END AS stroke FROM line_ids", O.SIDES, O.SEGMENTS, O.LINES))
+@query(O.ridges("emb", T, """SELECT entry_id, layer, CASE WHEN layer = 0 THEN '#00ff00' WHEN entry_id % 3 = 0 THEN '#0000ff' ELSE '#ff0000' END AS stroke, CASE WHEN layer = 0 THEN '1' ELSE '0.5' END AS width
+FROM (SELECT entry_id, 1 AS layer FROM line_ids UNION ALL SELECT entry_id, 0 FROM line_ids WHERE entry_id = 4)""", O.SIDES, O.SEGMENTS, O.LINES))
 def svg_classes(spark, sf_dir):
-    """Strokes of classified lines: a colour per class, one line selected."""
+    """Strokes of classified lines: a colour per class, and a green stroke under the selected line."""
     classed = detection(emb(spark, sf_dir), T).lines().withColumn("class", (F.col("entry_id") % 3).cast("smallint"))
-    shapes = text.svg_elements(classed, text.class_colour(selected=4))
-    return shapes.select("entry_id", F.regexp_extract("element", 'stroke="([^"]*)"', 1).alias("stroke"))
+    shapes = text.class_elements(classed, selected=4)
+    return shapes.select("entry_id", "layer", F.regexp_extract("element", 'stroke="([^"]*)"', 1).alias("stroke"), F.regexp_extract("element", 'stroke-width="([^"]*)"', 1).alias("width"))
 
 
 @query(O.ridges("emb", T, "SELECT entry_id, row_fx, CAST(round_even((col_fx / 128.0::DOUBLE + 0.005::DOUBLE) * 128.0::DOUBLE, 0) AS BIGINT) AS col_fx FROM points", O.POINTS))
@@ -525,25 +578,6 @@ def fixed_positions(spark, sf_dir):
     return p.select("entry_id", to_fixed(to_subpixel(F.col("row_fx"))).alias("row_fx"), to_fixed(to_subpixel(F.col("col_fx")) + F.lit(0.005)).alias("col_fx"))
 
 
-@query("SELECT * FROM (VALUES ('2.5', 2.5::DOUBLE, true), ('1:1:3', 6.0, true), ('3:-1:1', 6.0, true), ('0:0.5:1', 1.5, true), ('1:0:2', NULL, false), ('2:1:1', NULL, false), ('-1', NULL, false), ('a', NULL, false), ('1:2', NULL, false), ('inf', NULL, false)) t(argument, total, ok)")
-def scale_arguments(spark, sf_dir):
-    """Scale arguments: the sum of their scales, or that they are refused."""
-
-    def told(argument: str) -> tuple:
-        try:
-            return argument, float(sum(parse_scales(argument))), True
-        except ValueError:
-            return argument, None, False
-
-    return spark.createDataFrame([told(x) for x in ("2.5", "1:1:3", "3:-1:1", "0:0.5:1", "1:0:2", "2:1:1", "-1", "a", "1:2", "inf")], "argument string, total double, ok boolean")
-
-
-@query("SELECT * FROM (VALUES ('a.PNG', 'png'), ('b.tif', 'tiff'), ('c.TIFF', 'tiff'), ('d', 'svg'), ('e.Pdf', 'pdf'), ('f.csv', 'csv'), ('g.xyz', 'svg')) t(path, form)")
-def export_formats(spark, sf_dir):
-    """The format by suffix, without regard to case."""
-    return spark.createDataFrame([(x, paths.format_of(x)) for x in ("a.PNG", "b.tif", "c.TIFF", "d", "e.Pdf", "f.csv", "g.xyz")], "path string, form string")
-
-
 def _sampled(v: str) -> str:
     tap = lambda i: f"exp(-{i * i}::DOUBLE / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi())"
     return "(" + " + ".join(f"{tap(i)} * {O.shifted(v, -i)}" for i in range(-3, 4)) + ")"

@@ -75,6 +75,11 @@ def stage_buckets(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the staged tables, for files that tasks write; ``clear`` deletes it with them."""
+    return f"{shared_dir(spark)}/{_home(spark).split('.')[1]}/{name}-{uuid.uuid4().hex}"
+
+
 def drop(*staged: DataFrame) -> None:
     """Delete tables made by ``stage`` that nothing will read again."""
     for df in staged:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -49,50 +48,32 @@ def load(spark: SparkSession, path: str) -> Loaded:
     return Loaded(ridg.read(spark, path, head["kind"], with_class=True), {k: bytes(v) for k, v in head["metadata"].items()})
 
 
+def located(path: str) -> str:
+    """A path with its scheme; one without names a file that the driver and its executors share."""
+    return path if ":" in path.split("/", 1)[0] else "file:" + str(Path(path).absolute())
+
+
 def save(entries: DataFrame, path: str, metadata: dict[int, bytes] | None = None) -> None:
-    """One container file at a local path, written beside it and renamed when complete.
+    """One container file, encoded and written by many tasks; the target is the old file until the new one is whole.
 
-    Entries are encoded by the executors and appended part by part in order; their number is
-    put into the header at the end.  Classes and likelihoods follow the entries that are left.
+    Classes and likelihoods follow the entries that are left.
     """
-    kind, n = kind_of(entries), 0
-    per: dict[int, list[bytes | None]] = {ridg.CLASSES: [], ridg.LIKELIHOODS: []}
-    target = Path(path)
-    beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    try:
-        with beside.open("wb") as f:
-            f.write(ridg.frame(kind, 0))
-            for part in ridg.encoded_chunks(entries).toLocalIterator():
-                f.write(part["body"])
-                n += part["n"]
-                per[ridg.CLASSES].append(part["classes"])
-                per[ridg.LIKELIHOODS].append(part["likelihoods"])
-            whole = {k: b"".join(v) for k, v in per.items() if v and None not in v}
-            f.write(ridg.trailer({**(metadata or {}), **whole}))
-            f.seek(0)
-            f.write(ridg.frame(kind, n))
-        beside.replace(target)
-    finally:
-        beside.unlink(missing_ok=True)
-
-
-def convert(entries: DataFrame, path: str, rows: int, cols: int, form: str | None = None, coloured: bool = False) -> None:
-    """Export one image's entries, formatted by the executors; ``coloured`` SVG strokes show classes."""
-    form = format_of(path, form)
-    out = Path(path)
+    target = located(path)
+    told = {k: bytearray(v) for k, v in (metadata or {}).items()}
+    one = entries.sparkSession.createDataFrame([(target, told)], "file string, metadata map<int,binary>")
+    ridg.write(entries.withColumn("file", F.lit(target)), one)
+
+
+def convert(entries: DataFrame, path: str, rows: int, cols: int, form: str | None = None, coloured: bool = False, selected: int | None = None) -> None:
+    """Export one image's entries, formatted and written by many tasks; ``coloured`` SVG strokes show classes."""
+    form, target = format_of(path, form), located(path)
     if form == "csv":
-        lines = text.csv_lines(entries).orderBy("entry_id", "pos").select("line").toLocalIterator()
-        with out.open("w") as f:
-            f.writelines(r[0] + "\n" for r in lines)
+        text.write_lines(text.csv_lines(entries).orderBy("entry_id", "pos").select("line"), target)
     elif form == "svg":
-        with out.open("w") as f:
-            f.writelines(r[0] + "\n" for r in text.svg_lines(entries, rows, cols, text.class_colour() if coloured else None).toLocalIterator())
+        text.write_lines(text.svg_lines(text.class_elements(entries, selected=selected) if coloured else text.svg_elements(entries), rows, cols), target)
     elif form == "pdf":
-        ops = (r[0] for r in text.pdf_operators(entries, rows).orderBy("entry_id").select("ops").toLocalIterator())
-        out.write_bytes(text.pdf_page(ops, rows, cols))
+        text.write_pdf(text.pdf_operators(entries, rows).orderBy("entry_id"), target, rows, cols)
     else:
-        dims = entries.select("image_id").distinct().withColumns({"rows": F.lit(rows), "cols": F.lit(cols)})
-        if not dims.head(1):
-            dims = entries.sparkSession.createDataFrame([("", rows, cols)], "image_id string, rows int, cols int")
-        dense = raster.mask(raster.pixels(entries), dims)
-        out.write_bytes(bytes(masks.encoded(dense, form).first()["content"]))
+        hit = raster.pixels(entries).select(F.lit("").alias("image_id"), "row", "col", F.lit(255).cast("smallint").alias("m")).distinct()
+        one = entries.sparkSession.createDataFrame([(target, "", rows, cols)], "file string, image_id string, rows int, cols int")
+        masks.write(hit, one, form)

@@ -1,4 +1,4 @@
-"""Data sources whose partitions come from headers: float TIFFs and RIDG containers.
+"""Data sources whose partitions come from headers: TIFFs, PNG masks and RIDG containers.
 
 The planner reads headers only.  Conditions on rows, columns, tiles, entries and files are
 pushed into the source and decide which byte ranges become partitions, so what is read
@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 
 from ..operators.surface import SCHEMA as PIXELS
 from ..operators.tiles import SCHEMA as TILES
-from . import ranges, ridg, tiff
+from . import masks, ranges, ridg, tiff
 
 GAP = 1 << 16
 BATCH = 1 << 20  # pixels of a partition
@@ -95,6 +95,15 @@ class Window(InputPartition):
     left: int
     width: int
     strips: list[tuple[int, int, int, int]]
+    code: str = "f4"
+
+    @property
+    def size(self) -> int:
+        return int(self.code[1])
+
+    @property
+    def apart(self) -> bool:
+        return self.packing == tiff.PLAIN and self.size * (self.cols - self.width) > GAP
 
     def ranges(self) -> list[tuple[int, int]]:
         """The byte ranges that are read."""
@@ -103,10 +112,10 @@ class Window(InputPartition):
         out: list[tuple[int, int]] = []
         for at, _, first, many in self.strips:
             a, b = max(first, self.top), min(first + many, self.top + self.rows)
-            if 4 * (self.cols - self.width) > GAP:
-                out += [(at + 4 * ((r - first) * self.cols + self.left), 4 * self.width) for r in range(a, b)]
+            if self.apart:
+                out += [(at + self.size * ((r - first) * self.cols + self.left), self.size * self.width) for r in range(a, b)]
             else:
-                out.append((at + 4 * (a - first) * self.cols, 4 * (b - a) * self.cols))
+                out.append((at + self.size * (a - first) * self.cols, self.size * (b - a) * self.cols))
         joined: list[tuple[int, int]] = []
         for at, n in out:
             if joined and sum(joined[-1]) == at:
@@ -118,30 +127,29 @@ class Window(InputPartition):
     def pixels(self) -> np.ndarray:
         with ranges.opened(self.path) as read:
             body = b"".join(tiff.unpacked(read(at, n), self.packing) for at, n in self.ranges())
-        apart = self.packing == tiff.PLAIN and 4 * (self.cols - self.width) > GAP
-        cols = self.width if apart else self.cols
+        cols = self.width if self.apart else self.cols
         first = self.top if self.packing == tiff.PLAIN else self.strips[0][2]
-        need = 4 * cols * (self.top - first + self.rows)
+        need = self.size * cols * (self.top - first + self.rows)
         if len(body) < need:
             raise tiff.FormatError("the file ends early")
-        whole = np.frombuffer(body[:need], self.order + "f4").astype(np.float32).reshape(-1, cols)
-        return whole[self.top - first :] if apart else whole[self.top - first :, self.left : self.left + self.width]
+        whole = np.frombuffer(body[:need], self.order + self.code).astype(self.code).reshape(-1, cols)
+        return whole[self.top - first :] if self.apart else whole[self.top - first :, self.left : self.left + self.width]
 
 
 class TiffReader(_Reader):
     def __init__(self, options: dict[str, str]):
         self.form, self.side, self.batch = options.get("form", "pixels"), int(options.get("side", 256)), int(options.get("batch", BATCH))
-        super().__init__(options, *(("row", "col") if self.form == "pixels" else ("tr", "tc")))
+        super().__init__(options, *(("tr", "tc") if self.form == "tiles" else ("row", "col")))
 
     def of_file(self, path: str) -> list[InputPartition]:
         with ranges.opened(path) as read:
             order, tags = tiff.tags_at(read)
         rows, cols = tiff.size_of(tags)
-        packing = tiff.packing_of(tags)
+        packing = tiff.packing_of(tags, self.form == "mask")
         per, places = min(tags.get(tiff.ROWS_PER_STRIP, [rows])[0], rows), tiff.strips_of(tags)
         if len(places) * per < rows:
             raise tiff.FormatError("the file ends early")
-        each = 1 if self.form == "pixels" else self.side
+        each = self.side if self.form == "tiles" else 1
         (r0, r1), (c0, c1) = ((a * each, min(b * each, end)) for (a, b), end in zip(self.pushed.range.values(), (rows, cols)))
         if r0 >= r1 or c0 >= c1:
             return []
@@ -155,7 +163,7 @@ class TiffReader(_Reader):
         out = []
         for top, bottom, left, right in cuts:
             own = [(*places[k], k * per, min(per, rows - k * per)) for k in range(top // per, -(-bottom // per))]
-            out.append(Window(path, order, packing, cols, top, bottom - top, left, right - left, own))
+            out.append(Window(path, order, packing, cols, top, bottom - top, left, right - left, own, "u1" if self.form == "mask" else "f4"))
         return out
 
     def read(self, p: InputPartition) -> Iterator[pa.RecordBatch]:
@@ -165,6 +173,9 @@ class TiffReader(_Reader):
         if self.form == "pixels":
             yield tiff.pixels_batch(p.path, p.top, part, p.left)
             return
+        if self.form == "mask":
+            yield masks.set_pixels(p.path, p.top, part, p.left)
+            return
         for at in range(0, p.width, self.side):
             tile = np.ascontiguousarray(part[:, at : at + self.side]).astype(np.float64)
             numbers = (p.top // self.side, (p.left + at) // self.side, p.top, p.left + at, *tile.shape)
@@ -221,13 +232,59 @@ class RidgReader(_Reader):
         yield out.slice(a, max(0, b - a))
 
 
+@dataclass
+class Band(InputPartition):
+    """A chunk of a PNG that holds whole lines packed on their own."""
+
+    path: str
+    top: int
+    cols: int
+    at: int
+    size: int
+
+
+class PngReader(_Reader):
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options, "row")
+
+    def of_file(self, path: str) -> list[InputPartition]:
+        with ranges.opened(path) as read:
+            rows, cols, chunks = masks.chunks(read)
+            if not chunks:
+                return []
+            tall = len(masks.lines(read(*chunks[0]), cols))
+        low, high = self.pushed.range["row"]
+        return [Band(path, i * tall, cols, at, size) for i, (at, size) in enumerate(chunks) if i * tall < high and (i + 1) * tall > low]
+
+    def read(self, p: InputPartition) -> Iterator[pa.RecordBatch]:
+        if not isinstance(p, Band):
+            return
+        with ranges.opened(p.path) as read:
+            part = masks.lines(read(p.at, p.size), p.cols)
+        low, high = self.pushed.range["row"]
+        a, b = max(0, low - p.top), max(0, min(len(part), high - p.top))
+        yield masks.set_pixels(p.path, p.top + a, part[a:b])
+
+
+class PngSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "crestline_png"
+
+    def schema(self) -> str:
+        return masks.SET
+
+    def reader(self, schema) -> DataSourceReader:
+        return PngReader(dict(self.options))
+
+
 class TiffSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "crestline_tiff"
 
     def schema(self) -> str:
-        return TILES if self.options.get("form") == "tiles" else PIXELS
+        return {"tiles": TILES, "mask": masks.SET}.get(self.options.get("form", ""), PIXELS)
 
     def reader(self, schema) -> DataSourceReader:
         return TiffReader(dict(self.options))
@@ -249,10 +306,10 @@ _known: set[str] = set()
 
 
 def _register(spark: SparkSession) -> None:
-    """Once per application: the two sources, and the setting that lets filters into Python sources."""
+    """Once per application: the sources, and the setting that lets filters into Python sources."""
     if spark.sparkContext.applicationId not in _known:
         _known.add(spark.sparkContext.applicationId)
-        for source in (TiffSource, RidgSource):
+        for source in (TiffSource, PngSource, RidgSource):
             spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

@@ -15,12 +15,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop, stage
 from . import ranges
 from .ranges import Read
 
@@ -313,41 +315,65 @@ def image_size(rows: int | None, cols: int | None) -> dict[int, bytes]:
     return {key: struct.pack(">I", value) for key, value in ((ROWS, rows), (COLS, cols)) if value is not None}
 
 
-def encoded(entries: DataFrame, dims: DataFrame | None = None) -> DataFrame:
-    """image_id, content: one file per image, each encoded in a task of its own.
-
-    The format numbers entries inside one file, so a file is as large as its image's
-    entries; images are independent.  Classes and likelihoods travel if every entry has one.
-    """
+def _chunks(entries: DataFrame) -> DataFrame:
+    """file, no, n, body, classes, likelihoods: parts of files in entry order, of entries with their ``file``."""
     from ..operators.entries import kind_of
+    from .sink import by_file
 
     kind = kind_of(entries)
-    # joined plainly: it has a row per image, which may be many
-    wide = entries.join(dims.select("image_id", "rows", "cols"), "image_id", "left") if dims is not None else entries.withColumns({"rows": F.lit(None).cast("int"), "cols": F.lit(None).cast("int")})
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("entry_id")
-        meta = image_size(part["rows"][0].as_py(), part["cols"][0].as_py())
-        for name, key, code in (("class", CLASSES, "u1"), ("likelihood", LIKELIHOODS, ">f4")):
-            if name in part.column_names and not part[name].null_count:
-                meta[key] = part[name].to_numpy().astype(code).tobytes()
-        content = frame(kind, part.num_rows) + encoded_entries(part, kind) + trailer(meta)
-        return pa.table({"image_id": pa.array([part["image_id"][0].as_py()], pa.string()), "content": pa.array([content], pa.binary())})
-
-    return wide.groupBy("image_id").applyInArrow(run, "image_id string, content binary")
+    per = [(c, code) for c, code in (("class", "u1"), ("likelihood", ">f4"))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, part in by_file(b):
+                t = pa.Table.from_batches([part])
+                own = [t[c].to_numpy().astype(code).tobytes() if c in t.column_names and not t[c].null_count else None for c, code in per]
+                columns = [pa.array([path]), pa.array([t.num_rows], pa.int64()), *(pa.array([x], pa.binary()) for x in (encoded_entries(t, kind), *own))]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "n", "body", "classes", "likelihoods"])
 
-def encoded_chunks(entries: DataFrame) -> DataFrame:
-    """n, body, classes, likelihoods: parts of one file in entry order."""
-    from ..operators.entries import kind_of
+    kept = [c for c in entries.columns if c != "file"]
+    done = entries.select("file", *kept).orderBy("file", "entry_id").mapInArrow(run, "file string, n bigint, body binary, classes binary, likelihoods binary")
+    return done.withColumn("no", F.monotonically_increasing_id())
 
-    kind = kind_of(entries)
-    extra = [c for c in ("class", "likelihood") if c in entries.columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            per = [t[c].to_numpy().astype(code).tobytes() if c in extra and not t[c].null_count else None for c, code in (("class", "u1"), ("likelihood", ">f4"))]
-            yield pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64()), *(pa.array([x], pa.binary()) for x in (encoded_entries(t, kind), *per))], names=["n", "body", "classes", "likelihoods"])
+def write(entries: DataFrame, files: DataFrame, kind: str | None = None, by_parts: bool | None = None) -> None:
+    """Container files from many tasks: ``entries`` carry their ``file``; ``files`` (file, metadata map<int,binary>) names all of them.
 
-    return entries.orderBy("entry_id").mapInArrow(run, "n bigint, body binary, classes binary, likelihoods binary")
+    Classes and likelihoods travel if every entry of a file has one.  Order within a file
+    is that of entry_id.
+    """
+    from ..operators.entries import kind_of
+    from . import sink
+
+    kind = kind or kind_of(entries)
+    chunks = stage(_chunks(entries), "container-chunks")
+    all_there = lambda c: (F.count(F.lit(1)) == F.count(c)) & (F.count(F.lit(1)) > 0)
+    sums = chunks.groupBy("file").agg(F.sum("n").alias("count"), all_there("classes").alias("classed"), all_there("likelihoods").alias("likely"))
+    each = files.join(sums, "file", "left").withColumns({"count": F.coalesce("count", F.lit(0)), "classed": F.coalesce("classed", F.lit(False)), "likely": F.coalesce("likely", F.lit(False))})
+    zero = lambda n: F.substring(sink.raw(bytes(4)), 1, n.cast("int"))
+    pad = lambda n: zero((4 - n % 4) % 4)
+    told = F.transform(F.map_entries("metadata"), lambda e: F.concat(sink.u32(e["key"]), sink.u32(F.octet_length(e["value"])), e["value"], pad(F.octet_length(e["value"]))))
+    keys = F.size("metadata") + F.col("classed").cast("int") + F.col("likely").cast("int")
+    none = sink.raw(b"")
+    start = F.concat(sink.u32(keys), F.aggregate(told, none, lambda a, x: F.concat(a, x)), F.when(F.col("classed"), F.concat(sink.u32(F.lit(CLASSES)), sink.u32(F.col("count")))).otherwise(none))
+    middle = F.concat(F.when(F.col("classed"), pad(F.col("count"))).otherwise(none), F.when(F.col("likely"), F.concat(sink.u32(F.lit(LIKELIHOODS)), sink.u32(F.col("count") * 4))).otherwise(none))
+    own = chunks.join(sums, "file")
+    parts = [
+        sink.pieces(each, 0, F.concat(sink.raw(frame(kind, 0)[:12]), sink.u32(F.col("count")))),
+        sink.pieces(chunks, 1, F.col("body"), F.col("no")),
+        sink.pieces(each, 2, start),
+        sink.pieces(own.filter("classed"), 3, F.col("classes"), F.col("no")),
+        sink.pieces(each, 4, middle),
+        sink.pieces(own.filter("likely"), 5, F.col("likelihoods"), F.col("no")),
+    ]
+    sink.write(reduce(DataFrame.unionByName, parts), by_parts)
+    drop(chunks)
+
+
+def write_images(entries: DataFrame, dims: DataFrame, folder: str) -> None:
+    """A container ``folder``/<image_id>.ridg for each image of ``dims``, with its size as metadata."""
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id"), F.lit(".ridg"))
+    from .sink import u32
+
+    size = F.create_map(F.lit(ROWS), u32(F.col("rows")), F.lit(COLS), u32(F.col("cols")))
+    write(entries.withColumn("file", path), dims.select(path.alias("file"), size.alias("metadata")))

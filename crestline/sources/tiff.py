@@ -2,7 +2,8 @@
 
 Tag numbers, field types and compression codes are those of the TIFF 6.0 specification and
 its supplements; strips may be plain, PackBits, LZW or deflate, the file classic or BigTIFF.
-Tiled files, predictors and other sample formats are refused, not guessed at.  Output is plain.
+Tiled files, predictors and other sample formats are refused, not guessed at.  Output is
+plain, written in bands of rows by many tasks, and BigTIFF where it passes 4 GB.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.surface import SCHEMA, clipped
 from . import ranges
@@ -169,36 +171,122 @@ def decode_mask(raw: bytes) -> np.ndarray:
     return _image(raw, 8, 1, "u1")
 
 
+def rows_per_strip(cols: int, size: int) -> int:
+    return max(1, STRIP_BYTES // max(1, cols * size))
+
+
+def head(rows: int, cols: int, is_float: bool) -> tuple[bytes, int, int]:
+    """(header and directory, place of the strips, strips) of an image with plain strips of about 8 KB.
+
+    After the directory come the strips' offsets and byte counts, unless there is one strip.
+    Files that pass 4 GB are BigTIFF.
+    """
+    size = 4 if is_float else 1
+    per = rows_per_strip(cols, size)
+    n = -(-rows // per) if rows else 0
+    big = 16 * n + rows * cols * size + 1024 >= 2**32
+    word, entry, first = (8, 20, 16) if big else (4, 12, 8)
+    after = first + (8 if big else 2) + entry * 11 + word
+    data = after + (2 * n * word if n > 1 else 0)
+    long = 16 if big else 4
+    fields = [
+        (WIDTH, 4, cols), (LENGTH, 4, rows), (BITS, 3, 8 * size), (COMPRESSION, 3, PLAIN), (PHOTOMETRIC, 3, 1), (OFFSETS, long, after if n > 1 else data),
+        (SAMPLES, 3, 1), (ROWS_PER_STRIP, 4, per), (BYTE_COUNTS, long, after + n * word if n > 1 else rows * cols * size), (PLANAR, 3, 1), (FORMAT, 3, 3 if is_float else 1),
+    ]
+    out = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(fields)) if big else struct.pack("<2sHIH", b"II", 42, 8, len(fields))
+    for tag, kind, value in fields:
+        many = n if tag in (OFFSETS, BYTE_COUNTS) else 1
+        code = ("Q" if kind == 16 or many > 1 else "H" if kind == 3 else "I") if big else ("H" if kind == 3 else "I")
+        out += struct.pack("<HH" + ("Q" if big else "I"), tag, kind, many) + struct.pack("<" + code, value).ljust(word, b"\0")
+    return out + bytes(word), data, n
+
+
+def strip_words(rows: int, cols: int, is_float: bool, first: int, end: int) -> tuple[bytes, bytes]:
+    """Offsets and byte counts of strips first to end, as they follow the directory."""
+    size = 4 if is_float else 1
+    per = rows_per_strip(cols, size)
+    body, data, n = head(rows, cols, is_float)
+    k = np.arange(first, min(end, n), dtype=np.int64)
+    word = "<u8" if body[2] == 43 else "<u4"
+    return (data + k * per * cols * size).astype(word).tobytes(), (np.minimum(per, rows - k * per) * cols * size).astype(word).tobytes()
+
+
 def encode(image: np.ndarray) -> bytes:
     """float32 or uint8 image, black is smallest, strips of about 8 KB."""
     rows, cols = image.shape
     is_float = image.dtype != np.uint8
-    data = image.astype("<f4" if is_float else np.uint8)
-    per = max(1, STRIP_BYTES // max(1, cols * data.itemsize))
-    strips = [data[i : i + per].tobytes() for i in range(0, rows, per)]
-    entries: list[tuple[int, int, list[int]]] = [
-        (WIDTH, 4, [cols]), (LENGTH, 4, [rows]), (BITS, 3, [32 if is_float else 8]), (COMPRESSION, 3, [1]), (PHOTOMETRIC, 3, [1]),
-        (OFFSETS, 4, [0] * len(strips)), (SAMPLES, 3, [1]), (ROWS_PER_STRIP, 4, [per]), (BYTE_COUNTS, 4, [len(s) for s in strips]), (PLANAR, 3, [1]), (FORMAT, 3, [3 if is_float else 1]),
-    ]
-    after = 8 + 2 + 12 * len(entries) + 4
-    outside = sum(4 * len(v) for _, k, v in entries if k == 4 and len(v) > 1)
-    start, offsets = after + outside, []
-    for s in strips:
-        offsets.append(start)
-        start += len(s)
-    head = struct.pack("<2sHIH", b"II", 42, 8, len(entries))
-    tail, place = b"", after
-    for tag, kind, values in entries:
-        values = offsets if tag == OFFSETS else values
-        code = "H" if kind == 3 else "I"
-        packed = struct.pack(f"<{len(values)}{code}", *values)
-        if len(packed) > 4:
-            head += struct.pack("<HHII", tag, kind, len(values), place)
-            tail += packed
-            place += len(packed)
-        else:
-            head += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
-    return head + struct.pack("<I", 0) + tail + b"".join(strips)
+    start, _, n = head(rows, cols, is_float)
+    words = strip_words(rows, cols, is_float, 0, n) if n > 1 else (b"", b"")
+    return start + b"".join(words) + image.astype("<f4" if is_float else np.uint8).tobytes()
+
+
+BAND_BYTES = 1 << 20
+WORDS = 1 << 16  # strips whose offsets are one piece
+
+
+def bands(images: DataFrame, pixels: DataFrame, value: str, size: int, run, schema: str) -> DataFrame:
+    """``run`` for every band of rows of about a megabyte: (file, rows, cols, band, top, dense array) to a table.
+
+    ``images``: file, image_id, rows, cols; ``pixels``: image_id, row, col and the value,
+    whose absent pixels are 0.  A band holds whole strips.
+    """
+    row_bytes = F.greatest(F.lit(1), F.col("cols") * size).cast("bigint")
+    per = F.greatest(F.lit(1), F.expr(f"{STRIP_BYTES} div greatest(1L, cast(cols as bigint) * {size})"))
+    sized = images.withColumn("tall", per * F.greatest(F.lit(1), F.floor(F.lit(BAND_BYTES) / (per * row_bytes))))
+    every = sized.filter("rows > 0 and cols > 0").withColumn("band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / F.col("tall")))))
+    own = pixels.select("image_id", "row", "col", F.col(value).alias("v")).join(sized.select("image_id", "tall"), "image_id")
+    # both sides may come from one frame: each gets columns of its own
+    every = every.select(F.col("image_id").alias("of"), F.col("band").alias("nth"), *[F.col(c).alias(c) for c in ("file", "rows", "cols", "tall", "band")])
+    own = own.select(F.col("image_id").alias("of"), F.floor(F.col("row") / F.col("tall")).alias("nth"), *[F.col(c).alias(c) for c in ("row", "col", "v")])
+
+    def both(band: pa.Table, part: pa.Table) -> pa.Table:
+        if not band.num_rows:  # pixels outside the image
+            return empty
+        b = band.to_pylist()[0]
+        top = b["band"] * b["tall"]
+        dense = np.zeros((min(b["tall"], b["rows"] - top), b["cols"]), np.float32 if size == 4 else np.uint8)
+        row, col = part["row"].to_numpy(), part["col"].to_numpy()
+        inside = (row - top < len(dense)) & (col >= 0) & (col < b["cols"])
+        dense[row[inside] - top, col[inside]] = part["v"].to_numpy(zero_copy_only=False)[inside]
+        return run(b["file"], b["rows"], b["cols"], b["band"], top, dense)
+
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    return every.groupBy("of", "nth").cogroup(own.groupBy("of", "nth")).applyInArrow(both, schema)
+
+
+def write(pixels: DataFrame, images: DataFrame, value: str = "v", mask: bool = False, by_parts: bool | None = None) -> None:
+    """A TIFF for each row (file, image_id, rows, cols) of ``images``, written band by band by many tasks."""
+    from . import sink
+
+    size = 1 if mask else 4
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([f["file"]]), pa.array([head(f["rows"], f["cols"], not mask)[0]], pa.binary())], names=["file", "body"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.to_pylist():
+                both = strip_words(f["rows"], f["cols"], not mask, f["k"] * WORDS, (f["k"] + 1) * WORDS)
+                yield pa.RecordBatch.from_arrays([pa.array([f["file"]] * 2), pa.array([1, 2], pa.int32()), pa.array([f["k"]] * 2, pa.int64()), pa.array(both, pa.binary())], names=["file", "section", "no", "body"])
+
+    def strip(file: str, rows: int, cols: int, band: int, top: int, dense: np.ndarray) -> pa.Table:
+        return pa.table({"file": pa.array([file]), "no": pa.array([band], pa.int64()), "body": pa.array([dense.tobytes()], pa.binary())})
+
+    strips = F.expr(f"(rows + greatest(1, {STRIP_BYTES} div greatest(1, cols * {size})) - 1) div greatest(1, {STRIP_BYTES} div greatest(1, cols * {size}))")
+    files = images.select("file", "image_id", F.col("rows").cast("bigint").alias("rows"), F.col("cols").cast("bigint").alias("cols"))
+    many = files.withColumn("n", strips).filter("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {WORDS}"))))
+    parts = sink.pieces(files.mapInArrow(heads, "file string, body binary"), 0, F.col("body"))
+    parts = parts.unionByName(many.select("file", "rows", "cols", "k").mapInArrow(words, sink.PIECE))
+    done = bands(files, pixels, value, size, strip, "file string, no bigint, body binary")
+    sink.write(parts.unionByName(sink.pieces(done, 3, F.col("body"), F.col("no"))), by_parts)
+
+
+def write_images(pixels: DataFrame, dims: DataFrame, folder: str, value: str = "v", mask: bool = False) -> None:
+    """A TIFF ``folder``/<image_id>.tif for each image of ``dims`` (image_id, rows, cols)."""
+    path = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("image_id"), F.lit(".tif"))
+    write(pixels, dims.withColumn("file", path), value, mask)
 
 
 def read(spark: SparkSession, path: str, extents: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -217,9 +305,9 @@ def read(spark: SparkSession, path: str, extents: tuple[int, int, int, int] | No
     return clipped(out, *extents) if extents else out
 
 
-def packing_of(tags: dict[int, list]) -> int:
-    """How the strips of a float image are packed; raises if it is not of the supported kind."""
-    _checked(tags, 32, 3)
+def packing_of(tags: dict[int, list], mask: bool = False) -> int:
+    """How the strips of a float image (or mask) are packed; raises if it is not of the supported kind."""
+    _checked(tags, *((8, 1) if mask else (32, 3)))
     return tags.get(COMPRESSION, [PLAIN])[0]
 
 
@@ -279,18 +367,3 @@ def sizes_of(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())], names=["image_id", "rows", "cols"])
 
     return files.select("path", "content").mapInArrow(run, "image_id string, rows int, cols int")
-
-
-def dense(part: pd.DataFrame, value: str, dtype) -> np.ndarray:
-    out = np.zeros((int(part["row"].max()) + 1, int(part["col"].max()) + 1), dtype)
-    out[part["row"], part["col"]] = part[value]
-    return out
-
-
-def encoded(surface: DataFrame, value: str = "v") -> DataFrame:
-    """image_id, content: one float TIFF per image."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": [key[0]], "content": [encode(dense(part, value, np.float32))]})
-
-    return surface.select("image_id", "row", "col", F.col(value)).groupBy("image_id").applyInPandas(run, "image_id string, content binary")
