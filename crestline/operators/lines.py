@@ -1,11 +1,12 @@
-"""Ridge lines: ordered paths through two-sided cells, by pointer doubling.
+"""Ridge lines: ordered paths through two-sided cells, by a tree of blocks.
 
 Each two-sided cell gives two arcs, one per direction (enter by one side, leave by
 the other).  An arc's successor is the arc that enters the neighbour by the shared
-edge.  Stretches of a path inside a block of cells are contracted first, in numpy; what
-is left are the arcs that leave a block.  Doubling joins each of them with its successor's
-successor, so a path through n blocks is ranked in a logarithmic number of rounds of
-equi-joins over few rows; no task walks a line.
+edge.  A task takes the arcs of a block of cells, follows them in numpy and keeps what
+leaves the block; the next level takes those of FAN x FAN blocks as one, and so on until
+nothing leaves.  On the way down every arc gets from its block's exit what that exit found
+above.  So there is a grouping and a join for each level up and a join for each level down,
+over exits whose number falls with the perimeter of the blocks; no task walks a line.
 
 Open lines start at the row-major smaller end cell (a single cell at its first
 side).  Closed ones start at their smallest cell, first step preferring N, S, W, E.
@@ -23,7 +24,7 @@ from ..plans.staging import drop, stage
 from .detect import numbered, two_sided
 
 BLOCK = 256  # cells a side
-HOPS = 3  # look-ups a round: reach grows fourfold
+FAN = 8  # blocks a side that the next level takes as one
 _STEP = "CASE {bit} WHEN 1 THEN 0 WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END"
 
 
@@ -41,36 +42,16 @@ def arcs(edges: DataFrame, dims: DataFrame) -> DataFrame:
     )
 
 
-def doubled(links: DataFrame) -> DataFrame:
-    """(image_id, arc, last, dist, low, open) from (image_id, arc, nxt, dist, low).
-
-    last: the arc where the path ends, dist: steps to it, low: least ``low`` on the
-    way; open is false on cycles, where low is the whole cycle's.
-    """
-    now = stage(links.select("image_id", "arc", F.coalesce("nxt", "arc").alias("last"), F.when(F.col("nxt").isNull(), 0).otherwise(F.col("dist")).cast("bigint").alias("dist"), "low", F.col("nxt").isNull().alias("open")), "arcs")
-    seen = None
-    while True:
-        sign = now.agg(F.count_if(~F.col("open")), F.sum(F.when(~F.col("open"), F.xxhash64("arc", "low")).cast("decimal(38,0)"))).first()
-        if sign[0] == 0 or sign == seen:
-            return now
-        seen = sign
-        ahead = now.select("image_id", F.col("arc").alias("key"), F.col("last").alias("last2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
-        moved = now.filter(~F.col("open"))
-        for _ in range(HOPS):  # arcs that have arrived look up a key of their own that is nobody's
-            key = F.when(F.col("open"), -1 - F.col("arc")).otherwise(F.col("last"))
-            moved = moved.withColumn("key", key).join(ahead, ["image_id", "key"], "left")
-            moved = moved.select(
-                "image_id", "arc", F.coalesce("last2", "last").alias("last"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
-                F.least("low", "low2").alias("low"), F.coalesce("open2", "open").alias("open"),
-            )
-        before, now = now, stage(now.filter("open").unionByName(moved), "arcs")
-        drop(before)
-
-
 def block_of(row: Column, col: Column) -> Column:
+    """Row of the block and its column in one number."""
     return F.shiftleft(F.floor(row / BLOCK).cast("bigint"), 32) + F.floor(col / BLOCK).cast("bigint")
 
 
+def _above(block: Column) -> Column:
+    """The block of the next level."""
+    return F.shiftleft(F.floor(F.shiftright(block, 32) / FAN).cast("bigint"), 32) + F.floor(block.bitwiseAND(F.lit(2**32 - 1)) / FAN).cast("bigint")
+
+
 def _walked(last: np.ndarray, steps: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Successors, steps and minima on the way, as far ahead as there are arcs at least."""
     for _ in range(len(last).bit_length()):
@@ -78,70 +59,111 @@ def _walked(last: np.ndarray, steps: np.ndarray, low: np.ndarray) -> tuple[np.nd
     return last, steps, low
 
 
-def _contract(links: pa.Table) -> pa.Table:
-    """Every arc's last arc inside its block; a block holds two arcs a cell, 131,072 at most.
+_NONE = np.iinfo(np.int64).max
+_LINK = "image_id string, arc bigint, nxt bigint, dist bigint, low bigint, last bigint, block bigint, next_block bigint"
+_FOLLOWED = "image_id string, arc bigint, up bigint, last bigint, dist bigint, low bigint, open boolean"
 
-    Rings that never leave the block have no tail; their steps count from the arc whose
-    ``low`` is the ring's, which no other arc of the image shares.
+
+def _follow(first_level: bool):
+    """Every arc of a block to where its path leaves the block (``up``) or ends (``last``).
+
+    ``low`` is the least of the arcs passed, the one that leaves not among them.  Rings have
+    neither: on the first level dist is the place from the arc that has the ring's low,
+    which no other arc of the image shares; above, only the low is told, and last is the arc.
     """
-    arc = links["arc"].to_numpy()
-    nxt = links["nxt"].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
-    order = np.argsort(arc)
-    at = order[np.minimum(np.searchsorted(arc, nxt, sorter=order), len(arc) - 1)]
-    goes = arc[at] == nxt
-    last = np.where(goes, at, np.arange(len(arc)))
-    steps = goes.astype(np.int64)
-    none = np.iinfo(np.int64).max
-    own = links["low"].to_numpy()
-    last, steps, low = _walked(last, steps, np.where(goes, own, none))  # of the arcs before ``last``
-    ring = goes[last]  # still under way after as many steps as there are arcs
-    if ring.any():
-        start = ring & (own == low)
-        on = ring & ~start[at]
-        _, left, _ = _walked(np.where(on, at, np.arange(len(arc))), on.astype(np.int64), low)
-        first = np.nonzero(start)[0]
-        first = first[np.argsort(low[first])]
-        steps[ring] = left[first[np.searchsorted(low[first], low[ring])]] - left[ring]
-    return pa.table(
-        {
+
+    def run(links: pa.Table) -> pa.Table:
+        links = links.combine_chunks()
+        numbers = lambda c, null=0: links[c].fill_null(null).to_numpy()
+        arc, nxt, own, dist, end = numbers("arc"), numbers("nxt", -1), numbers("low"), numbers("dist"), numbers("last", -1)
+        order = np.argsort(arc)
+        at = order[np.minimum(np.searchsorted(arc, nxt, sorter=order), len(arc) - 1)]
+        goes = arc[at] == nxt
+        last = np.where(goes, at, np.arange(len(arc)))
+        last, steps, low = _walked(last, np.where(goes, dist, 0), np.where(goes, own, _NONE))
+        ring = goes[last]  # still under way after as many steps as there are arcs
+        if first_level and ring.any():
+            start = ring & (own == low)
+            on = ring & ~start[at]
+            _, left, _ = _walked(np.where(on, at, np.arange(len(arc))), on.astype(np.int64), low)
+            first = np.nonzero(start)[0]
+            first = first[np.argsort(low[first])]
+            steps[ring] = left[first[np.searchsorted(low[first], low[ring])]] - left[ring]
+        ended = (end[last] >= 0) & ~ring
+        steps = np.where(ended, steps + dist[last], steps)
+        low = np.where(ended, np.minimum(low, own[last]), low)
+        ends = np.where(ring, arc, end[last])
+        columns = {
             "image_id": pa.array([links["image_id"][0].as_py()] * len(arc), pa.string()),
             "arc": pa.array(arc),
-            "tail": pa.array(arc[last], mask=ring),
-            "steps": pa.array(steps),
-            "low_in": pa.array(low, mask=low == none),
+            "up": pa.array(arc[last], mask=ring | ended),
+            "last": pa.array(ends, mask=~ended & ~(ring & (not first_level))),
+            "dist": pa.array(steps),
+            "low": pa.array(low, mask=low == _NONE),
+            "open": pa.array(~ring),
         }
-    )
+        return pa.table(columns)
+
+    return run
+
+
+def _level(links: DataFrame, first: bool) -> DataFrame:
+    return stage(links.drop("next_block").groupBy("image_id", "block").applyInArrow(_follow(first), _FOLLOWED), "line-level")
 
 
 def ranked(links: DataFrame) -> DataFrame:
-    """``doubled`` of (image_id, arc, nxt, low, block, next_block), with whole stretches inside a block as steps.
+    """(image_id, arc, last, dist, low, open) from (image_id, arc, nxt, low, block, next_block).
 
-    ``last`` is null on cycles inside a block, where dist is the place from the arc with the least ``low``.
+    last: the arc where the path ends, dist: steps to it, low: least ``low`` on the way;
+    open is false on cycles, where low is the whole cycle's.  On cycles inside a block last
+    is null and dist is the place from the arc with the least ``low``.
     """
-    chains = stage(links.select("image_id", "arc", "nxt", "low", "block").groupBy("image_id", "block").applyInArrow(_contract, "image_id string, arc bigint, tail bigint, steps bigint, low_in bigint"), "line-chains")
-    leaving = links.filter("nxt is null or block <> next_block").select("image_id", "arc", "nxt", "low")
-    entered = chains.select("image_id", F.col("arc").alias("nxt"), "tail", "steps", "low_in")
-    nodes = leaving.join(entered, ["image_id", "nxt"], "left").select("image_id", "arc", F.col("tail").alias("nxt"), (F.col("steps") + 1).alias("dist"), F.least("low", "low_in").alias("low"))
-    ends = doubled(nodes).withColumnRenamed("arc", "tail")
-    through = chains.join(ends, ["image_id", "tail"]).select("image_id", "arc", "last", (F.col("dist") + F.col("steps")).alias("dist"), F.least("low", "low_in").alias("low"), "open")
-    rings = chains.filter("tail is null").select("image_id", "arc", F.col("tail").alias("last"), F.col("steps").alias("dist"), F.col("low_in").alias("low"), F.lit(False).alias("open"))
-    out = stage(through.unionByName(rings), "line-ranks")
-    drop(chains)
-    return out
+    ends = F.col("nxt").isNull()
+    now = links.select("image_id", "arc", "nxt", F.when(ends, 0).otherwise(1).cast("bigint").alias("dist"), "low", F.when(ends, F.col("arc")).alias("last"), "block", "next_block")
+    levels = [_level(now, True)]
+    while True:
+        away = now.filter("nxt is not null and block <> next_block")
+        there = levels[-1].select("image_id", F.col("arc").alias("nxt"), F.col("up").alias("nxt2"), F.col("last").alias("last2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"))
+        far = away.drop("last").join(there, ["image_id", "nxt"])
+        before, now = now, stage(
+            far.select(
+                "image_id", "arc", F.col("nxt2").alias("nxt"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("last2").alias("last"),
+                _above(F.col("block")).alias("block"), _above(F.col("next_block")).alias("next_block"),
+            ),
+            "line-exits",
+        )
+        if len(levels) > 1:
+            drop(before)
+        if not now.head(1):
+            break
+        levels.append(_level(now, False))
+    found = levels.pop()
+    while levels:
+        below = levels.pop()
+        over = found.select("image_id", F.col("arc").alias("up"), F.col("last").alias("last2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+        joined = below.filter("up is not null").drop("last", "open").join(over, ["image_id", "up"])
+        through = joined.select("image_id", "arc", F.col("last2").alias("last"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"))
+        found = below.filter("up is null").drop("up").unionByName(through)
+    return stage(found.select("image_id", "arc", "last", "dist", "low", "open"), "line-ranks")
 
 
 def line_points(edges: DataFrame, dims: DataFrame) -> DataFrame:
     """image_id, line_cell, pos, row_fx, col_fx, brightness, strength; one row per point."""
     a = stage(arcs(edges, dims), "line-arcs")
     block = block_of(F.col("row"), F.col("col"))
-    enter = a.select("image_id", F.col("in_edge").alias("out_edge"), F.col("arc").alias("nxt"), F.col("cell").alias("c2"), block.alias("next_block"))
-    step = a.join(enter, ["image_id", "out_edge"]).filter("c2 <> cell").select("image_id", "arc", "nxt", "next_block")
+    enter = a.select(F.col("image_id").alias("image2"), F.col("in_edge").alias("edge2"), F.col("arc").alias("nxt"), F.col("cell").alias("c2"), block.alias("next_block"))
     key = F.col("cell") * 4 + F.expr(_STEP.format(bit="out_bit"))
-    links = stage(a.join(step, ["image_id", "arc"], "left").select("image_id", "arc", "nxt", key.alias("low"), block.alias("block"), "next_block"), "line-links")
+    out = a.select("image_id", "out_edge", "arc", "cell", key.alias("low"), block.alias("block"))
+    met = out.join(enter, (F.col("image_id") == F.col("image2")) & (F.col("out_edge") == F.col("edge2")) & (F.col("c2") != F.col("cell")), "left")
+    links = stage(met.select("image_id", "arc", "nxt", "low", "block", "next_block"), "line-links")
     ranks = ranked(links)
 
-    twin = ranks.select("image_id", F.col("arc").alias("twin"), F.col("last").alias("t_last"), F.col("dist").alias("t_dist"), F.col("low").alias("t_low"))
-    both = a.join(ranks, ["image_id", "arc"]).join(twin, ["image_id", "twin"])
+    # the ranks of a cell's two arcs as one row
+    half = lambda k: F.max(F.when(F.col("arc") % 2 == k, F.struct("last", "dist", "low", "open"))).alias(f"r{k}")
+    pairs = ranks.groupBy("image_id", F.expr("arc div 2").alias("cell")).agg(half(0), half(1))
+    mine, other = (F.when(F.col("arc") % 2 == k, F.col("r0")).otherwise(F.col("r1")) for k in (0, 1))
+    both = a.join(pairs, ["image_id", "cell"]).withColumns({"mine": mine, "other": other}).drop("r0", "r1")
+    both = both.select("*", "mine.*", *[F.col(f"other.{c}").alias(f"t_{c}") for c in ("last", "dist", "low")]).drop("mine", "other")
     first, final = F.expr("t_last div 2"), F.expr("last div 2")
     forward = (first < final) | ((first == final) & (F.col("in_bit") < F.col("out_bit")))
     opened = both.filter(F.col("open") & forward).withColumns({"line_cell": first, "pos": F.col("t_dist")})
