@@ -58,6 +58,58 @@ def eigen(a: Column, b: Column, d: Column) -> Column:
     return out
 
 
+def eigen_literal(a: Column, b: Column, d: Column) -> Column:
+    """``eigen`` in the arithmetic of 32-bit floats, rounded after each step, with the literal shift.
+
+    Where b is small against a - d the shift cancels and the rotation is not the spectrum's;
+    kept for results that must equal single precision tools'.
+    """
+    f = lambda x: x.cast("float")
+    n = lambda x: F.lit(float(x)).cast("float")
+    named = lambda **columns: F.struct(*[c.alias(k) for k, c in columns.items()])
+    size = f(F.abs(f(a)) + F.abs(f(d)))
+    off = F.when(F.isnan(f(b)) | (F.abs(f(b)) < f(n(EPSILON) * size)), n(0)).otherwise(f(b))
+
+    def shift(m: Column) -> Column:
+        half = f((m["a"] - m["d"]) * n(0.5))
+        h = f(F.sqrt(half.cast("double") * half.cast("double") + m["b"].cast("double") * m["b"].cast("double")))
+        return named(a=m["a"], b=m["b"], d=m["d"], half=half, gap=F.when(half < 0, f(half + h)).otherwise(f(h - half)))
+
+    def shifted(m: Column) -> Column:
+        ratio = F.when(m["gap"] == 0, F.signum(m["b"]) * F.lit(float("inf"))).otherwise(F.try_divide(m["b"], m["gap"]))
+        by = f(m["b"] * f(ratio))
+        mu = F.when(m["half"] == 0, f(m["d"] - F.abs(m["b"]))).when(m["half"] < 0, f(m["d"] - by)).otherwise(f(m["d"] + by))
+        mu = F.when(f(n(EPSILON) * F.abs(mu)) > f(F.abs(m["a"]) + F.abs(m["b"])), n(0)).otherwise(mu)
+        return named(a=m["a"], b=m["b"], d=m["d"], x=f(m["a"] - mu))
+
+    def angle(m: Column) -> Column:
+        steep = F.abs(m["b"]) > F.abs(m["x"])
+        q = f(F.when(steep, F.try_divide(-m["x"], m["b"])).otherwise(F.try_divide(-m["b"], m["x"])))
+        return named(a=m["a"], b=m["b"], d=m["d"], steep=steep, q=q)
+
+    def sides(m: Column) -> Column:
+        r = f(n(1) / f(F.sqrt(f(n(1) + f(m["q"] * m["q"])))))
+        turned, short = m["b"] != 0, f(r * m["q"])
+        c = F.when(turned, F.when(m["steep"], short).otherwise(r)).otherwise(n(1))
+        s = F.when(turned, F.when(m["steep"], r).otherwise(short)).otherwise(n(0))
+        return named(a=m["a"], b=m["b"], d=m["d"], c=c, s=s)
+
+    def turned_once(m: Column) -> Column:
+        a, b, d, c, s = (m[k] for k in "abdcs")
+        return named(a=a, b=b, d=d, c=c, s=s, p=f(f(c * a) - f(s * b)), q=f(f(s * a) + f(c * b)), u=f(f(c * b) - f(s * d)), w=f(f(s * b) + f(c * d)))
+
+    def result(m: Column) -> Column:
+        flat = m["b"] == 0
+        l1 = F.when(flat, m["a"]).otherwise(f(f(m["p"] * m["c"]) - f(m["u"] * m["s"])))
+        l2 = F.when(flat, m["d"]).otherwise(f(f(m["q"] * m["s"]) + f(m["w"] * m["c"])))
+        return named(l1=l1, l2=l2, e11=m["c"], e12=-m["s"], e21=m["s"], e22=m["c"])
+
+    out = named(a=f(a), b=off, d=f(d))
+    for step in (shift, shifted, angle, sides, turned_once, result):
+        out = F.transform(F.array(out), step)[0]
+    return out
+
+
 def strength(metric: str, t: float, l1: Column, l2: Column) -> Column:
     """M: t * max(|l1|, |l2|).  N: t^4 (l1^2 - l2^2)^2.  A: t^2 (l1 - l2)^2."""
     if metric == "M":

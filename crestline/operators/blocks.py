@@ -70,6 +70,27 @@ def eigen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]
     return l1, l2, c, s
 
 
+def eigen_literal(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """l1, l2, c, s: the rotation of algebra.eigen_literal, in 32-bit floats."""
+    a, b, d = (np.asarray(x, np.float32) for x in (a, b, d))
+    b = np.where(np.isnan(b) | (np.abs(b) < np.float32(2.0**-23) * (np.abs(a) + np.abs(d))), np.float32(0), b)
+    with np.errstate(all="ignore"):
+        half = (a - d) * np.float32(0.5)
+        h = np.sqrt(half.astype(np.float64) ** 2 + b.astype(np.float64) ** 2).astype(np.float32)
+        by = b * (b / np.where(half < 0, half + h, h - half))
+        mu = np.where(half == 0, d - np.abs(b), np.where(half < 0, d - by, d + by))
+        mu = np.where(np.float32(2.0**-23) * np.abs(mu) > np.abs(a) + np.abs(b), np.float32(0), mu)
+        x = a - mu
+        steep = np.abs(b) > np.abs(x)
+        q = np.where(steep, -x / b, -b / x)
+        r = np.float32(1) / np.sqrt(np.float32(1) + q * q)
+        flat = b == 0
+        c = np.where(flat, np.float32(1), np.where(steep, r * q, r))
+        s = np.where(flat, np.float32(0), np.where(steep, r, r * q))
+        p, o, u, w = c * a - s * b, s * a + c * b, c * b - s * d, s * b + c * d
+        return np.where(flat, a, p * c - u * s), np.where(flat, d, o * s + w * c), c, s
+
+
 def smooth(v: np.ndarray, kernel: Kernel | None) -> np.ndarray:
     return convolve(convolve(v, kernel, -1), kernel, -2) if kernel else v
 
@@ -82,10 +103,13 @@ def slopes(v: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def metrics(v: np.ndarray, t: float | np.ndarray, metric: str) -> dict[str, np.ndarray]:
-    """l1, l2, lp, lpp, r of a filled and smoothed surface; ``t`` may differ by plane."""
+    """l1, l2, lp, lpp, r of a filled and smoothed surface; ``t`` may differ by plane.
+
+    A surface of 32-bit floats is worked on in their arithmetic, with the literal shift.
+    """
     d = slopes(v)
     dx, dy = d["dx"], d["dy"]
-    l1, l2, c, s = eigen(d["dyy"], d["dxy"], d["dxx"])
+    l1, l2, c, s = (eigen_literal if v.dtype == np.float32 else eigen)(d["dyy"], d["dxy"], d["dxx"])
     first = np.abs(l1) > np.abs(l2)
     lpp = np.where(first, l1, l2)
     lp = np.where(first, c * dy + (-s) * dx, s * dy + c * dx)
@@ -114,8 +138,12 @@ def crossings(lp: np.ndarray, lpp: np.ndarray, axis: int) -> np.ndarray:
         return np.where(ok, np.rint(np.where(ok, x, 0) * 128.0), -1).astype(np.int64)
 
 
-def edge_table(image_id: str, grid: np.ndarray, top: int, left: int, t: float, metric: str, fill: float, own: tuple[int, int, int, int]) -> pa.Table:
-    """Edges of the pixels in ``own`` (top, bottom, left, right) of a raw grid whose first pixel is (top, left)."""
+def edge_table(image_id: str, grid: np.ndarray, top: int, left: int, t: float, metric: str, fill: float, own: tuple[int, int, int, int], literal: bool = False) -> pa.Table:
+    """Edges of the pixels in ``own`` (top, bottom, left, right) of a raw grid whose first pixel is (top, left).
+
+    ``literal``: in the arithmetic of 32-bit floats.
+    """
+    grid = grid.astype(np.float32) if literal else grid
     made = metrics(smooth(np.where(np.isfinite(grid), grid, fill), gaussian(t)), t, metric)
     lp, lpp, r = made["lp"], made["lpp"], made["r"]
     out = []
@@ -136,20 +164,20 @@ def edge_table(image_id: str, grid: np.ndarray, top: int, left: int, t: float, m
             "col": pa.array(col.astype(np.int32)),
             "dir": pa.array(dir_.astype(object), pa.string()),
             "d": pa.array(d.astype(np.int32)),
-            "brightness": pa.array(bright),
-            "strength": pa.array(strong),
+            "brightness": pa.array(bright.astype(np.float64)),
+            "strength": pa.array(strong.astype(np.float64)),
         }
     )
 
 
-def _block(t: float, metric: str, fill: float, block: int):
+def _block(t: float, metric: str, fill: float, block: int, literal: bool = False):
     def run(table: pa.Table) -> pa.Table:
         row, col, raw = (table[c].to_numpy() for c in ("row", "col", "v"))
         br, bc = table["br"][0].as_py(), table["bc"][0].as_py()
         top, left = row.min(), col.min()
         grid = np.full((row.max() - top + 1, col.max() - left + 1), np.nan)
         grid[row - top, col - left] = raw
-        return edge_table(table["image_id"][0].as_py(), grid, top, left, t, metric, fill, (br * block, (br + 1) * block, bc * block, (bc + 1) * block))
+        return edge_table(table["image_id"][0].as_py(), grid, top, left, t, metric, fill, (br * block, (br + 1) * block, bc * block, (bc + 1) * block), literal)
 
     return run
 
@@ -164,13 +192,13 @@ def dealt(surface: DataFrame, halo: int, block: int) -> DataFrame:
     return spread.filter("br >= 0 and bc >= 0")
 
 
-def edges_by_blocks(surface: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0, block: int | None = None) -> DataFrame:
-    """Edges of a raw, dense surface from one shuffle of its pixels."""
+def edges_by_blocks(surface: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0, block: int | None = None, literal: bool = False) -> DataFrame:
+    """Edges of a raw, dense surface from one shuffle of its pixels; ``literal``: in the arithmetic of 32-bit floats."""
     kernel = gaussian(t)
     halo = (kernel.ofs if kernel else 0) + 3
     block = block or side(halo)
     spread = dealt(surface.select("image_id", "row", "col", "v"), halo, block)
-    return spread.groupBy("image_id", "br", "bc").applyInArrow(_block(t, metric, fill, block), EDGE_SCHEMA)
+    return spread.groupBy("image_id", "br", "bc").applyInArrow(_block(t, metric, fill, block, literal), EDGE_SCHEMA)
 
 
 Passes = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]

@@ -155,11 +155,11 @@ def met(tiles: DataFrame, halo: int, run: Met, schema: str) -> DataFrame:
     return tiles.groupBy(*KEYS).cogroup(strips(tiles, halo).groupBy(*KEYS)).applyInArrow(both, schema)
 
 
-def edges(tiles: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0) -> DataFrame:
-    """Edges of raw tiles."""
+def edges(tiles: DataFrame, t: float = 0.0, metric: str = "N", fill: float = 0.0, literal: bool = False) -> DataFrame:
+    """Edges of raw tiles; ``literal``: in the arithmetic of 32-bit floats."""
     kernel = gaussian(t)
     halo = (kernel.ofs if kernel else 0) + 3
-    return met(tiles, halo, lambda key, grid, top, left, own: edge_table(key[0], grid, top, left, t, metric, fill, own), EDGE_SCHEMA)
+    return met(tiles, halo, lambda key, grid, top, left, own: edge_table(key[0], grid, top, left, t, metric, fill, own, literal), EDGE_SCHEMA)
 
 
 Passes = Callable[[np.ndarray], dict[str, np.ndarray]]

@@ -49,10 +49,10 @@ class Detection:
         return getattr(self, mode)()
 
 
-def detection_of_tiles(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0) -> Detection:
+def detection_of_tiles(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0, compat: bool = False) -> Detection:
     """Ridges of raw images as staged tiles; sizes come from the tiles' places."""
     t = _smallest(scales, metric)
-    return Detection(stage(tiles.edges(image, t, metric, fill), "edges"), stage(tiles.dims(image), "dims"))
+    return Detection(stage(tiles.edges(image, t, metric, fill, compat), "edges"), stage(tiles.dims(image), "dims"))
 
 
 def _smallest(scales: list[float] | float, metric: str) -> float:
@@ -61,14 +61,16 @@ def _smallest(scales: list[float] | float, metric: str) -> float:
     return sorted_distinct([float(s) for s in (scales if isinstance(scales, list) else [scales])])[0]
 
 
-def detection(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0, plan: str = "blocks") -> Detection:
+def detection(image: DataFrame, scales: list[float] | float = 0.0, metric: str = "N", fill: float = 0.0, plan: str = "blocks", compat: bool = False) -> Detection:
     """Ridges of raw surfaces at the smallest of the scales.
 
-    Brightness is read from the raw surface, strength from the chosen metric.
+    Brightness is read from the raw surface, strength from the chosen metric.  ``compat``
+    works in the arithmetic of 32-bit floats with the literal eigen shift.
     """
+    if compat and plan == "windows":
+        raise ValueError("the window plan works in 64-bit floats only")
     t = _smallest(scales, metric)
     if plan == "tiles":
-        halo = ofs.ofs if (ofs := gaussian(t)) else 0
-        return detection_of_tiles(tiles.staged(tiles.from_pixels(image, blocks.side(halo + 3))), t, metric, fill)
-    find = {"blocks": blocks.edges_by_blocks, "windows": detect.edges_by_windows}[plan]
-    return Detection(stage(find(image, t, metric, fill), "edges"), stage(surface.size(image), "dims"))
+        return detection_of_tiles(tiles.staged(tiles.from_pixels(image, blocks.side(blocks.reach_of(gaussian(t)) + 3))), t, metric, fill, compat)
+    found = blocks.edges_by_blocks(image, t, metric, fill, literal=compat) if plan == "blocks" else detect.edges_by_windows(image, t, metric, fill)
+    return Detection(stage(found, "edges"), stage(surface.size(image), "dims"))

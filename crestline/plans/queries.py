@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import fine, millionths, to_fixed, to_subpixel
+from ..functions.algebra import eigen_literal, fine, millionths, to_fixed, to_subpixel
 from ..functions.kernels import derivative, gaussian
 from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface, tiles
 from ..operators.detect import cells as cells_of
@@ -137,6 +137,36 @@ def derivatives_windows(spark, sf_dir):
     return stencil.derivatives(stencil.smoothed(emb(spark, sf_dir), T)).select("image_id", "row", "col", *_u("dx", "dy", "dxx", "dyy", "dxy"))
 
 
+def _literal_sql() -> str:
+    f = lambda x: f"CAST({x} AS FLOAT)"
+    zero, half, one = (f"{x}::FLOAT" for x in ("0", "0.5", "1"))
+    steps = [
+        f"i AS (SELECT {GRID}, {f('dyy')} AS a, {f('dxy')} AS b0, {f('dxx')} AS d FROM dv)",
+        f"j AS (SELECT *, CASE WHEN abs(b0) < {f('pow(2, -23)')} * (abs(a) + abs(d)) THEN {zero} ELSE b0 END AS b, (a - d) * {half} AS half FROM i)",
+        f"k AS (SELECT *, {f('sqrt(half::DOUBLE * half::DOUBLE + b::DOUBLE * b::DOUBLE)')} AS h FROM j)",
+        "l AS (SELECT *, CASE WHEN half < 0 THEN half + h ELSE h - half END AS gap FROM k)",
+        f"m AS (SELECT *, b * (CASE WHEN gap = 0 THEN CAST(sign(b) AS FLOAT) * CAST('inf' AS FLOAT) ELSE {f('b / gap')} END) AS by FROM l)",
+        "n AS (SELECT *, CASE WHEN half = 0 THEN d - abs(b) WHEN half < 0 THEN d - by ELSE d + by END AS mu0 FROM m)",
+        f"o AS (SELECT *, a - CASE WHEN {f('pow(2, -23)')} * abs(mu0) > abs(a) + abs(b) THEN {zero} ELSE mu0 END AS x FROM n)",
+        "p AS (SELECT *, abs(b) > abs(x) AS steep FROM o)",
+        f"q AS (SELECT *, CASE WHEN b = 0 THEN NULL WHEN steep THEN {f('-x / b')} ELSE {f('-b / x')} END AS q FROM p)",
+        f"r AS (SELECT *, {f(f'{one} / ' + f(f'sqrt({one} + q * q)'))} AS r FROM q)",
+        f"s AS (SELECT *, CASE WHEN b = 0 THEN {one} WHEN steep THEN r * q ELSE r END AS c, CASE WHEN b = 0 THEN {zero} WHEN steep THEN r ELSE r * q END AS s FROM r)",
+        "t AS (SELECT *, CASE WHEN b = 0 THEN a ELSE (c * a - s * b) * c - (c * b - s * d) * s END AS l1, CASE WHEN b = 0 THEN d ELSE (s * a + c * b) * s + (s * b + c * d) * c END AS l2 FROM s)",
+    ]
+    return ",\n".join(steps)
+
+
+@query(f"""WITH raw AS ({O.SURFACES["emb"]}), {O.smoothing("raw", "sm", T)}, {O.derivative_ctes("sm", "dv")}, {_literal_sql()}
+SELECT {GRID}, {_us("l1", "l2", "c", "s")} FROM t""")
+def eigen_compat(spark, sf_dir):
+    """The eigen shift as it stands in single precision, rounded after each step."""
+    d = blocks.derivatives(emb(spark, sf_dir), T).withColumn("e", eigen_literal(F.col("dyy"), F.col("dxy"), F.col("dxx")))
+    return d.select("image_id", "row", "col", F.col("e.l1").cast("double").alias("l1"), F.col("e.l2").cast("double").alias("l2"), F.col("e.e11").cast("double").alias("c"), F.col("e.e21").cast("double").alias("s")).select(
+        "image_id", "row", "col", *_u("l1", "l2", "c", "s")
+    )
+
+
 # detection -----------------------------------------------------------------------------
 
 

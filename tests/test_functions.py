@@ -4,12 +4,17 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from crestline.functions import algebra
 from crestline.functions.kernels import Kernel, derivative, gaussian
 from crestline.functions.scales import parse_scales, sorted_distinct, to_thirds
-from crestline.operators.blocks import convolve, crossings, eigen
+from crestline.operators.blocks import convolve, crossings, eigen, eigen_literal
+from crestline.plans.detection import detection
 from crestline.plans.oracle import GAUSSIANS
 
+from .test_detection import image
+
 
 def test_kernels():
     assert gaussian(0) is None and gaussian(1 / 6) is None
@@ -94,3 +99,37 @@ def test_edge_truth_table(lp, want):
 @pytest.mark.parametrize("lpp, ok", [((-1, -1), True), ((1, -1), True), ((3, -1), False)])
 def test_edge_curvature(lpp, ok):
     assert (crossings(np.array([[1.0, -1.0]]), np.array([lpp], float), 1)[0, 0] >= 0) == ok
+
+
+def test_literal_shift_reproduces_its_cancellation(spark):
+    """a = b = 1e-5, d = 1: the shift is lost, so the rotation is 45 degrees and the diagonal is no spectrum."""
+    rng = np.random.default_rng(3)
+    a, b, d = (rng.normal(size=4000).astype(np.float32) for _ in range(3))
+    b[::3] *= np.float32(1e-4)
+    b[::7] = 0
+    d[::11] = a[::11]
+    a[0], b[0], d[0] = 1e-5, 1e-5, 1
+    b[1] = np.nan
+    rows = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, d))]
+    e = algebra.eigen_literal(F.col("a"), F.col("b"), F.col("d"))
+    got = spark.createDataFrame(rows, "i int, a double, b double, d double").select("i", e.alias("e")).orderBy("i").collect()
+    mine = np.array([[r.e.l1, r.e.l2, r.e.e11, r.e.e21] for r in got], np.float32)
+    want = np.stack(eigen_literal(a, b, d), axis=1)
+    assert mine.tobytes() == want.tobytes() and want.dtype == np.float32
+    assert want[0, 2] == pytest.approx(0.5**0.5, abs=1e-6) and abs(want[0, 3]) == pytest.approx(0.5**0.5, abs=1e-6)
+    assert max(want[0, :2]) < 0.6  # the larger eigenvalue is 1
+    stable = np.stack(eigen(*(x.astype(np.float64) for x in (a, b, d))), axis=1)
+    sharp = (np.abs(b) > 0.5 * np.abs(a - d)) & (np.abs(a - d) > 0.1)  # where nothing cancels
+    assert np.allclose(want[sharp], stable[sharp], atol=1e-4)
+
+
+def test_detection_in_single_precision(spark):
+    grid = np.random.default_rng(8).normal(size=(40, 40))
+    raw = image(spark, grid)
+    near = [detection(raw, 1.0, plan=p, compat=True).edges.select("row", "col", "dir", "d", "brightness", "strength") for p in ("blocks", "tiles")]
+    one, two = (sorted(map(tuple, df.collect())) for df in near)
+    assert one == two and all(np.float32(r[5]) == r[5] for r in one)
+    wide = sorted(map(tuple, detection(raw, 1.0).edges.select("row", "col", "dir", "d", "brightness", "strength").collect()))
+    assert wide != one and len({r[:3] for r in wide} ^ {r[:3] for r in one}) < len(one) / 20
+    with pytest.raises(ValueError):
+        detection(raw, plan="windows", compat=True)
