@@ -145,8 +145,8 @@ def _literal_sql() -> str:
         f"j AS (SELECT *, CASE WHEN abs(b0) < {f('pow(2, -23)')} * (abs(a) + abs(d)) THEN {zero} ELSE b0 END AS b, (a - d) * {half} AS half FROM i)",
         f"k AS (SELECT *, {f('sqrt(half::DOUBLE * half::DOUBLE + b::DOUBLE * b::DOUBLE)')} AS h FROM j)",
         "l AS (SELECT *, CASE WHEN half < 0 THEN half + h ELSE h - half END AS gap FROM k)",
-        f"m AS (SELECT *, b * (CASE WHEN gap = 0 THEN CAST(sign(b) AS FLOAT) * CAST('inf' AS FLOAT) ELSE {f('b / gap')} END) AS by FROM l)",
-        "n AS (SELECT *, CASE WHEN half = 0 THEN d - abs(b) WHEN half < 0 THEN d - by ELSE d + by END AS mu0 FROM m)",
+        f"m AS (SELECT *, b * (CASE WHEN gap = 0 THEN CAST(sign(b) AS FLOAT) * CAST('inf' AS FLOAT) ELSE {f('b / gap')} END) AS part FROM l)",
+        "n AS (SELECT *, CASE WHEN half = 0 THEN d - abs(b) WHEN half < 0 THEN d - part ELSE d + part END AS mu0 FROM m)",
         f"o AS (SELECT *, a - CASE WHEN {f('pow(2, -23)')} * abs(mu0) > abs(a) + abs(b) THEN {zero} ELSE mu0 END AS x FROM n)",
         "p AS (SELECT *, abs(b) > abs(x) AS steep FROM o)",
         f"q AS (SELECT *, CASE WHEN b = 0 THEN NULL WHEN steep THEN {f('-x / b')} ELSE {f('-b / x')} END AS q FROM p)",
