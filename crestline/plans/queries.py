@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.algebra import eigen_literal, fine, millionths, to_fixed, to_subpixel
 from ..functions.kernels import derivative, gaussian
 from ..operators import blocks, classes, entries, raster, scalespace, stencil, surface, tiles
+from ..operators.detect import EDGE_SCHEMA
 from ..operators.detect import cells as cells_of
-from ..sources import masks, planned, ridg, text, tiff
+from ..sources import editlog, masks, pixelindex, planned, ridg, text, tiff
 from ..sources.tables import RUNS, SURFACES, emb, evt, li
+from ..streaming.bands import edges_stream
 from . import oracle as O
 from .detection import detection, detection_of_tiles
 from .staging import folder, table
@@ -188,6 +190,19 @@ def edge_crossings_tiles(spark, sf_dir):
     return found.edges.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
 
 
+@query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges'))
+def edge_crossings_stream(spark, sf_dir):
+    """Rows of the image arrive in files of 64, some at a time; the stream gives the edges of the batch."""
+    place, runs = folder(spark, "rows"), RUNS["emb"](spark, sf_dir)
+    sized = runs.select("image_id", "row", F.lit(runs.count()).alias("rows"), "v", F.expr("row div 64").alias("part"))
+    sized.repartition("part").write.partitionBy("part").parquet(f"{place}/in")
+    rows = spark.readStream.schema("image_id string, row int, rows bigint, v array<double>").option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
+    run = edges_stream(rows, T, columns=32).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.schema(EDGE_SCHEMA).parquet(f"{place}/out")
+    return found.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))
+
+
 @query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges WHERE "row" BETWEEN 90 AND 109 AND col BETWEEN 20 AND 39'))
 def edge_crossings_window(spark, sf_dir):
     """Edges inside a window; the scan reads the window widened by what the passes reach."""
@@ -383,6 +398,30 @@ def pixel_pick(spark, sf_dir):
     return classes.pick(classes.pixel_index(detection(emb(spark, sf_dir), T).lines()), "emb", 10.2, 17.8)
 
 
+@query(O.ridges("emb", T, """SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, entry_id FROM pixel WHERE "row" BETWEEN 100 AND 179 AND col BETWEEN 8 AND 39""", O.SIDES, O.SEGMENTS, O.LINES, _PAIRS, _INDEX))
+def pixel_window(spark, sf_dir):
+    """A window of a stored index in Morton order, of which only the files it touches are read."""
+    place = folder(spark, "index")
+    pixelindex.store(classes.pixel_index(detection(emb(spark, sf_dir), T).lines()), place, 2000)
+    return pixelindex.within(spark, place, "emb", (100, 180), (8, 40))
+
+
+@query(f"""WITH {_LABELS}, e AS (SELECT entry_id, toxic, quality, doc_id FROM l UNION ALL SELECT entry_id + (SELECT count(*) FROM l), toxic, quality, doc_id FROM l WHERE quality = 1),
+f AS (SELECT entry_id, doc_id, CASE WHEN entry_id % 7 = 1 THEN 1 - toxic WHEN entry_id % 11 = 2 THEN 1 - CAST(entry_id % 2 AS INTEGER) ELSE toxic END AS class FROM e WHERE entry_id % 5 <> 3)
+SELECT row_number() OVER (ORDER BY entry_id) - 1 AS entry_id, doc_id, CAST(class AS SMALLINT) AS class FROM f""")
+def class_edits(spark, sf_dir):
+    """Appended entries, removals, toggles and classes set over one base, merged and compacted."""
+    every = labels(spark, sf_dir).select(F.lit("labels").alias("image_id"), "entry_id", "doc_id", "quality", F.col("toxic").alias("class"))
+    good = every.filter("quality = 1")
+    log = editlog.EditLog.create(every, folder(spark, "edits"))
+    log.append(good)
+    ids = log.live().select("image_id", "entry_id")
+    edit = lambda some, op, step, value=None: some.select(F.lit(step).alias("step"), F.lit(op).alias("op"), "image_id", "entry_id", (F.lit(None) if value is None else value).cast("smallint").alias("class"))
+    log.edit(edit(ids.filter("entry_id % 11 = 2 and entry_id % 7 <> 1"), "set", 0, F.col("entry_id") % 2))
+    log.edit(edit(ids.filter("entry_id % 7 = 1 or entry_id % 11 = 2"), "toggle", 1).unionByName(edit(ids.filter("entry_id % 5 = 3"), "remove", 2)))
+    return log.compacted().read().select("entry_id", "doc_id", "class")
+
+
 # scale space ---------------------------------------------------------------------------
 
 
