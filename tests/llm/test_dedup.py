@@ -124,18 +124,46 @@ def test_ranges_by_binary_search(spark):
     assert all(r.r == sum(b <= (r.h, r.k, r.u) for b in bounds) for r in got)
 
 
-@pytest.mark.parametrize("kind", ["null ids", "one giant", "one id"])
+SAME = "all of these rows are equal in text and id " * 4
+KINDS = {
+    "null ids": [(None, SAME)] * 1200,
+    "one giant": [(9000, "g" * 90_000), *[(9001 + i, "g") for i in range(300)]],
+    "one id": [(77, SAME)] * 1200,
+    "empty texts": [(9000 + i, None if i % 3 else "") for i in range(4000)],
+    "empty texts of one id": [(7, "")] * 4000,
+    "pairs": [(9000 + i, f"pair {i // 2} " * 9) for i in range(600)],
+}
+
+
+def brute_shards(keyed, shards):
+    """(id, size, crc, shard, slot) from rows with (h, k, u): midpoints of bytes in key order, small groups as one."""
+    rows = sorted(keyed, key=lambda r: (r.h, r.k, r.u))
+    total, at, group = sum(r.size for r in rows), 0, Counter()
+    for r in rows:
+        group[r.h] += r.size
+    begin, out, slots = {}, [], Counter()
+    for r in rows:
+        begin.setdefault(r.h, at)
+        twice = 2 * begin[r.h] + group[r.h] if group[r.h] * shards * S.WHOLE_GROUP <= total else 2 * at + r.size
+        shard = min(shards - 1, twice * shards // (2 * total))
+        out.append((r.id, r.size, r.crc, shard, slots[shard]))
+        slots[shard] += 1
+        at += r.size
+    return out
+
+
+@pytest.mark.parametrize("kind", KINDS)
 def test_ranges_are_subdivided_until_none_is_overfull(spark, kind):
     rng = random.Random(5)
-    rows = [(i, "".join(rng.choices("abc ", k=200))) for i in range(400)]
-    same = "all of these rows are equal in text and id " * 4
-    rows += {"null ids": [(None, same)] * 1200, "one giant": [(9000, "g" * 90_000), *[(9001 + i, "g") for i in range(300)]], "one id": [(77, same)] * 1200}[kind]
+    rows = [(i, "".join(rng.choices("abc ", k=200))) for i in range(400)] + KINDS[kind]
     slim = S.keyed(docs(spark, rows)).withColumn("u", F.monotonically_increasing_id()).cache()
-    mean = sum(len((t or "").encode()) + 8 for _, t in rows) / 192
-    bounds, sums = S.ranges_of(slim, 192, mean, 3)
-    assert all(b <= 2 * mean or n == 1 for b, n in sums.values())
+    mean, mean_rows = sum(len((t or "").encode()) + 8 for _, t in rows) / 192, len(rows) / 192
+    bounds, sums = S.ranges_of(slim, 192, mean, mean_rows, 3)
+    assert all((b <= 2 * mean and n <= 2 * mean_rows) or n == 1 for b, n in sums.values())
     got = S.shard_by_bytes(docs(spark, rows), 24).collect()
     sizes = check_shards(got, 24, len(rows))
+    told = lambda r: (r[0] is not None, r)
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=told) == sorted(brute_shards(slim.collect(), 24), key=told)
     if kind != "one giant":
         assert max(sizes) < 1.1 * sum(sizes) / 24
 
