@@ -11,9 +11,10 @@ An item must have ``least`` bytes to be evidence (12; a parameter, since a word
 are in any text).  Items shorter than a q-gram, where ``least`` admits them, are
 their own q-gram and matched without edits.
 
-The index takes 16 bytes per item byte and 4 MB; it is broadcast for blocks of at most
-``block_bytes`` of items (8 MB, so 132 MB in a Python worker) and one item; more items are
-taken in blocks, each against all documents.
+The index takes 16 bytes per item byte and 4 MB; it is broadcast in blocks of at most
+``block_bytes`` of items (8 MB, so 132 MB) and one item.  Documents are scanned once: a
+worker gathers HELD_BYTES of texts, opens one block after the other for them and lets go of
+each, so its memory does not depend on the number of blocks.  The driver builds one block at a time.
 
 Cases: null text or item matches nothing; k is lowered where the lemma would ask for
 no gram; null ids, of documents and of items, are kept as null; repeated rows each
@@ -27,7 +28,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ U = R.U
 GRAM, EDITS_PERCENT = 12, 6
 _SIEVE = 22
 BLOCK_BYTES = 8 << 20
+HELD_BYTES = 32 << 20
 SCHEMA = "item_id bigint, start bigint, end bigint, edits int"
 
 
@@ -212,34 +213,61 @@ def _passages(index: Index, data: np.ndarray, offs: np.ndarray) -> list[tuple[in
     return rows
 
 
-def _match_batches(shared):
+def _gathered(batches: Iterator[pa.RecordBatch], bytes_: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= bytes_:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _opened(shared: list) -> Iterator[Index]:
+    """One index after the other; with several, the value that a broadcast keeps is let go of after its turn."""
+    for x in shared:
+        yield x.value
+        if len(shared) > 1:
+            x.__dict__.pop("_value", None)
+
+
+def _match_batches(shared: list):
+    def found(index: Index, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, _, data, offs in R.slices(b.column(1)):
+            cols = list(zip(*_passages(index, data, offs))) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array([lo + t for t in cols[0]], pa.int64())),
+                    pa.array([index.ids[i] for i in cols[1]], pa.int64()),
+                    *(pa.array(c, pa.int64()) for c in cols[2:4]),
+                    pa.array(cols[4], pa.int32()),
+                ],
+                names=["id", "item_id", "start", "end", "edits"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        for b in batches:
-            for lo, _, data, offs in R.slices(b.column(1)):
-                cols = list(zip(*_passages(index, data, offs))) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array([lo + t for t in cols[0]], pa.int64())),
-                        pa.array([index.ids[i] for i in cols[1]], pa.int64()),
-                        *(pa.array(c, pa.int64()) for c in cols[2:4]),
-                        pa.array(cols[4], pa.int32()),
-                    ],
-                    names=["id", "item_id", "start", "end", "edits"],
-                )
+        for held in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+            for index in _opened(shared):
+                for b in held:
+                    yield from found(index, b)
 
     return run
 
 
-def _clean_batches(shared):
+def _clean_batches(shared: list):
     """Rows whose text (last column) holds no passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for lo, _, data, offs in R.slices(b.column(b.num_columns - 1)):
-                keep[[lo + r[0] for r in _passages(shared.value, data, offs)]] = False
-            yield b.filter(pa.array(keep))
+        for held in _gathered(batches, HELD_BYTES if len(shared) > 1 else 0):
+            for index in _opened(shared):
+                for k, b in enumerate(held):
+                    keep = np.ones(b.num_rows, bool)
+                    for lo, _, data, offs in R.slices(b.column(b.num_columns - 1)):
+                        keep[[lo + r[0] for r in _passages(index, data, offs)]] = False
+                    held[k] = b.filter(pa.array(keep))
+            yield from held
 
     return run
 
@@ -262,14 +290,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per passage: id, item_id, start, end (bytes of the text), edits."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    blocks = [slim.mapInArrow(_match_batches(x), f"id {kind}, {SCHEMA}") for x in _indexes(benchmark, item_col, item_text, block_bytes, least)]
-    return reduce(DataFrame.unionByName, blocks).withColumnRenamed("id", id_col)
+    shared = list(_indexes(benchmark, item_col, item_text, block_bytes, least))
+    return slim.mapInArrow(_match_batches(shared), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least: int = GRAM) -> DataFrame:
     """The rows of ``docs`` without a passage of any item, all columns as they are."""
     # numbered names cannot clash with those of the table; the compared text is the last
-    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("compared"))
-    for shared in _indexes(benchmark, item_col, item_text, block_bytes, least):
-        wide = wide.mapInArrow(_clean_batches(shared), wide.schema)
+    wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    wide = wide.withColumn("compared", F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit("")))
+    shared = list(_indexes(benchmark, item_col, item_text, block_bytes, least))
+    wide = wide.mapInArrow(_clean_batches(shared), wide.schema)
     return wide.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

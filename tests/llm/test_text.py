@@ -113,6 +113,17 @@ def plain(t):
     return re.sub(r"[\x20\x09-\x0d]+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")).strip().encode()
 
 
+def test_blocks_are_walked_in_one_stage(spark):
+    rows = [(i, f"start {i} the passage number {i % 40} goes on for some forty bytes and more end") for i in range(60)]
+    bench = spark.createDataFrame([(i, f"the passage number {i} goes on for some forty bytes and more") for i in range(40)], "item_id bigint, text string")
+    found = lambda block: D.leaks(docs(spark, rows), bench, block_bytes=block)
+    plan = found(100)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    assert sorted(map(tuple, found(100).collect())) == sorted(map(tuple, found(8 << 20).collect())) and found(100).count() >= 60
+    kept = D.drop_leaking(docs(spark, [*rows, (99, "clean")]).select("*", F.lit(1).alias("Text "), F.lit(2).alias("a`b")), bench, block_bytes=100)
+    assert [r.doc_id for r in kept.collect()] == [99] and kept.columns[-2:] == ["Text ", "a`b"]
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(4)
     items = [(i, "".join(rng.choices("abcdefgh ", k=rng.choice([15, 40, 90, 200])))) for i in range(10)]
@@ -305,10 +316,22 @@ def language_model(spark):
 
 
 def test_language_of_held_out_rows(spark, language_model):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    """Rows of another table, none of whose texts is in the one that the model was fitted on."""
+    fitted = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 5 = 0").join(fitted, "text", "left_anti")
     truth = dict(d.select("doc_id", "lang").collect())
     out = language_id.identify(language_id.from_documents(d), language_model, ["id"]).collect()
-    assert sum(truth[r.id] == r.lang for r in out) > 0.99 * len(out)
+    assert len(out) > 1000 and sum(truth[r.id] == r.lang for r in out) > 0.99 * len(out)
+
+
+def test_a_hot_domain_is_spread(spark, language_model):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = F.concat(F.lit("h"), F.col("doc_id").cast("string"), F.lit(".blogs.example"))
+    rows = d.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("declared"), one.alias("host"), "text")
+    out = language_id.identify(rows, language_model, ["id"])
+    truth = dict(d.select("doc_id", "lang").collect())
+    got = out.collect()
+    assert len(got) == len(truth) and sum(truth[r.id] == r.lang for r in got) > 0.95 * len(got)
 
 
 def test_language_rejects_and_cases(spark, language_model):
