@@ -32,13 +32,13 @@ class Rows:
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Rows:
         names = docs.columns
-        cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+        docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # by position: names may differ in case only, or hold a backtick
         id_, text = f"c{names.index(id_col)}", F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
-        ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"))
+        ids = docs.select(F.col(id_).cast("bigint").alias("id"))
         unclear = ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("id is null or rows > 1")
         if not unclear.head(1):
-            return cls(docs.select(*cols).withColumns({"key": F.col(id_).cast("bigint"), "text": text}), names, True)
-        df = stage(docs.select(*cols, F.monotonically_increasing_id().alias("key")), "keyed-rows")
+            return cls(docs.withColumns({"key": F.col(id_).cast("bigint"), "text": text}), names, True)
+        df = stage(docs.select("*", F.monotonically_increasing_id().alias("key")), "keyed-rows")
         return cls(df.withColumns({"id": F.coalesce(F.col(id_).cast("bigint"), F.lit(_LAST)), "print": F.xxhash64(text), "text": text}), names, False)
 
     @property

@@ -17,7 +17,7 @@ from crestline.llm import sharding as S
 from crestline.llm import suffix_dedup as X
 from crestline.llm.components import components
 from crestline.llm.exact_dedup import exact_dedup
-from crestline.llm.line_templates import drop_recurring_lines
+from crestline.llm.line_templates import Rules, drop_recurring_lines
 from crestline.llm.screen import bits_for, hits, key_bitmap, with_hit
 from crestline.llm.skew import join_groups
 
@@ -495,3 +495,35 @@ def test_lines_pass_other_columns_through(spark):
         assert sorted(r[-1] for r in out.collect()) == [0, 0, 0, 1] and {r[-2] for r in out.collect()} == {5}
     assert drop_recurring_lines(df, count_as=None).columns == df.columns
     assert drop_recurring_lines(df, keep_emptied=False).count() == 3
+
+
+@pytest.mark.parametrize("bits", [0, 7])
+def test_colliding_line_keys_change_nothing(spark, bits):
+    """With a first hash of few bits lines are told apart by the second."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(150)]
+    rows = [(i, "\n".join(rng.choices(lines, k=4) + [f"{rng.choice(lines)} {rng.randrange(999)}"] + [" ".join(rng.choices(words, k=9))])) for i in range(120)]
+    want = {r.doc_id: (r.n_dropped, r.text) for r in drop_recurring_lines(docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_dropped, r.text) for r in drop_recurring_lines(docs(spark, rows), rules=Rules(key_bits=bits)).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 100
+    assert [want[i] for i, _ in rows] == without_recurring_lines(rows)
+
+
+def test_template_bounds_are_parameters(spark):
+    rows = [(i, f"alpha {x} gamma\n{x}") for i, x in enumerate(["red", "blue", "green", "black"])]
+    count = lambda **rules: sum(r.n_dropped for r in drop_recurring_lines(docs(spark, rows), rules=Rules(**rules)).collect())
+    assert count() == 0 and count(lead=1, per_field=3) >= 3
+    short = [(i, f"one two three\n{i} a{i}") for i in range(2)]
+    dropped = lambda **rules: sum(r.n_dropped for r in drop_recurring_lines(docs(spark, short), rules=Rules(**rules)).collect())
+    assert dropped() == 0 and dropped(whole_from=3) == 1
+    with pytest.raises(ValueError):
+        Rules(most_fields=8)
+
+
+def test_columns_that_differ_in_case_only(spark):
+    rows = [(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (3, "x")]
+    wide = docs(spark, rows).select("*", F.lit("y").alias("Text"), F.lit(1).alias("a`b"), F.lit(2).alias("KEY"))
+    out = drop_recurring_lines(wide)
+    assert out.columns == [*wide.columns, "n_dropped"] and sorted(r[-1] for r in out.collect()) == [0, 0, 1]
+    assert sorted(r[0] for r in N.drop_near_copies(wide).collect()) == [1, 3]
