@@ -227,15 +227,19 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
 
     def sums(df: DataFrame, col: str, *by: str) -> DataFrame:
         vec = F.array(*[F.sum(F.col(col)[i]) for i in range(n)])
-        return df.groupBy(*by).agg(vec.alias("v"), F.sum("rows").alias("rows"))
+        return df.groupBy(*by).agg(vec.alias("v"), F.sum("rows").alias("rows"), F.sum("hosts").alias("hosts"))
 
-    hosts = stage(sums(scored.withColumn("rows", F.lit(1).cast("bigint")), "own", "host", "domain", "suffix"), "language-hosts")
+    hosts = stage(sums(scored.withColumns({"rows": F.lit(1).cast("bigint"), "hosts": F.lit(1).cast("bigint")}), "own", "host", "domain", "suffix").withColumn("hosts", F.lit(1).cast("bigint")), "language-hosts")
     domains = sums(hosts, "v", "domain", "suffix")
     suffixes = stage(sums(domains, "v", "suffix"), "language-suffixes")
     everything = suffixes.agg(*[F.sum(F.col("v")[i]).alias(f"g{i}") for i in range(n)]).first()
     overall = [int(x or 0) for x in everything]
-    named = lambda df, name, *by: df.select(*by, F.col("v").alias(name))
-    chain = hosts.withColumnRenamed("v", "vh").join(named(domains, "vd", "domain", "suffix"), ["domain", "suffix"]).join(named(suffixes, "vs", "suffix"), "suffix").select("host", "rows", "vh", "vd", "vs")
+    named = lambda df, name, *by: df.select(*by, F.col("v").alias(name), F.col("hosts").alias("size"))
+    n_hosts, = hosts.agg(F.count(F.lit(1))).first()
+    # a domain of blogs or a suffix may hold any share of all hosts
+    chain = hosts.select("host", "domain", "suffix", "rows", F.col("v").alias("vh"))
+    chain = join_groups(chain, named(domains, "vd", "domain", "suffix"), ["domain", "suffix"], "size", n_hosts).drop("size")
+    chain = join_groups(chain, named(suffixes, "vs", "suffix"), ["suffix"], "size", n_hosts).select("host", "rows", "vh", "vd", "vs")
     # bounded: languages known times declarations of two or three letters
     best = F.array_position(F.col("own"), F.array_max("own")).cast("int") - 1
     told = scored.filter(usable & F.col("declared").isNotNull()).groupBy("declared", best.alias("l")).count()
