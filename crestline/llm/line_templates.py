@@ -251,45 +251,51 @@ def _generalised(rare: DataFrame, min_docs: int, rules: Rules) -> DataFrame:
     return out
 
 
-def recurring_lines(rows: Rows, min_docs: int = 3, rules: Rules = Rules()) -> DataFrame:
-    """(key, gone): numbers of the lines to drop, of the rows that have some."""
-    slim = rows.df.select(*rows.slim, "text")
-    kinds = "sig bigint, `print` bigint, " + ", ".join(f"{_INNER.get(c, c)} bigint" for c in rows.slim)
-    slim = slim.select(*[F.col(c).alias(_INNER.get(c, c)) for c in rows.slim], "text")
+def recurring_lines(rows: Rows, min_docs: int = 3, rules: Rules = Rules(), copies: Column | None = None) -> DataFrame:
+    """(key, gone): numbers of the lines to drop, of the rows that have some.
+
+    Rows for which ``copies`` holds count where lines recur, but keep none and are not in the result.
+    """
+    slim = rows.df.select(*rows.slim, *([] if copies is None else [copies.cast("bigint").alias("copy")]), "text")
+    stays = F.lit(True) if copies is None else F.col("copy") == 0
+    kinds = "sig bigint, `print` bigint, " + ", ".join(f"{_INNER.get(c, c)} bigint" for c in slim.columns[:-1])
+    slim = slim.select(*[F.col(c).alias(_INNER.get(c, c)) for c in slim.columns])
     own, order = slim.columns[:-1], F.col("key") if rows.clear else F.struct("id", "text_print", "key")
     counted = slim.mapInArrow(_count_batches(rules), kinds)
     least = F.when(F.col("sig").bitwiseAND(3) == WHOLE, min(min_docs, 2)).otherwise(min_docs)
-    table = stage(counted.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("holder")).filter(F.col("n") >= least), "line-templates")
+    table = stage(counted.groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(stays, order)).alias("holder")).filter(F.col("n") >= least), "line-templates")
     count, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = bits_for(count)
     shared = slim.sparkSession.sparkContext.broadcast(key_bitmap(table, "sig", bits))
     found = slim.mapInArrow(_found_batches(bits, shared, rules), f"{kinds}, line int, blocks array<bigint>, blocks2 array<bigint>, toks array<bigint>")
-    met = stage(join_groups(found, table.filter(F.col("sig").bitwiseAND(3) != BLOCK_), LINE, "n", total), "line-found")
-    gone = met.filter("holder is not null").filter(F.col("holder") != order).select("key", "line")
-    rare = met.filter("holder is null and blocks is not null")
+    met = stage(join_groups(found, table.filter(F.col("sig").bitwiseAND(3) != BLOCK_), LINE, "n", total).filter((F.col("n").isNotNull() & stays) | F.expr("n is null and blocks is not null")), "line-found")
+    gone = met.filter(F.col("n").isNotNull() & stays & (F.col("holder") != order)).select("key", "line")
+    rare = met.filter("n is null")
     forms = _generalised(rare, min_docs, rules)
     lines = stage(rare.select(*LINE, *own, "line").join(forms, LINE).drop(*LINE), "line-rare")
     tpl = ["tpl", "tpl2"]
     by_row = lines.select(*tpl, *own).distinct()
-    tpls = by_row.groupBy(*tpl).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("holder")).filter(F.col("n") >= min_docs)
+    tpls = by_row.groupBy(*tpl).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(stays, order)).alias("holder")).filter(F.col("n") >= min_docs)
     rare_total, = by_row.agg(F.count(F.lit(1))).first()
-    more = join_groups(lines, tpls, tpl, "n", rare_total).filter("holder is not null").filter(F.col("holder") != order)
+    more = join_groups(lines, tpls, tpl, "n", rare_total).filter(stays & (F.col("holder") != order))
     out = stage(gone.unionByName(more.select("key", "line")).groupBy("key").agg(F.collect_set("line").alias("gone")), "line-gone")
     drop(table, met, forms, lines)
     return out
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", count_as: str | None = "n_dropped", keep_emptied: bool = True, rules: Rules = Rules()) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", count_as: str | None = "n_dropped", keep_emptied: bool = True, rules: Rules = Rules(), copy_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` with recurring lines gone from the text, and how many went.
 
     The count's column is ``count_as`` (with underscores in front where the table has one
     of that name; None for none).  Without ``keep_emptied``, rows go that had words and are
-    left without one.
+    left without one.  ``copy_col`` names a boolean column of ``docs``: rows where it is true
+    count where lines recur, hold no line for others, and go with that column.
     """
     rows = Rows.of(docs, id_col, text_col)
-    gone = recurring_lines(rows, min_docs, rules)
+    copies = None if copy_col is None else F.col(f"c{docs.columns.index(copy_col)}")
+    gone = recurring_lines(rows, min_docs, rules, copies)
     n_gone, = gone.agg(F.count(F.lit(1))).first()
-    same, other = split_by_keys(rows.df, gone, n_gone)
+    same, other = split_by_keys(rows.df if copies is None else rows.df.filter(~copies), gone, n_gone)
     others = [f"c{i}" for i in range(len(docs.columns))]
     # one plan at every size: where most texts lose lines, their list is too large to broadcast
     ready = other.join(gone.hint("merge"), "key", "left").select(*others, "text", "gone")
@@ -299,4 +305,5 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, id_col: str = "doc_
         changed = changed.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     out = same.select(*others, "text", F.lit(0).cast("bigint").alias("n_dropped")).unionByName(changed)
     more: list[Column] = [F.col("n_dropped").alias(free_name(docs.columns, count_as))] if count_as else []
-    return rows.restored(out, *more, **{text_col: F.col("text")})
+    out = rows.restored(out, *more, **{text_col: F.col("text")})
+    return out if copy_col is None else out.drop(copy_col)

@@ -223,6 +223,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     Documents are linked when 100 * |A and B| >= percent * |A or B| over their sets
     of ``words``-word shingles; component_id is the smallest id reachable.
     """
+    return _grouped(docs, words, percent, id_col, text_col)[0]
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_dedup``, and the staged tables that it reads."""
     rows = stage(_slim(docs, id_col, text_col).mapInArrow(_sketch_batches(words, bands_for(percent)), SKETCH), "near-sketch")
     filled = rows.filter("n > 0")
     grouped = filled.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "odd", "bands", "par")).alias("r"), F.count(F.lit(1)).alias("rows"))
@@ -233,17 +238,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     shared = spread.groupBy("bucket").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(join_groups(spread, shared, ["bucket"], "size", count * bands_for(percent)).filter("hub is not null"), "near-buckets")
     comp = _linked(docs, nodes, members, count, words, percent, id_col, text_col)
-    by_node = nodes.select("nid", "node", "id", "rows").join(comp, F.col("nid") == F.col("at"), "left").withColumn("comp", F.coalesce("comp", "nid")).select("node", "id", "rows", "comp")
+    at = comp.select(F.col("node").alias("at"), "comp")
+    by_node = nodes.select("nid", "node", "id", "rows").join(at, F.col("nid") == F.col("at"), "left").withColumn("comp", F.coalesce("comp", "nid")).select("node", "id", "rows", "comp")
     sizes = by_node.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     labels = stage(join_groups(by_node, sizes, ["comp"], "nodes", count).select("node", "component_id", "rows"), "near-labels")
-    drop(nodes, members)
+    drop(nodes, members, comp)
     out = join_groups(rows.select("id", "n", "node"), labels, ["node"], "rows", total)
     low = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), low.alias("component_id"), F.col("id").eqNullSafe(low).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), low.alias("component_id"), F.col("id").eqNullSafe(low).alias("kept")), [rows, labels]
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(at, comp) of the nodes that have links."""
+    """(node, comp), staged, of the nodes that have links."""
     spark = docs.sparkSession
     bits = bits_for(count)
     wanted = members.select("nid").distinct().join(nodes.select("nid", "id"), "nid").select(F.xxhash64("id").alias("key"))
@@ -282,20 +288,23 @@ def _linked(docs: DataFrame, nodes: DataFrame, members: DataFrame, count: int, w
         return out
 
     links = confirmed(members.filter("hub <> nid").select(F.col("hub").alias("a"), F.col("nid").alias("b")))
-    comp = components(links).select(F.col("node").alias("at"), "comp")
+    comp = components(links)
+    drop(links)
+    at = lambda: comp.select(F.col("node").alias("at"), "comp")
 
-    placed = members.filter("size > 2").join(comp, F.col("nid") == F.col("at"), "left").select("bucket", "nid", "size", F.coalesce("comp", "nid").alias("comp"))
+    placed = members.filter("size > 2").join(at(), F.col("nid") == F.col("at"), "left").select("bucket", "nid", "size", F.coalesce("comp", "nid").alias("comp"))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("c")).filter("low < high").select("bucket", "c", F.lit(True).alias("open"))
     open_ = join_groups(placed, split, ["bucket"], "c", count * bands_for(percent)).filter("open").select("nid").distinct()
     open_ = stage(open_.select("nid").join(sets, "nid").select("nid", "items"), "near-open")
     if open_.head(1):
         prefixes = stage(_prefix_rows(open_, percent), "near-prefixes")
         for meet in (_with_hubs, _with_all):
-            placed = prefixes.join(comp, F.col("nid") == F.col("at"), "left").select("token", "nid", "pos", F.coalesce("comp", "nid").alias("comp"))
+            placed = prefixes.join(at(), F.col("nid") == F.col("at"), "left").select("token", "nid", "pos", F.coalesce("comp", "nid").alias("comp"))
             more = confirmed(meet(placed, print_, percent))
-            if more.head(1):
-                links = links.unionByName(more)
-                comp = components(links).select(F.col("node").alias("at"), "comp")
+            if more.head(1):  # what is known joins them as stars
+                before, comp = comp, components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+                drop(before)
+            drop(more)
         drop(prefixes)
     drop(open_, sets)
     return comp
@@ -365,7 +374,21 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     by number.  So of equal rows one stays, unless they have no words.
     """
     rows = Rows.of(docs, id_col, text_col)
-    groups = near_dedup(rows.df.select("key", "text"), words, percent, "key", "text")
+    same, other, gone = _split_copies(rows, words, percent)
+    return rows.restored(same.unionByName(other.join(gone, "key", "left_anti")))
+
+
+def mark_near_copies(docs: DataFrame, name: str, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs``, with a boolean ``name`` that is true for those that ``drop_near_copies`` drops."""
+    rows = Rows.of(docs, id_col, text_col)
+    same, other, gone = _split_copies(rows, words, percent)
+    told = other.join(gone.withColumn("copy", F.lit(True)), "key", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    return rows.restored(same.withColumn("copy", F.lit(False)).unionByName(told), F.col("copy").alias(name))
+
+
+def _split_copies(rows: Rows, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that are surely no near copies, the rest, (key) of the near copies)."""
+    groups, read = _grouped(rows.df.select("key", "text"), words, percent, "key", "text")
     if rows.clear:
         gone = stage(groups.filter("not kept").select("key"), "near-gone")
     else:
@@ -373,6 +396,6 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         first = groups.groupBy("component_id").agg(F.min("place").alias("place")).select("place.key")
         gone = stage(groups.join(first, "key", "left_anti").select("key"), "near-gone")
         drop(groups)
+    drop(*read)
     n_gone, = gone.agg(F.count(F.lit(1))).first()
-    same, other = split_by_keys(rows.df, gone, n_gone)
-    return rows.restored(same.unionByName(other.join(gone, "key", "left_anti")))
+    return *split_by_keys(rows.df, gone, n_gone), gone

@@ -16,7 +16,7 @@ from crestline.llm import pieces as P
 from crestline.llm import queries as Q
 from crestline.llm.token_counts import PairMerger, token_counts
 
-from .brute import without_recurring_lines
+from .brute import line_templates, without_recurring_lines
 
 spm = pytest.importorskip("sentencepiece")
 FOLDER = "/root/testdata/sf0.001"
@@ -460,6 +460,28 @@ def test_groups_of_copies_leave_one_document(spark):
     assert got[33] == "\n".join(other) and got[10] == rows[0][1] and got[20] == rows[4][1] and got[30] == rows[8][1]
 
 
+def test_lines_of_copies_count(spark):
+    """Near copies go, but the lines that they hold recur in them too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    body, shared, late, pair = prose(rng, vocab, 20), *(prose(rng, vocab, 1, 5)[0] for _ in range(3))
+    rows = [(10, [*body, shared]), (11, [*body, shared]), (12, [*body, shared, late])]
+    rows += [(i, [*prose(rng, vocab, 3), *more]) for i, more in ((5, [pair]), (20, [shared]), (30, [late]), (40, [late]), (50, [pair]), (None, [shared, late]))]
+    rows = [(i, "\n".join(t)) for i, t in rows]
+    keys, at, recurs = line_templates(rows)
+    stays = {r for r in range(len(rows)) if r not in (1, 2)}
+    holder = {k: min(rs & stays, key=lambda r: (rows[r][0] is None, rows[r][0] or 0), default=None) for k, rs in at.items()}
+    want = {rows[r][0]: "\n".join(x for k, x in enumerate(rows[r][1].split("\n")) if not any(recurs(y) and holder[y] != r for y in keys[r, k])) for r in stays}
+    for some in (rows, rows[:-1]):  # with a null id rows are numbered
+        left = want if some is rows else {i: t for i, t in want.items() if i is not None}
+        df = docs(spark, some).withColumn("_Copy", F.lit("own"))
+        out = pipeline.lines(spark, df, "")
+        assert out.columns == df.columns and {r["_Copy"] for r in out.collect()} == {"own"}
+        assert {r.doc_id: r.text for r in out.collect()} == left
+    assert shared in want[10] and shared not in want[20] and late in want[30] and late not in want[40] and pair in want[50]
+
+
 def one_of_each(rows):
     """Rows of the smallest id of each component of 5-word Jaccard 0.8."""
     words = {i: t.split() for i, t in rows}
