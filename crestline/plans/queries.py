@@ -192,12 +192,24 @@ def edge_crossings_tiles(spark, sf_dir):
 
 @query(O.ridges("emb", T, f'SELECT image_id, "row", col, dir, d, {_us("brightness")}, {_fs("strength")} FROM edges'))
 def edge_crossings_stream(spark, sf_dir):
-    """Rows of the image arrive in files of 64, some at a time; the stream gives the edges of the batch."""
-    place, runs = folder(spark, "rows"), RUNS["emb"](spark, sf_dir)
-    sized = runs.select("image_id", "row", F.lit(runs.count()).alias("rows"), "v", F.expr("row div 64").alias("part"))
-    sized.repartition("part").write.partitionBy("part").parquet(f"{place}/in")
+    """Rows of the image arrive in files in their order, some at a time; the stream gives the edges of the batch.
+
+    A file has 64 rows or a 32nd of the image, up to 2048: a batch of 8 files holds 16384 rows at most,
+    and there is a batch for so many rows.  State is dealt to as many tasks as the stretches need.
+    """
+    place, runs, columns = folder(spark, "rows"), RUNS["emb"](spark, sf_dir), 32
+    count, width = runs.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    per = min(2048, max(64, -(-count // 32)))
+    sized = runs.select("image_id", "row", F.lit(count).alias("rows"), "v", F.expr(f"row div {per}").alias("part"))
+    sized.repartitionByRange(max(1, -(-count // per)), "part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{place}/in")
     rows = spark.readStream.schema("image_id string, row int, rows bigint, v array<double>").option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
-    run = edges_stream(rows, T, columns=32).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    edges = edges_stream(rows, T, columns=columns).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(tasks), max(1, -(-width // columns) * 4))))
+    try:
+        run = edges.start()  # in a session of its own from here on
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
     run.awaitTermination()
     found = spark.read.schema(EDGE_SCHEMA).parquet(f"{place}/out")
     return found.select("image_id", "row", "col", "dir", "d", *_u("brightness"), *_f("strength"))

@@ -103,3 +103,23 @@ def test_arriving_rows_give_the_edges_of_the_batch(spark, tmp_path, t, columns):
     same(spark.read.parquet(str(tmp_path / "out")), want, want.count())
     with pytest.raises(ValueError):
         edges_stream(stream, 2.0, columns=5)
+
+
+def test_batches_of_the_stream_query_do_not_grow_with_small_files(spark, tmp_path):
+    from pathlib import Path
+
+    from crestline.plans import queries
+    from crestline.plans.staging import shared_dir
+
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=9)]) for i in range(4096)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    at = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("*/rows-*"))
+    before, tasks = at(), spark.conf.get("spark.sql.shuffle.partitions")
+    got = queries.edge_crossings_stream(spark, str(tmp_path))
+    want = queries.edge_crossings(spark, str(tmp_path))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() > 4096
+    (place,) = at() - before
+    batches = [p for p in (place / "state/commits").iterdir() if p.name.isdigit()]
+    assert 2 <= len(batches) <= 4  # 8 where every 64 rows are a file
+    assert spark.conf.get("spark.sql.shuffle.partitions") == tasks
